@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import chat, ogg, shards
+from driftlens.llm import chat, licenses, ogg, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
     "op6_shard_sampled_splitters": shards.op6_shard_sampled_splitters,
     "op10_media_ogg": ogg.op10_media_ogg,
