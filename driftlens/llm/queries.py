@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import chat, licenses, ogg, shards
+from driftlens.llm import chat, licenses, neardup, ogg, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
     "op6_shard_sampled_splitters": shards.op6_shard_sampled_splitters,
+    "op7_minhash_neardup": neardup.op7_minhash_neardup,
     "op10_media_ogg": ogg.op10_media_ogg,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_perspectives": chat.OP4_SQL,
     "op6_shard_sampled_splitters": shards.OP6_SQL,
+    "op7_minhash_neardup": neardup.OP7_SQL,
 }
