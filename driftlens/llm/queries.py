@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import chat, licenses, neardup, ogg, shards
+from driftlens.llm import chat, decontam, licenses, neardup, ogg, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
     "op6_shard_sampled_splitters": shards.op6_shard_sampled_splitters,
     "op7_minhash_neardup": neardup.op7_minhash_neardup,
+    "op8_decontaminate_cgk": decontam.op8_decontaminate_cgk,
     "op10_media_ogg": ogg.op10_media_ogg,
 }
 
