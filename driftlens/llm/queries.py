@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import chat, decontam, licenses, neardup, ogg, shards
+from driftlens.llm import bpe, chat, decontam, idfiles, licenses, neardup, ogg, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_bpe_duckdb": bpe.op2_bpe_duckdb,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
+    "op5_ids_zstd_dictionary": idfiles.op5_ids_zstd_dictionary,
     "op6_shard_sampled_splitters": shards.op6_shard_sampled_splitters,
     "op7_minhash_neardup": neardup.op7_minhash_neardup,
     "op8_decontaminate_cgk": decontam.op8_decontaminate_cgk,

@@ -28,7 +28,7 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def grouped(texts: list[bytes]) -> Iterator[range]:
+def grouped(texts: list[bytes] | list[str]) -> Iterator[range]:
     """Ranges of texts of at most BATCH_BYTES together, or of one longer text."""
     first, size = 0, 0
     for k, t in enumerate(texts):
