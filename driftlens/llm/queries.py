@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import bpe, chat, decontam, idfiles, licenses, neardup, ogg, shards
+from driftlens.llm import bpe, chat, decontam, idfiles, licenses, neardup, ogg, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_bpe_duckdb": bpe.op2_bpe_duckdb,
+    "op3_toxicity_label_model": toxicity.op3_toxicity_label_model,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
     "op5_ids_zstd_dictionary": idfiles.op5_ids_zstd_dictionary,
     "op6_shard_sampled_splitters": shards.op6_shard_sampled_splitters,

@@ -58,6 +58,22 @@ def hashed_words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, n
     return hashes, np.searchsorted(begin, bounds)
 
 
+def prefix_hashes(texts: list[bytes], is_word: np.ndarray, lengths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """([hashes of the first n bytes of every word, 0 where it has no more than these, for n in lengths; of the words], bounds as in hashed_words)."""
+    joined = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    inside = is_word[joined]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin, end = edge[0::2], edge[1::2]
+    power, inverse = _power(len(joined))
+    sums = np.cumsum((joined + np.uint64(1)) * power[: len(joined)], dtype=np.uint64)
+    before, unit, out = sums[begin - 1], inverse[begin], []
+    for n in lengths:
+        hashes = mix((sums[np.minimum(begin + n, len(joined)) - 1] - before) * unit + np.uint64(n))
+        out.append(np.where(end - begin > n, hashes | np.uint64(1), np.uint64(0)))
+    out.append(mix((sums[end - 1] - before) * unit) | np.uint64(1))
+    return out, np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
 def word_table(pattern: str) -> np.ndarray:
     """Which bytes a word may have, from a kind: "alnum" or "nonspace"."""
     b = np.arange(256)
