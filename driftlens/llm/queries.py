@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import bpe, chat, decontam, idfiles, licenses, neardup, ogg, shards, toxicity
+from driftlens.llm import bpe, chat, decontam, idfiles, lblm, licenses, neardup, ogg, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_shard_sampled_splitters": shards.op6_shard_sampled_splitters,
     "op7_minhash_neardup": neardup.op7_minhash_neardup,
     "op8_decontaminate_cgk": decontam.op8_decontaminate_cgk,
+    "op9_lm_log_bilinear": lblm.op9_lm_log_bilinear,
     "op10_media_ogg": ogg.op10_media_ogg,
 }
 
