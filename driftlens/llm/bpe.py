@@ -8,8 +8,8 @@ word's leftmost pair of least rank, until no word has a pair. An ordered
 aggregation gives each word's ids, and another one, over the bytes of these
 ids, decodes them. A worker remembers words, at most MEMO of them.
 
-A word is split before at byte pairs that no token contains: no merge can cross
-them. What is still longer than LONG bytes (a run of one letter, say) needs as
+A word of more than WHOLE bytes is split before at byte pairs that no token
+contains: no merge can cross them. What is still longer than LONG bytes (a run of one letter, say) needs as
 many rounds as bytes; it is merged by a heap instead, with the same result.
 
 Defined cases: a null text is empty; an empty text has no ids; null ids are
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from driftlens.llm.common import map_rows, table, texts
 from driftlens.llm.wordhash import grouped
 
-LONG, MEMO = 256, 400_000
+WHOLE, LONG, MEMO = 24, 256, 600_000
 _SQL = """
 WITH RECURSIVE merging AS (
   SELECT word, pos, id, pos + 1 AS next, 0 AS round FROM fresh
@@ -122,7 +122,7 @@ class Codec:
         cut = []
         for word in words:
             raw = word.encode()
-            own = [raw] if len(raw) < 2 else self._pieces(raw)
+            own = [raw] if len(raw) <= WHOLE else self._pieces(raw)
             cut.append(own)
             for p in own:
                 pieces.setdefault(p, len(pieces))
