@@ -462,6 +462,11 @@ def centroids(x: np.ndarray, gamma: np.ndarray, before: np.ndarray) -> np.ndarra
     return np.where(mass[:, None] > 0, gamma.T @ x / np.where(mass > 0, mass, 1)[:, None], before)
 
 
+def centroids_of(gtx: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Weighted means from sums over rows; NaN without weight."""
+    return gtx / np.where(mass > 0, mass, np.nan)
+
+
 def fit_regimes_kmeans(x: np.ndarray, k: int, bound: float | None, tolerance: float = 1e-4, max_iterations: int = 500, seed: int = 0) -> Regimes:
     rng, trace = np.random.RandomState(seed), Trace()
     centers = x[rng.choice(len(x), k, replace=False)]
