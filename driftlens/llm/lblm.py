@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import arrow_schema, map_rows, table, texts, written
 
-CLASSES, HEAD_CLASSES, HEAD = 160, 96, 100_000
+CLASSES, HEAD_CLASSES, HEAD = 96, 56, 50_000
 WIDTH, NOISE, BATCH, STEPS, RATE = 32, 16, 1024, 2500, 0.05
 END = b"\n"  # no word holds white space
 _START, _OTHER = CLASSES - 1, CLASSES - 2
@@ -105,7 +105,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The classes and the head of counts(word, c)."""
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    head = [(bytes(w), c) for w, c in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    frequent = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    head = list(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist(), strict=True))
     top = head[:HEAD_CLASSES]
     ending = F.right(F.decode("word", "UTF-8"), F.lit(2))
     by_ending = counts.groupBy(ending.alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
@@ -171,9 +172,10 @@ def train(codes: np.ndarray, counts: np.ndarray, seed: int = 5) -> Network:
     """Noise-contrastive estimation on draws from the trigrams' counts, with Adagrad."""
     draw = np.random.default_rng(seed)
     order = np.argsort(codes)
-    codes, counts = codes[order], counts[order].astype(float)
-    share = np.cumsum(counts) / counts.sum()
-    noise = np.bincount(codes % CLASSES, counts, CLASSES) + 0.5
+    codes, share = codes[order], np.cumsum(counts[order], dtype=float)
+    share /= share[-1]
+    noise = np.bincount(codes % CLASSES, counts[order], CLASSES) + 0.5
+    del order, counts
     noise[_START] = 1e-9
     noise /= noise.sum()
     noise_sums, log_noise = np.cumsum(noise), np.log(noise)
@@ -252,8 +254,9 @@ def score(docs: DataFrame) -> DataFrame:
     known = vocabulary(counts)
     shared = spark.sparkContext.broadcast(known)
     if known.tokens:
-        runs = _class_runs(training, shared).toPandas()
-        network = train(runs["code"].to_numpy(), runs["n"].to_numpy())
+        runs = _class_runs(training, shared).toArrow()
+        network = train(runs.column("code").to_numpy(), runs.column("n").to_numpy())
+        del runs
     else:
         network = Network(np.zeros((CLASSES, 1)), np.zeros((CLASSES, 1)), np.zeros((2, 1)), np.zeros(CLASSES))
     parts = written(_parts(docs, shared, network), "parts")
