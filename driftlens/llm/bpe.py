@@ -23,6 +23,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -32,9 +33,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm.common import map_rows, table, texts
+from driftlens.llm.pretokens import pieces
 from driftlens.llm.wordhash import grouped
 
-WHOLE, LONG, MEMO = 24, 256, 600_000
+WHOLE, LONG, MEMO = 24, 256, 400_000
 _SQL = """
 WITH RECURSIVE merging AS (
   SELECT word, pos, id, pos + 1 AS next, 0 AS round FROM fresh
@@ -67,7 +69,8 @@ class Codec:
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.memo: dict[str, tuple[bytes, bytes]] = {}  # by pre-token
+        self.known: dict[str, tuple[bytes, bytes]] = {}  # by piece of text
         self.pairs = np.zeros((256, 256), bool)
         lhs, rhs, merged = [], [], []
         for token, rank in self.ranks.items():
@@ -153,16 +156,23 @@ class Codec:
 
     def encode(self, batch: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, bytes decoded from them) of each text."""
-        split = [self.pattern.findall(t) for t in batch]
-        fresh = {w for words in split for w in words} - self.memo.keys()
-        if len(self.memo) + len(fresh) > MEMO:
+        split = [pieces(t, self.pattern) for t in batch]
+        fresh = {p: self.pattern.findall(p) for p in set(chain.from_iterable(split)) - self.known.keys()}
+        if len(self.known) + len(fresh) > MEMO:
+            self.known.clear()
+            fresh = {p: self.pattern.findall(p) for p in set(chain.from_iterable(split))}
+        words = set(chain.from_iterable(fresh.values())) - self.memo.keys()
+        if len(self.memo) + len(words) > MEMO:
             self.memo.clear()
-            fresh = {w for words in split for w in words}
-        if fresh:
-            self.learn(sorted(fresh))
+            words = set(chain.from_iterable(fresh.values()))
+        if words:
+            self.learn(sorted(words))
+        for p, own in fresh.items():
+            parts = [self.memo[w] for w in own]
+            self.known[p] = parts[0] if len(parts) == 1 else (b"".join([a for a, _ in parts]), b"".join([b for _, b in parts]))
         out = []
-        for words in split:
-            parts = [self.memo[w] for w in words]
+        for own in split:
+            parts = [self.known[p] for p in own]
             out.append((b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])))
         return out
 

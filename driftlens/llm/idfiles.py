@@ -29,6 +29,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,11 +43,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftlens.llm.common import arrow_schema, map_rows, shared_dir, table, texts
-from driftlens.llm.wordhash import grouped
+from driftlens.llm.pretokens import pieces
 
 END, MAGIC, NO_ID = 0, b"DLIDS1\n\0", -(1 << 63)
 SAMPLE, SAMPLE_IDS, DICTIONARY, LEVEL = 2000, 4096, 112_640, 3
-SHARD_BYTES, MEMO = 8 << 20, 400_000
+SHARD_BYTES, MEMO = 8 << 20, 500_000
 _HEAD, _ENTRY, _TAIL = struct.Struct("<8sQ32s"), np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u4")]), struct.Struct("<Q8s")
 
 
@@ -57,30 +58,46 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Tokens(dict):
+    """pre-token: its ids, from the library's model."""
+
+    def __init__(self, model: Tokenizer):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        spelled = word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = array("H", self.model.encode(spelled, add_special_tokens=False).ids).tobytes()
+        return ids
+
+
+class _Pieces(dict):
+    """piece: the ids of its pre-tokens."""
+
+    def __init__(self, tokens: _Tokens):
+        super().__init__()
+        self.tokens, self.pattern = tokens, regex.compile(public_tokenizers.PATTERN)
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        ids = self[piece] = b"".join(map(self.tokens.__getitem__, self.pattern.findall(piece)))
+        return ids
+
+
 class Encoder:
-    """The tokenizers library over words, each encoded once by its model and then remembered."""
+    """The tokenizers library over pieces of texts, each encoded once by its model and then remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.model = Tokenizer(Tokenizer.from_file(path).model)
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.letters = _byte_letters()
-        self.memo: dict[str, bytes] = {}
+        self.known = _Pieces(_Tokens(Tokenizer(Tokenizer.from_file(path).model)))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 16-bit integers, with the end id."""
-        split = [self.pattern.findall(t) for t in batch]
-        fresh = {w for words in split for w in words} - self.memo.keys()
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = {w for words in split for w in words}
-        if fresh:
-            words = list(fresh)
-            spelled = [w.encode().decode("latin-1").translate(self.letters) for w in words]
-            for w, e in zip(words, self.model.encode_batch_fast(spelled, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u2").tobytes()
-        end, memo = struct.pack("<H", END), self.memo
-        return [b"".join([memo[w] for w in words]) + end for words in split]
+        end, ids, pattern = struct.pack("<H", END), self.known.__getitem__, self.known.pattern
+        return [b"".join(map(ids, pieces(t, pattern))) + end for t in batch]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -93,11 +110,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_texts(own: Encoder, batch: list[str]) -> list[bytes]:
-    """As own.encode, in groups of bounded size."""
-    return [x for part in grouped(batch) for x in own.encode(batch[part.start : part.stop])]
-
-
 def train_dictionary(samples: list[bytes]) -> bytes:
     """A zstandard dictionary, or no bytes if the samples are too few for one."""
     if sum(map(len, samples)) < 8 * 1024 or len(samples) < 8:
@@ -148,7 +160,7 @@ def _compressed(path: str, dictionary: bytes) -> Callable[[], Callable[[dict[str
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
 
         def one(columns: dict[str, list]) -> dict[str, list]:
-            ids = encode_texts(own, columns["text"])
+            ids = own.encode(columns["text"])
             return {"doc_id": columns["doc_id"], "part": columns["part"], "n_tokens": [len(x) // 2 for x in ids], "frame": [compressor.compress(x) for x in ids]}
 
         return one
@@ -245,7 +257,7 @@ def write_ids(docs: DataFrame, folder: str, path: str) -> tuple[DataFrame, bytes
 def _compressed_ids(path: str) -> Callable[[], Callable[[dict[str, list]], dict[str, list]]]:
     def make() -> Callable[[dict[str, list]], dict[str, list]]:
         own = encoder(path)
-        return lambda columns: {"ids": [x[: 2 * SAMPLE_IDS] for x in encode_texts(own, columns["text"])]}
+        return lambda columns: {"ids": [x[: 2 * SAMPLE_IDS] for x in own.encode(columns["text"])]}
 
     return make
 
