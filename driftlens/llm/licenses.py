@@ -47,88 +47,89 @@ class Rule:
     priority: int
 
 
-#: label | names as patterns | keywords of which one must be in the text.
-_FAMILIES = """
-mit | mit(?:/x11)? | mit license, mit/x11, :mit, the mit, under mit
-mit-0 | mit[- ]0|mit no attribution | mit-0, mit 0, mit no attribution
-apache-2.0 | apache(?:[- ]software)?(?:[- ]license)?,?[- ](?:v(?:ersion)?\\W{0,2})?2(?:\\.0)? | apache
-apache-1.1 | apache(?:[- ]software)?(?:[- ]license)?,?[- ](?:v(?:ersion)?\\W{0,2})?1\\.[01] | apache
-bsd-2-clause | (?:bsd[- ]2[- ]clause|simplified[- ]bsd|freebsd) | bsd
-bsd-3-clause | (?:bsd[- ]3[- ]clause|new[- ]bsd|revised[- ]bsd|modified[- ]bsd) | bsd
-bsd-4-clause | (?:bsd[- ]4[- ]clause|original[- ]bsd) | bsd
-0bsd | (?:0bsd|zero[- ]clause[- ]bsd) | 0bsd, clause bsd, clause-bsd
-isc | isc | isc license, :isc, under isc, the isc
-gpl-1.0 | (?:gnu[- ])?(?:gpl|general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?1(?:\\.0)? | gpl, general public licen
-gpl-2.0 | (?:gnu[- ])?(?:gpl|general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?2(?:\\.0)? | gpl, general public licen
-gpl-3.0 | (?:gnu[- ])?(?:gpl|general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?3(?:\\.0)? | gpl, general public licen
-lgpl-2.0 | (?:gnu[- ])?(?:lgpl|library[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?2(?:\\.0)? | lgpl, library general public
-lgpl-2.1 | (?:gnu[- ])?(?:lgpl|lesser[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?2\\.1 | lgpl, lesser general public
-lgpl-3.0 | (?:gnu[- ])?(?:lgpl|lesser[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?3(?:\\.0)? | lgpl, lesser general public
-agpl-3.0 | (?:gnu[- ])?(?:agpl|affero[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?3(?:\\.0)? | agpl, affero
-gfdl | (?:gnu[- ])?(?:gfdl|free[- ]documentation[- ]licen[cs]e)(?:,?[- ](?:v(?:ersion)?\\W{0,2})?1\\.[0-3])? | gfdl, free documentation
-mpl-1.1 | (?:mpl|mozilla[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?1\\.[01] | mpl, mozilla
-mpl-2.0 | (?:mpl|mozilla[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?2(?:\\.0)? | mpl, mozilla
-epl-1.0 | (?:epl|eclipse[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?1(?:\\.0)? | epl, eclipse
-epl-2.0 | (?:epl|eclipse[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?2(?:\\.0)? | epl, eclipse
-cddl-1.0 | (?:cddl|common[- ]development[- ]and[- ]distribution[- ]licen[cs]e)(?:,?[- ](?:v(?:ersion)?\\W{0,2})?1\\.[01])? | cddl, common development
-cpl-1.0 | common[- ]public[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\\W{0,2})?1(?:\\.0)?)? | common public
-eupl-1.1 | (?:eupl|european[- ]union[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?1\\.1 | eupl, european union public
-eupl-1.2 | (?:eupl|european[- ]union[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?1\\.2 | eupl, european union public
-artistic-1.0 | artistic[- ]licen[cs]e,?[- ](?:v(?:ersion)?\\W{0,2})?1(?:\\.0)? | artistic
-artistic-2.0 | artistic[- ]licen[cs]e,?[- ](?:v(?:ersion)?\\W{0,2})?2(?:\\.0)? | artistic
-bsl-1.0 | boost[- ]software[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\\W{0,2})?1(?:\\.0)?)? | boost
-busl-1.1 | (?:busl|business[- ]source[- ]licen[cs]e),?[- ](?:v(?:ersion)?\\W{0,2})?1\\.1 | busl, business source
-sspl-1.0 | (?:sspl|server[- ]side[- ]public[- ]licen[cs]e) | sspl, server side public
-elastic-2.0 | elastic[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\\W{0,2})?2(?:\\.0)?)? | elastic licen
-zlib | (?:zlib|zlib/libpng) | zlib
-libpng | libpng | libpng
-openssl | openssl | openssl
-unlicense | unlicense | unlicense
-wtfpl | (?:wtfpl|do what the f\\w* you want to public licen[cs]e) | wtfpl, do what the
-cc0-1.0 | (?:cc0|cc[- ]zero|creative[- ]commons[- ]zero)(?:[- ]1\\.0)?(?:[- ]universal)? | cc0, cc zero, cc-zero, commons zero
-cc-by-1.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]1\\.0 | cc by, cc-by, creative commons
-cc-by-2.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]2\\.0 | cc by, cc-by, creative commons
-cc-by-2.5 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]2\\.5 | cc by, cc-by, creative commons
-cc-by-3.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]3\\.0 | cc by, cc-by, creative commons
-cc-by-4.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]4\\.0 | cc by, cc-by, creative commons
-cc-by-sa | (?:cc[- ]by[- ]sa|creative[- ]commons[- ]attribution[- ]share[- ]?alike)(?:[- ][1-4]\\.[05])? | cc by, cc-by, creative commons
-cc-by-nd | (?:cc[- ]by[- ]nd|creative[- ]commons[- ]attribution[- ]no[- ]?deriv\\w*)(?:[- ][1-4]\\.[05])? | cc by, cc-by, creative commons
-cc-by-nc | (?:cc[- ]by[- ]nc|creative[- ]commons[- ]attribution[- ]non[- ]?commercial)(?:[- ][1-4]\\.[05])? | cc by, cc-by, creative commons
-cc-by-nc-sa | (?:cc[- ]by[- ]nc[- ]sa|creative[- ]commons[- ]attribution[- ]non[- ]?commercial[- ]share[- ]?alike)(?:[- ][1-4]\\.[05])? | cc by, cc-by, creative commons
-cc-by-nc-nd | (?:cc[- ]by[- ]nc[- ]nd|creative[- ]commons[- ]attribution[- ]non[- ]?commercial[- ]no[- ]?deriv\\w*)(?:[- ][1-4]\\.[05])? | cc by, cc-by, creative commons
-odbl-1.0 | (?:odbl|open[- ]database[- ]licen[cs]e)(?:[- ]v?1\\.0)? | odbl, open database
-odc-by | (?:odc[- ]by|open[- ]data[- ]commons[- ]attribution) | odc-by, odc by, open data commons
-pddl | (?:pddl|public[- ]domain[- ]dedication[- ]and[- ]licen[cs]e) | pddl, public domain
-ofl-1.1 | (?:ofl|sil[- ]open[- ]font[- ]licen[cs]e)(?:,?[- ](?:v(?:ersion)?\\W{0,2})?1\\.1)? | ofl, open font
-postgresql | postgresql | postgresql
-psf-2.0 | (?:psf|python[- ]software[- ]foundation)(?:[- ]licen[cs]e)?(?:,?[- ](?:v(?:ersion)?\\W{0,2})?2(?:\\.0)?)? | psf, python software
-ruby | ruby | ruby
-php-3.01 | php[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\\W{0,2})?3\\.0?1?)? | php
-w3c | w3c(?:[- ]software)? | w3c
-x11 | x11 | x11
-ncsa | (?:ncsa|university of illinois) | ncsa, university of illinois
-vim | vim | vim
-intel | intel[- ]open[- ]source | intel open, intel-open
-ibm-pl | ibm[- ]public[- ]licen[cs]e | ibm public
-ms-pl | (?:ms[- ]pl|microsoft[- ]public[- ]licen[cs]e) | ms-pl, ms pl, microsoft public
-ms-rl | (?:ms[- ]rl|microsoft[- ]reciprocal[- ]licen[cs]e) | ms-rl, ms rl, microsoft reciprocal
-osl-3.0 | (?:osl|open[- ]software[- ]licen[cs]e)[- ](?:v(?:ersion)?\\W{0,2})?3(?:\\.0)? | osl, open software
-afl-3.0 | (?:afl|academic[- ]free[- ]licen[cs]e)[- ](?:v(?:ersion)?\\W{0,2})?3(?:\\.0)? | afl, academic free
-cecill | cecill(?:[- ](?:b|c|v?[12]\\.[01]))? | cecill
-upl-1.0 | (?:upl|universal[- ]permissive[- ]licen[cs]e)(?:[- ]v?1\\.0)? | upl, universal permissive
-blueoak-1.0.0 | blue[- ]?oak(?:[- ]model)?(?:[- ]licen[cs]e)? | blue oak, blueoak
-openrail | (?:(?:creativeml|bigscience)[- ])?(?:open[- ]?rail|rail)(?:[- ]?\\+{0,2}[ms]?) | rail
-llama-community | llama(?:[- ][234](?:\\.\\d)?)?[- ]community[- ]licen[cs]e | llama
-polyform-nc | polyform[- ]noncommercial | polyform
+#: label | names as a pattern.
+_FAMILIES = r"""
+mit | mit(?:/x11)?
+mit-0 | mit[- ]0|mit no attribution
+apache-2.0 | apache(?:[- ]software)?(?:[- ]license)?,?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
+apache-1.1 | apache(?:[- ]software)?(?:[- ]license)?,?[- ](?:v(?:ersion)?\W{0,2})?1\.[01]
+bsd-2-clause | (?:bsd[- ]2[- ]clause|simplified[- ]bsd|freebsd)
+bsd-3-clause | (?:bsd[- ]3[- ]clause|new[- ]bsd|revised[- ]bsd|modified[- ]bsd)
+bsd-4-clause | (?:bsd[- ]4[- ]clause|original[- ]bsd)
+0bsd | (?:0bsd|zero[- ]clause[- ]bsd)
+isc | isc
+gpl-1.0 | (?:gnu[- ])?(?:gpl|general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1(?:\.0)?
+gpl-2.0 | (?:gnu[- ])?(?:gpl|general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
+gpl-3.0 | (?:gnu[- ])?(?:gpl|general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?3(?:\.0)?
+lgpl-2.0 | (?:gnu[- ])?(?:lgpl|library[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
+lgpl-2.1 | (?:gnu[- ])?(?:lgpl|lesser[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?2\.1
+lgpl-3.0 | (?:gnu[- ])?(?:lgpl|lesser[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?3(?:\.0)?
+agpl-3.0 | (?:gnu[- ])?(?:agpl|affero[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?3(?:\.0)?
+gfdl | (?:gnu[- ])?(?:gfdl|free[- ]documentation[- ]licen[cs]e)(?:,?[- ](?:v(?:ersion)?\W{0,2})?1\.[0-3])?
+mpl-1.1 | (?:mpl|mozilla[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1\.[01]
+mpl-2.0 | (?:mpl|mozilla[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
+epl-1.0 | (?:epl|eclipse[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1(?:\.0)?
+epl-2.0 | (?:epl|eclipse[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
+cddl-1.0 | (?:cddl|common[- ]development[- ]and[- ]distribution[- ]licen[cs]e)(?:,?[- ](?:v(?:ersion)?\W{0,2})?1\.[01])?
+cpl-1.0 | common[- ]public[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\W{0,2})?1(?:\.0)?)?
+eupl-1.1 | (?:eupl|european[- ]union[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1\.1
+eupl-1.2 | (?:eupl|european[- ]union[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1\.2
+artistic-1.0 | artistic[- ]licen[cs]e,?[- ](?:v(?:ersion)?\W{0,2})?1(?:\.0)?
+artistic-2.0 | artistic[- ]licen[cs]e,?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
+bsl-1.0 | boost[- ]software[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\W{0,2})?1(?:\.0)?)?
+busl-1.1 | (?:busl|business[- ]source[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1\.1
+sspl-1.0 | (?:sspl|server[- ]side[- ]public[- ]licen[cs]e)
+elastic-2.0 | elastic[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?)?
+zlib | (?:zlib|zlib/libpng)
+libpng | libpng
+openssl | openssl
+unlicense | unlicense
+wtfpl | (?:wtfpl|do what the f\w* you want to public licen[cs]e)
+cc0-1.0 | (?:cc0|cc[- ]zero|creative[- ]commons[- ]zero)(?:[- ]1\.0)?(?:[- ]universal)?
+cc-by-1.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]1\.0
+cc-by-2.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]2\.0
+cc-by-2.5 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]2\.5
+cc-by-3.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]3\.0
+cc-by-4.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]4\.0
+cc-by-sa | (?:cc[- ]by[- ]sa|creative[- ]commons[- ]attribution[- ]share[- ]?alike)(?:[- ][1-4]\.[05])?
+cc-by-nd | (?:cc[- ]by[- ]nd|creative[- ]commons[- ]attribution[- ]no[- ]?deriv\w*)(?:[- ][1-4]\.[05])?
+cc-by-nc | (?:cc[- ]by[- ]nc|creative[- ]commons[- ]attribution[- ]non[- ]?commercial)(?:[- ][1-4]\.[05])?
+cc-by-nc-sa | (?:cc[- ]by[- ]nc[- ]sa|creative[- ]commons[- ]attribution[- ]non[- ]?commercial[- ]share[- ]?alike)(?:[- ][1-4]\.[05])?
+cc-by-nc-nd | (?:cc[- ]by[- ]nc[- ]nd|creative[- ]commons[- ]attribution[- ]non[- ]?commercial[- ]no[- ]?deriv\w*)(?:[- ][1-4]\.[05])?
+odbl-1.0 | (?:odbl|open[- ]database[- ]licen[cs]e)(?:[- ]v?1\.0)?
+odc-by | (?:odc[- ]by|open[- ]data[- ]commons[- ]attribution)
+pddl | (?:pddl|public[- ]domain[- ]dedication[- ]and[- ]licen[cs]e)
+ofl-1.1 | (?:ofl|sil[- ]open[- ]font[- ]licen[cs]e)(?:,?[- ](?:v(?:ersion)?\W{0,2})?1\.1)?
+postgresql | postgresql
+psf-2.0 | (?:psf|python[- ]software[- ]foundation)(?:[- ]licen[cs]e)?(?:,?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?)?
+ruby | ruby
+php-3.01 | php[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\W{0,2})?3\.0?1?)?
+w3c | w3c(?:[- ]software)?
+x11 | x11
+ncsa | (?:ncsa|university of illinois)
+vim | vim
+intel | intel[- ]open[- ]source
+ibm-pl | ibm[- ]public[- ]licen[cs]e
+ms-pl | (?:ms[- ]pl|microsoft[- ]public[- ]licen[cs]e)
+ms-rl | (?:ms[- ]rl|microsoft[- ]reciprocal[- ]licen[cs]e)
+osl-3.0 | (?:osl|open[- ]software[- ]licen[cs]e)[- ](?:v(?:ersion)?\W{0,2})?3(?:\.0)?
+afl-3.0 | (?:afl|academic[- ]free[- ]licen[cs]e)[- ](?:v(?:ersion)?\W{0,2})?3(?:\.0)?
+cecill | cecill(?:[- ](?:b|c|v?[12]\.[01]))?
+upl-1.0 | (?:upl|universal[- ]permissive[- ]licen[cs]e)(?:[- ]v?1\.0)?
+blueoak-1.0.0 | blue[- ]?oak(?:[- ]model)?(?:[- ]licen[cs]e)?
+openrail | (?:(?:creativeml|bigscience)[- ])?(?:open[- ]?rail|rail)(?:[- ]?\+{0,2}[ms]?)
+llama-community | llama(?:[- ][234](?:\.\d)?)?[- ]community[- ]licen[cs]e
+polyform-nc | polyform[- ]noncommercial
 """.strip().splitlines()
 
-#: How a name is stated: kind | pattern around {} | confidence | priority.
-_FORMS = {
-    "tag": (r"spdx-license-identifier\s*:\s*(?:{})\b", 1.0, 50),
-    "grant": (r"\b(?:licen[cs]ed|released|distributed|published|available|covered|provided) under (?:the |an? |terms of the |the terms of the )*(?:{})\b(?:[- ](?:(?:public|software) )?licen[cs]e)?", 0.95, 40),
-    "field": (r"\blicen[cs]e\s*[:=]\s*[\"']?(?:{})\b", 0.9, 30),
-    "name": (r"\b(?:{})[- ]licen[cs]e\b", 0.8, 20),
-}
+_GRANTS = ("licensed", "licenced", "released", "distributed", "published", "available", "covered", "provided")
+#: How a name is stated: (pattern around {}, keywords of which one must be in the text, confidence, priority).
+_FORMS = [
+    (r"spdx-license-identifier\s*:\s*(?:{})\b", ("spdx-license-identifier",), 1.0, 50),
+    (rf"\b(?:{'|'.join(_GRANTS)}) under (?:the |an? |terms of the |the terms of the )*(?:{{}})\b(?:[- ](?:(?:public|software) )?licen[cs]e)?", tuple(f"{g} under" for g in _GRANTS), 0.95, 40),
+    (r"\blicen[cs]e\s*[:=]\s*[\"']?(?:{})\b", ("license", "licence"), 0.9, 30),
+    (r"\b(?:{})[- ]licen[cs]e\b", ("license", "licence"), 0.8, 20),
+]
 
 #: Statements that name no license of the families: label | pattern | keywords | confidence | priority.
 _OTHERS = [
@@ -162,9 +163,8 @@ def rules() -> list[Rule]:
     """All rules: every family in every form, and the statements; several hundred."""
     out = list(_OTHERS)
     for line in _FAMILIES:
-        label, names, keywords = (x.strip() for x in re.split(r"\s\|\s", line))
-        gates = tuple(k.strip() for k in keywords.split(","))
-        out += [Rule(label, form.format(names.replace("\\\\", "\\")), gates, c, p) for form, c, p in _FORMS.values()]
+        label, names = (x.strip() for x in line.split(" | "))
+        out += [Rule(label, form.format(names), gates, c, p) for form, gates, c, p in _FORMS]
     return out
 
 
