@@ -48,19 +48,29 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, _TYPES[t]) for n, t in (part.split() for part in ddl.split(", "))])
 
 
+#: Arrow batches are handed to functions in parts of about this many bytes.
+PART_BYTES = 4 << 20
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about PART_BYTES, so that what is made of them stays small too."""
+    step = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], ddl: str) -> DataFrame:
-    """Applies a function from columns to columns to every Arrow batch.
+    """Applies a function from columns to columns to every part of every Arrow batch.
 
     make() runs once in each task and returns the function, so that what it
-    prepares is not pickled. Batches hold at most
-    spark.sql.execution.arrow.maxBytesPerBatch, so memory is bounded.
+    prepares is not pickled. Batches are taken in parts, so memory is bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, one = arrow_schema(ddl), make()
         for batch in batches:
-            if batch.num_rows:
-                out = one({n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)})
+            for part in parts(batch):
+                out = one({n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return df.mapInArrow(run, ddl)

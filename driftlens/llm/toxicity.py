@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import map_rows, table, texts, written
+from driftlens.llm.common import map_rows, parts, table, texts, written
 from driftlens.llm.wordhash import grouped, prefix_hashes, word_table
 
 SAMPLE, FEATURES, LEAST, THRESHOLD = 20_000, 3000, 5, 0.3
@@ -246,9 +246,9 @@ def drop_toxic(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            if batch.num_rows:
-                texts_ = [t or "" for t in batch.column("text").to_pylist()]
-                yield batch.filter(pa.array(model.scores(texts_) < THRESHOLD))
+            for part in parts(batch):
+                scores = model.scores([t or "" for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array(scores < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
