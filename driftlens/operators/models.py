@@ -273,8 +273,9 @@ class PiecewiseAutoregression:
         self.classifier = classifier or LogisticRegression(maxIter=50, family="multinomial", featuresCol="predictors", labelCol="cluster", predictionCol="region")
 
     def design(self, df: DataFrame) -> DataFrame:
-        """df with z: lags 1 to p of x, then 1 to s of u; rows before them are dropped."""
-        rows = lagged(df, "x", range(1, self.p + 1))
+        """(series_id, t, x, u, z); z has lags 1 to p of x, then 1 to s of u; rows before them are dropped."""
+        rows = df.select("series_id", "t", "x", *(["u"] if self.s else []))
+        rows = lagged(rows, "x", range(1, self.p + 1))
         rows = lagged(rows, "u", range(1, self.s + 1)) if self.s else rows
         names = [f"x_lag{k}" for k in range(1, self.p + 1)] + [f"u_lag{k}" for k in range(1, self.s + 1)]
         there = F.lit(True)
