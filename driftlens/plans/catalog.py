@@ -1,4 +1,4 @@
-"""Registry of the queries of the reference's operators and their SQL.
+"""Registry of the model queries and their SQL.
 
 Each query applies an operator to whole tables. Where an operator needs weights
 gamma or states, all engines take the same ones: gamma(t, i) is
