@@ -10,6 +10,7 @@ rounded, since engines add floats in different orders.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from driftlens.functions import vec
 from driftlens.operators import core, markov, models, moments, seeding, tvlp
 from driftlens.sources import frames
+from driftlens.sources.store import workers_know
 
 K, LAGS, ORDER = 4, [1, 3], np.array([0.6, 0.4])
 EPSILON_STATES, EPSILON_WEIGHTS = 0.5, 2.0
@@ -29,7 +31,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            workers_know(spark)
+            return f(spark, d)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = _expand(sql)
         return f

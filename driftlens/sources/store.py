@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def workers_know(spark: SparkSession) -> None:
+    """Python workers started from now on find this package where the driver found it, if that folder is there."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
 
 
 def written(df: DataFrame) -> DataFrame:
