@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlens.sources.store import workers_know
+
 _TYPES = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
     "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()),
@@ -73,9 +75,11 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
                 out = one({n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
+    workers_know(df.sparkSession)
     return df.mapInArrow(run, ddl)
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text of documents; null texts become empty, other columns are dropped."""
+    workers_know(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
