@@ -36,7 +36,7 @@ from driftlens.llm.common import map_rows, table, texts
 from driftlens.llm.pretokens import pieces
 from driftlens.llm.wordhash import grouped
 
-WHOLE, LONG, MEMO = 24, 256, 400_000
+WHOLE, LONG, MEMO = 24, 256, 300_000
 _SQL = """
 WITH RECURSIVE merging AS (
   SELECT word, pos, id, pos + 1 AS next, 0 AS round FROM fresh
