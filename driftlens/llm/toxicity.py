@@ -146,7 +146,9 @@ class Classifier:
     constant: float | None
 
     def scores(self, batch: list[str]) -> np.ndarray:
-        out = np.full(len(batch), self.constant if self.constant is not None else -np.inf)
+        if self.constant is None:
+            return np.zeros(len(batch))
+        out = np.full(len(batch), self.constant)
         raw = [t.encode().lower() for t in batch]
         for part in grouped(raw) if len(self.keys) else ():
             text, kind, slot = slots(raw[part.start : part.stop])
