@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftlens.llm.common import arrow_schema, map_rows, shared_dir, table, texts
-from driftlens.llm.pretokens import pieces
+from driftlens.llm.pretokens import is_word, pieces
 
 END, MAGIC, NO_ID = 0, b"DLIDS1\n\0", -(1 << 63)
 SAMPLE, SAMPLE_IDS, DICTIONARY, LEVEL = 2000, 4096, 112_640, 3
@@ -65,11 +65,14 @@ class _Tokens(dict):
         super().__init__()
         self.model, self.letters = model, _byte_letters()
 
+    def encode(self, word: str) -> bytes:
+        spelled = word.encode().decode("latin-1").translate(self.letters)
+        return array("H", self.model.encode(spelled, add_special_tokens=False).ids).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        spelled = word.encode().decode("latin-1").translate(self.letters)
-        ids = self[word] = array("H", self.model.encode(spelled, add_special_tokens=False).ids).tobytes()
+        ids = self[word] = self.encode(word)
         return ids
 
 
@@ -83,8 +86,9 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        ids = self[piece] = b"".join(map(self.tokens.__getitem__, self.pattern.findall(piece)))
-        return ids
+        known = self.tokens.encode(piece) if is_word(piece) else b"".join(map(self.tokens.__getitem__, self.pattern.findall(piece)))
+        self[piece] = known
+        return known
 
 
 class Encoder:

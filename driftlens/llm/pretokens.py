@@ -20,6 +20,12 @@ def is_plain(text: str) -> bool:
     return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or any(c in text for c in _OTHER))
 
 
+def is_word(piece: str) -> bool:
+    """Whether the piece is a space, or none, and Latin letters: one pre-token, without asking the pattern."""
+    body = piece[1:] if piece[:1] == " " else piece
+    return body.isalpha() and max(body) < "\u0250"
+
+
 def pieces(text: str, pattern: regex.Pattern) -> list[str]:
     """Strings that make up the text and split on their own as they do in it."""
     if not is_plain(text):
