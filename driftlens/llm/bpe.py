@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm.common import map_rows, table, texts
-from driftlens.llm.pretokens import pieces
+from driftlens.llm.pretokens import is_word, pieces
 from driftlens.llm.wordhash import grouped
 
 WHOLE, LONG, MEMO = 24, 256, 300_000
@@ -154,13 +154,16 @@ class Codec:
             parts = [done[pieces[p]] for p in own]
             self.memo[word] = (b"".join(a for a, _ in parts), b"".join(b for _, b in parts))
 
+    def split(self, piece: str) -> list[str]:
+        return [piece] if is_word(piece) else self.pattern.findall(piece)
+
     def encode(self, batch: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, bytes decoded from them) of each text."""
         split = [pieces(t, self.pattern) for t in batch]
-        fresh = {p: self.pattern.findall(p) for p in set(chain.from_iterable(split)) - self.known.keys()}
+        fresh = {p: self.split(p) for p in set(chain.from_iterable(split)) - self.known.keys()}
         if len(self.known) + len(fresh) > MEMO:
             self.known.clear()
-            fresh = {p: self.pattern.findall(p) for p in set(chain.from_iterable(split))}
+            fresh = {p: self.split(p) for p in set(chain.from_iterable(split))}
         words = set(chain.from_iterable(fresh.values())) - self.memo.keys()
         if len(self.memo) + len(words) > MEMO:
             self.memo.clear()
