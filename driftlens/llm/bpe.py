@@ -32,7 +32,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm.common import map_rows, table, texts
+from driftlens.llm.common import map_rows, memory, table, texts
 from driftlens.llm.pretokens import is_word, pieces
 from driftlens.llm.wordhash import grouped
 
@@ -180,7 +180,7 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = memory(__name__)
 
 
 def codec(path: str) -> Codec:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,6 +51,24 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, _TYPES[t]) for n, t in (part.split() for part in ddl.split(", "))])
 
 
+#: What operators remember in a worker, by module. A task of another module drops it.
+_memories: dict[str, dict] = {}
+
+
+def memory(module: str) -> dict:
+    """The worker's memory of a module."""
+    return _memories.setdefault(module, {})
+
+
+def forget_others(module: str) -> None:
+    """Workers live on between stages: what an earlier operator remembered is dropped before another one starts."""
+    others = [m for name, m in _memories.items() if name != module and m]
+    for m in others:
+        m.clear()
+    if others:
+        gc.collect()
+
+
 #: Arrow batches are handed to functions in parts of about this many bytes.
 PART_BYTES = 4 << 20
 
@@ -69,6 +88,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(make.__module__)
         schema, one = arrow_schema(ddl), make()
         for batch in batches:
             for part in parts(batch):

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftlens.llm.common import arrow_schema, map_rows, shared_dir, table, texts
+from driftlens.llm.common import arrow_schema, map_rows, memory, shared_dir, table, texts
 from driftlens.llm.pretokens import is_word, pieces
 
 END, MAGIC, NO_ID = 0, b"DLIDS1\n\0", -(1 << 63)
@@ -104,7 +104,7 @@ class Encoder:
         return [b"".join(map(ids, pieces(t, pattern))) + end for t in batch]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = memory(__name__)
 
 
 def encoder(path: str) -> Encoder:
