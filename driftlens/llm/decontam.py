@@ -6,13 +6,18 @@ down. Words are runs of letters and digits, A-Z lower-cased, so case, spacing
 and punctuation do not hide a passage.
 
 Windows of the size of the shortest item (at most WINDOW words) start at every
-STEP-th word of a document and at every word of an item, so every occurrence
-holds several aligned windows. The CGK random walk embeds a window: in each
-step it puts out the word under its pointer and moves on or stays by a random
-bit of (step, word), which maps edit distance to Hamming distance. Each of
-REPEATS independent walks is sampled at KEYS of its steps; equal samples are
-candidates (document, item, offset). Each is confirmed by the exact edit
-distance of the item to the best run of words around the offset.
+STEP-th word of a document and at every word of an item. The CGK random walk
+embeds a window: in each step it puts out the word under its pointer and moves
+on or stays by a random bit of (step, word), which maps edit distance to Hamming
+distance. Each of REPEATS independent walks is sampled at KEYS of its steps;
+equal samples are candidates (document, item, offset). A short item holds few
+aligned windows, so walks alone miss some of its occurrences.
+
+Pieces miss none: an item that may have d edits is cut into d + 1 runs of words,
+of which d edits leave one whole (3 or 4 words of each are compared). Their
+hashes are looked up at every word of a document and give candidates too. Each
+candidate is confirmed by the exact edit distance of the item to the best run
+of words around the offset.
 
 Items are a stated query set: their windows are broadcast in blocks of at most
 BLOCK items, one pass over the documents for each.
@@ -33,12 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import map_rows, table, texts
-from driftlens.llm.wordhash import grouped, hashed_words, word_table
+from driftlens.llm.wordhash import grouped, hashed_words, mix, word_table
 
 TOLERANCE, WINDOW, STEP, MIN_WORDS, BLOCK = 0.2, 12, 4, 6, 2000
 WALKS, REPEATS, KEYS, REACH = 4, 8, 5, 0.8
 BATCH = 1 << 16
 _ALNUM = word_table("alnum")
+_PIECE = np.random.default_rng(13).integers(1, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = 3 * WINDOW
 _RANDOM = np.random.default_rng(11)
 _BITS = _RANDOM.integers(1, 1 << 30, (WALKS, _STEPS), np.int32) * np.int32(2) + np.int32(1)
@@ -81,6 +87,19 @@ def buckets(symbols: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def runs(tokens: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the width words from each place on."""
+    total = np.zeros(max(0, len(tokens) - width + 1), np.uint64)
+    for k in range(width):
+        total += tokens[k : k + len(total)] * _PIECE[k]
+    return mix(total)
+
+
+def pieces(length: int, allowed: int) -> tuple[int, np.ndarray]:
+    """(words compared, starts) of allowed + 1 parts of an item, of which so many edits leave one whole."""
+    return length // (allowed + 1), np.arange(allowed + 1) * length // (allowed + 1)
+
+
 def edit_distance(item: np.ndarray, run: np.ndarray) -> tuple[int, int]:
     """(fewest edits from the item to any part of run, end of the first such part)."""
     ramp = np.arange(len(run) + 1)
@@ -116,6 +135,36 @@ class Items:
             for r in range(REPEATS):
                 seen[r, keys[r] & 0xFFFFF] = True
             self.tables.append((width, step, seen, keys, owner[order], np.concatenate(starts)[order]))
+        by_width: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = {}
+        for k, (_, w) in enumerate(items):
+            if len(w) >= MIN_WORDS:  # smaller ones are matched exactly, and equal windows have equal walks
+                width, starts = pieces(len(w), self.allowed[k])
+                by_width.setdefault(width, []).append((runs(w, width)[starts], k, starts))
+        self.pieces = []
+        for width, found in sorted(by_width.items()):
+            keys = np.concatenate([x for x, _, _ in found])
+            owner, offset = np.repeat([k for _, k, _ in found], [len(x) for x, _, _ in found]), np.concatenate([x for _, _, x in found])
+            order, seen = np.argsort(keys), np.zeros(1 << 20, bool)
+            seen[keys & np.uint64(0xFFFFF)] = True
+            self.pieces.append((width, seen, keys[order], owner[order], offset[order]))
+
+    def by_pieces(self, tokens: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
+        """Candidates that share a piece; none with few enough edits is missed."""
+        out: set[tuple[int, int, int]] = set()
+        for width, seen, keys, owner, offset in self.pieces:
+            for base in range(0, len(tokens), BATCH):  # memory stays bounded in long texts
+                found = runs(tokens[base : base + BATCH + width - 1], width)
+                maybe = np.flatnonzero(seen.take((found & np.uint64(0xFFFFF)).astype(np.intp)))
+                low, high = np.searchsorted(keys, found[maybe], "left"), np.searchsorted(keys, found[maybe], "right")
+                there = low < high
+                at, low, n = maybe[there] + base, low[there], (high - low)[there]
+                row = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at = np.repeat(at, n)
+                text = np.searchsorted(bounds, at, "right") - 1
+                inside = at + width <= bounds[text + 1]
+                row, at, text = row[inside], at[inside], text[inside]
+                out.update(zip(text.tolist(), owner[row].tolist(), (at - offset[row] - bounds[text]).tolist(), strict=True))
+        return out
 
     def candidates(self, tokens: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, where it would start in that text); text k has tokens bounds[k] to bounds[k + 1]."""
@@ -137,10 +186,15 @@ class Items:
     def matches(self, tokens: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item's number, edits, first word, end) of the best confirmed place of each item in each text, in order."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for text, k, start in sorted(self.candidates(tokens, bounds)):
+        places: list[tuple[int, int, int, int]] = []  # those that overlap are one
+        for text, k, start in sorted(self.candidates(tokens, bounds) | self.by_pieces(tokens, bounds)):
+            low, high = max(0, start - self.allowed[k]), max(0, start + len(self.items[k][1]) + self.allowed[k])
+            if places and places[-1][:2] == (text, k) and low < places[-1][3]:
+                low = places.pop()[2]
+            places.append((text, k, low, high))
+        for text, k, low, high in places:
             item, allowed, own = self.items[k][1], self.allowed[k], tokens[bounds[text] : bounds[text + 1]]
-            low = max(0, start - allowed)
-            run = own[low : max(0, start + len(item) + allowed)]
+            run = own[low:high]
             if np.count_nonzero(np.isin(item, run)) < len(item) - allowed:  # each word that is not there is an edit
                 continue
             edits, end = edit_distance(item, run)

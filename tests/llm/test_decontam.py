@@ -72,3 +72,19 @@ def test_edit_distance():
     for _ in range(100):
         a, b = rng.integers(0, 4, rng.integers(1, 12)), rng.integers(0, 4, rng.integers(0, 15))
         assert D.edit_distance(a, b)[0] == distance(a.tolist(), b.tolist())
+
+
+def test_no_length_misses_an_item_at_its_most_edits():
+    rng = random.Random(3)
+    items = [[f"v{rng.randrange(3000)}" for _ in range(n)] for n in (6, 7, 9, 10, 14, 15, 16, 20, 24, 59) for _ in range(4)]
+    known = D.Items([(i, D.words(" ".join(w))) for i, w in enumerate(items)])
+    for _ in range(15):
+        texts, want = [], []
+        for i, w in enumerate(items):
+            around = [f"u{rng.randrange(3000)}" for _ in range(40)]
+            at = rng.randrange(41)
+            texts.append(" ".join([*around[:at], *changed(rng, w, int(D.TOLERANCE * len(w))), *around[at:]]))
+            want.append(distance([x.encode() for x in w], words(texts[-1])))
+        tokens = [D.words(t) for t in texts]
+        got = known.matches(np.concatenate(tokens), np.cumsum([0, *map(len, tokens)]))
+        assert [(t, k, e) for t, k, e, _, _ in got] == [(i, i, e) for i, e in enumerate(want)]
