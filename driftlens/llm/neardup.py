@@ -16,8 +16,11 @@ Work that grows with the square of a bucket is avoided without a cap:
    each of BITS hash values, flipped by every element) differ in few enough
    bits: each differing bit is an element of one set only, so no link is lost.
    Where a bucket has very many pairs left, it is divided by the node's other
-   bands, again and again; what no division makes small is compared in full.
-Then the pairs that go on are verified and components are taken once more.
+   bands, again and again, which links most of its nodes at little cost.
+4. Pairs that go on are verified and components are taken once more. Of the
+   buckets that were divided, all pairs of nodes still in different components
+   are then tried, block against block in tasks of bounded size, and verified:
+   a division alone loses no pair.
 
 Defined cases: documents without words (or null texts) have empty sets, are
 linked with nothing and kept; rows with one id are one document; rows with null
@@ -42,8 +45,8 @@ from driftlens.llm.wordhash import grouped, hashed_words, mix, word_table
 WORDS, PERCENT = 5, 75
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: A bucket with more pairs than these between components is divided by SPLITS other bands, DEPTH times at most.
-PAIRS, SPLITS, DEPTH = 1 << 20, 8, 4
+#: A bucket with more pairs than these between components is divided by SPLITS other bands, DEPTH - 1 times at most; then blocks of BLOCK nodes are compared.
+PAIRS, SPLITS, DEPTH, BLOCK = 1 << 20, 8, 4, 1024
 #: Bits of parity bitmaps (for pairs), and of the map of ids whose sets are wanted.
 BITS, WANTED = 1024, 1 << 23
 _NONSPACE = word_table("nonspace")  # words end at space and 0x09 to 0x0D
@@ -155,27 +158,61 @@ def _close(x: str, y: str, n: str, m: str) -> F.Column:
     return (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col(n) + F.col(m))
 
 
-def _left_over(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket, are in different components so far and can be linked; rows(key, band, id, n) are the buckets of several nodes."""
+def _open(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """rows(key, band, id, n) of the buckets that have pairs between components, with component, bits, bands and twice the number of such pairs."""
     rows = rows.join(found, "id", "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("component"))
-    pairs = None
+    by = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    open_ = by.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice")).where("twice > 0")
+    return written(rows.join(open_, "key").join(nodes.select("id", "bits", "bands"), "id"), "open")
+
+
+def _pairs(a: DataFrame, b: DataFrame, met: Callable[[DataFrame, DataFrame], F.Column]) -> DataFrame:
+    """(a, b) of rows that meet, are in different components so far and can be linked."""
+    a, b = (x.select(*[F.col(c).alias(f"{c}_{side}") for c in x.columns]) for x, side in ((a, "a"), (b, "b")))
+    apart = F.col("component_a") != F.col("component_b")
+    made = a.join(b, met(a, b) & apart & _near("n_a", "n_b") & _close("bits_a", "bits_b", "n_a", "n_b"))
+    return made.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
+def _left_over(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows(key, band, id, n), the buckets of several nodes: all pairs left in small buckets and in divisions that are small; and the rows of the buckets that were divided, whose other pairs are still to be tried."""
+    pairs = hot = None
     for depth in range(DEPTH):
-        by = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-        open_ = by.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice")).where("twice > 0")
-        rows = written(rows.join(open_, "key").join(nodes.select("id", "bits", "bands"), "id"), "open")
-        small = rows if depth == DEPTH - 1 else rows.where(F.col("twice") <= 2 * PAIRS)
-        a, b = (small.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component", "bits")]) for side in "ab")
-        apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-        made = a.join(b, (a["key"] == b["key"]) & apart & _near("n_a", "n_b") & _close("bits_a", "bits_b", "n_a", "n_b"))
-        made = made.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        rows = _open(rows, nodes, found)
+        small = rows.where(F.col("twice") <= 2 * PAIRS).select("key", "id", "n", "component", "bits")
+        made = _pairs(small, small, lambda a, b: (a["key_a"] == b["key_b"]) & (a["id_a"] < b["id_b"]))
         pairs = made if pairs is None else pairs.union(made)
         rows = rows.where(F.col("twice") > 2 * PAIRS)
+        hot = rows.select("key", "band", "id", "n") if hot is None else hot
         if depth == DEPTH - 1 or rows.isEmpty():
             break
         rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(SPLITS))))
         other = (F.col("band") + F.col("step")) % BANDS
-        rows = rows.select(F.xxhash64("key", "step", F.get("bands", other)).alias("key"), other.alias("band"), "id", "n", "component")
-    return written(pairs.distinct(), "pairs")
+        rows = rows.select(F.xxhash64("key", "step", F.get("bands", other)).alias("key"), other.alias("band"), "id", "n")
+    return written(pairs.distinct(), "pairs"), hot
+
+
+def _in_full(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """All pairs left in the buckets of rows(key, band, id, n). A bucket's nodes are dealt to blocks of about BLOCK; each two blocks meet under a key of their own."""
+    rows = _open(rows, nodes, found)
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "key").select("key", "id", "n", "component", "bits", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    low = rows.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).drop("blocks")
+    high = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).drop("blocks")
+
+    def met(a: DataFrame, b: DataFrame) -> F.Column:
+        once = (a["block_a"] < b["block_b"]) | (a["id_a"] < b["id_b"])
+        return (a["key_a"] == b["key_b"]) & (a["block_a"] == b["other_b"]) & (a["other_a"] == b["block_b"]) & once
+
+    return written(_pairs(low, high, met).distinct(), "pairs")
+
+
+def _linked(found: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The components with the links among pairs."""
+    more = written(_verified(pairs, docs), "links")
+    if more.isEmpty():
+        return found
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -189,10 +226,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(rows.join(buckets, "key"), "buckets")
     star = rows.where((F.col("id") != F.col("first.id")) & _near("n", "first.n")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
     found = components(_verified(written(star.distinct(), "pairs"), docs))
-    rest = _left_over(rows.select("key", "band", "id", "n"), nodes, found)
-    more = written(_verified(rest, docs), "links")
-    if not more.isEmpty():
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    rest, hot = _left_over(rows.select("key", "band", "id", "n"), nodes, found)
+    found = _linked(found, rest, docs)
+    if not hot.isEmpty():
+        found = _linked(found, _in_full(hot, nodes, found), docs)
     # the same id may stand for several sets; its component is then common to them
     by_set = nodes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = marked.join(by_set, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))

@@ -57,6 +57,27 @@ def test_divided_buckets_lose_nothing(spark, monkeypatch):
     assert {tuple(r) for r in N.near_duplicates(frame(spark, rows)).collect()} == brute(rows)
 
 
+def test_pairs_of_divided_buckets_that_agree_in_no_other_band(spark, monkeypatch):
+    monkeypatch.setattr(N, "PAIRS", 4)
+    monkeypatch.setattr(N, "BLOCK", 3)
+    ids = range(1, 13)
+    nodes = spark.createDataFrame([(i, 10, [7] + [100 * i + k for k in range(1, N.BANDS)], [0] * (N.BITS // 64)) for i in ids], "id long, n int, bands array<long>, bits array<long>")
+    rows = spark.createDataFrame([(7, 0, i, 10) for i in ids], "key long, band int, id long, n int")
+    found = spark.createDataFrame([(1, 1), (2, 1)], "id long, component long")
+    divided, hot = N._left_over(rows, nodes, found)
+    got = [tuple(r) for r in divided.union(N._in_full(hot, nodes, found)).collect()]
+    want = {(a, b) for a in ids for b in ids if a < b} - {(1, 2)}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "PAIRS", 0)
+    monkeypatch.setattr(N, "DEPTH", 1)  # no division: every bucket with open pairs goes to the blocks
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rows = fixture()
+    assert {tuple(r) for r in N.near_duplicates(frame(spark, rows)).collect()} == brute(rows)
+
+
 def test_parity_never_counts_more_than_differs():
     rng = random.Random(1)
     for _ in range(50):
