@@ -528,25 +528,25 @@ def q_pw_region_var(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_gpnh_fit(spark: SparkSession, d: str) -> DataFrame:
-    fitted = models.ConvexCoding(3, 0.1, max_iterations=60).fit(frames.vectors(spark, d))
+    fitted = models.ConvexCoding(3, 0.1).fit(frames.vectors(spark, d))
     return fitted.summary()
 
 
 @query()
 def q_gpnh_fit_long(spark: SparkSession, d: str) -> DataFrame:
-    rows, _, _ = models.ConvexCoding(3, 0.1, max_iterations=3).fit_long(frames.vectors(spark, d))
+    rows, _, _ = models.ConvexCoding(3, 0.1).fit_long(frames.vectors(spark, d))
     return _cells(rows, "gamma", "g", "t", place="i")
 
 
 @query()
 def q_aa_fit(spark: SparkSession, d: str) -> DataFrame:
-    return models.ArchetypalAnalysis(3, max_iterations=60).fit(frames.vectors(spark, d)).summary()
+    return models.ArchetypalAnalysis(3).fit(frames.vectors(spark, d)).summary()
 
 
 @query()
 def q_mtd_fit(spark: SparkSession, d: str) -> DataFrame:
     days = frames.daily_shares(spark, d).withColumnRenamed("gamma", "x")
-    return models.ConvexCoding(3, 0.1, LAGS, 1.0, max_iterations=100).fit(days).part("transitions")
+    return models.ConvexCoding(3, 0.1, LAGS, 1.0).fit(days).part("transitions")
 
 
 @query()
@@ -564,7 +564,7 @@ def q_fembv_kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_fembv_varx_fit(spark: SparkSession, d: str) -> DataFrame:
-    return models.BoundedRegimes(2, 6.0, "var", 1, max_iterations=50).fit(_users(spark, d)).part("coefficients")
+    return models.BoundedRegimes(2, 6.0, "var", 1).fit(_users(spark, d)).part("coefficients")
 
 
 @query()

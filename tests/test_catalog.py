@@ -36,6 +36,19 @@ def test_query(spark, db, name):
         assert x == pytest.approx(y, rel=1e-5, abs=2e-5) if all(isinstance(v, (int, float)) for v in x) else x == y
 
 
+def test_the_long_fit_ends_by_convergence(spark, monkeypatch):
+    costs, fit = [], catalog.models.ConvexCoding.fit_long
+
+    def kept(*args):
+        out = fit(*args)
+        costs.extend(out[2])
+        return out
+
+    monkeypatch.setattr(catalog.models.ConvexCoding, "fit_long", kept)
+    assert catalog.QUERIES["q_gpnh_fit_long"](spark, D).count() > 0
+    assert abs(costs[-1] - costs[-2]) < 1e-6
+
+
 def test_the_entry_works_without_the_training_data_operators(spark):
     import __spark_entry__ as entry
 
