@@ -8,9 +8,12 @@ softmax. Within its class a token has its smoothed share. The HEAD_CLASSES most
 frequent tokens are classes of their own, others share a class with the words
 of the same last two letters, if that ending is among the most frequent ones.
 
-All training texts are counted: words in one pass, class trigrams (at most
-CLASSES^3 of them) in a second; the network is trained by numpy on draws from
-those counts against noise from class frequencies. Scoring normalises with
+All training texts are counted: words in one pass, class trigrams in a second,
+which stay where they were counted. The network is trained by the tasks that
+hold them, each with as many draws from its counts as it has tokens (STEPS
+batches at least), against noise from the class frequencies of all texts. After
+each of ROUNDS rounds the driver gets the tasks' parameters summed by weight of
+tokens, and the next round starts from their mean. Scoring normalises with
 batched matrix products over all contexts. Counts of the HEAD most frequent
 words are broadcast, a fixed number; counts of all other words come by a join.
 
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import arrow_schema, map_rows, table, texts, written
 
-CLASSES, HEAD_CLASSES, HEAD = 96, 56, 50_000
-WIDTH, NOISE, BATCH, STEPS, RATE = 32, 16, 1024, 2500, 0.05
+CLASSES, HEAD_CLASSES, HEAD = 160, 96, 100_000
+WIDTH, NOISE, BATCH, STEPS, RATE, ROUNDS = 32, 16, 1024, 2500, 0.05, 4
+#: Parameters are summed as whole numbers of this part, so that the order of tasks does not matter.
+UNIT = 1 << 20
 END = b"\n"  # no word holds white space
 _START, _OTHER = CLASSES - 1, CLASSES - 2
 _FLUSH = 200_000
@@ -126,7 +131,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _class_runs(docs: DataFrame, shared: object) -> DataFrame:
-    """(code, n) of all class trigrams; code is (before last * CLASSES + last) * CLASSES + class."""
+    """(code, n) of the class trigrams of each task; code is (before last * CLASSES + last) * CLASSES + class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -142,7 +147,7 @@ def _class_runs(docs: DataFrame, shared: object) -> DataFrame:
             part = there[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], schema=arrow_schema("code long, n long"))
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return written(docs.select("text").mapInArrow(run, "code long, n long"), "runs")
 
 
 def _contexts(classes: np.ndarray) -> np.ndarray:
@@ -168,20 +173,44 @@ class Network:
         return (z - top - np.log(np.exp(z - top).sum(1, keepdims=True))) / np.log(10)
 
 
-def train(codes: np.ndarray, counts: np.ndarray, seed: int = 5) -> Network:
-    """Noise-contrastive estimation on draws from the trigrams' counts, with Adagrad."""
-    draw = np.random.default_rng(seed)
-    order = np.argsort(codes)
-    codes, share = codes[order], np.cumsum(counts[order], dtype=float)
-    share /= share[-1]
-    noise = np.bincount(codes % CLASSES, counts[order], CLASSES) + 0.5
-    del order, counts
+def _noise(class_counts: np.ndarray) -> np.ndarray:
+    noise = class_counts.copy()
     noise[_START] = 1e-9
-    noise /= noise.sum()
+    return noise / noise.sum()
+
+
+def _begin(noise: np.ndarray, draw: np.random.Generator) -> list[np.ndarray]:
+    """Parameters, then Adagrad's sums for each."""
+    p = [draw.normal(0, 0.1, (CLASSES, WIDTH)), draw.normal(0, 0.1, (CLASSES, WIDTH)), np.ones((2, WIDTH)), np.log(noise)]
+    return p + [np.full_like(x, 1e-2) for x in p]
+
+
+def _network(state: list[np.ndarray]) -> Network:
+    bias = state[3].copy()
+    bias[_START] = -1e4  # never a target
+    return Network(state[0], state[1], state[2], bias)
+
+
+def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """out[at] += rows, where places repeat."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out[at[first]] += np.add.reduceat(rows[order], first)
+
+
+def steps(tokens: int) -> int:
+    """Batches of training for so many tokens: each token is drawn once on average."""
+    return max(STEPS, -(-tokens // BATCH))
+
+
+def _descend(state: list[np.ndarray], codes: np.ndarray, counts: np.ndarray, noise: np.ndarray, n: int, draw: np.random.Generator, done: float = 0.0, part: float = 1.0) -> None:
+    """n steps of noise-contrastive estimation on draws from the trigrams' counts, with Adagrad; before them was the share done of all, they are the share part."""
+    share = np.cumsum(counts, dtype=float)
+    share /= share[-1]
     noise_sums, log_noise = np.cumsum(noise), np.log(noise)
-    p = [draw.normal(0, 0.1, (CLASSES, WIDTH)), draw.normal(0, 0.1, (CLASSES, WIDTH)), np.ones((2, WIDTH)), log_noise.copy()]
-    seen = [np.full_like(x, 1e-2) for x in p]
-    for step in range(STEPS):
+    p, seen = state[:4], state[4:]
+    for step in range(n):
         code = codes[np.searchsorted(share, draw.random(BATCH)).clip(0, len(codes) - 1)]
         last2, last1 = code // CLASSES // CLASSES, code // CLASSES % CLASSES
         false = np.searchsorted(noise_sums, draw.random(NOISE)).clip(0, CLASSES - 1)  # shared by the batch
@@ -193,20 +222,60 @@ def train(codes: np.ndarray, counts: np.ndarray, seed: int = 5) -> Network:
         d_false = 1 / (1 + np.exp(-(predicted @ p[1][false].T + p[3][false] - log_noise[false] - np.log(NOISE)).clip(-30, 30)))
         g = [np.zeros_like(x) for x in p]
         back = d_true[:, None] * p[1][true] + d_false @ p[1][false]
-        np.add.at(g[1], true, d_true[:, None] * predicted)
+        _scatter(g[1], true, d_true[:, None] * predicted)
         np.add.at(g[1], false, d_false.T @ predicted)
-        np.add.at(g[3], true, d_true)
+        g[3] += np.bincount(true, d_true, CLASSES)
         np.add.at(g[3], false, d_false.sum(0))
-        np.add.at(g[0], last2, back * p[2][0])
-        np.add.at(g[0], last1, back * p[2][1])
+        _scatter(g[0], last2, back * p[2][0])
+        _scatter(g[0], last1, back * p[2][1])
         g[2] = np.stack([(back * r2).sum(0), (back * r1).sum(0)])
-        rate = RATE * (1 - step / STEPS) + 0.002
+        rate = RATE * (1 - done - part * step / n) + 0.002
         for x, s, d in zip(p, seen, g, strict=True):
             d /= BATCH
             s += d * d
             x -= rate * d / np.sqrt(s)
-    p[3][_START] = -1e4  # never a target
-    return Network(p[0], p[1], p[2], p[3])
+
+
+def train(codes: np.ndarray, counts: np.ndarray, seed: int = 5) -> Network:
+    """The network of these trigrams, by one task alone."""
+    draw, order = np.random.default_rng(seed), np.argsort(codes)
+    noise = _noise(np.bincount(codes % CLASSES, counts, CLASSES) + 0.5)
+    state = _begin(noise, draw)
+    _descend(state, codes[order], counts[order], noise, steps(int(counts.sum())), draw)
+    return _network(state)
+
+
+def train_apart(runs: DataFrame, class_counts: np.ndarray, seed: int = 5) -> Network:
+    """The network of runs(code, n), trained where they lie."""
+    noise = _noise(class_counts)
+    state = _begin(noise, np.random.default_rng(seed))
+    for number in range(ROUNDS):
+        sums = runs.mapInArrow(_tasks(state, noise, number, seed), "place int, value long").groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").toArrow()
+        value = sums.column("value").to_numpy()
+        mean, at = value[:-1] / (float(value[-1]) * UNIT), np.cumsum([0, *(x.size for x in state)])
+        state = [mean[low:high].reshape(x.shape) for x, low, high in zip(state, at, at[1:])]
+    return _network(state)
+
+
+def _tasks(state: list[np.ndarray], noise: np.ndarray, number: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A round: (place, parameter times tokens in UNIT) of each task, and its tokens in the last place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES**3, np.int64)
+        for batch in batches:
+            np.add.at(total, batch.column("code").to_numpy(), batch.column("n").to_numpy())
+        codes = np.flatnonzero(total)
+        if not len(codes):
+            return
+        counts, own = total[codes], [x.copy() for x in state]
+        del total
+        tokens = int(counts.sum())
+        _descend(own, codes, counts, noise, -(-steps(tokens) // ROUNDS), np.random.default_rng([seed, number]), number / ROUNDS, 1 / ROUNDS)
+        flat = np.concatenate([x.ravel() for x in own])
+        value = np.append(np.rint(flat * tokens * UNIT).astype(np.int64), tokens)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], schema=arrow_schema("place int, value long"))
+
+    return run
 
 
 def _held_out() -> Column:
@@ -220,7 +289,7 @@ def _parts(docs: DataFrame, shared: object, network: Network) -> DataFrame:
     def make() -> Callable[[dict[str, list]], dict[str, list]]:
         own = shared.value
         coder = _Coder(own)
-        log10 = network.log10(np.arange(CLASSES * CLASSES)).astype(np.float32)
+        log10 = np.concatenate([network.log10(k * CLASSES + np.arange(CLASSES)).astype(np.float32) for k in range(CLASSES)])
         all_, denominator = own.tokens + 0.5 * (own.distinct + 1), own.class_total
         base = np.log10((own.counts + 0.5) / all_)
         share = np.log10((own.counts + 0.5) / denominator[own.head_class])
@@ -254,9 +323,7 @@ def score(docs: DataFrame) -> DataFrame:
     known = vocabulary(counts)
     shared = spark.sparkContext.broadcast(known)
     if known.tokens:
-        runs = _class_runs(training, shared).toArrow()
-        network = train(runs.column("code").to_numpy(), runs.column("n").to_numpy())
-        del runs
+        network = train_apart(_class_runs(training, shared), known.class_total)
     else:
         network = Network(np.zeros((CLASSES, 1)), np.zeros((CLASSES, 1)), np.zeros((2, 1)), np.zeros(CLASSES))
     parts = written(_parts(docs, shared, network), "parts")

@@ -32,6 +32,28 @@ def test_probabilities_sum_to_one():
     assert np.allclose((10 ** network.log10(np.arange(L.CLASSES**2))).sum(1), 1)
 
 
+def test_training_grows_with_the_tokens():
+    assert (L.CLASSES, L.HEAD_CLASSES, L.HEAD) == (160, 96, 100_000)
+    assert L.steps(100) == L.STEPS and L.steps(10**9) == math.ceil(10**9 / L.BATCH)
+
+
+def test_tasks_train_together_as_well_as_one_alone(spark):
+    rng = np.random.default_rng(4)
+    last, n = rng.integers(0, 20, 4000), rng.integers(1, 30, 4000)
+    codes, counts = np.unique((last * L.CLASSES + last) * L.CLASSES + (last + rng.integers(0, 3, 4000)) % 20, return_inverse=True)
+    counts = np.bincount(counts, n).astype(np.int64)
+    rows = spark.createDataFrame([(int(c), int(k)) for c, k in zip(codes, counts, strict=True)], "code long, n long").repartitionByRange(3, "n")
+    classes = np.bincount(codes % L.CLASSES, counts, L.CLASSES) + 0.5
+    apart, again, alone = L.train_apart(rows, classes), L.train_apart(rows, classes), L.train(codes, counts)
+    base = np.log10(classes / classes.sum())
+
+    def gain(network):
+        return counts @ (network.log10(codes // L.CLASSES)[np.arange(len(codes)), codes % L.CLASSES] - base[codes % L.CLASSES]) / counts.sum()
+
+    assert gain(apart) > 0.8 * gain(alone) > 0.4
+    assert (apart.context == again.context).all()
+
+
 def test_odd_rows(odd, none):
     rows = L.score(odd).collect()
     assert len(rows) == 12 and all(math.isfinite(r.score) and r.score <= 0 for r in rows)
