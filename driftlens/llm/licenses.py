@@ -1,11 +1,13 @@
 """License scans by ordered signature rules.
 
 A rule is a hand-written pattern with a label, a confidence, a priority and the
-keywords without one of which it cannot match. One automaton finds all keywords
-of a text; only the rules that they gate are tried. Detections are places in
-the text. Taken from the highest priority down (then longest, then leftmost),
-a detection is suppressed if it lies within one already taken; so "gnu lesser
-general public license" is not also a detection of the plain one by a rule.
+keywords without one of which it cannot match (license_rules). One automaton
+finds all keywords of a text; only the rules that they gate are tried, and only
+around them. Time grows in proportion to the text, whatever it says (with the
+logarithm of the detections). Detections are places in the text. Taken from the
+highest priority down (then longest, then leftmost), a detection is suppressed
+if it lies within one already taken; so "gnu lesser general public license" is
+not also a detection of the plain one by a rule.
 
 Beside the rules stand three base phrases, found as consecutive words; their
 labels always stay, whatever the rules suppress.
@@ -17,7 +19,6 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm.common import map_rows, table, texts
+from driftlens.llm.license_rules import FORMS, NAMES, NOTICES, REACH, STATEMENTS
 
 #: Phrases and labels of the base.
 BASE = {b"cc by": "cc-by", b"general public license": "gpl", b"all rights reserved": "reserved"}
@@ -38,174 +40,104 @@ _IS_WORD = np.array([x >= 128 or chr(x).isdigit() or 97 <= x <= 122 for x in ran
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern matches lower-cased UTF-8; priority: higher suppresses lower."""
+    """pattern matches lower-cased UTF-8 around one of keywords, in texts that hold one of forms, if any; priority: higher suppresses lower."""
 
     label: str
     pattern: str
     keywords: tuple[str, ...]
+    forms: tuple[str, ...]
     confidence: float
     priority: int
 
 
-#: label | names as a pattern.
-_FAMILIES = r"""
-mit | mit(?:/x11)?
-mit-0 | mit[- ]0|mit no attribution
-apache-2.0 | apache(?:[- ]software)?(?:[- ]license)?,?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
-apache-1.1 | apache(?:[- ]software)?(?:[- ]license)?,?[- ](?:v(?:ersion)?\W{0,2})?1\.[01]
-bsd-2-clause | (?:bsd[- ]2[- ]clause|simplified[- ]bsd|freebsd)
-bsd-3-clause | (?:bsd[- ]3[- ]clause|new[- ]bsd|revised[- ]bsd|modified[- ]bsd)
-bsd-4-clause | (?:bsd[- ]4[- ]clause|original[- ]bsd)
-0bsd | (?:0bsd|zero[- ]clause[- ]bsd)
-isc | isc
-gpl-1.0 | (?:gnu[- ])?(?:gpl|general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1(?:\.0)?
-gpl-2.0 | (?:gnu[- ])?(?:gpl|general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
-gpl-3.0 | (?:gnu[- ])?(?:gpl|general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?3(?:\.0)?
-lgpl-2.0 | (?:gnu[- ])?(?:lgpl|library[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
-lgpl-2.1 | (?:gnu[- ])?(?:lgpl|lesser[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?2\.1
-lgpl-3.0 | (?:gnu[- ])?(?:lgpl|lesser[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?3(?:\.0)?
-agpl-3.0 | (?:gnu[- ])?(?:agpl|affero[- ]general[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?3(?:\.0)?
-gfdl | (?:gnu[- ])?(?:gfdl|free[- ]documentation[- ]licen[cs]e)(?:,?[- ](?:v(?:ersion)?\W{0,2})?1\.[0-3])?
-mpl-1.1 | (?:mpl|mozilla[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1\.[01]
-mpl-2.0 | (?:mpl|mozilla[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
-epl-1.0 | (?:epl|eclipse[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1(?:\.0)?
-epl-2.0 | (?:epl|eclipse[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
-cddl-1.0 | (?:cddl|common[- ]development[- ]and[- ]distribution[- ]licen[cs]e)(?:,?[- ](?:v(?:ersion)?\W{0,2})?1\.[01])?
-cpl-1.0 | common[- ]public[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\W{0,2})?1(?:\.0)?)?
-eupl-1.1 | (?:eupl|european[- ]union[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1\.1
-eupl-1.2 | (?:eupl|european[- ]union[- ]public[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1\.2
-artistic-1.0 | artistic[- ]licen[cs]e,?[- ](?:v(?:ersion)?\W{0,2})?1(?:\.0)?
-artistic-2.0 | artistic[- ]licen[cs]e,?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?
-bsl-1.0 | boost[- ]software[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\W{0,2})?1(?:\.0)?)?
-busl-1.1 | (?:busl|business[- ]source[- ]licen[cs]e),?[- ](?:v(?:ersion)?\W{0,2})?1\.1
-sspl-1.0 | (?:sspl|server[- ]side[- ]public[- ]licen[cs]e)
-elastic-2.0 | elastic[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?)?
-zlib | (?:zlib|zlib/libpng)
-libpng | libpng
-openssl | openssl
-unlicense | unlicense
-wtfpl | (?:wtfpl|do what the f\w* you want to public licen[cs]e)
-cc0-1.0 | (?:cc0|cc[- ]zero|creative[- ]commons[- ]zero)(?:[- ]1\.0)?(?:[- ]universal)?
-cc-by-1.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]1\.0
-cc-by-2.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]2\.0
-cc-by-2.5 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]2\.5
-cc-by-3.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]3\.0
-cc-by-4.0 | (?:cc[- ]by|creative[- ]commons[- ]attribution)[- ]4\.0
-cc-by-sa | (?:cc[- ]by[- ]sa|creative[- ]commons[- ]attribution[- ]share[- ]?alike)(?:[- ][1-4]\.[05])?
-cc-by-nd | (?:cc[- ]by[- ]nd|creative[- ]commons[- ]attribution[- ]no[- ]?deriv\w*)(?:[- ][1-4]\.[05])?
-cc-by-nc | (?:cc[- ]by[- ]nc|creative[- ]commons[- ]attribution[- ]non[- ]?commercial)(?:[- ][1-4]\.[05])?
-cc-by-nc-sa | (?:cc[- ]by[- ]nc[- ]sa|creative[- ]commons[- ]attribution[- ]non[- ]?commercial[- ]share[- ]?alike)(?:[- ][1-4]\.[05])?
-cc-by-nc-nd | (?:cc[- ]by[- ]nc[- ]nd|creative[- ]commons[- ]attribution[- ]non[- ]?commercial[- ]no[- ]?deriv\w*)(?:[- ][1-4]\.[05])?
-odbl-1.0 | (?:odbl|open[- ]database[- ]licen[cs]e)(?:[- ]v?1\.0)?
-odc-by | (?:odc[- ]by|open[- ]data[- ]commons[- ]attribution)
-pddl | (?:pddl|public[- ]domain[- ]dedication[- ]and[- ]licen[cs]e)
-ofl-1.1 | (?:ofl|sil[- ]open[- ]font[- ]licen[cs]e)(?:,?[- ](?:v(?:ersion)?\W{0,2})?1\.1)?
-postgresql | postgresql
-psf-2.0 | (?:psf|python[- ]software[- ]foundation)(?:[- ]licen[cs]e)?(?:,?[- ](?:v(?:ersion)?\W{0,2})?2(?:\.0)?)?
-ruby | ruby
-php-3.01 | php[- ]licen[cs]e(?:,?[- ](?:v(?:ersion)?\W{0,2})?3\.0?1?)?
-w3c | w3c(?:[- ]software)?
-x11 | x11
-ncsa | (?:ncsa|university of illinois)
-vim | vim
-intel | intel[- ]open[- ]source
-ibm-pl | ibm[- ]public[- ]licen[cs]e
-ms-pl | (?:ms[- ]pl|microsoft[- ]public[- ]licen[cs]e)
-ms-rl | (?:ms[- ]rl|microsoft[- ]reciprocal[- ]licen[cs]e)
-osl-3.0 | (?:osl|open[- ]software[- ]licen[cs]e)[- ](?:v(?:ersion)?\W{0,2})?3(?:\.0)?
-afl-3.0 | (?:afl|academic[- ]free[- ]licen[cs]e)[- ](?:v(?:ersion)?\W{0,2})?3(?:\.0)?
-cecill | cecill(?:[- ](?:b|c|v?[12]\.[01]))?
-upl-1.0 | (?:upl|universal[- ]permissive[- ]licen[cs]e)(?:[- ]v?1\.0)?
-blueoak-1.0.0 | blue[- ]?oak(?:[- ]model)?(?:[- ]licen[cs]e)?
-openrail | (?:(?:creativeml|bigscience)[- ])?(?:open[- ]?rail|rail)(?:[- ]?\+{0,2}[ms]?)
-llama-community | llama(?:[- ][234](?:\.\d)?)?[- ]community[- ]licen[cs]e
-polyform-nc | polyform[- ]noncommercial
-""".strip().splitlines()
-
-_GRANTS = ("licensed", "licenced", "released", "distributed", "published", "available", "covered", "provided")
-#: How a name is stated: (pattern around {}, keywords of which one must be in the text, confidence, priority).
-_FORMS = [
-    (r"spdx-license-identifier\s*:\s*(?:{})\b", ("spdx-license-identifier",), 1.0, 50),
-    (rf"\b(?:{'|'.join(_GRANTS)}) under (?:the |an? |terms of the |the terms of the )*(?:{{}})\b(?:[- ](?:(?:public|software) )?licen[cs]e)?", tuple(f"{g} under" for g in _GRANTS), 0.95, 40),
-    (r"\blicen[cs]e\s*[:=]\s*[\"']?(?:{})\b", ("license", "licence"), 0.9, 30),
-    (r"\b(?:{})[- ]licen[cs]e\b", ("license", "licence"), 0.8, 20),
-]
-
-#: Statements that name no license of the families: label | pattern | keywords | confidence | priority.
-_OTHERS = [
-    Rule("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", ("hereby granted",), 0.98, 45),
-    Rule("isc", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose", ("permission to use",), 0.98, 45),
-    Rule("bsd", r"redistribution and use in source and binary forms,? with or without modification", ("redistribution and use",), 0.95, 45),
-    Rule("unlicense", r"this is free and unencumbered software released into the public domain", ("unencumbered",), 0.98, 45),
-    Rule("zlib", r"altered source versions must be plainly marked", ("altered source",), 0.95, 45),
-    Rule("gpl", r"\bgnu general public licen[cs]e\b", ("general public licen",), 0.9, 25),
-    Rule("gpl", r"\bgeneral public licen[cs]e\b", ("general public licen",), 0.8, 10),
-    Rule("lgpl", r"\bgnu (?:lesser|library) general public licen[cs]e\b", ("general public licen",), 0.9, 35),
-    Rule("agpl", r"\bgnu affero general public licen[cs]e\b", ("general public licen",), 0.9, 35),
-    Rule("gpl", r"\bgplv?[123]?\+?\b", ("gpl",), 0.7, 10),
-    Rule("cc-by", r"\bcc[- ]by\b", ("cc by", "cc-by"), 0.8, 10),
-    Rule("cc", r"creativecommons\.org/(?:licenses|publicdomain)/[a-z0-9./-]+", ("creativecommons.org",), 0.95, 45),
-    Rule("apache", r"apache\.org/licenses/license-2\.0", ("apache.org/licenses",), 0.95, 45),
-    Rule("gnu", r"gnu\.org/(?:licenses|copyleft)/[a-z0-9.#-]*", ("gnu.org/",), 0.9, 45),
-    Rule("osi", r"opensource\.org/licenses?/[a-z0-9.-]+", ("opensource.org/licen",), 0.9, 45),
-    Rule("reserved", r"\ball rights(?: are)? reserved\b", ("rights reserved", "rights are reserved"), 0.7, 15),
-    Rule("reserved", r"\b(?:some|certain) rights reserved\b", ("rights reserved",), 0.6, 15),
-    Rule("copyright", r"(?:\bcopyright|\(c\)|\xc2\xa9)\s*(?:\(c\)|\xc2\xa9)?\s*(?:19|20)\d\d(?:\s*-\s*(?:19|20)?\d\d)?", ("copyright", "(c)", "©"), 0.6, 12),
-    Rule("copyright", r"\bcopyright (?:notice|holder|owner)s?\b", ("copyright",), 0.4, 5),
-    Rule("proprietary", r"\b(?:proprietary and confidential|confidential and proprietary|unauthori[sz]ed (?:copying|reproduction|distribution))\b", ("proprietary", "unauthori"), 0.7, 30),
-    Rule("proprietary", r"\bend[- ]user licen[cs]e agreement\b", ("user licen",), 0.8, 30),
-    Rule("public-domain", r"\b(?:in|into|to) the public domain\b", ("public domain",), 0.8, 20),
-    Rule("nc", r"\b(?:for )?non[- ]?commercial use only\b", ("commercial use only",), 0.7, 20),
-]
+def _statement(label: str, keywords: str, pattern: str) -> Rule:
+    """Addresses go before clauses, clauses before names, names of more words before shorter ones, notices last."""
+    gates = tuple(keywords.split(","))
+    if label in NOTICES:
+        return Rule(label, pattern, gates, (), 0.6, 12)
+    if "\\." in pattern and "/" in pattern:
+        return Rule(label, pattern, gates, (), 0.95, 48)
+    if not pattern.startswith(r"\b"):
+        return Rule(label, pattern, gates, (), 0.95, 45)
+    return Rule(label, pattern, gates, (), 0.8, 10 + 2 * min(10, pattern.count(" ")))
 
 
 def rules() -> list[Rule]:
-    """All rules: every family in every form, and the statements; several hundred."""
-    out = list(_OTHERS)
-    for line in _FAMILIES:
-        label, names = (x.strip() for x in line.split(" | "))
-        out += [Rule(label, form.format(names), gates, c, p) for form, gates, c, p in _FORMS]
+    """All rules: every name in every form, and the statements; several hundred."""
+    out = [_statement(*(x.strip() for x in line.split(" | "))) for line in STATEMENTS]
+    for line in NAMES:
+        label, keywords, names = (x.strip() for x in line.split(" | "))
+        out += [Rule(label, form.replace("{}", names), tuple(keywords.split(",")), gates, c, p) for form, gates, c, p in FORMS]
     return out
 
 
+_LETTER = r"[0-9a-z_\x80-\xff]"
+_BORDER = rf"(?:(?<!{_LETTER})(?={_LETTER})|(?<={_LETTER})(?!{_LETTER}))"
+
+
+def compiled(rule: Rule) -> re.Pattern[bytes]:
+    return re.compile(rule.pattern.replace(r"\b", _BORDER).encode())
+
+
 class Scanner:
     """The rules, compiled, behind one automaton of their keywords."""
 
     def __init__(self, ordered: list[Rule]):
-        self.rules = ordered
-        self.patterns = [re.compile(r.pattern.encode("latin-1") if r.pattern.isascii() is False else r.pattern.encode()) for r in ordered]
-        gated: dict[str, list[int]] = {}
+        self.rules, self.patterns = ordered, [compiled(r) for r in ordered]
+        self.automaton = ahocorasick.Automaton()
+        self.near: dict[str, list[int]] = {}
         for k, rule in enumerate(ordered):
             for word in rule.keywords:
-                gated.setdefault(word, []).append(k)
-        self.automaton = ahocorasick.Automaton()
-        for word, ks in gated.items():
-            self.automaton.add_word(word, tuple(ks))
+                self.near.setdefault(word, []).append(k)
+        for word in {w for r in ordered for w in (*r.keywords, *r.forms)}:
+            self.automaton.add_word(word.encode().decode("latin-1"), word)
         self.automaton.make_automaton()
 
-    def candidates(self, lowered: str) -> list[int]:
-        """Rules of which a keyword is in the text."""
-        return sorted({k for _, ks in self.automaton.iter(lowered) for k in ks})
-
-    def detections(self, lowered: str, raw: bytes) -> list[tuple[int, int, Rule]]:
-        """(start, end, rule) by bytes, after suppression, in order of start."""
-        found = [(m.start(), m.end(), self.rules[k]) for k in self.candidates(lowered) for m in self.patterns[k].finditer(raw)]
+    def windows(self, raw: bytes) -> dict[int, list[tuple[int, int]]]:
+        """Where each rule can match: around its keywords, if one of its form's is in the text too."""
+        hits: dict[str, list[int]] = {}
+        for end, word in self.automaton.iter(raw.decode("latin-1")):
+            hits.setdefault(word, []).append(end)
+        out: dict[int, list[tuple[int, int]]] = {}
+        for k in {k for word in hits for k in self.near.get(word, ())}:
+            rule = self.rules[k]
+            if rule.forms and hits.keys().isdisjoint(rule.forms):
+                continue
+            parts: list[tuple[int, int]] = []
+            for end in sorted(e for w in rule.keywords for e in hits.get(w, ())):
+                low, high = max(0, end - REACH), end + REACH
+                if parts and low <= parts[-1][1]:
+                    low = parts.pop()[0]
+                parts.append((low, high))
+            out[k] = parts
+        return out
+
+    def detections(self, raw: bytes) -> list[tuple[int, int, Rule]]:
+        """(start, end, rule) by bytes of lower-cased text, after suppression, in order of start."""
+        found = [(m.start(), m.end(), self.rules[k]) for k, parts in self.windows(raw).items() for low, high in parts for m in self.patterns[k].finditer(raw, low, high)]
         return sorted(suppressed(found), key=lambda d: (d[0], d[1], d[2].label))
 
 
 def suppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """What is left when no detection lies within another that goes before it."""
-    taken: list[tuple[int, int, Rule]] = []
-    starts: list[int] = []
-    reach: list[int] = []
+    """What is left when no detection lies within another that goes before it.
+
+    Those that went before are kept in a tree of starts with the furthest end up
+    to each, so n detections take n log n steps.
+    """
     order = sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label, d[2].pattern))
+    place = {start: k for k, start in enumerate(sorted({d[0] for d in found}), 1)}
+    furthest, taken = [0] * (len(place) + 1), []
     for d in order:
-        at = bisect.bisect_right(starts, d[0])
-        if at and max(reach[:at]) >= d[1]:
+        k, reach = place[d[0]], 0
+        while k:
+            reach, k = max(reach, furthest[k]), k & (k - 1)
+        if reach >= d[1]:
             continue
         taken.append(d)
-        starts.insert(at, d[0])
-        reach.insert(at, d[1])
+        k = place[d[0]]
+        while k < len(furthest):
+            furthest[k] = max(furthest[k], d[1])
+            k += k & -k
     return taken
 
 
@@ -247,7 +179,7 @@ def scan(scanner: Scanner, text: str) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score and the detections of one text."""
     raw = lower(text)
     base = base_places(raw)
-    found = scanner.detections(raw.decode(), raw)
+    found = scanner.detections(raw)
     base_labels = sorted({label for _, label in base})
     labels = sorted({*base_labels, *(r.label for _, _, r in found)})
     doubt = 1.0
