@@ -1,25 +1,30 @@
 """Token ids in binary files: documents compressed one by one with a shared zstandard dictionary.
 
 A file holds a run of documents in ascending order of id: a header (magic,
-number of documents, hash of the dictionary), then one compressed frame for
-each document, then the index (document id, offset and size of the frame,
-number of ids) and the index's own offset. Frames are compressed separately, so
-one short document is read by two seeks. ids are unsigned 16-bit integers,
-little-endian. The dictionary lies beside the files and is trained on the ids
-of a bounded sample of documents: those of the SAMPLE smallest hashes of their
-ids, each up to SAMPLE_IDS ids. That bounds only the training; all documents
-are written.
-
-Encoding, compression and writing are one pass: documents are encoded and
-compressed where they are read, dealt by ranges of document id of about
-SHARD_BYTES of text each (exact quantiles by size of coarse ranges, cut in
-equal parts), sorted and written under names that depend on the range alone,
-so a task that runs again writes the same file again.
+number of documents, bytes of an id, hash of the dictionary), then one
+compressed frame for each document, then the index (document id, offset and size
+of the frame, number of ids) and the index's own offset. Frames are compressed
+separately: IdFile reads the index at the end and then seeks to one frame. ids
+are unsigned little-endian integers, of 16 bits where the vocabulary allows it.
+
+The dictionary lies beside the files and is trained on a bounded sample: the
+SAMPLE documents of smallest hash, each by CHUNKS chunks of CHUNK_IDS ids spread
+over all its ids. Only the training is bounded; all documents are written whole.
+
+Documents are range-partitioned by (id, hash of the text), about SHARD_BYTES of
+text to a range and RANGES ranges at most, sorted, and encoded, compressed and
+written in that one pass; a file ends at about SHARD_BYTES of frames, so memory
+is bounded however large a range is. Equal and null ids spread over ranges too.
+Names depend on range and place alone, so a task that runs again writes the same
+files again. Where a file's ids start is the sum of the ranges before (a bounded
+number, broadcast) and of the files before it in its range.
+
+Encoding is what the library gives with add_special_tokens=False: a text that
+spells an added token ("<|endoftext|>", say) gets that token's id there.
 
 Defined cases: a null text is empty; an empty document has the end id alone;
-null ids come first; rows of equal ids are ordered by their ids' bytes; other
-columns are ignored; an empty table writes no file. Special tokens in a text
-are ordinary text.
+null ids come first; rows of equal ids are ordered by a hash of their texts;
+other columns are ignored; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import public_tokenizers
@@ -38,17 +44,18 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftlens.llm.common import arrow_schema, map_rows, memory, shared_dir, table, texts
+from driftlens.llm.common import arrow_schema, forget_others, map_rows, memory, parts, shared_dir, table, texts
 from driftlens.llm.pretokens import is_word, pieces
 
-END, MAGIC, NO_ID = 0, b"DLIDS1\n\0", -(1 << 63)
-SAMPLE, SAMPLE_IDS, DICTIONARY, LEVEL = 2000, 4096, 112_640, 3
-SHARD_BYTES, MEMO = 8 << 20, 500_000
-_HEAD, _ENTRY, _TAIL = struct.Struct("<8sQ32s"), np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u4")]), struct.Struct("<Q8s")
+END, MAGIC, NO_ID = 0, b"DLIDS2\n\0", -(1 << 63)
+SAMPLE, CHUNKS, CHUNK_IDS, DICTIONARY, LEVEL = 2000, 8, 512, 112_640, 3
+SHARD_BYTES, RANGES, MEMO = 8 << 20, 10_000, 300_000
+_HEAD, _TAIL = struct.Struct("<8sQB7x32s"), struct.Struct("<Q8s")
+_ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("n", "<u8")])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -64,10 +71,11 @@ class _Tokens(dict):
     def __init__(self, model: Tokenizer):
         super().__init__()
         self.model, self.letters = model, _byte_letters()
+        self.kind = "H" if model.get_vocab_size() <= 1 << 16 else "I"
 
     def encode(self, word: str) -> bytes:
         spelled = word.encode().decode("latin-1").translate(self.letters)
-        return array("H", self.model.encode(spelled, add_special_tokens=False).ids).tobytes()
+        return array(self.kind, self.model.encode(spelled, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO:
@@ -92,16 +100,28 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """The tokenizers library over pieces of texts, each encoded once by its model and then remembered."""
+    """The tokenizers library over pieces of texts, each encoded once by its model and then remembered.
+
+    A text that spells an added token goes to the library as a whole.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.known = _Pieces(_Tokens(Tokenizer(Tokenizer.from_file(path).model)))
+        self.library = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known = _Pieces(_Tokens(Tokenizer(self.library.model)))
+        self.kind = self.known.tokens.kind
+        self.end = array(self.kind, [END]).tobytes()
+
+    @property
+    def width(self) -> int:
+        return len(self.end)
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 16-bit integers, with the end id."""
-        end, ids, pattern = struct.pack("<H", END), self.known.__getitem__, self.known.pattern
-        return [b"".join(map(ids, pieces(t, pattern))) + end for t in batch]
+    def encode(self, text: str) -> bytes:
+        """The ids of a text and the end id, as little-endian unsigned integers of width bytes."""
+        if any(t in text for t in self.added):
+            return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes() + self.end
+        return b"".join(map(self.known.__getitem__, pieces(text, self.known.pattern))) + self.end
 
 
 _encoders: dict[str, Encoder] = memory(__name__)
@@ -124,76 +144,81 @@ def train_dictionary(samples: list[bytes]) -> bytes:
         return b""
 
 
-def write_file(documents: list[tuple[int, bytes, int]], dictionary: bytes) -> bytes:
+def write_file(documents: list[tuple[int, bytes, int]], dictionary: bytes, width: int = 2) -> bytes:
     """A file of (id, frame, number of ids)."""
     index = np.zeros(len(documents), _ENTRY)
     at = _HEAD.size
     for k, (doc, frame, n) in enumerate(documents):
         index[k] = (doc, at, len(frame), n)
         at += len(frame)
-    head = _HEAD.pack(MAGIC, len(documents), hashlib.sha256(dictionary).digest())
+    head = _HEAD.pack(MAGIC, len(documents), width, hashlib.sha256(dictionary).digest())
     return b"".join([head, *(frame for _, frame, _ in documents), index.tobytes(), _TAIL.pack(at, MAGIC)])
 
 
 class IdFile:
-    """Reads one document, or all, of a file's bytes."""
+    """Reads single documents of an open file: the header and the index at first, then one frame by one seek."""
 
-    def __init__(self, data: bytes, dictionary: bytes):
-        magic, n, digest = _HEAD.unpack_from(data)
-        at, tail = _TAIL.unpack_from(data, len(data) - _TAIL.size)
+    def __init__(self, source: BinaryIO, dictionary: bytes):
+        self.source = source
+        magic, n, width, digest = _HEAD.unpack(source.read(_HEAD.size))
+        source.seek(-_TAIL.size, os.SEEK_END)
+        at, tail = _TAIL.unpack(source.read(_TAIL.size))
         if magic != MAGIC or tail != MAGIC:
             raise ValueError("not a file of ids")
         if digest != hashlib.sha256(dictionary).digest():
             raise ValueError("the file was written with another dictionary")
-        self.data, self.index = data, np.frombuffer(data, _ENTRY, n, at)
+        source.seek(at)
+        self.index, self.dtype = np.frombuffer(source.read(n * _ENTRY.itemsize), _ENTRY), np.dtype(f"<u{width}")
         self.decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
 
+    def find(self, doc_id: int | None) -> range:
+        """Places of the documents of an id."""
+        low, high = (int(np.searchsorted(self.index["doc_id"], NO_ID if doc_id is None else doc_id, side)) for side in ("left", "right"))
+        return range(low, high)
+
     def ids(self, k: int) -> np.ndarray:
+        """The ids of the document in place k."""
         entry = self.index[k]
-        frame = self.data[int(entry["offset"]) : int(entry["offset"]) + int(entry["size"])]
-        out = np.frombuffer(self.decompressor.decompress(frame), "<u2")
+        self.source.seek(int(entry["offset"]))
+        out = np.frombuffer(self.decompressor.decompress(self.source.read(int(entry["size"]))), self.dtype)
         if len(out) != entry["n"]:
             raise ValueError(f"document {entry['doc_id']} is damaged")
         return out
 
 
-def _compressed(path: str, dictionary: bytes) -> Callable[[], Callable[[dict[str, list]], dict[str, list]]]:
-    def make() -> Callable[[dict[str, list]], dict[str, list]]:
-        own = encoder(path)
-        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
-
-        def one(columns: dict[str, list]) -> dict[str, list]:
-            ids = own.encode(columns["text"])
-            return {"doc_id": columns["doc_id"], "part": columns["part"], "n_tokens": [len(x) // 2 for x in ids], "frame": [compressor.compress(x) for x in ids]}
-
-        return one
-
-    return make
-
-
-def _writer(folder: str, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = arrow_schema("part long, file string, tokens long")
+def _writer(folder: str, path: str, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Encodes, compresses and writes a range's documents, in the order in which they come."""
+    schema = arrow_schema("part long, place long, file string, tokens long")
+    limit = SHARD_BYTES  # the driver's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(__name__)
+        own = encoder(path)
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         fs, base = pafs.FileSystem.from_uri(folder)
-        part, held = None, []
+        held: list[tuple[int, bytes, int]] = []
+        size = place = part = 0
 
         def close() -> pa.RecordBatch:
-            name = f"{base}/{part:08d}.ids"
+            name = f"{base}/{part:08d}-{place:08d}.ids"
             draft = f"{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(draft) as out:
-                out.write(write_file(held, dictionary))
-            fs.move(draft, name)  # whole or not at all, and the same whoever writes it
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, name, sum(n for _, _, n in held))], schema=schema)
+                out.write(write_file(held, dictionary, own.width))
+            if fs.get_file_info(name).type == pafs.FileType.NotFound:
+                fs.move(draft, name)  # whole or not at all
+            else:
+                fs.delete_file(draft)  # another run of this task wrote the same
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, place, name, sum(n for _, _, n in held))], schema=schema)
 
         for batch in batches:
-            for p, doc, n, frame in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "frame")), strict=True):
-                if p != part:
-                    if held:
+            for rows in parts(batch):
+                for part, doc, text in zip(*(rows.column(c).to_pylist() for c in ("part", "doc_id", "text")), strict=True):  # noqa: B007
+                    ids = own.encode(text)
+                    held.append((NO_ID if doc is None else doc, compressor.compress(ids), len(ids) // own.width))
+                    size += len(held[-1][1])
+                    if size >= limit:
                         yield close()
-                    part, held = p, []
-                held.append((NO_ID if doc is None else doc, frame, n))
+                        held, size, place = [], 0, place + 1
         if held:
             yield close()
 
@@ -207,9 +232,9 @@ def _reader(folder: str, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch
         fs, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                with fs.open_input_stream(name) as source:
-                    own = IdFile(source.read(), dictionary)
-                crcs = [zlib.crc32(own.ids(k).astype("<u4").tobytes()) for k in range(len(own.index))]
+                with fs.open_input_file(name) as source:
+                    own = IdFile(source, dictionary)
+                    crcs = [zlib.crc32(own.ids(k).astype("<u4").tobytes()) for k in range(len(own.index))]
                 n = own.index["n"].astype(np.int64)
                 docs = [None if d == NO_ID else d for d in own.index["doc_id"].tolist()]
                 columns = [docs, start + np.cumsum(n) - n, n, crcs, own.index["size"].astype(np.int64)]
@@ -218,64 +243,62 @@ def _reader(folder: str, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def _ranges(docs: DataFrame) -> list[int]:
-    """Least ids of the ranges but the first: fine quantiles of the ids, so that ranges have about SHARD_BYTES of text."""
-    total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = max(1, round(total / SHARD_BYTES))
-    if n == 1:
-        return []
-    points = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n)).first()[0]
-    return sorted(set(points or []))
+def _chunks(path: str) -> Callable[[], Callable[[dict[str, list]], dict[str, list]]]:
+    """Of each document, chunks at even distances over all its ids."""
 
+    def make() -> Callable[[dict[str, list]], dict[str, list]]:
+        own = encoder(path)
+        size = CHUNK_IDS * own.width
+
+        def one(columns: dict[str, list]) -> dict[str, list]:
+            out = []
+            for ids in map(own.encode, columns["text"]):
+                n = -(-len(ids) // size)
+                out += [ids[k * n // CHUNKS * size : (k * n // CHUNKS + 1) * size] for k in range(CHUNKS)] if n > CHUNKS else [ids]
+            return {"ids": out}
 
-def _part(ids: F.Column, least: list[int]) -> F.Column:
-    """How many of the bounds are at or below the id, by bisection as nested conditions."""
+        return one
+
+    return make
 
-    def between(low: int, high: int) -> F.Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(ids < least[middle], between(low, middle)).otherwise(between(middle + 1, high))
 
-    return F.when(ids.isNull(), F.lit(0)).otherwise(between(0, len(least))).cast("long")
+def _dictionary(docs: DataFrame, path: str) -> bytes:
+    """Trained on the documents of smallest hash: only hashes are ordered, then those documents are read."""
+    order = F.xxhash64("doc_id", "text")
+    least = docs.select(order.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if least is None:
+        return b""
+    sample = docs.where(order <= least).limit(SAMPLE)  # the limit is for rows of equal hash
+    return train_dictionary(sorted(r[0] for r in map_rows(sample, _chunks(path), "ids binary").collect()))
 
 
 def write_ids(docs: DataFrame, folder: str, path: str) -> tuple[DataFrame, bytes]:
-    """Writes the files to a shared folder; returns (part, file, tokens) of each, in a table, and the dictionary."""
+    """Writes the files to a shared folder; returns (part, place, file, tokens) of each, in a table, and the dictionary."""
     docs = texts(docs)
-    sample = docs.withColumn("order", F.xxhash64("doc_id", "text")).orderBy("order").limit(SAMPLE)
-    ids = map_rows(sample.withColumn("part", F.lit(0)), _compressed_ids(path), "ids binary")
-    dictionary = train_dictionary(sorted(r[0] for r in ids.collect()))
+    dictionary = _dictionary(docs, path)
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/dictionary") as out:
         out.write(dictionary)
-    least = _ranges(docs)
-    frames = map_rows(docs.withColumn("part", _part(F.col("doc_id"), least)), _compressed(path, dictionary), "doc_id long, part long, n_tokens long, frame binary")
-    sorted_ = frames.repartition(len(least) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
-    files = sorted_.mapInArrow(_writer(folder, dictionary), "part long, file string, tokens long")
-    files.write.parquet(f"{folder}/files")
+    total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    key = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    ranges = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(min(RANGES, max(1, round(total / SHARD_BYTES))), *key)
+    ordered = ranges.sortWithinPartitions(*key).select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text")
+    ordered.mapInArrow(_writer(folder, path, dictionary), "part long, place long, file string, tokens long").write.parquet(f"{folder}/files")
     return docs.sparkSession.read.parquet(f"{folder}/files"), dictionary
 
 
-def _compressed_ids(path: str) -> Callable[[], Callable[[dict[str, list]], dict[str, list]]]:
-    def make() -> Callable[[dict[str, list]], dict[str, list]]:
-        own = encoder(path)
-        return lambda columns: {"ids": [x[: 2 * SAMPLE_IDS] for x in own.encode(columns["text"])]}
-
-    return make
-
-
 def read_ids(files: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, frame_bytes) of every document in the files."""
-    sizes = sorted(files.select("part", "tokens").collect())  # one row for each file, not document
     starts, at = [], 0
-    for part, tokens in sizes:
+    for part, tokens in sorted(files.groupBy("part").agg(F.sum("tokens")).collect()):  # RANGES rows at most
         starts.append((part, at))
         at += tokens
-    bases = files.sparkSession.createDataFrame(starts, "part long, start long")
-    todo = files.join(F.broadcast(bases), "part").select("file", "start").repartition(max(1, len(starts)), "file")
-    return todo.mapInArrow(_reader(folder, dictionary), "doc_id long, start long, n_tokens long, ids_crc32 long, frame_bytes long")
+    bases = files.sparkSession.createDataFrame(starts, "part long, base long")
+    before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    todo = placed.join(F.broadcast(bases), "part").select("file", (F.col("base") + F.col("before")).alias("start"))
+    return todo.repartition(max(1, len(starts)), "file").mapInArrow(_reader(folder, dictionary), "doc_id long, start long, n_tokens long, ids_crc32 long, frame_bytes long")
 
 
 def op5_ids_zstd_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
