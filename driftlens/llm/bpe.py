@@ -1,59 +1,84 @@
 """Byte-level BPE, encoded and decoded by recursive DuckDB queries in each partition.
 
-The merge table has a row (left id, right id, merged id) for every way to split
-a token of the vocabulary into two tokens; the merged id is also the rank. New
-words of a batch become rows (word, position, id), at first one for each byte.
-A recursive query joins neighbours with the merge table and contracts every
-word's leftmost pair of least rank, until no word has a pair. An ordered
-aggregation gives each word's ids, and another one, over the bytes of these
-ids, decodes them. A worker remembers words, at most MEMO of them.
-
-A word of more than WHOLE bytes is split before at byte pairs that no token
-contains: no merge can cross them. What is still longer than LONG bytes (a run of one letter, say) needs as
-many rounds as bytes; it is merged by a heap instead, with the same result.
+A partition's texts are taken in runs of about RUN_BYTES. Words (matches of the
+pattern) of a run that are new become rows (word, position, id), at first one
+for each byte. A recursive query joins neighbours with the merge table and
+contracts the leftmost pair of least rank in every word, round by round, until
+no word has a pair. The merge table has a row for every way to split a token
+into two; the merged id is the rank (mark: twice that, plus 1 for the tokens of
+_alone).
+An ordered aggregation gives each word's ids, and one over the bytes of these
+ids decodes them. A worker remembers the words of earlier runs, at most
+MEMO_BYTES of them.
+
+A pair that stands several times in a word is contracted at all its places in
+one round, from the left and without overlap, if no merge of the new token has
+a lower rank: nothing could come between these contractions, so ids are the
+same and a long run of one letter takes few rounds. Other tokens are contracted
+at their leftmost place alone.
+
+Words of more than WHOLE bytes are cut before at places that no token of the
+vocabulary, wherever it occurs in the word, lies across: no merge can cross
+them. New words are merged in blocks of about BLOCK_BYTES, a longer piece alone.
 
 Defined cases: a null text is empty; an empty text has no ids; null ids are
 kept; repeated rows give repeated results; other columns are ignored; an empty
-table gives no rows. Special tokens in a text are ordinary text.
+table gives no rows. Special tokens in a text are ordinary text. A word that is
+a token itself is that token, as in the library.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Callable
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import ahocorasick
 import duckdb
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm.common import map_rows, memory, table, texts
-from driftlens.llm.pretokens import is_word, pieces
-from driftlens.llm.wordhash import grouped
+from driftlens.llm.common import PART_BYTES, arrow_schema, forget_others, memory, parts, table, texts
+from driftlens.sources.store import workers_know
 
-WHOLE, LONG, MEMO = 24, 256, 300_000
+WHOLE, RUN_BYTES, BLOCK_BYTES, MEMO_BYTES = 24, 8 << 20, 512 << 10, 96 << 20
+#: What a remembered word takes beside its own bytes, about.
+_ENTRY = 220
 _SQL = """
-WITH RECURSIVE merging AS (
-  SELECT word, pos, id, pos + 1 AS next, 0 AS round FROM fresh
+WITH RECURSIVE begun AS (
+  SELECT word, pos, pos + 1 AS stop, id, lead(CASE WHEN pos > word THEN id END) OVER (ORDER BY pos) AS beside FROM fresh
+), merging AS (
+  SELECT begun.*, mark, 0 AS round FROM begun LEFT JOIN merges ON pair = id::BIGINT * 1048576 + beside
   UNION ALL
-  SELECT t.word, t.pos, CASE WHEN t.pos = c.at THEN c.merged ELSE t.id END, CASE WHEN t.pos = c.at THEN c.after ELSE t.next END, t.round + 1
-  FROM merging t JOIN (
-    SELECT a.word, min(m.merged * 1024::BIGINT + a.pos) AS best,
-      CAST(best // 1024 AS INTEGER) AS merged, CAST(best % 1024 AS INTEGER) AS at,
-      arg_min(b.pos, m.merged * 1024::BIGINT + a.pos) AS gone, arg_min(b.next, m.merged * 1024::BIGINT + a.pos) AS after
-    FROM merging a JOIN merging b ON a.word = b.word AND a.next = b.pos JOIN merges m ON a.id = m.lhs AND b.id = m.rhs
-    GROUP BY a.word
-  ) c ON t.word = c.word AND t.pos <> c.gone
-), ended AS (
-  SELECT word, pos, id FROM merging JOIN (SELECT word, max(round) AS round FROM merging GROUP BY word) USING (word, round)
+  SELECT u.word, u.pos, u.stop, u.id, u.beside, merges.mark, u.round FROM (
+    SELECT word, pos, round + 1 AS round,
+      CASE WHEN chosen THEN stop1 ELSE stop END AS stop,
+      CASE WHEN chosen THEN best >> 1 ELSE id END AS id,
+      CASE WHEN chosen AND chosen2 AND beside1 IS NOT NULL OR NOT chosen AND chosen1 AND beside IS NOT NULL THEN best >> 1
+           WHEN chosen THEN beside1 ELSE beside END AS beside
+    FROM (
+      SELECT *, lag(chosen) OVER o AS gone, lead(chosen) OVER o AS chosen1, lead(chosen, 2) OVER o AS chosen2, lead(beside) OVER o AS beside1
+      FROM (
+        SELECT *, coalesce(mark = best AND (pos - greatest(since, word)) % (stop1 - pos) = 0 AND (best & 1 = 0 OR pos = leftmost), false) AS chosen
+        FROM (
+          SELECT t.*, best, leftmost, lead(t.stop) OVER o AS stop1,
+            max(CASE WHEN t.mark IS DISTINCT FROM best THEN t.stop END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since
+          FROM merging t JOIN (
+            SELECT word, (least >> 32)::INTEGER AS best, (least & 4294967295)::INTEGER AS leftmost
+            FROM (SELECT word, min((mark::BIGINT << 32) + pos) AS least FROM merging GROUP BY word) WHERE least IS NOT NULL
+          ) USING (word) WINDOW o AS (ORDER BY t.pos)
+        )
+      ) WINDOW o AS (ORDER BY pos)
+    ) WHERE NOT coalesce(gone, false)
+  ) u LEFT JOIN merges ON pair = u.id::BIGINT * 1048576 + u.beside
 )
-SELECT word, list(id ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM ended JOIN vocabulary USING (id) GROUP BY word ORDER BY word
+SELECT list(id ORDER BY pos) AS ids, list(token ORDER BY pos) AS tokens
+FROM merging JOIN (SELECT word, max(round) AS round FROM merging GROUP BY word) USING (word, round) JOIN vocabulary USING (id)
+GROUP BY word ORDER BY word
 """
 
 
@@ -63,121 +88,155 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _passes(ranks: dict[bytes, int], state: list[bytes]) -> bool:
+    """Whether merging the bytes of these tokens, on their own, comes to this state."""
+    now = [bytes([b]) for b in b"".join(state)]
+    while len(now) > len(state):
+        found = [(r, k) for k in range(len(now) - 1) if (r := ranks.get(now[k] + now[k + 1])) is not None]
+        if not found:
+            return False
+        k = min(found)[1]
+        now[k : k + 2] = [now[k] + now[k + 1]]
+    return now == state
+
+
+def _splits(ranks: dict[bytes, int], token: bytes) -> list[tuple[bytes, bytes]]:
+    return [(token[:k], token[k:]) for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks]
+
+
+def _alone(ranks: dict[bytes, int]) -> set[int]:
+    """Tokens that must be contracted at one place at a time.
+
+    Those after whose contraction, of a and b, a merge with a neighbour y can
+    have a lower rank, though b and y have none. No merge crosses the edges of
+    what becomes a, b and y, so their bytes come to that state in a word only if
+    they do so alone.
+    """
+    out = set()
+    for token, rank in ranks.items():
+        for a, b in _splits(ranks, token):
+            x, y = ranks[a], ranks[b]
+            if x > rank and x not in out and any(ranks.get(q + b, len(ranks)) > x and _passes(ranks, [p, q, b]) for p, q in _splits(ranks, a)):
+                out.add(x)
+            if y > rank and y not in out and any(ranks.get(a + p, len(ranks)) >= y and _passes(ranks, [a, p, q]) for p, q in _splits(ranks, b)):
+                out.add(y)
+    return out
+
+
+class _Numbers(dict):
+    """word: its number, in the order in which words are first seen."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Codec:
-    """Encodes and decodes words by one rank file."""
+    """Encodes and decodes texts by one rank file."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
-        self.ranks = read_ranks(path)
+        ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.memo: dict[str, tuple[bytes, bytes]] = {}  # by pre-token
-        self.known: dict[str, tuple[bytes, bytes]] = {}  # by piece of text
-        self.pairs = np.zeros((256, 256), bool)
-        lhs, rhs, merged = [], [], []
-        for token, rank in self.ranks.items():
-            for k in range(1, len(token)):
-                self.pairs[token[k - 1], token[k]] = True
-                if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None:
-                    lhs.append(a), rhs.append(b), merged.append(rank)
-        self.bytes_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
-        merges = pa.table({"lhs": pa.array(lhs, pa.int32()), "rhs": pa.array(rhs, pa.int32()), "merged": pa.array(merged, pa.int32())})
-        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        self.forget()
+        tokens, ids = list(ranks), np.fromiter(ranks.values(), np.int64, len(ranks))
+        splits = [(a, b, rank) for token, rank in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
+        lhs, rhs, merged = np.array(splits, np.int64).reshape(-1, 3).T
+        self.bytes_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.ranks, self.names = ranks, {rank: token for token, rank in ranks.items()}
+        self.automaton: ahocorasick.Automaton | None = None
+        self.db = duckdb.connect(config={"threads": "1", "temp_directory": ""})
+        alone = _alone(ranks)
+        merges = pa.table({"pair": pa.array(lhs * 1048576 + rhs), "mark": pa.array(2 * merged + np.isin(merged, list(alone)), pa.int32())})
+        vocabulary = pa.table({"id": pa.array(ids, pa.int32()), "token": pa.array(tokens, pa.binary())})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("rows", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.db.unregister("rows")
 
+    def forget(self) -> None:
+        self.numbers, self.ids, self.back, self.held = _Numbers(), [], [], 0
+
     def _pieces(self, word: bytes) -> list[bytes]:
-        """The word, cut where no merge can go."""
-        b = np.frombuffer(word, np.uint8)
-        cuts = np.flatnonzero(~self.pairs[b[:-1], b[1:]]) + 1
+        """A long word, cut where no token that occurs in it lies across."""
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for token in self.ranks:
+                if len(token) > 1:
+                    self.automaton.add_word(token.decode("latin-1"), len(token))
+            self.automaton.make_automaton()
+        across = np.zeros(len(word) + 1, np.int64)
+        for end, size in self.automaton.iter(word.decode("latin-1")):
+            across[end - size + 2] += 1
+            across[end + 1] -= 1
+        cuts = np.flatnonzero(np.cumsum(across)[1 : len(word)] == 0) + 1
         edges = [0, *cuts.tolist(), len(word)]
         return [word[x:y] for x, y in zip(edges, edges[1:])]
 
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """The same merges for a long piece, with a heap of (rank, position)."""
-        ids = [int(self.bytes_id[b]) for b in piece]
-        n = len(ids)
-        end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(k: int) -> None:
-            if k >= 0 and end[k] < n and (rank := self.ranks.get(piece[k : end[end[k]]])) is not None:
-                heapq.heappush(heap, (rank, k, end[end[k]]))
-
-        for k in range(n - 1):
-            offer(k)
-        while heap:
-            rank, k, stop = heapq.heappop(heap)
-            if not alive[k] or end[k] >= n or end[end[k]] != stop:
-                continue
-            gone = end[k]
-            alive[gone], ids[k], end[k] = False, rank, stop
-            if stop < n:
-                before[stop] = k
-            offer(before[k])
-            offer(k)
-        return [ids[k] for k in range(n) if alive[k]]
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes and decodes words that are new, all at once."""
-        pieces: dict[bytes, int] = {}
-        cut = []
-        for word in words:
-            raw = word.encode()
-            own = [raw] if len(raw) <= WHOLE else self._pieces(raw)
-            cut.append(own)
-            for p in own:
-                pieces.setdefault(p, len(pieces))
-        done: list[tuple[bytes, bytes]] = [(b"", b"")] * len(pieces)
-        short = [p for p in pieces if len(p) <= LONG]
-        if short:
-            sizes = [len(p) for p in short]
-            ends = np.cumsum(sizes)
-            fresh = pa.table({
-                "word": pa.array(np.repeat([pieces[p] for p in short], sizes), pa.int32()),
-                "pos": pa.array(np.arange(ends[-1]) - np.repeat(ends - sizes, sizes), pa.int32()),
-                "id": pa.array(self.bytes_id[np.frombuffer(b"".join(short), np.uint8)], pa.int32()),
-            })
-            self.db.register("fresh", fresh)
-            found = self.db.execute(_SQL).fetchall()
-            self.db.unregister("fresh")
-            for k, ids, text in found:
-                done[k] = (np.array(ids, "<u4").tobytes(), bytes.fromhex(text))
-        names: list[bytes] | None = None
-        for p, k in pieces.items():
-            if len(p) > LONG:
-                names = names or [t for t, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
-                ids = self._merge_long(p)
-                done[k] = (np.array(ids, "<u4").tobytes(), b"".join(names[i] for i in ids))
-        for word, own in zip(words, cut, strict=True):
-            parts = [done[pieces[p]] for p in own]
-            self.memo[word] = (b"".join(a for a, _ in parts), b"".join(b for _, b in parts))
-
-    def split(self, piece: str) -> list[str]:
-        return [piece] if is_word(piece) else self.pattern.findall(piece)
-
-    def encode(self, batch: list[str]) -> list[tuple[bytes, bytes]]:
+    def _merged(self, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """(ids, bytes decoded from them) of each piece, by one recursive query. A piece's number is its first byte's place among all."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        self.db.register("fresh", pa.table({
+            "word": pa.array(np.repeat(ends - sizes, sizes).astype(np.int32)),
+            "pos": pa.array(np.arange(ends[-1], dtype=np.int32)),
+            "id": pa.array(self.bytes_id[np.frombuffer(b"".join(pieces), np.uint8)]),
+        }))
+        found = self.db.sql(_SQL).to_arrow_table().combine_chunks()
+        self.db.unregister("fresh")
+        lists, tokens = found.column("ids").chunk(0), found.column("tokens").chunk(0).flatten()
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten().to_numpy().astype("<u4").tobytes()
+        starts = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+        text = tokens.buffers()[2].to_pybytes()
+        at, spelled = (4 * bounds).tolist(), starts[bounds].tolist()
+        return [flat[x:y] for x, y in zip(at, at[1:])], [text[x:y] for x, y in zip(spelled, spelled[1:])]
+
+    def merged(self, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """The same for any number of pieces, in blocks of about BLOCK_BYTES."""
+        ids, back, first, size = [], [], 0, 0
+        for k, piece in enumerate(pieces):
+            if size and size + len(piece) > BLOCK_BYTES:
+                for out, more in zip((ids, back), self._merged(pieces[first:k]), strict=True):
+                    out += more
+                first, size = k, 0
+            size += len(piece)
+        for out, more in zip((ids, back), self._merged(pieces[first:]) if size else ((), ()), strict=True):
+            out += more
+        return ids, back
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encodes and decodes the words that were numbered since the last call, in order."""
+        n = len(self.ids)
+        self.ids += [b""] * len(words)
+        self.back += [b""] * len(words)
+        short, long = [], []
+        for k, word in enumerate(words, n):
+            if (rank := self.ranks.get(word)) is not None:
+                self.ids[k], self.back[k] = rank.to_bytes(4, "little"), self.names[rank]
+            else:
+                (short if len(word) <= WHOLE else long).append(k)
+        for k, a, b in zip(short, *self.merged([words[k - n] for k in short]), strict=True):
+            self.ids[k], self.back[k] = a, b
+        if long:
+            cut = [self._pieces(words[k - n]) for k in long]
+            pieces = list(dict.fromkeys(p for own in cut for p in own))
+            done = dict(zip(pieces, zip(*self.merged(pieces), strict=True), strict=True))
+            for k, own in zip(long, cut, strict=True):
+                self.ids[k], self.back[k] = (b"".join(x) for x in zip(*map(done.__getitem__, own), strict=True))
+        self.held += sum(map(len, self.ids[n:])) + 2 * sum(map(len, self.back[n:])) + _ENTRY * len(words)
+
+    def encode(self, run: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, bytes decoded from them) of each text."""
-        split = [pieces(t, self.pattern) for t in batch]
-        fresh = {p: self.split(p) for p in set(chain.from_iterable(split)) - self.known.keys()}
-        if len(self.known) + len(fresh) > MEMO:
-            self.known.clear()
-            fresh = {p: self.split(p) for p in set(chain.from_iterable(split))}
-        words = set(chain.from_iterable(fresh.values())) - self.memo.keys()
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-            words = set(chain.from_iterable(fresh.values()))
-        if words:
-            self.learn(sorted(words))
-        for p, own in fresh.items():
-            parts = [self.memo[w] for w in own]
-            self.known[p] = parts[0] if len(parts) == 1 else (b"".join([a for a, _ in parts]), b"".join([b for _, b in parts]))
-        out = []
-        for own in split:
-            parts = [self.known[p] for p in own]
-            out.append((b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])))
-        return out
+        if self.held > MEMO_BYTES:
+            self.forget()
+        known, number = len(self.numbers), self.numbers.__getitem__
+        rows = [np.fromiter(map(number, self.pattern.findall(t)), np.int32) for t in run]
+        if len(self.numbers) > known:
+            self.learn([w.encode() for w in islice(self.numbers, known, None)])
+        ids, back = self.ids.__getitem__, self.back.__getitem__
+        for row in rows:
+            own = row.tolist()
+            yield b"".join(map(ids, own)), b"".join(map(back, own))
 
 
 _codecs: dict[str, Codec] = memory(__name__)
@@ -190,43 +249,62 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _digests(path: str) -> Callable[[], Callable[[dict[str, list]], dict[str, list]]]:
-    def make() -> Callable[[dict[str, list]], dict[str, list]]:
-        own = codec(path)
-
-        def one(columns: dict[str, list]) -> dict[str, list]:
-            out: list[tuple[int, str, str]] = []
-            for part in grouped(columns["text"]):
-                for ids, text in own.encode(columns["text"][part.start : part.stop]):
-                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
-            return {"doc_id": columns["doc_id"], **{n: [r[k] for r in out] for k, n in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}}
+def _coded(docs: DataFrame, path: str, ddl: str, columns: Callable[[list[bytes], list[bytes]], list[list]]) -> DataFrame:
+    """doc_id and what columns makes of the ids and of the decoded bytes of a run of texts."""
 
-        return one
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+        ids, held, size = [], [], 0
+        for batch in batches:
+            for part in parts(batch):
+                ids += part.column("doc_id").to_pylist()
+                held += part.column("text").to_pylist()
+                size += part.nbytes
+                if size >= RUN_BYTES:
+                    yield ids, held
+                    ids, held, size = [], [], 0
+        if held:
+            yield ids, held
 
-    return make
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(__name__)
+        schema, own = arrow_schema(ddl), codec(path)
+        for ids, held in runs(batches):
+            at = size = 0
+            found: list[tuple[bytes, bytes]] = []
+            for pair in own.encode(held):
+                found.append(pair)
+                size += len(pair[0])
+                if size >= PART_BYTES or at + len(found) == len(held):
+                    out = [ids[at : at + len(found)], *columns([a for a, _ in found], [b for _, b in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                    at, size, found = at + len(found), 0, []
 
+    workers_know(docs.sparkSession)
+    return texts(docs).mapInArrow(work, ddl)
 
-def _ids(path: str) -> Callable[[], Callable[[dict[str, list]], dict[str, list]]]:
-    def make() -> Callable[[dict[str, list]], dict[str, list]]:
-        own = codec(path)
 
-        def one(columns: dict[str, list]) -> dict[str, list]:
-            done = [x for part in grouped(columns["text"]) for x in own.encode(columns["text"][part.start : part.stop])]
-            return {"doc_id": columns["doc_id"], "ids": [np.frombuffer(a, "<u4") for a, _ in done], "decoded": [b.decode() for _, b in done]}
+def _digest(parts_: list[bytes]) -> list[str]:
+    return [hashlib.sha256(x).hexdigest() for x in parts_]
 
-        return one
 
-    return make
+def _arrays(ids: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4") for x in ids]
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): the ids of each text and the text that they decode to."""
-    return map_rows(texts(docs), _ids(path), "doc_id long, ids array<int>, decoded string")
+    return _coded(docs, path, "doc_id long, ids array<int>, decoded string", lambda ids, back: [_arrays(ids), [b.decode() for b in back]])
+
+
+def encode_ids(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, decoded_sha256): as encode_decode, with a digest in place of the text."""
+    return _coded(docs, path, "doc_id long, ids array<int>, decoded_sha256 string", lambda ids, back: [_arrays(ids), _digest(back)])
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text."""
-    return map_rows(texts(docs), _digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _coded(docs, path, ddl, lambda ids, back: [[len(x) // 4 for x in ids], _digest(ids), _digest(back)])
 
 
 def op2_bpe_duckdb(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,28 @@ def test_same_ids_as_the_library_and_exact_round_trip(codec):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     rng = random.Random(3)
     texts = ["", " ", "a" * 3000, "ab" * 700, "日本語テキスト" * 50, "é́ x²½ ١٢٣", "  \n\n\t x  y   z", "<|endoftext|> it's we'll", "=====-----" * 60, "🙂👍🏽" * 20]
+    texts += ["aaaaabaaaa" * 400, "th" * 30_000, "=" * 50_000, "漢字テキスト" * 3000, "".join(chr(97 + rng.randrange(26)) for _ in range(50_000)), "abcabcab" * 999]
     texts += ["".join(chr(rng.randrange(32, 0x3000)) for _ in range(600)), "Erste Zeile\nzweite Zeile, und mehr."]
     for text, (ids, back) in zip(texts, codec.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(text), text[:40]
         assert back.decode() == text
 
 
+def test_what_is_remembered_is_bounded_and_makes_no_difference(codec, monkeypatch):
+    texts = [" ".join(f"word{k * j}x" for k in range(300)) for j in range(1, 6)]
+    want = [list(codec.encode([t])) for t in texts]
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 50)
+    assert [list(codec.encode([t])) for t in texts] == want
+    assert codec.held < 200_000
+
+
+def test_tokens_that_must_be_contracted_alone():
+    """With abc before ab, but b c never merged, (ab, c) has a lower rank than ab has."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"aba": 256, b"ab": 257}
+    assert bpe._passes(ranks, [b"a", b"b", b"a"]) and 257 in bpe._alone(ranks)
+
+
 def test_pieces_split_as_the_text_does():
     pattern, rng = regex.compile(P.PATTERN), random.Random(1)
     letters = [" ", "\n", "a", "é", ",", "1", "'s", "\t", "\xa0", "日", "_", "²"]
