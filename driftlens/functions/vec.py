@@ -71,7 +71,8 @@ def normalised(x: ColumnLike) -> Column:
 def simplex_project(x: ColumnLike) -> Column:
     """Euclidean projection on the probability simplex.
 
-    The threshold is the largest of (sum of the k largest - 1) / k over k.
+    The threshold is the largest of (sum of the k largest - 1) / k over k. A
+    vector with NaN gives 0 everywhere.
     """
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k"), F.lit(float("-inf")).alias("theta"))
 
@@ -80,7 +81,7 @@ def simplex_project(x: ColumnLike) -> Column:
         return F.struct(s.alias("s"), k.alias("k"), F.greatest(a["theta"], (s - 1) / k).alias("theta"))
 
     theta = F.aggregate(F.sort_array(_c(x), asc=False), start, step, lambda a: a["theta"])
-    return F.transform(_c(x), lambda v: F.greatest(v - theta, F.lit(0.0)))
+    return F.transform(_c(x), lambda v: F.when(F.isnan(theta), F.lit(0.0)).otherwise(F.greatest(v - theta, F.lit(0.0))))
 
 
 def argmin(x: ColumnLike) -> Column:

@@ -5,7 +5,7 @@ Rows of X are samples in order of time. Nothing here needs more than numpy.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,8 +15,13 @@ from driftlens.operators import spg
 
 
 def project_rows(a: np.ndarray) -> np.ndarray:
-    """Euclidean projection of each row on the simplex; NaN counts as 0."""
-    a = np.nan_to_num(np.atleast_2d(np.asarray(a, float)))
+    """Euclidean projection of each row on the simplex; a row with NaN gives 0 everywhere."""
+    a = np.atleast_2d(np.asarray(a, float))
+    if np.isnan(a).any():
+        whole = ~np.isnan(a).any(1)
+        out = np.zeros_like(a)
+        out[whole] = project_rows(a[whole])
+        return out
     down = -np.sort(-a, axis=1)
     theta = ((np.cumsum(down, axis=1) - 1) / np.arange(1, a.shape[1] + 1)).max(axis=1, keepdims=True)
     return np.maximum(a - theta, 0)
@@ -26,12 +31,38 @@ def project_columns(a: np.ndarray) -> np.ndarray:
     return project_rows(np.asarray(a).T).T
 
 
+#: Called with (iteration, cost, change of cost) while a fit runs.
+Progress = Callable[[int, float, float], None]
+
+
+def check_init(init: str, starts: dict[str, object]) -> None:
+    """Raises for an unknown kind of start, and for "custom" without all its arrays."""
+    if init not in ("random", "furthest_sum", "custom"):
+        raise ValueError(f"init must be random, furthest_sum or custom: {init!r}")
+    if init == "custom" and (missing := sorted(n for n, v in starts.items() if v is None)):
+        raise ValueError(f"init custom needs {', '.join(missing)}")
+
+
+def check_start(array: np.ndarray | None, shape: tuple[int, ...], sums_along: int | None) -> None:
+    """Raises unless an array that is given has this shape, is finite and sums to 1 along an axis, if one is named."""
+    if array is None:
+        return
+    array = np.asarray(array, float)
+    if array.shape != shape:
+        raise ValueError(f"a start has shape {array.shape}, not {shape}")
+    if not np.isfinite(array).all():
+        raise ValueError("a start has values that are not finite")
+    if sums_along is not None and (array.min() < -1e-8 or not np.allclose(array.sum(sums_along), 1)):
+        raise ValueError("a start is not on the simplex")
+
+
 @dataclass
 class Trace:
     """Costs by iteration and whether the last change was below the tolerance."""
 
     costs: list[float] = field(default_factory=list)
     converged: bool = False
+    progress: Progress | None = None
 
     def step(self, cost: float, tolerance: float, monotonic: bool) -> bool:
         """Notes a cost; True if it is time to stop."""
@@ -39,6 +70,8 @@ class Trace:
             raise RuntimeError(f"the cost rose from {self.costs[-1]} to {cost}")
         self.converged = bool(self.costs) and abs(self.costs[-1] - cost) < tolerance
         self.costs.append(cost)
+        if self.progress:
+            self.progress(len(self.costs) - 1, cost, cost - self.costs[-2] if len(self.costs) > 1 else float("nan"))
         return self.converged
 
 
@@ -167,15 +200,31 @@ def random_mtd(k: int, lags: Sequence[int], state: np.random.RandomState) -> tup
 def fit_coding(
     x: np.ndarray, k: int, epsilon_states: float = 0.0, lags: Sequence[int] = (), epsilon_weights: float = 0.0, gamma: np.ndarray | None = None, states: np.ndarray | None = None,
     mixture: tuple[np.ndarray, np.ndarray] | None = None, tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0, update: Sequence[str] = ("states", "weights", "parameters"), monotonic: bool = True,
+    memory: int = 1, init: str = "random", progress: Progress | None = None,
 ) -> Coding:
-    """Alternates steps on states, weights and (with lags) parameters of the mixture."""
+    """Alternates steps on states, weights and (with lags) parameters of the mixture.
+
+    init is "random", "furthest_sum" (states are rows of x far from each other)
+    or "custom" (states, gamma and, with lags, mixture are given). A line search
+    compares with the largest of the last `memory` costs.
+    """
     rng, c = np.random.RandomState(seed), 1 / x.size
+    check_init(init, {"states": states, "gamma": gamma, **({"mixture": mixture} if len(lags) else {})})
+    check_start(states, (k, x.shape[1]), None)
+    check_start(gamma, (len(x), k), 1)
+    if mixture is not None:
+        check_start(mixture[0][None], (1, len(lags)), 1)
+        check_start(np.concatenate(list(mixture[1])), (len(lags) * k, k), None)
+        for matrix in mixture[1]:
+            check_start(matrix, (k, k), 0)
+    if states is None and init == "furthest_sum":
+        states = x[furthest_rows(x, k, int(rng.randint(len(x))))].astype(float)
     if states is None:
         states = np.sqrt(np.abs(x).mean() / k) * rng.standard_normal((k, x.shape[1]))
     if gamma is None:
         gamma = right_stochastic((len(x), k), rng)
     w, t = mixture or (random_mtd(k, lags, rng) if len(lags) else (None, None))
-    blocks, trace = {n: Block() for n in ("states", "weights", "parameters")}, Trace()
+    blocks, trace = {n: Block(memory) for n in ("states", "weights", "parameters")}, Trace(progress=progress)
     n, m = len(x), max(lags, default=0)
 
     def penalty(g: np.ndarray) -> float:
@@ -254,9 +303,10 @@ class Archetypes:
 
 def furthest_rows(x: np.ndarray, k: int, start: int = 0, extra_steps: int = 10) -> list[int]:
     """Furthest-sum picks on an array."""
-    def distance(i: int) -> np.ndarray:
-        return np.sqrt(np.maximum(((x - x[i]) ** 2).sum(1), 0))
+    return _furthest(lambda i: np.sqrt(np.maximum(((x - x[i]) ** 2).sum(1), 0)), len(x), k, start, extra_steps)
+
 
+def _furthest(distance: Callable[[int], np.ndarray], n: int, k: int, start: int, extra_steps: int) -> list[int]:
     def furthest(picked: list[int]) -> int:
         sums = sum(distance(i) for i in picked)
         sums[picked] = -1
@@ -265,54 +315,115 @@ def furthest_rows(x: np.ndarray, k: int, start: int = 0, extra_steps: int = 10)
     picked = [start]
     while len(picked) < k:
         picked.append(furthest(picked))
-    for step in range(extra_steps if 1 < k < len(x) else 0):
+    for step in range(extra_steps if 1 < k < n else 0):
         others = picked[: step % k] + picked[step % k + 1 :]
         picked[step % k] = furthest(others)
     return picked
 
 
-def fit_archetypes(x: np.ndarray, k: int, delta: float = 0.0, dictionary: np.ndarray | None = None, weights: np.ndarray | None = None, init: str = "furthest_sum", tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0, update: Sequence[str] = ("dictionary", "weights"), monotonic: bool = True) -> Archetypes:
+class _Linear:
+    """Products of samples where the kernel is linear: nothing of the size of all pairs exists."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.total = x, float((x * x).sum())
+
+    def mixed(self, dictionary: np.ndarray) -> np.ndarray:
+        """C X (k by features)."""
+        return dictionary @ self.x
+
+    def with_samples(self, mixed: np.ndarray) -> np.ndarray:
+        """Products of mixtures and samples (k by samples)."""
+        return mixed @ self.x.T
+
+    def between(self, mixed: np.ndarray, dictionary: np.ndarray) -> np.ndarray:
+        """Products of mixtures with each other (k by k)."""
+        return mixed @ mixed.T
+
+
+class _Kernel(_Linear):
+    """The same from a kernel matrix of all samples; a mixture is C K."""
+
+    def __init__(self, matrix: np.ndarray):
+        if matrix.ndim != 2 or len(matrix) != matrix.shape[1] or not np.allclose(matrix, matrix.T, atol=1e-8):
+            raise ValueError(f"a kernel matrix must be square and symmetric; its shape is {matrix.shape}")
+        self.matrix, self.total = matrix, float(np.trace(matrix))
+
+    def mixed(self, dictionary: np.ndarray) -> np.ndarray:
+        return dictionary @ self.matrix
+
+    def with_samples(self, mixed: np.ndarray) -> np.ndarray:
+        return mixed
+
+    def between(self, mixed: np.ndarray, dictionary: np.ndarray) -> np.ndarray:
+        return mixed @ dictionary.T
+
+
+def fit_archetypes(
+    x: np.ndarray, k: int, delta: float = 0.0, dictionary: np.ndarray | None = None, weights: np.ndarray | None = None, init: str = "furthest_sum", tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0,
+    update: Sequence[str] = ("dictionary", "weights"), monotonic: bool = True, memory: int = 1, kernel: bool = False, progress: Progress | None = None,
+) -> Archetypes:
     """X is near S C X, with rows of S and of C on the simplex; rows of C may be scaled by 1 - delta to 1 + delta.
 
-    With linear products nothing of the size of all pairs of samples exists:
-    Z = C X is carried along.
+    With kernel, x is the matrix K of products of all samples, and the distance
+    of samples to S C X is taken where K is the product; states are C K then.
     """
     rng, n = np.random.RandomState(seed), len(x)
+    own = _Kernel(x) if kernel else _Linear(x)
+    check_init(init, {"dictionary": dictionary, "weights": weights})
+    check_start(dictionary, (k, n), 1)
+    check_start(weights, (n, k), 1)
     if dictionary is None:
         if init == "random":
             dictionary = right_stochastic((k, n), rng)
         else:
             dictionary = np.zeros((k, n))
-            dictionary[np.arange(k), furthest_rows(x, k, int(rng.randint(n)))] = 1
-    s = right_stochastic((n, k), rng) if weights is None else weights
-    scales, blocks, trace = np.ones(k), {m: Block() for m in ("dictionary", "weights")}, Trace()
-    z = scales[:, None] * (dictionary @ x)
+            start = int(rng.randint(n))
+            dictionary[np.arange(k), furthest_by_kernel(x, k, start) if kernel else furthest_rows(x, k, start)] = 1
+    s = right_stochastic((n, k), rng) if weights is None else np.asarray(weights, float)
+    scales, blocks, trace = np.ones(k), {m: Block(memory) for m in ("dictionary", "weights")}, Trace(progress=progress)
+
+    def products() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Z, its products with samples, and with itself, of the scaled dictionary."""
+        z = scales[:, None] * own.mixed(dictionary)
+        return z, own.with_samples(z), own.between(z, scales[:, None] * dictionary)
+
+    z, zx, zz = products()
 
     def cost() -> float:
-        return float(((x - s @ z) ** 2).sum())
+        return float(own.total - 2 * (s.T * zx).sum() + ((s.T @ s) * zz).sum())
+
+    def bend(d: np.ndarray, sts: np.ndarray) -> float:
+        scaled = scales[:, None] * d
+        return float((sts * own.between(own.mixed(scaled), scaled)).sum())
 
     trace.step(cost(), tolerance, monotonic)
     for _ in range(max_iterations):
         if "dictionary" in update:
             sts = s.T @ s
-            gradient = scales[:, None] * (2 * (sts @ z - s.T @ x) @ x.T)
-            dictionary = blocks["dictionary"].quadratic(dictionary, gradient, project_rows, cost(), lambda d: (sts * ((y := scales[:, None] * (d @ x)) @ y.T)).sum())
-            base = dictionary @ x
+            slope = scales[:, None] * own.with_samples(2 * (sts @ z - own.mixed(s.T)))
+            dictionary = blocks["dictionary"].quadratic(dictionary, slope, project_rows, cost(), lambda d, sts=sts: bend(d, sts))
             if delta > 0:  # a coordinate step on each scale, with its exact minimum inside the bounds
+                base = own.mixed(dictionary)
+                to_samples, gram = own.with_samples(base), own.between(base, dictionary)
                 for i in range(k):
-                    other = s.T[i] @ (x - s @ (scales[:, None] * base) + np.outer(s[:, i], scales[i] * base[i]))
-                    weight = sts[i, i] * (base[i] @ base[i])
+                    weight = sts[i, i] * gram[i, i]
                     if weight > 0:
-                        scales[i] = np.clip((other @ base[i]) / weight, 1 - delta, 1 + delta)
-            z = scales[:, None] * base
+                        left = s.T[i] @ to_samples[i] - sum(sts[i, j] * scales[j] * gram[i, j] for j in range(k) if j != i)
+                        scales[i] = np.clip(left / weight, 1 - delta, 1 + delta)
+            z, zx, zz = products()
         if "weights" in update:
-            gram = z @ z.T
-            s = blocks["weights"].quadratic(s, 2 * (s @ gram - x @ z.T), project_rows, cost(), lambda d: ((d @ z) ** 2).sum())
+            s = blocks["weights"].quadratic(s, 2 * (s @ zz - zx.T), project_rows, cost(), lambda d, g=zz: float(((d.T @ d) * g).sum()))
         if trace.step(cost(), tolerance, monotonic):
             break
     return Archetypes(s, dictionary, z, trace, scales)
 
 
+def furthest_by_kernel(matrix: np.ndarray, k: int, start: int = 0, extra_steps: int = 10) -> list[int]:
+    """Furthest-sum picks by the distances that a kernel matrix implies."""
+    own = np.diag(matrix)
+    return _furthest(lambda i: np.sqrt(np.maximum(own + own[i] - 2 * matrix[i], 0)), len(matrix), k, start, extra_steps)
+
+
 # --- autoregression ----------------------------------------------------------
 
 
@@ -341,6 +452,13 @@ class Autoregression:
     def residuals(self, y: np.ndarray, z: np.ndarray) -> np.ndarray:
         return y[len(y) - len(z) :] - z @ self.coefficients
 
+    @property
+    def precision(self) -> np.ndarray | None:
+        """The inverse of the noise covariance; None where there is none or it is singular."""
+        if self.sigma is None or np.linalg.matrix_rank(self.sigma) < len(self.sigma):
+            return None
+        return np.linalg.inv(self.sigma)
+
 
 def unpack(coefficients: np.ndarray, d: int, p: int, m: int, s: int, trend: bool, contemporaneous: bool, sigma: np.ndarray | None) -> Autoregression:
     at = int(trend)
@@ -392,13 +510,14 @@ def _cheapest_path(distance: np.ndarray, toll: np.ndarray) -> np.ndarray:
     return path
 
 
-def bounded_weights(distance: np.ndarray, bound: float | None, max_columns: int = 2000) -> np.ndarray:
+def bounded_weights(distance: np.ndarray, bound: float | None, max_columns: int = 100_000) -> np.ndarray:
     """Weights on the simplex of least cost whose total variation is at most bound in each component.
 
     Without a bound (None or negative) each row goes to its nearest component.
     With one, the linear programme is solved over mixtures of label paths:
     revised simplex on k + 1 rows, where a dynamic programme finds the path of
     least reduced cost. It starts from the best constant path, which is feasible.
+    Raises if max_columns paths do not bring it to its end.
     """
     n, k = distance.shape
     if bound is None or bound < 0 or k == 1:
@@ -438,6 +557,8 @@ def bounded_weights(distance: np.ndarray, bound: float | None, max_columns: int
         leave = min((basis[i], i) for i in np.flatnonzero(ratio <= ratio.min() + 1e-12))[1]
         basis[leave] = enter
         matrix[:, leave] = column(enter)
+    else:
+        raise RuntimeError(f"weights of bounded variation are not found within {max_columns} columns")
     share = np.maximum(np.linalg.solve(matrix, right), 0)
     out = np.zeros((n, k))
     for b, x in zip(basis, share, strict=True):
@@ -448,12 +569,11 @@ def bounded_weights(distance: np.ndarray, bound: float | None, max_columns: int
 
 @dataclass
 class Regimes:
-    """Weights, parameters by component, and costs."""
+    """Weights, parameters of the components, and costs."""
 
     gamma: np.ndarray
     trace: Trace
-    centers: np.ndarray | None = None
-    models: list[Autoregression] | None = None
+    parameters: object
 
 
 def centroids(x: np.ndarray, gamma: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -467,33 +587,123 @@ def centroids_of(gtx: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return gtx / np.where(mass > 0, mass, np.nan)
 
 
-def fit_regimes_kmeans(x: np.ndarray, k: int, bound: float | None, tolerance: float = 1e-4, max_iterations: int = 500, seed: int = 0) -> Regimes:
-    rng, trace = np.random.RandomState(seed), Trace()
-    centers = x[rng.choice(len(x), k, replace=False)]
-    gamma = right_stochastic((len(x), k), rng)
-    for _ in range(max_iterations):
-        if trace.costs:
-            centers = centroids(x, gamma, centers)
-        distance = ((x[:, None] - centers[None]) ** 2).sum(2)
-        gamma = bounded_weights(distance, bound)
-        if trace.step(float((gamma * distance).sum()), tolerance, False):
-            break
-    return Regimes(gamma, trace, centers=centers)
+class Family:
+    """What a component of a regime model is: three hooks, and its parameters as tables.
 
+    Rows before `skipped` have no distance. Where start cannot tell components
+    apart, weights_first is False: a fit then updates parameters by random
+    weights before anything else.
+    """
 
-def fit_regimes_var(y: np.ndarray, k: int, bound: float | None, memory: Sequence[int], u: np.ndarray | None = None, tolerance: float = 1e-4, max_iterations: int = 500, seed: int = 0) -> Regimes:
-    """Rows before the longest memory keep the weights of the first row after; they are outside the regression."""
-    rng, trace, m = np.random.RandomState(seed), Trace(), max(memory)
-    gamma = right_stochastic((len(y) - m, k), rng)
-    models: list[Autoregression] = []
-    for _ in range(max_iterations):
-        models, distance = [], np.zeros((len(y) - m, k))
-        for i, p in enumerate(memory):
-            part_y, part_u = y[m - p :], None if u is None else u[m - p :]
-            model = fit_autoregression(part_y, p, part_u, 0, gamma[:, i])
-            distance[:, i] = (model.residuals(part_y, design(part_y, p, part_u, 0)) ** 2).sum(1)
-            models.append(model)
+    skipped, weights_first = 0, True
+
+    def start(self, x: np.ndarray, u: np.ndarray | None, k: int, rng: np.random.RandomState) -> object:
+        """Parameters of k components to begin with."""
+        raise NotImplementedError
+
+    def distances(self, parameters: object, x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+        """Costs of rows from `skipped` on in each component (rows by k)."""
+        raise NotImplementedError
+
+    def update(self, parameters: object, x: np.ndarray, u: np.ndarray | None, gamma: np.ndarray) -> object:
+        """Parameters of least cost for these weights of rows from `skipped` on."""
+        raise NotImplementedError
+
+    def tables(self, parameters: object) -> list[tuple[str, np.ndarray]]:
+        """The parameters as named arrays, components first."""
+        raise NotImplementedError
+
+    def restored(self, tables: dict[str, np.ndarray]) -> object:
+        """Parameters from their arrays."""
+        raise NotImplementedError
+
+
+class Centers(Family):
+    """A component is a point; costs are squared distances."""
+
+    def start(self, x: np.ndarray, u: np.ndarray | None, k: int, rng: np.random.RandomState) -> np.ndarray:
+        return x[rng.choice(len(x), k, replace=False)]
+
+    def distances(self, parameters: np.ndarray, x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+        return np.stack([((x - c) ** 2).sum(1) for c in parameters], 1)
+
+    def update(self, parameters: np.ndarray, x: np.ndarray, u: np.ndarray | None, gamma: np.ndarray) -> np.ndarray:
+        return centroids(x, gamma, parameters)
+
+    def tables(self, parameters: np.ndarray) -> list[tuple[str, np.ndarray]]:
+        return [("centers", parameters)]
+
+    def restored(self, tables: dict[str, np.ndarray]) -> np.ndarray:
+        return tables["centers"]
+
+
+class Autoregressions(Family):
+    """A component is a vector autoregression with a memory of its own and a contemporaneous input; costs are squared residuals.
+
+    All memories are aligned on t: rows before the longest are outside.
+    """
+
+    weights_first = False
+
+    def __init__(self, memories: Sequence[int]):
+        self.memories, self.skipped = list(memories), max(memories)
+
+    def _part(self, x: np.ndarray, u: np.ndarray | None, p: int) -> tuple[np.ndarray, np.ndarray | None]:
+        at = self.skipped - p
+        return x[at:], None if u is None else u[at:]
+
+    def start(self, x: np.ndarray, u: np.ndarray | None, k: int, rng: np.random.RandomState) -> list[Autoregression]:
+        """Weights of all 1: components of one memory start alike, and the first weights part them."""
+        return self.update(None, x, u, np.ones((len(x) - self.skipped, k)))
+
+    def distances(self, parameters: list[Autoregression], x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+        out = []
+        for p, model in zip(self.memories, parameters, strict=True):
+            y, v = self._part(x, u, p)
+            out.append((model.residuals(y, design(y, p, v, 0)) ** 2).sum(1))
+        return np.stack(out, 1)
+
+    def update(self, parameters: object, x: np.ndarray, u: np.ndarray | None, gamma: np.ndarray) -> list[Autoregression]:
+        return [fit_autoregression(*self._with_input(x, u, p), 0, gamma[:, i]) for i, p in enumerate(self.memories)]
+
+    def _with_input(self, x: np.ndarray, u: np.ndarray | None, p: int) -> tuple[np.ndarray, int, np.ndarray | None]:
+        y, v = self._part(x, u, p)
+        return y, p, v
+
+    def tables(self, parameters: list[Autoregression]) -> list[tuple[str, np.ndarray]]:
+        width, d = max(len(m.coefficients) for m in parameters), parameters[0].coefficients.shape[1]
+        stacked, nothing = np.full((len(parameters), width, d), np.nan), np.full((d, d), np.nan)
+        for i, m in enumerate(parameters):
+            stacked[i, : len(m.coefficients)] = m.coefficients
+        noise = [("sigma", [m.sigma for m in parameters]), ("precision", [m.precision for m in parameters])]
+        return [("coefficients", stacked), *((n, np.stack([nothing if a is None else a for a in each])) for n, each in noise)]
+
+    def restored(self, tables: dict[str, np.ndarray]) -> list[Autoregression]:
+        out, k = [], len(self.memories)
+        stacked, noise = (a.reshape(k, -1, a.shape[-1]) for a in (tables["coefficients"], tables["sigma"]))
+        for p, c, sigma in zip(self.memories, stacked, noise, strict=True):
+            c = c[~np.isnan(c).any(1)]
+            d = c.shape[1]
+            out.append(unpack(c, d, p, len(c) - 1 - p * d, 0, True, True, None if np.isnan(sigma).any() else sigma))
+        return out
+
+
+def fit_regimes(family: Family, x: np.ndarray, u: np.ndarray | None, k: int, bound: float | None, tolerance: float = 1e-4, max_iterations: int = 500, seed: int = 0, progress: Progress | None = None) -> Regimes:
+    """Alternates weights of bounded variation and parameters. Rows that the family skips have the weights of the first row after them."""
+    rng, trace = np.random.RandomState(seed), Trace(progress=progress)
+    parameters = family.start(x, u, k, rng)
+    gamma = right_stochastic((len(x) - family.skipped, k), rng)
+    for iteration in range(max_iterations):
+        if iteration or not family.weights_first:
+            parameters = family.update(parameters, x, u, gamma)
+        distance = family.distances(parameters, x, u)
         gamma = bounded_weights(distance, bound)
         if trace.step(float((gamma * distance).sum()), tolerance, False):
             break
-    return Regimes(np.vstack([np.repeat(gamma[:1], m, 0), gamma]), trace, models=models)
+    return Regimes(np.vstack([np.repeat(gamma[:1], family.skipped, 0), gamma]), trace, parameters)
+
+
+def regime_weights(family: Family, parameters: object, x: np.ndarray, u: np.ndarray | None, bound: float | None) -> np.ndarray:
+    """Weights of new rows for fixed parameters."""
+    gamma = bounded_weights(family.distances(parameters, x, u), bound)
+    return np.vstack([np.repeat(gamma[:1], family.skipped, 0), gamma])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import vec
 from driftlens.sources.frames import check_positive
+from driftlens.sources.store import written
 
 
 def transitions(labels: DataFrame, label: str = "label", series: str = "series_id", order: tuple[str, ...] = ("t",)) -> DataFrame:
@@ -39,11 +40,13 @@ def matrix(table: DataFrame) -> tuple[list, np.ndarray]:
 
 @dataclass(frozen=True)
 class KMeansMarkovModel:
-    """Centres, inertia and the transition matrix of the labels."""
+    """Centres, inertia, the transition matrix of the labels, labels(series_id, t, label) of the fitted rows, iterations."""
 
     centers: np.ndarray
     inertia: float
     transition: np.ndarray
+    labels: DataFrame
+    iterations: int
 
     def transform(self, df: DataFrame) -> DataFrame:
         """df with distance (to each centre) and label."""
@@ -70,10 +73,10 @@ class KMeansMarkov:
             kmeans.setWeightCol(self.weight)
         rows = df.select("series_id", "t", array_to_vector(F.col("x")).alias("features"), *([self.weight] if self.weight else []))
         fitted = kmeans.fit(rows)
-        labelled = fitted.transform(rows).select("series_id", "t", "label")
+        labelled = written(fitted.transform(rows).select("series_id", "t", "label"))
         states, t = matrix(transitions(labelled))
         full = np.full((len(fitted.clusterCenters()),) * 2, np.nan)
         full[np.ix_(states, states)] = t
-        return KMeansMarkovModel(np.array(fitted.clusterCenters()), float(fitted.summary.trainingCost), full)
+        return KMeansMarkovModel(np.array(fitted.clusterCenters()), float(fitted.summary.trainingCost), full, labelled, int(fitted.summary.numIter))
 
 

@@ -1,9 +1,16 @@
-"""Estimators over DataFrames: fit(df) gives an immutable model with tables.
+"""Estimators over DataFrames: fit(df) gives an immutable model with tables and transform(df).
 
 Every model is fitted for each series by one task of applyInPandas, so many
-series, restarts or parameter sets run side by side. ConvexCoding also has
-fit_long, for one series that does not fit a task: its passes are aggregations
-over all rows. Failures of a series' own data raise.
+series, restarts or parameter sets run side by side; transform takes the rows
+of a series and its parameters (not its samples) to one task likewise. Convex
+codings, archetypes and regimes also have fit_long, for one series that does not
+fit a task: its passes are aggregations over all rows. Failures of a series' own
+data raise.
+
+Starts: init "random", "furthest_sum" or "custom" with start, arrays by name,
+the same for every series. `update` names the blocks that a fit may change, the
+others stay at their start. progress(series, iteration, cost, change) is called
+in the workers while a fit runs.
 """
 
 from __future__ import annotations
@@ -13,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import vec
@@ -46,11 +53,42 @@ def _entries(series: int, part: str, array: np.ndarray, times: np.ndarray | None
     return pd.DataFrame({"series_id": series, "part": part, "a": a, "t": t, "i": i, "j": j, "value": array.ravel()})[_COLUMNS]
 
 
+#: (parameters of a series by name, x, u) -> weights of its rows.
+Transform = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray | None], np.ndarray]
+
+
 @dataclass(frozen=True)
 class Fitted:
     """The parts of a fit, for every series."""
 
     parts: DataFrame
+    weights: Transform | None = None
+
+    def parameters(self) -> DataFrame:
+        """The parts that are not by sample, and not the costs."""
+        return self.parts.where(~F.col("part").isin("gamma", "dictionary", "cost"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """(series_id, t, gamma): weights of new rows with the parameters of their series held fixed. Series that were not fitted have no rows."""
+        weights = self.weights
+        if weights is None:
+            raise ValueError("this fit has no transform")
+
+        def run(rows: pd.DataFrame, parameters: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(parameters):
+                return pd.DataFrame({"series_id": pd.Series(dtype="int64"), "t": pd.Series(dtype="int64"), "gamma": pd.Series(dtype=object)})
+            rows, x, u = _arrays(rows)
+            return pd.DataFrame({"series_id": rows["series_id"], "t": rows["t"], "gamma": list(weights(_tables(parameters), x, u))})
+
+        both = df.select(*_columns(df)).groupBy("series_id").cogroup(self.parameters().groupBy("series_id"))
+        return both.applyInPandas(run, "series_id long, t long, gamma array<double>")
+
+    def inverse_transform(self, coded: DataFrame, states: str = "states") -> DataFrame:
+        """coded(series_id, t, gamma) with y: gamma times the states (or centres) of its series."""
+        one = self.part(states).groupBy("series_id", "j").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("v"))
+        columns = one.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("j", F.col("v.value").alias("s")))).alias("c"))
+        joined = coded.join(F.broadcast(columns) if columns.limit(1001).count() <= 1000 else columns, "series_id")
+        return joined.withColumn("y", F.transform("c", lambda c: vec.dot("gamma", c["s"]))).drop("c")
 
     def part(self, name: str) -> DataFrame:
         return self.parts.where(F.col("part") == name).drop("part")
@@ -75,18 +113,35 @@ class Fitted:
         return costs.withColumn("delta", F.col("cost") - before)
 
 
-def fit_series(df: DataFrame, fit: Callable[[np.ndarray, np.ndarray | None, int], list[tuple[str, np.ndarray, bool]]]) -> Fitted:
+def _arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray | None]:
+    """Rows of a series in order of t, their x, and their u."""
+    pdf = pdf.sort_values("t", kind="stable")
+    return pdf, np.stack(pdf["x"].to_numpy()).astype(float), np.stack(pdf["u"].to_numpy()).astype(float) if "u" in pdf else None
+
+
+def _columns(df: DataFrame) -> list[str]:
+    return ["series_id", "t", "x", *(["u"] if "u" in df.columns else [])]
+
+
+def _tables(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The arrays of a series' parameters."""
+    out = {}
+    for name, part in pdf.groupby("part"):
+        array = np.full(tuple(int(part[d].max()) + 1 for d in ("a", "i", "j")), np.nan)
+        array[part["a"], part["i"], part["j"]] = part["value"]
+        out[name] = array[0] if len(array) == 1 else array
+    return out
+
+
+def fit_series(df: DataFrame, fit: Callable[[np.ndarray, np.ndarray | None, int], list[tuple[str, np.ndarray, bool]]], transform: Transform | None = None) -> Fitted:
     """fit(x, u, series) -> [(part, array, whether it is by sample)], for each series in order of t."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        x = np.stack(pdf["x"].to_numpy()).astype(float)
-        u = np.stack(pdf["u"].to_numpy()).astype(float) if "u" in pdf else None
+        pdf, x, u = _arrays(pdf)
         series = int(pdf["series_id"].iloc[0])
         return pd.concat([_entries(series, n, a, pdf["t"].to_numpy() if by_sample else None) for n, a, by_sample in fit(x, u, series)], ignore_index=True)
 
-    columns = ["series_id", "t", "x", *(["u"] if "u" in df.columns else [])]
-    return Fitted(written(df.select(*columns).groupBy("series_id").applyInPandas(run, _PARTS)))
+    return Fitted(written(df.select(*_columns(df)).groupBy("series_id").applyInPandas(run, _PARTS)), transform)
 
 
 class ConvexCoding:
@@ -96,26 +151,46 @@ class ConvexCoding:
     epsilon_weights is above 0, else after the coding.
     """
 
-    def __init__(self, n_components: int, epsilon_states: float = 0.0, lags: Sequence[int] = (), epsilon_weights: float = 0.0, tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0):
-        check_positive(n_components=n_components, max_iterations=max_iterations, tolerance=tolerance)
+    def __init__(
+        self, n_components: int, epsilon_states: float = 0.0, lags: Sequence[int] = (), epsilon_weights: float = 0.0, tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0, init: str = "random",
+        start: dict | None = None, update: Sequence[str] = ("states", "weights", "parameters"), monotonic: bool = True, memory: int = 1, progress: Callable[[int, int, float, float], None] | None = None,
+    ):
+        check_positive(n_components=n_components, max_iterations=max_iterations, tolerance=tolerance, memory=memory)
+        core.check_init(init, {} if init != "custom" else {"states": (start or {}).get("states"), "gamma": (start or {}).get("gamma")})
+        if not set(update) <= {"states", "weights", "parameters"}:
+            raise ValueError(f"update may name states, weights and parameters: {list(update)}")
         self.k, self.epsilon, self.lags = n_components, epsilon_states, core.check_lags(lags) if len(lags) else []
         self.epsilon_weights, self.tolerance, self.max_iterations, self.seed = epsilon_weights, tolerance, max_iterations, seed
+        self.init, self.options = init, {**(start or {}), "init": init, "update": tuple(update), "monotonic": monotonic, "memory": memory}
+        self.progress = progress
+
+    def _fit(self, x: np.ndarray, series: int, **options: object) -> core.Coding:
+        joint = self.lags if self.epsilon_weights > 0 else []
+        note = None if self.progress is None else lambda *a: self.progress(series, *a)
+        limits = {"tolerance": self.tolerance, "max_iterations": self.max_iterations, "seed": self.seed}
+        return core.fit_coding(x, self.k, self.epsilon, joint, self.epsilon_weights, **{**limits, **self.options, **options}, progress=note)
+
+    def _weights(self, parameters: dict[str, np.ndarray], x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+        """Weights for fixed states, and for a fixed mixture where they are coded jointly."""
+        mixture = None
+        if self.lags and self.epsilon_weights > 0:
+            mixture = (parameters["order_weights"].ravel(), parameters["transitions"].reshape(len(self.lags), self.k, self.k))
+        return self._fit(x, -1, states=parameters["states"], gamma=None, mixture=mixture, init="random", update=("weights",)).gamma
 
     def fit(self, df: DataFrame) -> Fitted:
         own = self
 
         def fit(x: np.ndarray, u: np.ndarray | None, series: int) -> list[tuple[str, np.ndarray, bool]]:
-            joint = own.lags if own.epsilon_weights > 0 else []
-            got = core.fit_coding(x, own.k, own.epsilon, joint, own.epsilon_weights, tolerance=own.tolerance, max_iterations=own.max_iterations, seed=own.seed)
+            got = own._fit(x, series)
             out = [("gamma", got.gamma, True), ("states", got.states, False), ("cost", np.array(got.trace.costs), False)]
             w, t = got.order_weights, got.transitions
-            if own.lags and not joint and len(x) > max(own.lags):
+            if own.lags and w is None and len(x) > max(own.lags):
                 w, t, _ = core.fit_mixture(core.moments_of(got.gamma, own.lags), own.lags, len(x), own.k, seed=own.seed)
             if w is not None:
                 out += [("order_weights", w, False), ("transitions", t.reshape(len(own.lags), own.k, own.k), False)]
             return out
 
-        return fit_series(df, fit)
+        return fit_series(df, fit, self._weights)
 
     def fit_long(self, df: DataFrame) -> tuple[DataFrame, np.ndarray, list[float]]:
         """(df with gamma, states, costs) for a series of any length, without lags in the loop.
@@ -188,29 +263,54 @@ def forecast(df: DataFrame, order_weights: np.ndarray, transitions: np.ndarray,
     return rows.withColumn("ahead", F.when(oldest.isNotNull(), total)).drop(*[f"gamma_lag{j}" for j in range(1, max(lags))])
 
 
-def fit_markov_mixture(df: DataFrame, lags: Sequence[int], seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Order weights and transitions for given weights, of any number of rows: one pass, then the driver."""
+def fit_markov_mixture(df: DataFrame, lags: Sequence[int], seed: int = 0, by: str = "window") -> tuple[np.ndarray, np.ndarray, float]:
+    """Order weights and transitions for given weights, of any number of rows: one pass, then the driver; by: see frames.lagged."""
     lags = core.check_lags(lags)
-    moments = lagged_moments(df, "gamma", lags)
+    moments = lagged_moments(df, "gamma", lags, by)
     n, k = df.count(), len(moments[0, 0])
     return core.fit_mixture(moments, lags, n, k, seed=seed)
 
 
 class ArchetypalAnalysis:
-    """X is near S C X; delta lets archetypes lie off the hull by that share."""
+    """X is near S C X; delta lets archetypes lie off the hull by that share.
+
+    kernel: None for linear products; a function from the samples of a series to
+    the matrix of their products; or "precomputed", where x is a sample's row of
+    that matrix (in order of t).
+    """
 
-    def __init__(self, n_components: int, delta: float = 0.0, init: str = "furthest_sum", tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0):
-        check_positive(n_components=n_components, max_iterations=max_iterations, tolerance=tolerance)
-        self.k, self.delta, self.init, self.tolerance, self.max_iterations, self.seed = n_components, delta, init, tolerance, max_iterations, seed
+    def __init__(
+        self, n_components: int, delta: float = 0.0, init: str = "furthest_sum", tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0, kernel: str | Callable[[np.ndarray], np.ndarray] | None = None,
+        start: dict | None = None, update: Sequence[str] = ("dictionary", "weights"), monotonic: bool = True, memory: int = 1, progress: Callable[[int, int, float, float], None] | None = None,
+    ):
+        check_positive(n_components=n_components, max_iterations=max_iterations, tolerance=tolerance, memory=memory)
+        core.check_init(init, {} if init != "custom" else {"dictionary": (start or {}).get("dictionary"), "weights": (start or {}).get("weights")})
+        if not set(update) <= {"dictionary", "weights"}:
+            raise ValueError(f"update may name dictionary and weights: {list(update)}")
+        if not (kernel is None or kernel == "precomputed" or callable(kernel)):
+            raise ValueError(f"kernel must be None, precomputed or a function: {kernel!r}")
+        if delta < 0 or delta >= 1:
+            raise ValueError(f"delta must be in [0, 1): {delta}")
+        self.k, self.delta, self.tolerance, self.max_iterations, self.seed, self.kernel = n_components, delta, tolerance, max_iterations, seed, kernel
+        self.options = {**(start or {}), "init": init, "update": tuple(update), "monotonic": monotonic, "memory": memory}
+        self.progress = progress
+
+    def _weights(self, parameters: dict[str, np.ndarray], x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+        """Weights of new rows on the fixed archetypes; with a kernel there is no such thing without the fitted samples."""
+        states = parameters["states"]
+        return core.fit_coding(x, self.k, tolerance=self.tolerance, max_iterations=self.max_iterations, seed=self.seed, states=states, update=("weights",)).gamma
 
     def fit(self, df: DataFrame) -> Fitted:
         own = self
 
         def fit(x: np.ndarray, u: np.ndarray | None, series: int) -> list[tuple[str, np.ndarray, bool]]:
-            got = core.fit_archetypes(x, own.k, own.delta, init=own.init, tolerance=own.tolerance, max_iterations=own.max_iterations, seed=own.seed)
-            return [("gamma", got.weights, True), ("dictionary", got.dictionary.T, True), ("states", got.states, False), ("scales", got.scales, False), ("cost", np.array(got.trace.costs), False)]
+            products = own.kernel(x) if callable(own.kernel) else x
+            note = None if own.progress is None else lambda *a: own.progress(series, *a)
+            got = core.fit_archetypes(products, own.k, own.delta, tolerance=own.tolerance, max_iterations=own.max_iterations, seed=own.seed, kernel=own.kernel is not None, **own.options, progress=note)
+            states = got.states if own.kernel is None else got.scales[:, None] * (got.dictionary @ x)
+            return [("gamma", got.weights, True), ("dictionary", got.dictionary.T, True), ("states", states, False), ("scales", got.scales, False), ("cost", np.array(got.trace.costs), False)]
 
-        return fit_series(df, fit)
+        return fit_series(df, fit, self._weights if self.kernel is None else None)
 
 
 class BoundedRegimes:
@@ -218,16 +318,21 @@ class BoundedRegimes:
 
     kind "kmeans": a regime is a centre. kind "var": a regime is a vector
     autoregression of `memory` (an int, or one for each component), with a
-    contemporaneous input where df has u.
+    contemporaneous input where df has u. Any other core.Family is a kind too:
+    three hooks (start, distances, update) and its parameters as tables.
     """
 
-    def __init__(self, n_components: int, max_tv_norm: float | None = None, kind: str = "kmeans", memory: int | Sequence[int] = 1, restarts: int = 1, tolerance: float = 1e-4, max_iterations: int = 500, seed: int = 0):
+    def __init__(self, n_components: int, max_tv_norm: float | None = None, kind: str | core.Family = "kmeans", memory: int | Sequence[int] = 1, restarts: int = 1, tolerance: float = 1e-4, max_iterations: int = 500, seed: int = 0, progress: Callable[[int, int, float, float], None] | None = None):
         check_positive(n_components=n_components, max_iterations=max_iterations, restarts=restarts, tolerance=tolerance)
         memories = [memory] * n_components if isinstance(memory, int) else list(memory)
-        if kind not in ("kmeans", "var") or len(memories) != n_components or min(memories) < 0:
+        if not isinstance(kind, core.Family) and (kind not in ("kmeans", "var") or len(memories) != n_components or min(memories) < 0):
             raise ValueError(f"kind {kind!r} with memory {memory!r} is not possible for {n_components} components")
-        self.k, self.bound, self.kind, self.memories, self.restarts = n_components, max_tv_norm, kind, memories, restarts
-        self.tolerance, self.max_iterations, self.seed = tolerance, max_iterations, seed
+        self.family = kind if isinstance(kind, core.Family) else core.Centers() if kind == "kmeans" else core.Autoregressions(memories)
+        self.k, self.bound, self.restarts = n_components, max_tv_norm, restarts
+        self.tolerance, self.max_iterations, self.seed, self.progress = tolerance, max_iterations, seed, progress
+
+    def _weights(self, parameters: dict[str, np.ndarray], x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+        return core.regime_weights(self.family, self.family.restored(parameters), x, u, self.bound)
 
     def fit(self, df: DataFrame) -> Fitted:
         """The restart of least cost for each series; restarts are groups of their own, so they run side by side."""
@@ -235,27 +340,34 @@ class BoundedRegimes:
         many = df.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(r - 1)))).withColumn("series_id", F.col("series_id") * r + F.col("restart")) if r > 1 else df
 
         def fit(x: np.ndarray, u: np.ndarray | None, series: int) -> list[tuple[str, np.ndarray, bool]]:
-            seed = own.seed + series % r
-            if own.kind == "kmeans":
-                got = core.fit_regimes_kmeans(x, own.k, own.bound, own.tolerance, own.max_iterations, seed)
-                own_parts = [("centers", got.centers, False)]
-            else:
-                got = core.fit_regimes_var(x, own.k, own.bound, own.memories, u, own.tolerance, own.max_iterations, seed)
-                width = max(len(m.coefficients) for m in got.models)
-                stacked = np.full((own.k, width, x.shape[1]), np.nan)
-                for i, m in enumerate(got.models):
-                    stacked[i, : len(m.coefficients)] = m.coefficients
-                own_parts = [("coefficients", stacked, False)]
-                own_parts += [("sigma", np.stack([np.full((x.shape[1],) * 2, np.nan) if m.sigma is None else m.sigma for m in got.models]), False)]
-            return [("gamma", got.gamma, True), *own_parts, ("cost", np.array(got.trace.costs), False)]
+            note = None if own.progress is None else lambda *a: own.progress(series, *a)
+            got = core.fit_regimes(own.family, x, u, own.k, own.bound, own.tolerance, own.max_iterations, own.seed + series % r, note)
+            return [("gamma", got.gamma, True), *((n, a, False) for n, a in own.family.tables(got.parameters)), ("cost", np.array(got.trace.costs), False)]
 
         parts = fit_series(many, fit).parts
         if r == 1:
-            return Fitted(parts)
+            return Fitted(parts, self._weights)
         w = Window.partitionBy("whole").orderBy("value", "series_id")
         last = parts.where("part = 'cost'").groupBy("series_id").agg(F.max_by("value", "i").alias("value")).withColumn("whole", F.floor(F.col("series_id") / r))
         best = last.withColumn("place", F.row_number().over(w)).where("place = 1").select("series_id", "whole")
-        return Fitted(parts.join(best, "series_id").drop("series_id").withColumnRenamed("whole", "series_id").select(*_COLUMNS))
+        return Fitted(parts.join(best, "series_id").drop("series_id").withColumnRenamed("whole", "series_id").select(*_COLUMNS), self._weights)
+
+    def fit_long(self, df: DataFrame) -> tuple[DataFrame, np.ndarray, list[float]]:
+        """(df with gamma, centres, costs) for a series of any length: centres without a bound on variation, an aggregation for each iteration."""
+        if not isinstance(self.family, core.Centers) or self.bound is not None:
+            raise ValueError("only centres without a bound are fitted by aggregations")
+        n, _ = check_vectors(df)
+        centers, trace = random_rows(df, self.k, np.random.RandomState(self.seed)), core.Trace()
+        for _ in range(self.max_iterations):
+            coded = df.withColumn("gamma", vec.one_hot(vec.argmin(vec.sqdists("x", centers)), self.k))
+            rows = coded.withColumn("all", F.concat("x", F.array(F.lit(1.0), vec.dot("x", "x"))))
+            sums = cross(rows, "gamma", "all")
+            x, mass, xx = sums[:, :-2], sums[:, -2], sums[:, -1]
+            cost = float((xx - 2 * (x * centers).sum(1) + mass * (centers * centers).sum(1)).sum())
+            if trace.step(cost, self.tolerance, False):
+                break
+            centers = np.where(mass[:, None] > 0, x / np.maximum(mass, 1)[:, None], centers)
+        return coded, centers, trace.costs
 
 
 class PiecewiseAutoregression:
@@ -264,31 +376,32 @@ class PiecewiseAutoregression:
     Rows [predictors, x] are clustered; a classifier learns the clusters from
     predictors alone, and its answers are the regions; each region has least
     squares of x on its predictors. Clusterer and classifier are any estimators
-    of pyspark.ml with a prediction column.
+    of pyspark.ml with a prediction column. Lags are taken `by`: see frames.lagged.
     """
 
-    def __init__(self, n_components: int, p: int = 1, s: int = 0, trend: bool = True, clusterer: Estimator | None = None, classifier: Estimator | None = None, seed: int = 0):
-        self.k, self.p, self.s, self.trend = n_components, p, s, trend
+    def __init__(self, n_components: int, p: int = 1, s: int = 0, trend: bool = True, clusterer: Estimator | None = None, classifier: Estimator | None = None, seed: int = 0, by: str = "window"):
+        self.k, self.p, self.s, self.trend, self.by = n_components, p, s, trend, by
         self.clusterer = clusterer or KMeans(k=n_components, seed=seed, featuresCol="joint", predictionCol="cluster")
         self.classifier = classifier or LogisticRegression(maxIter=50, family="multinomial", featuresCol="predictors", labelCol="cluster", predictionCol="region")
 
     def design(self, df: DataFrame) -> DataFrame:
         """(series_id, t, x, u, z); z has lags 1 to p of x, then 1 to s of u; rows before them are dropped."""
         rows = df.select("series_id", "t", "x", *(["u"] if self.s else []))
-        rows = lagged(rows, "x", range(1, self.p + 1))
-        rows = lagged(rows, "u", range(1, self.s + 1)) if self.s else rows
+        rows = lagged(rows, "x", range(1, self.p + 1), self.by)
+        rows = lagged(rows, "u", range(1, self.s + 1), self.by) if self.s else rows
         names = [f"x_lag{k}" for k in range(1, self.p + 1)] + [f"u_lag{k}" for k in range(1, self.s + 1)]
         there = F.lit(True)
         for n in names:
             there = there & F.col(n).isNotNull()
         return rows.where(there).withColumn("z", F.concat(*names)).drop(*names)
 
-    def fit(self, df: DataFrame) -> tuple[DataFrame, dict[int, core.Autoregression]]:
-        """(rows with region, {region: autoregression})."""
+    def fit(self, df: DataFrame) -> PiecewiseModel:
         rows = self.design(df).withColumns({"predictors": array_to_vector("z"), "joint": array_to_vector(F.concat("z", "x"))})
-        clustered = self.clusterer.fit(rows).transform(rows).withColumn("cluster", F.col("cluster").cast("double"))
+        clusters = self.clusterer.fit(rows)
+        clustered = clusters.transform(rows).withColumn("cluster", F.col("cluster").cast("double"))
         n_clusters = clustered.select("cluster").distinct().count()
-        labelled = self.classifier.fit(clustered).transform(clustered) if n_clusters > 1 else clustered.withColumn("region", F.lit(0.0))
+        regions = self.classifier.fit(clustered) if n_clusters > 1 else None
+        labelled = regions.transform(clustered) if regions else clustered.withColumn("region", F.lit(0.0))
         labelled = written(labelled.select("series_id", "t", "x", "z", F.col("region").cast("int").alias("region")))
         d = len(labelled.first().x)
         m = len(df.first().u) if self.s else 0
@@ -298,7 +411,42 @@ class PiecewiseAutoregression:
             part = part.withColumn("z", F.concat(F.array(F.lit(1.0)), "z") if self.trend else F.col("z")).withColumn("all", F.concat("z", "x"))
             gram = cross(part, "all", "all")
             out[region] = from_gram(gram, d, n, self.p, m, self.s, self.trend, False)
-        return labelled, out
+        return PiecewiseModel(self, clusters, regions, labelled, out)
+
+
+@dataclass(frozen=True)
+class PiecewiseModel:
+    """A fit of PiecewiseAutoregression: clusterer, classifier (None if there is one region), the rows with their regions, an autoregression for each region."""
+
+    estimator: PiecewiseAutoregression
+    clusterer: Model
+    classifier: Model | None
+    rows: DataFrame
+    regions: dict[int, core.Autoregression]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """(series_id, t, x, z, region, y) of new rows that have all their lags: y is what the region's autoregression gives; null in a region that no fitted row had."""
+        rows = self.estimator.design(df).withColumn("predictors", array_to_vector("z"))
+        found = self.classifier.transform(rows) if self.classifier else rows.withColumn("region", F.lit(0.0))
+        found = found.select("series_id", "t", "x", "z", F.col("region").cast("int").alias("region"))
+        z = F.concat(F.array(F.lit(1.0)), "z") if self.estimator.trend else F.col("z")
+        y = F.lit(None).cast("array<double>")
+        for region, model in self.regions.items():
+            y = F.when(F.col("region") == region, vec.matvec(model.coefficients.T, z)).otherwise(y)
+        return found.withColumn("y", y)
+
+
+def summarise_restarts(fits: Sequence[PiecewiseModel], spark: SparkSession) -> DataFrame:
+    """(component, i, mean, std, restarts) of coefficient i of each component over restarts; a bounded number of rows.
+
+    Components of a restart are put in the order of their constants (their
+    coefficients, where there is no trend) before restarts are compared; std is
+    that of a population.
+    """
+    each = [sorted((m.coefficients.ravel().tolist() for m in f.regions.values())) for f in fits]
+    rows = [(k, c, i, float(v)) for k, fit in enumerate(each) for c, values in enumerate(fit) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "restart int, component int, i int, value double")
+    return table.groupBy("component", "i").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("restarts"))
 
 
 def from_gram(gram: np.ndarray, d: int, n: int, p: int, m: int, s: int, trend: bool, contemporaneous: bool) -> core.Autoregression:
@@ -315,13 +463,13 @@ def from_gram(gram: np.ndarray, d: int, n: int, p: int, m: int, s: int, trend: b
     return core.unpack(b, d, p, m, s, trend, contemporaneous, e / (n - q) if n > q else None)
 
 
-def autoregression(df: DataFrame, p: int, s: int = 0, weight: str | None = None) -> core.Autoregression:
-    """x on [1, lags of x, lags of u, u] over all rows of all series: one pass over the lagged design."""
-    rows = lagged(df, "x", range(1, p + 1))
+def autoregression(df: DataFrame, p: int, s: int = 0, weight: str | None = None, by: str = "window") -> core.Autoregression:
+    """x on [1, lags of x, lags of u, u] over all rows of all series: one pass over the lagged design; by: see frames.lagged."""
+    rows = lagged(df, "x", range(1, p + 1), by)
     names = [f"x_lag{k}" for k in range(1, p + 1)]
     m = 0
     if "u" in df.columns:
-        rows, m = lagged(rows, "u", range(1, s + 1)), len(df.first().u)
+        rows, m = lagged(rows, "u", range(1, s + 1), by), len(df.first().u)
         names += [*(f"u_lag{k}" for k in range(1, s + 1)), "u"]
     for name in names:
         rows = rows.where(F.col(name).isNotNull())

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.sources.frames import lagged
+from driftlens.sources.store import written
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -55,7 +58,7 @@ def simplex_columns(df: DataFrame, column: str, keys: list[str], rounds: int = 2
     the entries still above their thresholds, and no component's entries are
     gathered or sorted. Returns df with the projected column, and thresholds.
     """
-    entries = df.select(F.posexplode(column).alias("j", "v"))
+    entries = written(df.select(F.posexplode(column).alias("j", "v")))
     got = entries.groupBy("j").agg(F.sum("v").alias("s"), F.count("v").alias("n")).orderBy("j").collect()
     theta = np.array([(r.s - 1) / r.n for r in got])
     for _ in range(rounds):
@@ -71,11 +74,10 @@ def simplex_columns(df: DataFrame, column: str, keys: list[str], rounds: int = 2
     return df.withColumn(column, F.zip_with(column, level, lambda v, t: F.greatest(v - t, F.lit(0.0)))), theta
 
 
-def lagged_moments(df: DataFrame, column: str, lags: list[int]) -> dict[tuple[int, int], np.ndarray]:
-    """M[a, b] = sum of x(t - a) x(t - b)' over t from the largest lag on, for a, b in {0, *lags}, in one pass."""
-    w = Window.partitionBy("series_id").orderBy("t")
+def lagged_moments(df: DataFrame, column: str, lags: list[int], by: str = "window") -> dict[tuple[int, int], np.ndarray]:
+    """M[a, b] = sum of x(t - a) x(t - b)' over t from the largest lag on, for a, b in {0, *lags}, in one pass; by: see frames.lagged."""
     all_ = [0, *lags]
-    wide = df.withColumn("n", F.row_number().over(w)).withColumn("all", F.concat(*[F.col(column) if a == 0 else F.coalesce(F.lag(column, a).over(w), F.array()) for a in all_]))
-    whole = cross(wide.where(F.col("n") > max(lags)), "all", "all")
+    wide = lagged(df.select("series_id", "t", column), column, lags, by).where(F.col(f"{column}_lag{max(lags)}").isNotNull())
+    whole = cross(wide.withColumn("all", F.concat(column, *[f"{column}_lag{k}" for k in lags])), "all", "all")
     k = len(whole) // len(all_)
     return {(a, b): whole[i * k : (i + 1) * k, j * k : (j + 1) * k] for i, a in enumerate(all_) for j, b in enumerate(all_)}

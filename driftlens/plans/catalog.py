@@ -14,7 +14,7 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions import vec
@@ -133,12 +133,11 @@ def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray]:
 
 def _predicted(days: DataFrame, t: np.ndarray) -> DataFrame:
     """days with z: what the mixture predicts."""
-    rows = frames.lagged(days, "gamma", LAGS)
+    rows = frames.lagged(days, "gamma", LAGS, "chunk")
     total = vec.scaled(vec.matvec(t[0], f"gamma_lag{LAGS[0]}"), ORDER[0])
     for w, m, lag in zip(ORDER[1:], t[1:], LAGS[1:], strict=True):
         total = vec.add(total, vec.scaled(vec.matvec(m, f"gamma_lag{lag}"), w))
-    n = F.row_number().over(Window.partitionBy("series_id").orderBy("t"))
-    return rows.withColumn("n", n).withColumn("z", F.when(F.col("n") > max(LAGS), total).otherwise(F.col("gamma")))
+    return rows.withColumn("z", F.when(F.col(f"gamma_lag{max(LAGS)}").isNotNull(), total).otherwise(F.col("gamma")))
 
 
 def _users(spark: SparkSession, d: str) -> DataFrame:
@@ -285,7 +284,7 @@ def q_mtd_grad_weights(spark: SparkSession, d: str) -> DataFrame:
     rows = _predicted(days, t).withColumn("r", vec.add("gamma", "z", -1.0))
     zero = vec.literal(np.zeros(k))
     # a residual matters to the weights lag rows before; residuals of the first rows are 0
-    rows = frames.lagged(rows.select("series_id", "t", "r"), "r", [-lag for lag in LAGS])
+    rows = frames.lagged(rows.select("series_id", "t", "r"), "r", [-lag for lag in LAGS], "chunk")
     total = F.col("r")
     for w, matrix, lag in zip(ORDER, t, LAGS, strict=True):
         total = vec.add(total, vec.matvec(matrix.T, F.coalesce(f"r_lag{-lag}", zero)), -w)
@@ -294,14 +293,14 @@ def q_mtd_grad_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("{m} SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, i, j, round(v, 6) AS v FROM m")
 def q_mtd_lagged_moments(spark: SparkSession, d: str) -> DataFrame:
-    got = moments.lagged_moments(frames.daily_shares(spark, d), "gamma", LAGS)
+    got = moments.lagged_moments(frames.daily_shares(spark, d), "gamma", LAGS, "chunk")
     rows = [(a, b, int(i), int(j), float(m[i, j])) for (a, b), m in got.items() for i, j in np.ndindex(*m.shape)]
     return spark.createDataFrame(rows, "a long, b long, i long, j long, v double").withColumn("v", F.round("v", 6))
 
 
 def _residual_moments(spark: SparkSession, d: str) -> tuple[list[np.ndarray], np.ndarray, float]:
     days, t = _mixture(spark, d)
-    got = moments.lagged_moments(days, "gamma", LAGS)
+    got = moments.lagged_moments(days, "gamma", LAGS, "chunk")
     k = t.shape[1]
     co = {0: np.eye(k), **{lag: -w * m for w, m, lag in zip(ORDER, t, LAGS, strict=True)}}
     return [sum(co[a] @ got[a, lag] for a in co) for lag in LAGS], t, EPSILON_WEIGHTS / (k * (days.count() - max(LAGS)))
@@ -322,7 +321,7 @@ def q_mtd_grad_transition(spark: SparkSession, d: str) -> DataFrame:
 
 def _ahead(spark: SparkSession, d: str, horizon: int) -> DataFrame:
     days, t = _mixture(spark, d)
-    rows = models.forecast(days, ORDER, t, LAGS, horizon)
+    rows = models.forecast(days, ORDER, t, LAGS, horizon, "chunk")
     return _cells(rows.where("ahead IS NOT NULL"), "ahead", "v", "t", place="i")
 
 
@@ -429,7 +428,7 @@ def q_fembv_notv_step(spark: SparkSession, d: str) -> DataFrame:
 
 @query("{w} SELECT i, round(sum(a), 6) AS tv FROM (SELECT i, abs(g - lag(g) OVER (PARTITION BY i ORDER BY t)) AS a FROM w) GROUP BY i")
 def q_tv_norm(spark: SparkSession, d: str) -> DataFrame:
-    rows = frames.lagged(frames.daily_shares(spark, d), "gamma", [1])
+    rows = frames.lagged(frames.daily_shares(spark, d), "gamma", [1], "chunk")
     steps = rows.select(F.posexplode(F.zip_with("gamma", "gamma_lag1", lambda a, b: F.abs(a - b))).alias("i", "a"))
     return steps.groupBy(F.col("i").cast("long").alias("i")).agg(F.round(F.sum("a"), 6).alias("tv"))
 
@@ -472,13 +471,12 @@ _DAILY = "SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS y, CAST(
 
 def _daily_orders(spark: SparkSession, d: str) -> DataFrame:
     days = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("y"), F.count("*").cast("double").alias("u"))
-    t = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("day")).cast("long")
-    return days.select(F.lit(0).cast("long").alias("series_id"), t.alias("t"), F.array("y").alias("x"), F.array("u").alias("u"))
+    return frames.numbered(days, ["day"]).select(F.lit(0).cast("long").alias("series_id"), (F.col("t") + 1).alias("t"), F.array("y").alias("x"), F.array("u").alias("u"))
 
 
 @query(f"WITH q AS ({_DAILY}) SELECT CAST(t AS BIGINT) AS t, round(v, 6) AS v FROM (SELECT row_number() OVER (ORDER BY day) AS t, ln(y) - lag(ln(y)) OVER (ORDER BY day) AS v FROM q) WHERE v IS NOT NULL")
 def q_logdiff(spark: SparkSession, d: str) -> DataFrame:
-    return frames.log_difference(_daily_orders(spark, d)).select("t", F.round(F.get("x", F.lit(0)), 6).alias("v"))
+    return frames.log_difference(_daily_orders(spark, d), "chunk").select("t", F.round(F.get("x", F.lit(0)), 6).alias("v"))
 
 
 @query("{last} SELECT user_id AS series_id, round(regr_slope(y, y1), 5) AS a, round(regr_intercept(y, y1), 5) AS mu FROM last WHERE y1 IS NOT NULL GROUP BY user_id")
@@ -512,7 +510,7 @@ r AS (SELECT *, (yz * uu - yu * zu) / (zz * uu - zu * zu) AS a, (yu * zz - yz *
 SELECT round(a, 5) AS a, round(b, 2) AS b0, round(my - a * mz - b * mu, 0) AS mu FROM r""")
 def q_varx_exog(spark: SparkSession, d: str) -> DataFrame:
     """Daily order value on the day before and the day's count of orders."""
-    got = models.autoregression(_daily_orders(spark, d), 1)
+    got = models.autoregression(_daily_orders(spark, d), 1, by="chunk")
     return spark.createDataFrame([(round(float(got.a[0, 0, 0]), 5), round(float(got.b0[0, 0]), 2), float(np.round(got.mu[0])))], "a double, b0 double, mu double")
 
 
@@ -551,9 +549,11 @@ def q_mtd_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_crom_fit(spark: SparkSession, d: str) -> DataFrame:
-    w, t, _ = models.fit_markov_mixture(frames.daily_shares(spark, d), LAGS)
-    days = frames.daily_shares(spark, d)
-    return _cells(models.forecast(days, w, t, LAGS, 2).where("ahead IS NOT NULL"), "ahead", "v", "t", place="i")
+    """A convex coding of the days, a Markov mixture of its weights, and the forecast of the weights two days on."""
+    days = frames.daily_shares(spark, d).withColumnRenamed("gamma", "x")
+    coded = models.ConvexCoding(3, 0.1).fit(days).rows("gamma").withColumnRenamed("values", "gamma")
+    w, t, _ = models.fit_markov_mixture(coded, LAGS, by="chunk")
+    return _cells(models.forecast(coded, w, t, LAGS, 2, "chunk").where("ahead IS NOT NULL"), "ahead", "v", "t", place="i")
 
 
 @query()
@@ -569,7 +569,7 @@ def q_fembv_varx_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_pwvarx_fit(spark: SparkSession, d: str) -> DataFrame:
-    labelled, found = models.PiecewiseAutoregression(3).fit(_users(spark, d))
+    found = models.PiecewiseAutoregression(3).fit(_users(spark, d)).regions
     return _table(spark, np.array([m.coefficients.ravel() for m in found.values()]))
 
 

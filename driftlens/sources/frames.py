@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import vec
+from driftlens.sources.store import written
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +25,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_csv_series(spark: SparkSession, path: str, schema: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """A CSV file with # comments as one series; t counts rows in order from 0."""
     rows = spark.read.csv(path, schema=schema, comment="#")
-    t = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
-    return rows.select(F.lit(0).cast("long").alias("series_id"), t.cast("long").alias("t"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    return numbered(rows, order).select(F.lit(0).cast("long").alias("series_id"), "t", F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
 
 
 def daily_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,19 +40,52 @@ def daily_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select(F.lit(0).cast("long").alias("series_id"), t.alias("t"), vec.normalised("n").alias("gamma"))
 
 
+#: Consecutive t that by="chunk" takes to one task.
+CHUNK = 1 << 16
+
+
 def lagged(df: DataFrame, column: str, lags: Sequence[int], by: str = "window") -> DataFrame:
     """df with column_lag1, ... (null before the start; negative lags lead).
 
-    by="window" sorts each series in one task: for many series. by="join" joins
-    the series to itself on (series_id, t): for few, very long ones.
+    by="window" sorts each series in one task: for many series, and where t has
+    gaps. by="chunk" and by="join" are for few, very long series whose t has no
+    gaps: "chunk" sorts CHUNK consecutive rows with the few before and after
+    them that they look at, "join" joins the series to itself on (series_id, t).
     """
-    if by == "window":
-        w = Window.partitionBy("series_id").orderBy("t")
-        return df.withColumns({f"{column}_lag{k}": F.lag(column, k).over(w) for k in lags})
-    for k in lags:
-        past = df.select("series_id", (F.col("t") + k).alias("t"), F.col(column).alias(f"{column}_lag{k}"))
-        df = df.join(past, ["series_id", "t"], "left")
-    return df
+    if by not in ("window", "chunk", "join"):
+        raise ValueError(f"lags are taken by window, chunk or join: {by!r}")
+    if not lags:
+        return df
+    if by == "join":
+        for k in lags:
+            past = df.select("series_id", (F.col("t") + k).alias("t"), F.col(column).alias(f"{column}_lag{k}"))
+            df = df.join(past, ["series_id", "t"], "left")
+        return df
+    keys = ["series_id"]
+    if by == "chunk":
+        back, ahead = max(0, *lags), max(0, *(-k for k in lags))
+        size = max(CHUNK, back, ahead)
+        own = F.floor(F.col("t") / size)
+        # a row is also sent to the chunks whose rows look at it
+        to = F.array_distinct(F.array(own, F.floor((F.col("t") + back) / size), F.floor((F.col("t") - ahead) / size)))
+        df = df.withColumn("_own", own).withColumn("_chunk", F.explode(to))
+        keys.append("_chunk")
+    w = Window.partitionBy(*keys).orderBy("t")
+    out = df.withColumns({f"{column}_lag{k}": F.lag(column, k).over(w) for k in lags})
+    return out if by == "window" else out.where("_own = _chunk").drop("_own", "_chunk")
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "t") -> DataFrame:
+    """df with a number from 0 for each row in this order, which must have no ties. Rows are range-partitioned; only the sizes of partitions meet on the driver."""
+    place = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(ranged.withColumns({"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    starts, at = [], 0
+    for part, n in sorted(rows.groupBy("_part").count().collect()):
+        starts.append((part, at))
+        at += n
+    table = df.sparkSession.createDataFrame(starts, "_part long, _before long")
+    return rows.join(F.broadcast(table), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
 
 
 def log_difference(df: DataFrame, by: str = "window") -> DataFrame:

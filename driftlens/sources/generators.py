@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Fixed values of the Gaussian regimes: means and variances.
-MEANS = ((0.0, 0.5), (0.0, -0.5), (0.25, 0.0))
-VARIANCES = ((0.001, 0.02), (0.001, 0.02), (0.002, 0.3))
+#: Means and variances of the Gaussian regimes.
+MEANS = ((-1.0, 0.0), (1.0, 0.0), (0.0, 1.5))
+VARIANCES = ((0.02, 0.05), (0.05, 0.02), (0.1, 0.1))
 
 
 def _frame(spark: SparkSession, x: np.ndarray, ddl: str, *more: np.ndarray) -> DataFrame:
@@ -23,36 +23,41 @@ def gaussian_regimes(spark: SparkSession, n: int = 500, switches: int = 2, seed:
     return _frame(spark, x, ", regime int", regime)
 
 
-def periodic_var(spark: SparkSession, n: int = 500, d: int = 2, period: int = 10, noise: float = 1.0, seed: int = 0) -> DataFrame:
-    """A VAR(1) whose mean and coefficients follow cos(2 pi t / period)."""
+def _stable(rng: np.random.Generator, order: int, d: int) -> np.ndarray:
+    """Coefficients of `order` lags whose rows sum to less than 1 in absolute value."""
+    return rng.uniform(-0.5, 0.5, (order, d, d)) / (d * order)
+
+
+def periodic_var(spark: SparkSession, n: int = 500, d: int = 2, period: int = 10, noise: float = 1.0, seed: int = 0, order: int = 1) -> DataFrame:
+    """A VAR of this order whose mean and coefficients follow cos(2 pi t / period)."""
     rng = np.random.default_rng(seed)
-    mu, a = rng.uniform(-1, 1, d), rng.uniform(-0.5, 0.5, (d, d)) / d
+    mu, a = rng.uniform(-1, 1, d), _stable(rng, order, d)
     x, phase = np.zeros((n, d)), np.cos(2 * np.pi * np.arange(n) / period)
-    for t in range(1, n):
-        x[t] = phase[t] * (mu + a @ x[t - 1]) + np.sqrt(noise) * rng.standard_normal(d)
+    for t in range(order, n):
+        x[t] = phase[t] * (mu + sum(a[k] @ x[t - 1 - k] for k in range(order))) + np.sqrt(noise) * rng.standard_normal(d)
     return _frame(spark, x, ", phase double", phase)
 
 
-def switching_var(spark: SparkSession, n: int = 500, d: int = 2, k: int = 2, switches: int = 3, noise: float = 1.0, seed: int = 0) -> DataFrame:
-    """A VAR(1) that takes turns between k sets of coefficients."""
+def switching_var(spark: SparkSession, n: int = 500, d: int = 2, k: int = 2, switches: int = 3, noise: float = 1.0, seed: int = 0, order: int = 1) -> DataFrame:
+    """A VAR of this order that takes turns between k sets of coefficients."""
     rng = np.random.default_rng(seed)
-    mu, a = rng.uniform(-3, 3, (k, d)), rng.uniform(-0.5, 0.5, (k, d, d)) / d
+    mu, a = rng.uniform(-3, 3, (k, d)), np.stack([_stable(rng, order, d) for _ in range(k)])
     component = np.minimum(np.arange(n) * (switches + 1) // n, switches) % k
     x = np.zeros((n, d))
-    for t in range(1, n):
-        x[t] = mu[component[t]] + a[component[t]] @ x[t - 1] + np.sqrt(noise) * rng.standard_normal(d)
+    for t in range(order, n):
+        c = component[t]
+        x[t] = mu[c] + sum(a[c, j] @ x[t - 1 - j] for j in range(order)) + np.sqrt(noise) * rng.standard_normal(d)
     return _frame(spark, x, ", component int", component)
 
 
 def piecewise_affine(spark: SparkSession, n: int = 500, seed: int = 0) -> DataFrame:
-    """One output of one input, with three regions in (y, u) one step before."""
+    """One output of one input; which of three affine maps holds depends on the sum of both one step before."""
     rng = np.random.default_rng(seed)
-    u, e, y = rng.uniform(-5, 5, n), rng.uniform(-0.1, 0.1, n), np.zeros(n)
+    u, e, y = rng.uniform(-4, 4, n), rng.uniform(-0.1, 0.1, n), np.zeros(n)
     region = np.zeros(n, int)
     for t in range(1, n):
-        p = np.array([y[t - 1], u[t - 1], 1.0])
-        first, second = p @ (4, -1, 10), p @ (5, 1, -6)
-        region[t] = 0 if first < 0 else 1 if second <= 0 else 2
-        y[t] = p @ ((-0.4, 1, 1.5), (0.5, -1, -0.5), (-0.3, 0.5, -1.7))[region[t]] + e[t]
+        region[t] = int(np.digitize(y[t - 1] + u[t - 1], (-1.5, 1.5)))
+        slope, gain, constant = ((0.6, 1.0, 2.0), (-0.5, 0.5, 0.0), (0.3, -1.0, -2.0))[region[t]]
+        y[t] = slope * y[t - 1] + gain * u[t - 1] + constant + e[t]
     rows = [(0, t, [float(y[t])], [float(u[t])], int(region[t])) for t in range(n)]
     return spark.createDataFrame(rows, "series_id long, t long, x array<double>, u array<double>, region int")

@@ -158,14 +158,14 @@ def test_regimes_find_switches():
     rng = np.random.default_rng(6)
     truth = np.repeat([0, 1, 0], 40)
     x = np.array([[0.0, 3.0], [3.0, 0.0]])[truth] + rng.normal(size=(120, 2)) * 0.3
-    got = core.fit_regimes_kmeans(x, 2, 3.0, seed=1)
+    got = core.fit_regimes(core.Centers(), x, None, 2, 3.0, seed=1)
     hard = got.gamma.argmax(1)
     assert max((hard == truth).mean(), (hard != truth).mean()) > 0.98
     y = np.zeros((300, 1))
     truth = np.repeat([0, 1, 0], 100)
     for t in range(1, 300):
         y[t] = [2.0, -2.0][truth[t]] + 0.3 * y[t - 1] + 0.2 * rng.normal()
-    best = min((core.fit_regimes_var(y, 2, 3.0, [1, 1], seed=s) for s in range(5)), key=lambda r: r.trace.costs[-1])
+    best = min((core.fit_regimes(core.Autoregressions([1, 1]), y, None, 2, 3.0, seed=s) for s in range(5)), key=lambda r: r.trace.costs[-1])
     hard = best.gamma.argmax(1)
     assert max((hard == truth).mean(), (hard != truth).mean()) > 0.95
 

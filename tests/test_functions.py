@@ -26,8 +26,14 @@ def test_projections_are_feasible_idempotent_and_agree_with_numpy(spark, d):
     assert np.allclose(core.project_rows(a), p, atol=1e-14)
 
 
-def test_nan_counts_as_zero_in_numpy():
-    assert np.allclose(core.project_rows(np.array([[np.nan, 2.0]])), [[0, 1]])
+def test_a_vector_with_nan_is_projected_to_zeros_in_both_forms(spark):
+    nan = float("nan")
+    rows = [[nan, 2.0], [1.0, nan, 3.0], [nan], [0.2, 2.0]]
+    want = [[0.0, 0.0], [0.0, 0.0, 0.0], [0.0], [0.0, 1.0]]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, x array<double>")
+    assert [r[0] for r in df.orderBy("k").select(vec.simplex_project("x")).collect()] == want
+    assert [core.project_rows(np.array([r]))[0].tolist() for r in rows] == want
+    assert core.project_rows(np.array([[nan, 2.0], [0.5, 0.5]])).tolist() == [[0, 0], [0.5, 0.5]]
 
 
 def test_stochastic_matrices():

@@ -64,7 +64,7 @@ def test_forecast_over_a_frame(spark):
     g, lags = rng.dirichlet(np.ones(2), 12), [1, 3]
     w, t = core.random_mtd(2, lags, np.random.RandomState(1))
     df = frame(spark, g).withColumnRenamed("x", "gamma")
-    for by in ("window", "join"):
+    for by in ("window", "join", "chunk"):
         rows = models.forecast(df, w, t, lags, 2, by).orderBy("t").collect()
         assert [r.ahead is None for r in rows] == [True, True] + [False] * 10
         past = list(g[:6])
@@ -90,7 +90,12 @@ def test_archetypes_and_regimes_by_series(spark):
 
 def test_piecewise_autoregression(spark):
     df = generators.piecewise_affine(spark, 400)
-    labelled, found = models.PiecewiseAutoregression(3, p=1, s=1, seed=2).fit(df)
+    fitted = models.PiecewiseAutoregression(3, p=1, s=1, seed=2).fit(df)
+    labelled, found = fitted.rows, fitted.regions
+    again = fitted.transform(df)
+    assert again.count() == labelled.count() and again.where('y IS NULL').isEmpty()
+    both = again.join(labelled.select('t', labelled.region.alias('r')), 't')
+    assert both.where('region <> r').isEmpty()
     assert labelled.count() == 399 and len(found) == 3
     u = generators.switching_var(spark, 60).count() + generators.periodic_var(spark, 60).count()
     assert u == 120
@@ -109,3 +114,30 @@ def test_a_state_that_only_ends_has_unknown_transitions(spark):
     df = spark.createDataFrame([(0, 0, "a"), (0, 1, "a"), (0, 2, "b")], "series_id long, t long, label string")
     got = {(r.next_state, r.cur_state): r.p for r in markov.transitions(df).collect()}
     assert got == {("a", "a"): 0.5, ("b", "a"): 0.5, ("a", "b"): None, ("b", "b"): None}
+
+
+def test_chunks_give_the_lags_of_windows(spark, monkeypatch):
+    monkeypatch.setattr(frames, "CHUNK", 7)
+    df = frame(spark, np.arange(50.0)[:, None]).unionByName(frame(spark, np.arange(9.0)[:, None], 1))
+    for lags in ([1], [3, 1], [-2, 4], [-11], [9, 2]):
+        names = [f"x_lag{k}" for k in lags]
+        want = frames.lagged(df, "x", lags).orderBy("series_id", "t").collect()
+        got = frames.lagged(df, "x", lags, "chunk").orderBy("series_id", "t").select(df.columns + names).collect()
+        assert got == want
+    with pytest.raises(ValueError, match="window"):
+        frames.lagged(df, "x", [1], "task")
+
+
+def test_rows_are_numbered_without_a_single_task(spark, tmp_path):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v").repartition(5)
+    rows = frames.numbered(df, ["v"]).collect()
+    assert sorted((r.v, r.t) for r in rows) == [(k, k) for k in range(1000)]
+    assert frames.numbered(df.limit(0), ["v"]).count() == 0
+    (tmp_path / "a.csv").write_text("# two columns\n3,30\n1,10\n2,20\n")
+    got = frames.read_csv_series(spark, str(tmp_path / "a.csv"), "a double, b double", ["b"], ["a"]).orderBy("t").collect()
+    assert [(r.series_id, r.t, r.x) for r in got] == [(0, 0, [10.0]), (0, 1, [20.0]), (0, 2, [30.0])]
+
+
+def test_generators_of_higher_order(spark):
+    for made in (generators.periodic_var(spark, 60, 2, order=3), generators.switching_var(spark, 60, 2, order=2)):
+        assert made.count() == 60 and frames.check_vectors(made) == (60, 2)
