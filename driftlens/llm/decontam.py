@@ -5,13 +5,14 @@ TOLERANCE of it: word edits, at most that share of the item's words, rounded
 down. Words are runs of letters and digits, A-Z lower-cased, so case, spacing
 and punctuation do not hide a passage.
 
-Windows of the size of the shortest item (at most WINDOW words) start at every
-STEP-th word of a document and at every word of an item. The CGK random walk
-embeds a window: in each step it puts out the word under its pointer and moves
-on or stays by a random bit of (step, word), which maps edit distance to Hamming
-distance. Each of REPEATS independent walks is sampled at KEYS of its steps;
-equal samples are candidates (document, item, offset). A short item holds few
-aligned windows, so walks alone miss some of its occurrences.
+Items of about one size (within a factor of CLASS) share a size of windows, two
+thirds of the smallest of them. Windows start at every word of an item and, in a
+document, at as many words from each other as make every occurrence hold one.
+The CGK random walk embeds a window: in each step it puts out the word under its
+pointer and moves on or stays by a random bit of (step, word), which maps edit
+distance to Hamming distance. Each of REPEATS samplings takes KEYS of the steps
+of one of WALKS walks; equal samples are candidates (document, item, offset).
+An item holds few aligned windows, so walks alone miss some of its occurrences.
 
 Pieces miss none: an item that may have d edits is cut into d + 1 runs of words,
 of which d edits leave one whole (3 or 4 words of each are compared). Their
@@ -19,36 +20,41 @@ hashes are looked up at every word of a document and give candidates too. Each
 candidate is confirmed by the exact edit distance of the item to the best run
 of words around the offset.
 
-Items are a stated query set: their windows are broadcast in blocks of at most
-BLOCK items, one pass over the documents for each.
+Items are a stated query set: they are broadcast, and one pass over the documents
+looks for all of them, in blocks of BLOCK items so that candidates of a group of
+texts stay few.
 
-Defined cases: items without words (or null texts) match nothing; items shorter
-than MIN_WORDS are matched exactly as word runs, since a window of so few words
-is no evidence under edits; null and empty documents match nothing; rows with
+Defined cases: items without words (or null texts) match nothing; items of fewer
+than 5 words may have no edit and are matched exactly as word runs; null and empty documents match nothing; rows with
 null ids are reported with a null id; repeated rows are reported each; other
 columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import map_rows, table, texts
+from driftlens.llm.common import forget_others, map_rows, memory, parts, table, texts
 from driftlens.llm.wordhash import grouped, hashed_words, mix, word_table
+from driftlens.sources.store import workers_know
 
-TOLERANCE, WINDOW, STEP, MIN_WORDS, BLOCK = 0.2, 12, 4, 6, 2000
+TOLERANCE, CLASS, BLOCK = 0.2, 2.0, 2000
 WALKS, REPEATS, KEYS, REACH = 4, 8, 5, 0.8
 BATCH = 1 << 16
 _ALNUM = word_table("alnum")
 _PIECE = np.random.default_rng(13).integers(1, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
-_STEPS = 3 * WINDOW
-_RANDOM = np.random.default_rng(11)
-_BITS = _RANDOM.integers(1, 1 << 30, (WALKS, _STEPS), np.int32) * np.int32(2) + np.int32(1)
-_MIX = _RANDOM.integers(1, 1 << 62, KEYS, np.int64) * 2 + 1
+_MIX = np.random.default_rng(11).integers(1, 1 << 62, KEYS, np.int64) * 2 + 1
+
+
+def _odd(walk: int, n: int) -> np.ndarray:
+    """An odd factor for each of the first n steps of a walk: the sign of its product with a word is the random bit."""
+    return (mix(np.arange(n, dtype=np.uint64) * np.uint64(WALKS) + np.uint64(walk + 1)) >> np.uint64(33)).astype(np.int32) | np.int32(1)
 
 
 def words(text: str) -> np.ndarray:
@@ -76,14 +82,15 @@ def buckets(symbols: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     sampled, last = _sampled_steps(width), starts + width
     for walk in range(WALKS):
         own = range(walk, REPEATS, WALKS)
-        pointer = starts.copy()
-        for step in range(int(sampled[own].max()) + 1):
+        pointer, n = starts.copy(), int(sampled[own].max()) + 1
+        odd = _odd(walk, n)
+        for step in range(n):
             under, inside = symbols.take(pointer), pointer < last
             for r in own:
                 for k in np.flatnonzero(sampled[r] == step):
                     out[r] = (out[r] ^ np.where(inside, under, 0)) * _MIX[k]
                     out[r] ^= out[r] >> 29
-            pointer += ((under * _BITS[walk, step]) < 0) & inside
+            pointer += ((under * odd[step]) < 0) & inside
     return out
 
 
@@ -113,19 +120,20 @@ def edit_distance(item: np.ndarray, run: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """The windows of a block of items, by key: one table for items of MIN_WORDS or more, one for each smaller size."""
+    """The windows and pieces of a block of items, by key: a table of windows for each class of sizes, one of pieces for each width."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
-        self.allowed = [int(TOLERANCE * len(w)) if len(w) >= MIN_WORDS else 0 for _, w in items]
+        self.allowed = [int(TOLERANCE * len(w)) for _, w in items]
         classes: dict[int, list[int]] = {}
         for k, (_, w) in enumerate(items):
-            classes.setdefault(min(len(w), MIN_WORDS), []).append(k)
+            classes.setdefault(int(np.log(len(w)) / np.log(CLASS)), []).append(k)
         self.tables = []
-        for size, members in sorted(classes.items()):
-            # so that at any place in a document an item holds a whole window that starts at a multiple of step
-            step = STEP if size == MIN_WORDS else 1
-            width = min(WINDOW, min(len(items[k][1]) for k in members) - step + 1)
+        for members in classes.values():
+            # any run of `least` words holds a whole window that starts at a multiple of step
+            least = min(len(items[k][1]) for k in members)
+            step = max(1, least // 3)
+            width = least - step + 1
             starts = [np.arange(len(items[k][1]) - width + 1) for k in members]
             keys = np.concatenate([buckets(_symbols(items[k][1]), x, width) for k, x in zip(members, starts, strict=True)], 1)
             owner = np.repeat(members, [len(x) for x in starts])
@@ -137,9 +145,8 @@ class Items:
             self.tables.append((width, step, seen, keys, owner[order], np.concatenate(starts)[order]))
         by_width: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = {}
         for k, (_, w) in enumerate(items):
-            if len(w) >= MIN_WORDS:  # smaller ones are matched exactly, and equal windows have equal walks
-                width, starts = pieces(len(w), self.allowed[k])
-                by_width.setdefault(width, []).append((runs(w, width)[starts], k, starts))
+            width, starts = pieces(len(w), self.allowed[k])
+            by_width.setdefault(width, []).append((runs(w, width)[starts], k, starts))
         self.pieces = []
         for width, found in sorted(by_width.items()):
             keys = np.concatenate([x for x, _, _ in found])
@@ -203,45 +210,72 @@ class Items:
         return [(t, k, e, max(0, end - len(self.items[k][1])), end) for (t, k), (e, end) in sorted(best.items())]
 
 
-def _finder(items: list[tuple[int, str]]) -> Callable[[], Callable[[dict[str, list]], dict[str, list]]]:
-    def make() -> Callable[[dict[str, list]], dict[str, list]]:
-        known = Items([(i, w) for i, t in items if len(w := words(t))])
+class Finder:
+    """The items of a benchmark, in blocks, prepared once in each worker."""
 
-        def one(columns: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {n: [] for n in ("doc_id", "item_id", "edits", "item_words", "word_start", "word_end")}
-            raw = [t.encode().lower() for t in columns["text"]]
-            for part in grouped(raw):
-                for text, k, edits, start, end in known.matches(*hashed_words(raw[part.start : part.stop], _ALNUM)):
-                    item = known.items[k]
-                    for name, value in zip(out, (columns["doc_id"][part.start + text], item[0], edits, len(item[1]), start, end), strict=True):
-                        out[name].append(value)
-            return out
+    def __init__(self, items: list[tuple[int, str]]):
+        known = [(i, w) for i, t in items if len(w := words(t))]
+        self.blocks = [Items(known[k : k + BLOCK]) for k in range(0, len(known), BLOCK)]
 
-        return one
+    def matches(self, texts_: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text, item id, edits, item's words, first word, end) of every item in every text, in order of text within a block and group."""
+        raw = [t.encode().lower() for t in texts_]
+        for part in grouped(raw):
+            tokens, bounds = hashed_words(raw[part.start : part.stop], _ALNUM)
+            for block in self.blocks:
+                for text, k, edits, start, end in block.matches(tokens, bounds):
+                    yield part.start + text, block.items[k][0], edits, len(block.items[k][1]), start, end
+
+
+_finders: dict[str, Finder] = memory(__name__)
+
+
+def _shared(benchmark: DataFrame) -> Callable[[], Finder]:
+    """Sends the stated items to all workers; gives the worker's finder of them."""
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
+    shared, name = benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows]), uuid.uuid4().hex
 
-    return make
+    def finder() -> Finder:
+        if name not in _finders:
+            _finders.clear()
+            _finders[name] = Finder(shared.value)
+        return _finders[name]
+
+    return finder
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, item_words, word_start, word_end) for every document that holds an item; clean documents have no row."""
-    docs, out = texts(docs), None
-    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()
-    block: list[tuple[int, str]] = []
-    blocks = []
-    for row in rows:
-        block.append((row[0], row[1]))
-        if len(block) == BLOCK:
-            blocks, block = [*blocks, block], []
-    for part in [*blocks, block] if block or not blocks else blocks:
-        found = map_rows(docs, _finder(part), "doc_id long, item_id long, edits long, item_words long, word_start long, word_end long")
-        out = found if out is None else out.union(found)
-    return out
+    finder = _shared(benchmark)
+
+    def make() -> Callable[[dict[str, list]], dict[str, list]]:
+        own = finder()
+
+        def one(columns: dict[str, list]) -> dict[str, list]:
+            found = list(own.matches(columns["text"]))
+            names = ("item_id", "edits", "item_words", "word_start", "word_end")
+            return {"doc_id": [columns["doc_id"][m[0]] for m in found], **{n: [m[k] for m in found] for k, n in enumerate(names, 1)}}
+
+        return one
+
+    return map_rows(texts(docs), make, "doc_id long, item_id long, edits long, item_words long, word_start long, word_end long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item; rows with null ids stay."""
-    hits = contaminated(docs, benchmark).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that hold an item; rows are judged where they are, without a shuffle, whatever their ids."""
+    finder = _shared(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(__name__)
+        own = finder()
+        for batch in batches:
+            for part in parts(batch):
+                clean = np.ones(part.num_rows, bool)
+                clean[[m[0] for m in own.matches([t or "" for t in part.column("text").to_pylist()])]] = False
+                yield part.filter(pa.array(clean))
+
+    workers_know(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
