@@ -3,15 +3,18 @@
 For every participant of a conversation the dialogue is rendered once more,
 with that participant as the assistant and all others as named users. Turns of
 the system role are context: they keep their role and have no perspective of
-their own. A conversation with a third of all turns is no single task's work:
-output has one row for each perspective and turn, and the places of turns in
-the rendered dialogue come from sums by chunk of turns, then running sums over
-chunks, then within each chunk.
+their own. A conversation with a third of all turns is no single task's work: its
+participants are joined to blocks of chunks of turns, these to chunks, these to
+turns; output has one row for each perspective and turn, and the places of turns
+in the rendered dialogue come from sums by chunk of turns, then running sums
+over chunks, then within each chunk. Turns that share a number, or have none,
+are in one chunk.
 
 Defined cases: turns are ordered by turn (nulls first), role and text; repeated
 rows are repeated turns; a null text is empty; a null role is the participant
-"unknown"; turns with a null conv_id form one conversation; an empty table
-gives no rows; columns other than the four are ignored.
+"unknown"; turns with a null conv_id form one conversation; roles and texts are
+rendered as they are, so marks that a text spells itself look like those between
+turns (start and mask columns tell them apart); an empty table gives no rows; columns other than the four are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import table
 
-#: Turns with equal turn div CHUNK are numbered together.
-CHUNK = 64
+#: Turns with equal turn div CHUNK are numbered together; BLOCK such parts are a block.
+CHUNK, BLOCK = 64, 1024
 _CONTEXT = "system"
 
 
@@ -36,6 +39,15 @@ def _segment(perspective: Column, role: Column, text: Column) -> tuple[Column, C
     return header, F.concat(text, F.lit("<|end|>\n"))
 
 
+def _meet(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """left and right joined on key, where null conv_id is equal to itself."""
+    right = right.select(*[F.col(c).alias(f"_{c}") if c in key else F.col(c) for c in right.columns])
+    met = F.col("conv_id").eqNullSafe(F.col("_conv_id"))
+    for c in key[1:]:
+        met &= F.col(c) == F.col(f"_{c}")
+    return left.join(right, met).drop(*[f"_{c}" for c in key])
+
+
 def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row for each conversation, perspective and turn.
 
@@ -54,7 +66,10 @@ def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     part = F.floor(F.coalesce("turn", F.lit(-1)) / chunk).cast("long")
     clean = clean.withColumn("part", F.when(F.col("turn").isNull(), F.lit(-(1 << 62))).otherwise(part))
     people = clean.where(F.col("role") != _CONTEXT).select("conv_id", F.col("role").alias("perspective")).distinct()
-    rows = clean.alias("t").join(people.alias("p"), F.col("t.conv_id").eqNullSafe(F.col("p.conv_id"))).select("t.*", "p.perspective")
+    # participants reach turns by way of blocks and parts, so that no step gathers a conversation's turns
+    parts = clean.select("conv_id", "part").distinct().withColumn("block", F.floor(F.col("part") / BLOCK))
+    blocks = _meet(parts.select("conv_id", "block").distinct(), people, ["conv_id"])
+    rows = _meet(clean, _meet(parts, blocks, ["conv_id", "block"]).drop("block"), ["conv_id", "part"])
     header, body = _segment(F.col("perspective"), F.col("role"), F.col("text"))
     rows = rows.withColumns({"header": header, "body": body}).withColumn("size", (F.length("header") + F.length("body")).cast("long"))
     key = ["conv_id", "perspective"]
