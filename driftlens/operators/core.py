@@ -688,6 +688,28 @@ class Autoregressions(Family):
         return out
 
 
+class FixedStart(Family):
+    """Another family, begun at given parameters."""
+
+    def __init__(self, family: Family, parameters: object):
+        self.family, self.parameters, self.skipped = family, parameters, family.skipped
+
+    def start(self, x: np.ndarray, u: np.ndarray | None, k: int, rng: np.random.RandomState) -> object:
+        return self.parameters
+
+    def distances(self, parameters: object, x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+        return self.family.distances(parameters, x, u)
+
+    def update(self, parameters: object, x: np.ndarray, u: np.ndarray | None, gamma: np.ndarray) -> object:
+        return self.family.update(parameters, x, u, gamma)
+
+    def tables(self, parameters: object) -> list[tuple[str, np.ndarray]]:
+        return self.family.tables(parameters)
+
+    def restored(self, tables: dict[str, np.ndarray]) -> object:
+        return self.family.restored(tables)
+
+
 def fit_regimes(family: Family, x: np.ndarray, u: np.ndarray | None, k: int, bound: float | None, tolerance: float = 1e-4, max_iterations: int = 500, seed: int = 0, progress: Progress | None = None) -> Regimes:
     """Alternates weights of bounded variation and parameters. Rows that the family skips have the weights of the first row after them."""
     rng, trace = np.random.RandomState(seed), Trace(progress=progress)

@@ -36,7 +36,7 @@ from driftlens.sources.frames import check_positive, check_vectors, lagged
 from driftlens.sources.store import written
 
 #: What every fit returns: one table, told apart by part.
-_PARTS = "series_id long, part string, a int, t long, i int, j int, value double"
+PARTS = "series_id long, part string, a int, t long, i int, j int, value double"
 _COLUMNS = ["series_id", "part", "a", "t", "i", "j", "value"]
 
 
@@ -141,7 +141,7 @@ def fit_series(df: DataFrame, fit: Callable[[np.ndarray, np.ndarray | None, int]
         series = int(pdf["series_id"].iloc[0])
         return pd.concat([_entries(series, n, a, pdf["t"].to_numpy() if by_sample else None) for n, a, by_sample in fit(x, u, series)], ignore_index=True)
 
-    return Fitted(written(df.select(*_columns(df)).groupBy("series_id").applyInPandas(run, _PARTS)), transform)
+    return Fitted(written(df.select(*_columns(df)).groupBy("series_id").applyInPandas(run, PARTS)), transform)
 
 
 class ConvexCoding:
@@ -331,7 +331,8 @@ class BoundedRegimes:
         self.k, self.bound, self.restarts = n_components, max_tv_norm, restarts
         self.tolerance, self.max_iterations, self.seed, self.progress = tolerance, max_iterations, seed, progress
 
-    def _weights(self, parameters: dict[str, np.ndarray], x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+    def weights_of(self, parameters: dict[str, np.ndarray], x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
+        """Weights of a series' rows for fixed parameters."""
         return core.regime_weights(self.family, self.family.restored(parameters), x, u, self.bound)
 
     def fit(self, df: DataFrame) -> Fitted:
@@ -346,11 +347,11 @@ class BoundedRegimes:
 
         parts = fit_series(many, fit).parts
         if r == 1:
-            return Fitted(parts, self._weights)
+            return Fitted(parts, self.weights_of)
         w = Window.partitionBy("whole").orderBy("value", "series_id")
         last = parts.where("part = 'cost'").groupBy("series_id").agg(F.max_by("value", "i").alias("value")).withColumn("whole", F.floor(F.col("series_id") / r))
         best = last.withColumn("place", F.row_number().over(w)).where("place = 1").select("series_id", "whole")
-        return Fitted(parts.join(best, "series_id").drop("series_id").withColumnRenamed("whole", "series_id").select(*_COLUMNS), self._weights)
+        return Fitted(parts.join(best, "series_id").drop("series_id").withColumnRenamed("whole", "series_id").select(*_COLUMNS), self.weights_of)
 
     def fit_long(self, df: DataFrame) -> tuple[DataFrame, np.ndarray, list[float]]:
         """(df with gamma, centres, costs) for a series of any length: centres without a bound on variation, an aggregation for each iteration."""

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from driftlens.functions import vec
 from driftlens.operators import core, markov, models, moments, seeding, tvlp
 from driftlens.sources import frames
-from driftlens.sources.store import workers_know
+from driftlens.sources.store import shared_dir, workers_know
 
 K, LAGS, ORDER = 4, [1, 3], np.array([0.6, 0.4])
 EPSILON_STATES, EPSILON_WEIGHTS = 0.5, 2.0
@@ -521,6 +521,225 @@ def q_pw_region_var(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy((F.col("z") >= 50).cast("long").alias("region")).agg(F.count("*").alias("n"), F.round(F.regr_slope("y", "z"), 5).alias("a"), F.round(F.regr_intercept("y", "z"), 4).alias("mu"))
 
 
+# --- scans, checks, labels ----------------------------------------------------
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS t, CAST(c_acctbal AS DOUBLE) AS v FROM customer WHERE c_acctbal > 0")
+def q_csv_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a filter, written as CSV and read back as a series."""
+    path = f"{shared_dir(spark)}/csv"
+    spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 0").select("c_custkey", F.col("c_acctbal").cast("double")).write.csv(path)
+    return frames.read_csv_series(spark, path, "k long, v double", ["v"], ["k"]).select("t", F.get("x", F.lit(0)).alias("v"))
+
+
+@query("SELECT count(*) AS n, CAST(max(len(embedding)) AS BIGINT) AS d FROM embeddings")
+def q_shape_check(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([frames.check_vectors(frames.vectors(spark, d))], "n long, d long")
+
+
+@query("{g} SELECT t, min(i) AS label FROM (SELECT t, i, g, max(g) OVER (PARTITION BY t) AS m FROM g) WHERE g = m GROUP BY t")
+def q_hard_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d).select("t", vec.argmax("gamma").cast("long").alias("label"))
+
+
+@query("{tr} SELECT CAST(lag AS BIGINT) AS lag, j, round(sum(p), 6) AS total FROM tr GROUP BY lag, j")
+def q_left_stochastic(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of the transition matrices sum to 1."""
+    _, t = _mixture(spark, d)
+    for m in t:
+        core.check_start(m, m.shape, 0)
+    rows = [(lag, j, float(v)) for lag, m in zip(LAGS, t, strict=True) for j, v in enumerate(m.sum(0))]
+    return spark.createDataFrame(rows, "lag long, j long, total double").withColumn("total", F.round("total", 6))
+
+
+# --- starts -------------------------------------------------------------------
+
+_FURTHEST = """WITH e AS (SELECT CAST(vec_id AS BIGINT) AS t, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 <> 3),
+p0 AS (SELECT t, v FROM e ORDER BY t LIMIT 1),
+p1 AS (SELECT e.t, e.v FROM e, p0 WHERE e.t <> p0.t ORDER BY list_distance(e.v, p0.v) DESC, e.t LIMIT 1),
+p2 AS (SELECT e.t, e.v FROM e, p0, p1 WHERE e.t NOT IN (p0.t, p1.t) ORDER BY list_distance(e.v, p0.v) + list_distance(e.v, p1.v) DESC, e.t LIMIT 1),
+q0 AS (SELECT e.t, e.v FROM e, p1, p2 WHERE e.t NOT IN (p1.t, p2.t) ORDER BY list_distance(e.v, p1.v) + list_distance(e.v, p2.v) DESC, e.t LIMIT 1),
+q1 AS (SELECT e.t, e.v FROM e, q0, p2 WHERE e.t NOT IN (q0.t, p2.t) ORDER BY list_distance(e.v, q0.v) + list_distance(e.v, p2.v) DESC, e.t LIMIT 1),
+picks AS (SELECT CAST(0 AS BIGINT) AS i, t, v FROM q0 UNION ALL SELECT 1, t, v FROM q1 UNION ALL SELECT 2, t, v FROM p2)"""
+
+
+def _picks(spark: SparkSession, d: str) -> list[tuple[int, list[float]]]:
+    """Three picks with two extra steps; ids that end in 3 are excluded."""
+    rows = frames.vectors(spark, d)
+    barred = [r.t for r in rows.where("t % 10 = 3").select("t").collect()]
+    first = rows.where("t % 10 <> 3").agg(F.min("t")).first()[0]
+    return seeding.furthest_sum(rows, 3, first, barred, extra_steps=2)
+
+
+@query(_FURTHEST + " SELECT i AS pick, t FROM picks")
+def q_furthest_sum_extra(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_picks(spark, d))], "pick long, t long")
+
+
+@query(_FURTHEST + " SELECT i, CAST(j AS BIGINT) AS j, round(v[j + 1], 6) AS v FROM picks, range(64) r(j) WHERE j < len(v)")
+def q_furthest_states(spark: SparkSession, d: str) -> DataFrame:
+    """States of a coding that start at rows far from each other."""
+    return _table(spark, np.array([x for _, x in _picks(spark, d)]))
+
+
+@query(_FURTHEST + " SELECT i, e.t, CASE WHEN e.t = picks.t THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c FROM picks, (SELECT CAST(vec_id AS BIGINT) AS t FROM embeddings) e")
+def q_furthest_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary of archetypes that starts at those rows: one entry of 1 in each component."""
+    hot = F.array(*[F.when(F.col("t") == t, 1.0).otherwise(0.0) for t, _ in _picks(spark, d)])
+    return _cells(frames.vectors(spark, d).withColumn("c", hot), "c", "c", "t", place="i")
+
+
+# --- one iteration of a coding ------------------------------------------------
+
+_STEP = "CASE WHEN slope + bend <= 1e-4 * slope THEN 1.0 WHEN -slope / (2 * bend) BETWEEN 0.1 AND 0.9 THEN -slope / (2 * bend) END"
+_STATES_STEP = f"""{{gtx gtg gram s n}} + gd AS (SELECT s.i, s.j, s.s, {4 * EPSILON_STATES} / (d * {K * (K - 1)}) * ({K} * s.s - sum(s.s) OVER (PARTITION BY s.j)) + 2 / n * (gs - gtx.v) AS v
+ FROM s JOIN gtx USING (i, j) JOIN (SELECT gtg.i AS i, s.j AS j, sum(gtg.v * s.s) AS gs FROM gtg JOIN s ON gtg.j = s.i GROUP BY 1, 2) USING (i, j), n),
+dd AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) AS v FROM gd a JOIN gd b ON a.j = b.j GROUP BY 1, 2),
+sb AS (SELECT -(SELECT sum(v * v) FROM gd) AS slope, (SELECT sum(gtg.v * dd.v) FROM gtg JOIN dd USING (i, j)) / (SELECT n FROM n)
+  + {EPSILON_STATES * 2} / ({K * (K - 1)} * (SELECT d FROM n)) * (SELECT {K} * sum(CASE WHEN i = j THEN v ELSE 0 END) - sum(v) FROM dd) AS bend),
+s1 AS (SELECT i, j, s - v * (SELECT {_STEP} FROM sb) AS s FROM gd)"""
+_WEIGHTS_STEP = f""", gram1 AS (SELECT a.i AS i, b.i AS j, sum(a.s * b.s) AS v FROM s1 a JOIN s1 b ON a.j = b.j GROUP BY 1, 2),
+gw AS (SELECT gs.t, gs.i, gs.g, 2 / n * (gs.v - xs.v) AS v FROM (SELECT g.t AS t, gram1.i AS i, any_value(own.g) AS g, sum(g.g * gram1.v) AS v FROM gram1 JOIN g ON gram1.j = g.i JOIN g own ON own.t = g.t AND own.i = gram1.i GROUP BY 1, 2) gs
+  JOIN (SELECT x.t AS t, s1.i AS i, sum(x.v * s1.s) AS v FROM x JOIN s1 ON x.j = s1.j GROUP BY 1, 2) xs ON gs.t = xs.t AND gs.i = xs.i, n),
+pw AS (SELECT t, i, g - v AS u, sum(g - v) OVER o AS s, row_number() OVER o AS k FROM gw WINDOW o AS (PARTITION BY t ORDER BY g - v DESC, i ROWS UNBOUNDED PRECEDING)),
+hw AS (SELECT t, max((s - 1) / k) AS theta FROM pw GROUP BY t),
+dw AS (SELECT gw.t, gw.i, gw.g, gw.v, greatest(u - theta, 0) - gw.g AS d FROM gw JOIN pw ON pw.t = gw.t AND pw.i = gw.i JOIN hw ON hw.t = gw.t),
+cw AS (SELECT a.i AS i, b.i AS j, sum(a.d * b.d) AS v FROM dw a JOIN dw b ON a.t = b.t GROUP BY 1, 2),
+sw AS (SELECT (SELECT sum(v * d) FROM dw) AS slope, (SELECT sum(cw.v * gram1.v) FROM cw JOIN gram1 USING (i, j)) / (SELECT n FROM n) AS bend)"""
+
+
+def _one_iteration(spark: SparkSession, d: str) -> models.Fitted:
+    """The coding after one step on states and one on weights, from the fixed start."""
+    rows = frames.vectors(spark, d)
+    n = rows.count()
+    t = np.array(sorted(r.t for r in rows.select("t").collect()))
+    raw = 1.0 + (t[:, None] * (np.arange(K) + 1)) % 7
+    start = {"states": _states(spark, d), "gamma": raw / raw.sum(1, keepdims=True)}
+    assert len(t) == n
+    return models.ConvexCoding(K, EPSILON_STATES, init="custom", start=start, max_iterations=1).fit(rows)
+
+
+@query(_STATES_STEP + " SELECT i, j, round(s, 6) AS v FROM s1")
+def q_gpnh_fit_1step_states(spark: SparkSession, d: str) -> DataFrame:
+    return _one_iteration(spark, d).part("states").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("value", 6).alias("v"))
+
+
+@query(_STATES_STEP.replace("{gtx", "{gtx g x") + _WEIGHTS_STEP + f" SELECT t, i, round(g + d * (SELECT {_STEP} FROM sw), 6) AS g FROM dw")
+def q_gpnh_fit_1step_weights(spark: SparkSession, d: str) -> DataFrame:
+    return _one_iteration(spark, d).part("gamma").select("t", F.col("j").cast("long").alias("i"), F.round("value", 6).alias("g"))
+
+
+# --- fitted models on rows ----------------------------------------------------
+
+
+@query("{x s} + " + _DIST + " SELECT t, i, CASE WHEN i = arg_min(i, (d, i)) OVER (PARTITION BY t) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS g FROM dist")
+def q_regimes_transform(spark: SparkSession, d: str) -> DataFrame:
+    """Regimes with fixed centres and no bound, on all rows."""
+    centers = _states(spark, d)
+    parts = [(0, "centers", 0, 0, int(i), int(j), float(centers[i, j])) for i, j in np.ndindex(*centers.shape)]
+    fitted = models.Fitted(spark.createDataFrame(parts, models.PARTS), models.BoundedRegimes(K).weights_of)
+    return _cells(fitted.transform(frames.vectors(spark, d)), "gamma", "g", "t", place="i")
+
+
+@query("{y} SELECT t, j, round(y, 6) AS y FROM y")
+def q_inverse_transform(spark: SparkSession, d: str) -> DataFrame:
+    states = _states(spark, d)
+    parts = [(0, "states", 0, 0, int(i), int(j), float(states[i, j])) for i, j in np.ndindex(*states.shape)]
+    coded = _rows(spark, d).select("series_id", "t", "gamma")
+    return _cells(models.Fitted(spark.createDataFrame(parts, models.PARTS)).inverse_transform(coded), "y", "y", "t")
+
+
+@query("""{last} + f AS (SELECT regr_slope(y, y1) AS a, regr_intercept(y, y1) AS mu FROM last WHERE y1 IS NOT NULL)
+SELECT user_id AS series_id, t, round(mu + a * y1, 4) AS y FROM last, f WHERE y1 IS NOT NULL""")
+def q_pw_transform(spark: SparkSession, d: str) -> DataFrame:
+    """What a piecewise model of one region gives for every row that has its lag."""
+    rows = _users(spark, d)
+    estimator = models.PiecewiseAutoregression(1)
+    fitted = models.PiecewiseModel(estimator, None, None, rows, {0: models.autoregression(rows, 1)})
+    return fitted.transform(rows).select("series_id", "t", F.round(F.get("y", F.lit(0)), 4).alias("y"))
+
+
+@query("""{last} + r AS (SELECT user_id % 3 AS restart, y1 >= 50 AS side, regr_intercept(y, y1) AS mu, regr_slope(y, y1) AS a FROM last WHERE y1 IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY restart ORDER BY mu, a) - 1 AS BIGINT) AS component FROM r),
+v AS (SELECT component, CAST(0 AS BIGINT) AS i, mu AS value FROM o UNION ALL SELECT component, 1, a FROM o)
+SELECT component, i, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, count(*) AS restarts FROM v GROUP BY component, i""")
+def q_restart_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Regressions on both sides of 50 for each third of the users, aligned and summarised as restarts."""
+    rows = frames.lagged(_users(spark, d), "x", [1]).where("x_lag1 IS NOT NULL").select("series_id", F.get("x", F.lit(0)).alias("y"), F.get("x_lag1", F.lit(0)).alias("z"))
+    got = rows.groupBy((F.col("series_id") % 3).alias("restart"), (F.col("z") >= 50).alias("side")).agg(F.regr_intercept("y", "z").alias("mu"), F.regr_slope("y", "z").alias("a")).collect()
+    fits = []
+    for restart in sorted({r.restart for r in got}):
+        regions = {int(r.side): core.unpack(np.array([[r.mu], [r.a]]), 1, 1, 0, 0, True, False, None) for r in got if r.restart == restart}
+        fits.append(models.PiecewiseModel(models.PiecewiseAutoregression(2), None, None, rows, regions))
+    out = models.summarise_restarts(fits, spark)
+    return out.select(F.col("component").cast("long").alias("component"), F.col("i").cast("long").alias("i"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "restarts")
+
+
+_WLS = """{last} + q AS (SELECT y, y1, CAST(1 + t % 5 AS DOUBLE) AS w FROM last WHERE y1 IS NOT NULL),
+f AS (SELECT (sum(w) * sum(w * y1 * y) - sum(w * y1) * sum(w * y)) / (sum(w) * sum(w * y1 * y1) - sum(w * y1) * sum(w * y1)) AS a FROM q),
+m AS (SELECT a, (sum(w * y) - a * sum(w * y1)) / sum(w) AS mu FROM q, f GROUP BY a),
+e AS (SELECT sum(w * (y - mu - a * y1) * (y - mu - a * y1)) / (sum(w) - 1) AS sigma FROM q, m)"""
+
+
+def _weighted(spark: SparkSession, d: str) -> core.Autoregression:
+    return models.autoregression(_users(spark, d).withColumn("w", (1 + F.col("t") % 5).cast("double")), 1, weight="w")
+
+
+@query(_WLS + " SELECT round(sigma, 3) AS sigma FROM e")
+def q_wls_sigma(spark: SparkSession, d: str) -> DataFrame:
+    """The weighted noise covariance of one autoregression over all users."""
+    return spark.createDataFrame([(round(float(_weighted(spark, d).sigma[0, 0]), 3),)], "sigma double")
+
+
+@query(_WLS + " SELECT round(1 / sigma, 8) AS precision FROM e")
+def q_wls_precision(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(round(float(_weighted(spark, d).precision[0, 0]), 8),)], "precision double")
+
+
+@query(f"""WITH q AS ({_DAILY}), l AS (SELECT row_number() OVER (ORDER BY day) AS t, y, lag(y) OVER (ORDER BY day) AS z, u FROM q), f AS (SELECT * FROM l WHERE z IS NOT NULL),
+c AS (SELECT covar_samp(y, z) AS yz, covar_samp(y, u) AS yu, covar_samp(z, u) AS zu, var_samp(z) AS zz, var_samp(u) AS uu, avg(y) AS my, avg(z) AS mz, avg(u) AS mu, regr_slope(y, u) AS b1, regr_intercept(y, u) AS c1 FROM f),
+r AS (SELECT *, (yz * uu - yu * zu) / (zz * uu - zu * zu) AS a, (yu * zz - yz * zu) / (zz * uu - zu * zu) AS b FROM c),
+e AS (SELECT t, y - my - a * (z - mz) - b * (u - mu) AS e0, y - c1 - b1 * u AS e1 FROM f, r)
+SELECT CAST(t AS BIGINT) AS t, CAST(0 AS BIGINT) AS i, round(sqrt(e0 * e0), 0) AS distance FROM e UNION ALL SELECT t, 1, round(sqrt(e1 * e1), 0) FROM e""")
+def q_regime_memories(spark: SparkSession, d: str) -> DataFrame:
+    """Residuals of two regimes, one with a memory of a day and one with none, both with the day's count as input, aligned on t."""
+
+    def both(x: np.ndarray, u: np.ndarray | None, series: int) -> list[tuple[str, np.ndarray, bool]]:
+        family = core.Autoregressions([1, 0])
+        distance = np.sqrt(family.distances(family.start(x, u, 2, np.random.RandomState(0)), x, u))
+        return [("distance", np.vstack([np.full((1, 2), -1.0), distance]), True)]
+
+    found = models.fit_series(_daily_orders(spark, d), both).part("distance").where("value >= 0")
+    return found.select("t", F.col("j").cast("long").alias("i"), F.round("value", 0).alias("distance"))
+
+
+@query("{z} SELECT t, i, round(g - z, 6) AS e FROM z")
+def q_crom_residual(spark: SparkSession, d: str) -> DataFrame:
+    rows = _predicted(*_mixture(spark, d))
+    return _cells(rows.withColumn("e", vec.add("gamma", "z", -1.0)), "e", "e", "t", place="i")
+
+
+@query(f"WITH q AS ({_DAILY}), l AS (SELECT row_number() OVER (ORDER BY day) AS t, y, lag(y) OVER (ORDER BY day) AS z0, lag(u) OVER (ORDER BY day) AS z1 FROM q) SELECT CAST(t AS BIGINT) AS t, round(y, 2) AS y, round(z0, 2) AS z0, z1 FROM l WHERE z0 IS NOT NULL")
+def q_pw_design(spark: SparkSession, d: str) -> DataFrame:
+    """Predictors of the piecewise model: a lag of the value and one of the input."""
+    rows = models.PiecewiseAutoregression(2, 1, 1, by="chunk").design(_daily_orders(spark, d))
+    value = {"y": F.round(F.get("x", F.lit(0)), 2), "z0": F.round(F.get("z", F.lit(0)), 2), "z1": F.get("z", F.lit(1))}
+    return rows.select("t", *[c.alias(n) for n, c in value.items()])
+
+
+@query("{x s} + " + _DIST + """, l1 AS (SELECT t, arg_min(i, (d, i)) AS i FROM dist GROUP BY t), c1 AS (SELECT i, j, avg(v) AS s FROM x JOIN l1 USING (t) GROUP BY 1, 2),
+d2 AS (SELECT t, i, sum((v - s) * (v - s)) AS d FROM x JOIN c1 USING (j) GROUP BY 1, 2) SELECT round(sum(d), 3) AS cost FROM (SELECT min(d) AS d FROM d2 GROUP BY t)""")
+def q_fembv_2steps(spark: SparkSession, d: str) -> DataFrame:
+    """The cost of regimes without a bound after two iterations from fixed centres, by the fit itself."""
+    centers = _states(spark, d)
+
+    def fit(x: np.ndarray, u: np.ndarray | None, series: int) -> list[tuple[str, np.ndarray, bool]]:
+        got = core.fit_regimes(core.FixedStart(core.Centers(), centers), x, u, K, None, max_iterations=2)
+        return [("cost", np.array(got.trace.costs), False)]
+
+    return models.fit_series(frames.vectors(spark, d), fit).summary().where("iteration = 1").select(F.round("cost", 3).alias("cost"))
+
+
 # --- whole fits: no SQL, tests hold invariants --------------------------------
 
 

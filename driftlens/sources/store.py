@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -17,14 +20,29 @@ def workers_know(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share.
+
+    A cluster names it in spark.checkpoint.dir. Only where that is unset, as in
+    local tests, a folder of this machine is set, which goes when Python ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file:///tmp/driftlens-checkpoints"
-    path = f"{root.rstrip('/')}/driftlens-{uuid.uuid4().hex}"
+        global _own
+        if _own is None:
+            _own = tempfile.mkdtemp(prefix="driftlens-")
+            atexit.register(shutil.rmtree, _own, ignore_errors=True)
+        root = f"file://{_own}"
+    return f"{root.rstrip('/')}/driftlens-{uuid.uuid4().hex}"
+
+
+_own: str | None = None
+
+
+def written(df: DataFrame, name: str = "part") -> DataFrame:
+    """df, written to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
