@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.sources.store import workers_know
+from driftlens.sources.store import shared_dir, workers_know, written
 
 _TYPES = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
@@ -24,26 +24,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share.
+#: A key with more than 1 / HOT of the rows, and at least LEAST_HOT of them, is hot.
+HOT, LEAST_HOT = 1000, 200
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset, as in
-    local tests, a folder of this machine is set.
+
+def hot_keys(counts: DataFrame, key: str) -> list:
+    """Keys whose count n is hot, by counts(key, n) of all keys: fewer than HOT, whatever the size."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return sorted(r[0] for r in counts.where((F.col("n") >= LEAST_HOT) & (F.col("n") * HOT > total)).select(key).collect())
+
+
+def join_to_one(rows: DataFrame, ones: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """rows joined to ones, which has at most one row for each key; null keys find nothing.
+
+    What belongs to hot keys is broadcast, fewer than HOT rows, and their rows
+    stay where they are; so do rows of null keys. Only the rest is shuffled.
     """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file:///tmp/driftlens-checkpoints"
-    return f"{root.rstrip('/')}/driftlens-{uuid.uuid4().hex}"
+    known = F.col(key).isNotNull()
+    if hot is None:
+        hot = hot_keys(rows.where(known).groupBy(key).agg(F.count("*").alias("n")), key)
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    out = rows.where(known & ~is_hot).join(ones, key, how)
+    if hot:
+        out = out.unionByName(rows.where(known & is_hot).join(F.broadcast(ones.where(F.col(key).isin(hot))), key, how))
+    if how == "left":
+        others = [F.lit(None).cast(f.dataType).alias(f.name) for f in ones.schema if f.name != key]
+        out = out.unionByName(rows.where(~known).select("*", *others))
+    return out
 
 
-def written(df: DataFrame, name: str = "part") -> DataFrame:
-    """df, written to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Ids up to this many are broadcast.
+FEW_IDS = 1 << 20
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for the rows of ids(doc_id), distinct and written. Few ids are broadcast, so that texts stay where they are; many are joined by a shuffle."""
+    few = ids.count() <= FEW_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -66,7 +83,15 @@ def forget_others(module: str) -> None:
     for m in others:
         m.clear()
     if others:
-        gc.collect()
+        release()
+
+
+def release() -> None:
+    """Gives memory that is no longer used back to the machine, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 #: Arrow batches are handed to functions in parts of about this many bytes.

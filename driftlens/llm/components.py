@@ -1,11 +1,11 @@
-"""Connected components of a table of links, with no node's neighbours in one task."""
+"""Connected components of a table of links, with no hub's neighbours in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import written
+from driftlens.llm.common import join_to_one, written
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -19,17 +19,19 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in links(a, b); the component is its smallest id.
 
     Large-star and small-star steps alternate until the links are stars around
-    smallest ids. A step takes minima by aggregation and joins them back, so a
-    hub's neighbours are never gathered. Every round's links are written to the
-    shared folder, so that a lost executor costs one round at most.
+    smallest ids. A step takes minima by aggregation and joins them back, those
+    of hubs by broadcast (join_to_one), so a hub's neighbours are never gathered.
+    Every step's links are written to the shared folder, so that a lost executor
+    costs one step at most.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
     while not _are_stars(edges):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = written(join_to_one(up, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = join_to_one(large, least, "a")
         small = joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         edges = written(small, "links")
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

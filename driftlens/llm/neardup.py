@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import map_rows, table, texts, written
+from driftlens.llm.common import hot_keys, join_to_one, map_rows, table, texts, without_ids, written
 from driftlens.llm.components import components
 from driftlens.llm.wordhash import grouped, hashed_words, mix, word_table
 
@@ -48,7 +48,9 @@ BANDS = BINS // ROWS
 #: A bucket with more pairs than these between components is divided by SPLITS other bands, DEPTH - 1 times at most; then blocks of BLOCK nodes are compared.
 PAIRS, SPLITS, DEPTH, BLOCK = 1 << 20, 8, 4, 1024
 #: Bits of parity bitmaps (for pairs), and of the map of ids whose sets are wanted.
-BITS, WANTED = 1024, 1 << 23
+BITS, WANTED = 1024, 1 << 26
+#: Pairs of one node that are verified by one copy of its set.
+SHARE = 256
 _NONSPACE = word_table("nonspace")  # words end at space and 0x09 to 0x0D
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, WORDS + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 _WIDTHS = _ODD[WORDS] * np.arange(WORDS + 1, dtype=np.uint64)
@@ -127,24 +129,43 @@ def _sets() -> Callable[[dict[str, list]], dict[str, list]]:
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, elements) of documents with these ids, and of a few others.
+    """(id, elements) of documents with these distinct ids, and of a few others.
 
-    Texts are not shuffled: a map of WANTED bits, whatever the number of ids,
-    is broadcast and tells which documents may be wanted.
+    Texts are not shuffled while ids are few: a map of 8 bits for each id, WANTED
+    bits (8 MB) at most, is broadcast and tells which documents may be wanted.
+    Beyond that, documents are joined to the ids.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED))
-    mask = F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {WANTED}L) % 64))")
-    wanted = ids.groupBy(F.floor(bit / 64).alias("place")).agg(F.bit_or(mask).alias("mask"))
-    there = docs.withColumn("place", F.floor(bit / 64)).join(F.broadcast(wanted), "place").where(F.col("mask").bitwiseAND(mask) != 0)
+    n = ids.count()
+    if n > WANTED // 8:
+        there = docs.join(ids, "doc_id", "left_semi")
+    else:
+        size = max(1 << 12, 1 << (8 * n).bit_length())
+        bit = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+        mask = F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {size}L) % 64))")
+        wanted = ids.groupBy(F.floor(bit / 64).alias("place")).agg(F.bit_or(mask).alias("mask"))
+        there = docs.withColumn("place", F.floor(bit / 64)).join(F.broadcast(wanted), "place").where(F.col("mask").bitwiseAND(mask) != 0)
     return written(map_rows(there.select("doc_id", "text"), _sets, "id long, elements array<long>"), "sets")
 
 
+def _dealt(pairs: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    """pairs with share_{side}, and (id, copies) of nodes with very many pairs (centres of stars): one copy of the set for each SHARE of them."""
+    counts = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > SHARE)
+    many = written(counts.select(side, "n", F.ceil(F.col("n") / SHARE).cast("int").alias("copies")), "many")
+    found = join_to_one(pairs, many.drop("n"), side, "left", hot_keys(many, side))
+    share = F.coalesce(F.pmod(F.xxhash64("b" if side == "a" else "a"), F.col("copies")), F.lit(0)).cast("int")
+    return found.withColumn(f"share_{side}", share).drop("copies"), many.select(F.col(side).alias("id"), "copies")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs(a, b), written and distinct, whose full sets are similar enough."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
-    left, right = sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
+    dealt, many_a = _dealt(pairs, "a")
+    dealt, many_b = _dealt(dealt, "b")
+    for side, elements, many in (("a", "x", many_a), ("b", "y", many_b)):
+        copies = sets.join(many, "id", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+        dealt = dealt.join(copies.select(F.col("id").alias(side), F.col("share").alias(f"share_{side}"), F.col("elements").alias(elements)), [side, f"share_{side}"])
     shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right, "b").join(left, "a").where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return dealt.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def _near(n: str, m: str) -> F.Column:
@@ -162,8 +183,10 @@ def _open(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """rows(key, band, id, n) of the buckets that have pairs between components, with component, bits, bands and twice the number of such pairs."""
     rows = rows.join(found, "id", "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("component"))
     by = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-    open_ = by.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice")).where("twice > 0")
-    return written(rows.join(open_, "key").join(nodes.select("id", "bits", "bands"), "id"), "open")
+    open_ = by.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice"), F.sum("c").alias("n")).where("twice > 0")
+    open_ = written(open_, "keys")
+    rows = join_to_one(rows, open_.select("key", "twice"), "key", hot=hot_keys(open_, "key"))
+    return written(rows.join(nodes.select("id", "bits", "bands"), "id"), "open")
 
 
 def _pairs(a: DataFrame, b: DataFrame, met: Callable[[DataFrame, DataFrame], F.Column]) -> DataFrame:
@@ -220,10 +243,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = texts(docs)
     marked = written(map_rows(docs, _sketches, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "sketches")
     nodes = marked.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
-    nodes = written(nodes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
+    nodes = written(nodes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.count("*").alias("rows")), "nodes")
     rows = nodes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first")
-    rows = written(rows.join(buckets, "key"), "buckets")
+    buckets = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    buckets = written(buckets, "firsts")
+    hot = hot_keys(buckets.select("key", F.col("rows").alias("n")), "key")
+    rows = written(join_to_one(rows, buckets.select("key", "first"), "key", hot=hot), "buckets")
     star = rows.where((F.col("id") != F.col("first.id")) & _near("n", "first.n")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
     found = components(_verified(written(star.distinct(), "pairs"), docs))
     rest, hot = _left_over(rows.select("key", "band", "id", "n"), nodes, found)
@@ -232,14 +257,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = _linked(found, _in_full(hot, nodes, found), docs)
     # the same id may stand for several sets; its component is then common to them
     by_set = nodes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = marked.join(by_set, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
+    hot = hot_keys(nodes.select("digest", F.col("rows").alias("n")), "digest")
+    out = join_to_one(marked.select("doc_id", "n_shingles", "digest"), by_set, "digest", "left", hot).select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each group, the one with the smallest id; rows with null ids stay."""
     copies = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(written(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, written(copies.distinct(), "copies"))
 
 
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
