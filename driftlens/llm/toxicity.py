@@ -2,11 +2,12 @@
 
 Voters look at texts: hand-written lexicons and patterns, and lexicons of word
 beginnings and words mined from labelled training rows, one voter for each
-length of beginning and each band of precision. A generative label model with
-latent toxicity gives each voter a rate of firing on toxic and on clean texts,
-estimates by EM these rates (its accuracies) and, from what the rates leave
-unexplained, the correlations between voters; correlated voters share their
-weight. Its posterior labels train a logistic classifier on the presence of
+length of beginning and each band of precision. In a generative label model the
+label is latent; voters depend on it and, along a tree, on each other. EM
+estimates how often each voter fires on toxic and on clean texts (its accuracy)
+and how it goes along with its neighbour in the tree (correlations), from how
+voters agree. Known labels say where EM starts, and mine the lexicons; they are
+no part of the model. Its posterior labels train a logistic classifier on the presence of
 word beginnings and words, hashed to 2^20 slots. Scores come from the text alone.
 
 Fitting takes a sample of at most SAMPLE labelled training rows, those of the
@@ -85,41 +86,73 @@ _PATTERNS = [re.compile(p) for p in PATTERNS.values()]
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Rates of firing by class, and the weight that each voter's evidence keeps."""
+    """A latent label and voters that depend on it and, along a tree, on each other.
+
+    rates: how often a voter fires on clean and on toxic texts (its accuracies).
+    parents: the voter that each one goes along with most, given the label; -1
+    for the root. tables[y, i, a]: how often voter i fires on texts of label y
+    where its parent has voted a. correlations: between voters, given the label.
+    """
 
     prior: float
     rates: np.ndarray  # (2, voters)
+    parents: np.ndarray
+    tables: np.ndarray  # (2, voters, 2)
     correlations: np.ndarray  # (voters, voters)
-    weights: np.ndarray  # (voters,)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on, off = np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        logit = np.log(self.prior / (1 - self.prior)) + votes @ (self.weights * on) + (1 - votes) @ (self.weights * off)
-        return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
-
-
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 12, trust: float = 0.5) -> LabelModel:
-    """EM from rates on labelled rows, which also stay as a prior of `trust` times the rows."""
+        votes = votes.astype(int)
+        own = np.arange(votes.shape[1])
+        before = np.where(self.parents >= 0, votes[:, self.parents], 0)
+        fires = self.tables[:, own, before]  # (2, texts, voters)
+        chance = np.log(np.where(votes == 1, fires, 1 - fires)).sum(2)
+        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + chance[1] - chance[0], -50, 50)))
+
+
+def _tree(both: np.ndarray, single: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Parents along the tree of most mutual information between voters given the label, from counts by label: of pairs firing, of voters firing, of texts."""
+    information = np.zeros(both.shape[1:])
+    for y in (0, 1):
+        n = mass[y] + 2
+        one = (single[y] + 1) / n
+        for a in (0, 1):
+            for b in (0, 1):
+                cell = both[y] if a and b else single[y][:, None] - both[y] if a else single[y][None] - both[y] if b else mass[y] - single[y][:, None] - single[y][None] + both[y]
+                p = (np.maximum(cell, 0) + 0.5) / n
+                information = information + n * p * np.log(p / np.outer(one if a else 1 - one, one if b else 1 - one))
+    m = len(information)
+    parents, nearest, best, left = np.full(m, -1), np.full(m, -1), np.zeros(m), np.ones(m, bool)
+    for _ in range(m):
+        k = int(np.where(left, best, -1).argmax())
+        parents[k], left[k] = nearest[k], False
+        closer = left & (information[k] > best)
+        nearest[closer], best[closer] = k, information[k][closer]
+    return parents
+
+
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12) -> LabelModel:
+    """EM: labels are latent, and start is only where their posterior begins (known labels, or a guess).
+
+    What ties the latent label to toxicity is that start; accuracies and
+    correlations then come from how voters agree on all these texts.
+    """
     votes = votes.astype(float)
-    n, m = votes.shape
-    prior = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
-
-    def rates(p: np.ndarray) -> np.ndarray:
-        mass = np.array([(1 - p).sum(), p.sum()])[:, None]
-        fired = np.stack([(1 - p) @ votes, p @ votes])
-        return (fired + 0.5) / (mass + 1)
-
-    known = rates(labels.astype(float))
-    model = LabelModel(prior, known, np.eye(m), np.ones(m))
+    p, own = start.astype(float), np.arange(votes.shape[1])
     for _ in range(rounds):
+        weights = np.stack([1 - p, p])
+        mass, single = weights.sum(1), weights @ votes
+        both = np.stack([votes.T @ (w[:, None] * votes) for w in weights])
+        left = both.sum(0) - sum(np.outer(s, s) / max(m, 1e-9) for s, m in zip(single, mass, strict=True))
+        scale = np.sqrt(np.maximum(np.diag(left), 1e-9))
+        correlations = np.clip(left / np.outer(scale, scale), -1, 1)
+        parents = _tree(both, single, mass)
+        rates = (single + 0.5) / (mass[:, None] + 1)
+        with_parent = both[:, own, parents]
+        of_parent = single[:, parents]
+        on, off = (with_parent + rates) / (of_parent + 1), (single - with_parent + rates) / (mass[:, None] - of_parent + 1)
+        tables = np.where((parents >= 0)[None, :, None], np.stack([off, on], 2), rates[:, :, None]).clip(1e-6, 1 - 1e-6)
+        model = LabelModel(float(np.clip(p.mean(), 1e-3, 1 - 1e-3)), rates, parents, tables, correlations)
         p = model.posterior(votes)
-        now = (rates(p) + trust * known) / (1 + trust)
-        # what is left when a voter's expected firing is taken away
-        left = votes - (np.outer(1 - p, now[0]) + np.outer(p, now[1]))
-        scale = np.sqrt((left * left).mean(0)) + 1e-9
-        rho = np.clip((left.T @ left) / n / np.outer(scale, scale), -1, 1)
-        weights = 1 / (1 + np.clip(rho - np.eye(m), 0, None).sum(1))
-        model = LabelModel(prior, now, rho, weights)
     return model
 
 

@@ -1,6 +1,12 @@
+import math
+import re
+import zlib
+
 import numpy as np
+import pytest
 from driftlens.llm import toxicity as T
 from driftlens.llm.common import table
+from pyspark.sql import functions as F
 
 
 def auc(y, s):
@@ -17,15 +23,64 @@ def test_held_out_accuracy(spark):
     assert rows.predicted[rows.toxic == 0].mean() < 0.01
 
 
-def test_label_model_finds_accurate_voters_and_shares_weight_of_copies():
+def test_label_model_finds_accuracies_by_agreement_and_counts_copies_once():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
-    good, noise = np.where(rng.random(4000) < 0.95, y, ~y), rng.random(4000) < 0.3
-    copy = good.copy()
-    model = T.fit_label_model(np.stack([good, copy, noise], 1).astype(float), y)
-    assert model.weights[0] < 0.7 < model.weights[2]
-    assert model.correlations[0, 1] > 0.9
-    assert ((model.posterior(np.stack([good, copy, noise], 1).astype(float)) > 0.5) == good).mean() > 0.95
+    y = rng.random(6000) < 0.3
+    flip = lambda right: np.where(rng.random(6000) < right, y, ~y)
+    a, b, c, noise = flip(0.9), flip(0.85), flip(0.8), rng.random(6000) < 0.3
+    votes = np.stack([a, a.copy(), b, c, noise], 1).astype(float)
+    guess = np.where(rng.random(6000) < 0.95, y, ~y)
+    model = T.fit_label_model(votes, guess, rounds=60)
+    for voter, right in ((0, 0.9), (2, 0.85), (3, 0.8)):
+        assert abs(model.rates[1, voter] - right) < 0.15 and abs(1 - model.rates[0, voter] - right) < 0.15
+    assert abs(model.rates[1, 4] - model.rates[0, 4]) < 0.1
+    assert model.correlations[0, 1] > 0.9 > 0.3 > abs(model.correlations[2, 4])
+    assert model.parents[1] == 0
+    logit = lambda m, v: (lambda p: np.log(p / (1 - p)))(m.posterior(np.array([v], float)))[0]
+    alone = T.fit_label_model(votes[:, 1:], guess, rounds=60)
+    assert abs(logit(model, [1, 1, 0, 0, 0]) - logit(alone, [1, 0, 0, 0])) < 0.5
+    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.9
+
+
+def brute(text, model):
+    """The score of a text from the classifier's features, word by word."""
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def value(word):
+        return sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(word)) & mask
+
+    found = set()
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()):
+        for kind, n in enumerate(T.LENGTHS):
+            if len(word) > n:
+                found.add(((mixed((value(word[:n]) + n) & mask) | 1) >> 44) * 8 + kind)
+        found.add(((mixed(value(word)) | 1) >> 44) * 8 + len(T.LENGTHS))
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    return 1 / (1 + math.exp(-(model.constant + sum(weights.get(k, 0.0) for k in found))))
+
+
+def test_scores_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents").limit(300)
+    model = T.fit(table(spark, d, "documents"), table(spark, d, "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in T.toxicity_scores(docs, model).collect():
+        assert r.score == pytest.approx(brute(texts[r.doc_id], model), rel=1e-9)
+        assert r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_held_out_labels_change_nothing(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    other = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = T.fit(docs, labels), T.fit(docs, other)
+    assert (a.keys == b.keys).all() and np.allclose(a.weights, b.weights) and a.constant == pytest.approx(b.constant)
 
 
 def test_odd_rows_and_missing_labels(spark, odd, none):
