@@ -33,8 +33,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded_sha256) of each document."""
-    rows = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("ids").alias("token_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = bpe.encode_ids(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("ids").alias("token_ids"), "decoded_sha256")
 
 
 STAGES = [
