@@ -27,6 +27,32 @@ def test_base_against_brute_force_and_model_beats_it(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_against_brute_force(spark, monkeypatch):
+    """Word by word, with the softmax written out, from the network and the counts."""
+    monkeypatch.setattr(L, "HEAD", 300)
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    training = L.texts(docs).where(~L._held_out())
+    counts = L.written(L._counted(training))
+    known, count_of = L.vocabulary(counts), {bytes(r.word): r.c for r in counts.collect()}
+    network = L.train_apart(L._class_runs(training, spark.sparkContext.broadcast(known)), known.class_total)
+    got = {r.doc_id: r.score for r in L.score(docs).collect()}
+
+    def kind(word):
+        return int(known.head_class[known.head[word]]) if word in known.head else known.endings.get(word.decode()[-2:], L.CLASSES - 2)
+
+    for doc, text in [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(25).collect()]:
+        total, before = 0.0, [L.CLASSES - 1, L.CLASSES - 1]
+        for word in L.words(text or ""):
+            own = kind(word)
+            q = [network.scale[0][d] * network.context[before[0]][d] + network.scale[1][d] * network.context[before[1]][d] for d in range(L.WIDTH)]
+            z = network.target @ np.array(q) + network.bias
+            total += (z[own] - z.max() - math.log(sum(math.exp(v) for v in z - z.max()))) / math.log(10)
+            if own >= L.HEAD_CLASSES:  # a word shares its class with others
+                total += math.log10((count_of.get(word, 0) + 0.5) / known.class_total[own])
+            before = [before[1], own]
+        assert got[doc] == pytest.approx(total, rel=1e-4)
+
+
 def test_probabilities_sum_to_one():
     network = L.train(np.arange(0, L.CLASSES**3, 997), np.ones(len(range(0, L.CLASSES**3, 997))))
     assert np.allclose((10 ** network.log10(np.arange(L.CLASSES**2))).sum(1), 1)

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import struct
+import zlib
 
 import pytest
 from driftlens.llm import ogg
@@ -55,3 +57,25 @@ def test_query_over_odd_rows(odd, none):
         if payload:
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest())
     assert ogg.media_features(ogg.to_media(none)).count() == 0
+
+
+def brute_feature(payload):
+    samples, n = [b - 128 for b in payload], len(payload) // 576
+    frames = [(n + 1) // 2, n // 2]
+    seconds = "/".join(f"{f * 576 / ogg.RATE:.3f}" for f in frames)
+    mean = sum(samples) / len(samples)
+    rms = math.sqrt(sum(v * v for v in samples) / len(samples))
+    turns = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+    return f"frames={frames[0]}/{frames[1]};seconds={seconds};mean={mean:.4f};rms={rms:.4f};peak={max(map(abs, samples))};turns={turns}"
+
+
+def test_digests_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = {k: "".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(160, 3000)))) for _ in range(n)) for k, n in enumerate((0, 1, 31, 575, 576, 577, 4000))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    media = {r.doc_id: bytes(r.media) for r in ogg.to_media(docs).collect()}
+    for r in ogg.media_features(ogg.to_media(docs)).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-32:]), len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest())
+        assert r.feature == brute_feature(payload)
