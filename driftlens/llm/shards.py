@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import table, written
 
-SHARDS, OVERHEAD, SAMPLE, RANGES = 40, 16, 8192, 128
+SHARDS, OVERHEAD, SAMPLE = 40, 16, 8192
+#: Ranges: one for each RANGE_BYTES, so that a range's records (without their texts) suit a task; between these bounds.
+RANGE_BYTES, RANGES, MOST_RANGES = 256 << 20, 128, 4096
 
 
 def _unit(*parts: Column) -> Column:
@@ -45,8 +47,8 @@ def _range(key: Column, splitters: list[str]) -> Column:
     return between(0, len(splitters))
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, sample: int = SAMPLE, ranges: int = RANGES) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law), one row for each record."""
+def assign_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, sample: int = SAMPLE, ranges: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law), one row for each record; ranges: by size unless given."""
     text = F.coalesce("text", F.lit(""))
     records = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -58,6 +60,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEA
     total = records.agg(F.sum("size")).first()[0] or 0
     if not total:
         return _shaped(records.limit(0).withColumns({"shard": F.lit(0), "slot": F.lit(0)}))
+    ranges = ranges or min(MOST_RANGES, max(RANGES, total // RANGE_BYTES))
+    sample = max(sample, 4 * ranges)
     drawn = records.where(_unit(F.col("key"), F.lit(6)) < F.col("size") * (sample / total)).select("key").distinct()
     keys = sorted(r[0] for r in drawn.collect())
     step = max(1, len(keys) // ranges)
