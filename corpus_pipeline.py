@@ -4,6 +4,14 @@ duplicates stays, documents that hold benchmark items go, the rest is encoded.
 Each stage is a function of (spark, docs, sf_dir), works on all that its
 predecessor kept and returns the columns of documents; the last returns ids.
 run() writes each stage's result to the shared folder and reads it back.
+
+Defined cases: a null text is empty; such rows and empty texts are clean, no
+near duplicates and no contamination, and have no ids at the end. Toxic and
+contaminated rows go whatever their ids are. Rows with null ids are no near
+duplicates of anything; rows that share an id are one document there and stay
+or go together. Extra columns of documents go along until the last stage. Empty
+tables give no rows; without labels of both classes no document is toxic,
+without benchmark items none is contaminated.
 """
 
 from __future__ import annotations
