@@ -37,6 +37,14 @@ def test_what_is_remembered_is_bounded_and_makes_no_difference(codec, monkeypatc
     assert codec.held < 200_000
 
 
+def test_short_words_with_runs(codec):
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(9)
+    words = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for letters in ("ab", "a", "ao", "the", "nan", "ssi", "=", "日本") for _ in range(400)}
+    for text, (ids, back) in zip(words, codec.encode(list(words)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(text) and back.decode() == text, text
+
+
 def test_tokens_that_must_be_contracted_alone():
     """With abc before ab, but b c never merged, (ab, c) has a lower rank than ab has."""
     ranks = {bytes([b]): b for b in range(256)} | {b"aba": 256, b"ab": 257}
