@@ -195,7 +195,7 @@ class ConvexCoding:
     def fit_long(self, df: DataFrame) -> tuple[DataFrame, np.ndarray, list[float]]:
         """(df with gamma, states, costs) for a series of any length, without lags in the loop.
 
-        An iteration is three aggregations. The line searches cost no pass:
+        An iteration is three passes. The line searches cost no pass:
         the cost is a quadratic along each direction.
         """
         n, d = check_vectors(df)
@@ -204,7 +204,12 @@ class ConvexCoding:
         rows = written(df.withColumn("gamma", random_weights(self.k, self.seed, "series_id", "t")))
         xx = float(rows.agg(F.sum(vec.dot("x", "x"))).first()[0])
         blocks, trace = {m: core.Block() for m in ("states", "weights")}, core.Trace()
-        gtx, gtg = cross(rows, "gamma", "x"), cross(rows, "gamma", "gamma")
+
+        def products(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            both = cross(rows.withColumn("all", F.concat("gamma", "x")), "gamma", "all")
+            return both[:, self.k :], both[:, : self.k]
+
+        gtx, gtg = products(rows)
         for _ in range(self.max_iterations):
             def cost(s: np.ndarray, gtx: np.ndarray = gtx, gtg: np.ndarray = gtg) -> float:
                 return c * float(xx - 2 * (gtx * s).sum() + (gtg * (s @ s.T)).sum()) + core.pair_penalty(s, self.epsilon)
@@ -220,7 +225,7 @@ class ConvexCoding:
             length, _ = spg.line_search(spg.parabola(before, slope, bend), slope, [before])
             blocks["weights"].alpha = spg.spectral_length(length * length * dd, 2 * length * length * bend)
             rows = written(step_rows.withColumn("gamma", vec.add("gamma", "d", length)).drop("g", "d"))
-            gtx, gtg = cross(rows, "gamma", "x"), cross(rows, "gamma", "gamma")
+            gtx, gtg = products(rows)
             now = c * float(xx - 2 * (gtx * states).sum() + (gtg * (states @ states.T)).sum()) + core.pair_penalty(states, self.epsilon)
             if trace.step(now, self.tolerance, True):
                 break
@@ -289,8 +294,8 @@ class ArchetypalAnalysis:
             raise ValueError(f"update may name dictionary and weights: {list(update)}")
         if not (kernel is None or kernel == "precomputed" or callable(kernel)):
             raise ValueError(f"kernel must be None, precomputed or a function: {kernel!r}")
-        if delta < 0 or delta >= 1:
-            raise ValueError(f"delta must be in [0, 1): {delta}")
+        if not delta >= 0:
+            raise ValueError(f"delta must not be negative: {delta}")
         self.k, self.delta, self.tolerance, self.max_iterations, self.seed, self.kernel = n_components, delta, tolerance, max_iterations, seed, kernel
         self.options = {**(start or {}), "init": init, "update": tuple(update), "monotonic": monotonic, "memory": memory}
         self.progress = progress

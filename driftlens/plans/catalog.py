@@ -230,12 +230,18 @@ def q_gpnh_cost(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{{gtx gtg s n}} SELECT i, j, round({4 * EPSILON_STATES} / (d * {K * (K - 1)}) * ({K} * s - sum(s) OVER (PARTITION BY j)) + 2 / n * (gs - gtx.v), 6) AS v
 FROM s JOIN gtx USING (i, j) JOIN (SELECT gtg.i AS i, s.j AS j, sum(gtg.v * s.s) AS gs FROM gtg JOIN s ON gtg.j = s.i GROUP BY 1, 2) USING (i, j), n""")
 def q_gpnh_grad_dict(spark: SparkSession, d: str) -> DataFrame:
-    rows, states = _rows(spark, d), _states(spark, d)
-    n = rows.agg(F.sum(F.size("x"))).first()[0]
-    gradient = core.pair_penalty_gradient(states, EPSILON_STATES) + 2 / n * (moments.cross(rows, "gamma", "gamma") @ states - moments.cross(rows, "gamma", "x"))
+    states = _states(spark, d)
+    gtg, gtx, n = _products(_rows(spark, d))
+    gradient = core.pair_penalty_gradient(states, EPSILON_STATES) + 2 / (n * states.shape[1]) * (gtg @ states - gtx)
     return _table(spark, gradient)
 
 
+def _products(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums of gamma gamma', of gamma x' and the number of rows (weights sum to 1), in one pass."""
+    both = moments.cross(rows.withColumn("all", F.concat("gamma", "x")), "gamma", "all")
+    return both[:, : len(both)], both[:, len(both) :], float(both[:, : len(both)].sum())
+
+
 def _weights_gradient(spark: SparkSession, d: str) -> DataFrame:
     rows, states = _rows(spark, d), _states(spark, d)
     n = rows.agg(F.sum(F.size("x"))).first()[0]
@@ -363,7 +369,8 @@ def q_aa_grad_s(spark: SparkSession, d: str) -> DataFrame:
 SELECT t, i, round(sum(b * v), 3) AS v FROM b JOIN x USING (j) GROUP BY t, i""")
 def q_aa_grad_c(spark: SparkSession, d: str) -> DataFrame:
     rows, states = _rows(spark, d), _states(spark, d)
-    base = 2 * (moments.cross(rows, "gamma", "gamma") @ states - moments.cross(rows, "gamma", "x"))
+    gtg, gtx, _ = _products(rows)
+    base = 2 * (gtg @ states - gtx)
     return _cells(rows.withColumn("g", vec.matvec(base, "x")), "g", "v", "t", place="i", decimals=3)
 
 
@@ -440,8 +447,8 @@ def q_fembv_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query("{x g} SELECT i, j, round(sum(g * v) / sum(g), 6) AS v FROM g JOIN x USING (t) GROUP BY i, j")
 def q_fembv_centroids(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, d)
-    return _table(spark, core.centroids_of(moments.cross(rows, "gamma", "x"), moments.cross(rows.withColumn("one", F.array(F.lit(1.0))), "gamma", "one")))
+    gtg, gtx, _ = _products(_rows(spark, d))
+    return _table(spark, core.centroids_of(gtx, gtg.sum(1, keepdims=True)))
 
 
 @query("""WITH p(n, k, c) AS (VALUES (12, 3, 5.0)), v AS (SELECT t, i, t * k + i AS g, n * k + t * k + i AS e FROM p, range(12) a(t), range(3) b(i)),

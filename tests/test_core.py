@@ -98,18 +98,90 @@ def test_relaxed_archetypes_are_no_worse():
     assert (abs(free.scales - 1) <= 0.3 + 1e-12).all()
 
 
-#: Published quarterly data, 1960 to 1978: investment, income and consumption.
-LUTKEPOHL = """180 451 415 179 465 421 185 485 434 192 493 448 211 509 459 202 520 458 207 521 479 214 540 487 231 548 497 229 558 510 234 574 516 237 583 525
-206 591 529 250 599 538 259 610 546 263 627 555 264 642 574 280 653 574 282 660 586 292 694 602 286 709 617 302 734 639 304 751 653 307 763 668
-317 766 679 314 779 686 306 808 697 304 785 688 292 794 704 275 799 699 273 799 709 301 812 715 280 837 724 289 853 746 303 876 758 322 897 779
-315 922 798 339 949 816 364 979 837 371 988 858 375 1025 881 432 1063 905 453 1104 934 460 1131 968 475 1137 983 496 1178 1013 494 1211 1034 498 1256 1064
-526 1290 1101 519 1314 1102 516 1346 1145 531 1385 1173 573 1416 1216 551 1436 1229 538 1462 1242 532 1493 1267 558 1516 1295 524 1557 1317 525 1613 1355 519 1642 1371
-526 1690 1402 510 1759 1452 519 1756 1485 538 1780 1516 549 1807 1549 570 1831 1567 559 1873 1588 584 1897 1631 611 1910 1650 597 1943 1685 603 1976 1722 619 2018 1752
-635 2040 1774 658 2070 1807 675 2121 1831 700 2132 1842"""
+#: West German investment, income and consumption by quarter, 1960 to 1978, and the estimates printed for them, from
+#: H. Lütkepohl, New Introduction to Multiple Time Series Analysis (Springer, 2005).
+QUARTERS = [
+    (180, 451, 415),
+    (179, 465, 421),
+    (185, 485, 434),
+    (192, 493, 448),
+    (211, 509, 459),
+    (202, 520, 458),
+    (207, 521, 479),
+    (214, 540, 487),
+    (231, 548, 497),
+    (229, 558, 510),
+    (234, 574, 516),
+    (237, 583, 525),
+    (206, 591, 529),
+    (250, 599, 538),
+    (259, 610, 546),
+    (263, 627, 555),
+    (264, 642, 574),
+    (280, 653, 574),
+    (282, 660, 586),
+    (292, 694, 602),
+    (286, 709, 617),
+    (302, 734, 639),
+    (304, 751, 653),
+    (307, 763, 668),
+    (317, 766, 679),
+    (314, 779, 686),
+    (306, 808, 697),
+    (304, 785, 688),
+    (292, 794, 704),
+    (275, 799, 699),
+    (273, 799, 709),
+    (301, 812, 715),
+    (280, 837, 724),
+    (289, 853, 746),
+    (303, 876, 758),
+    (322, 897, 779),
+    (315, 922, 798),
+    (339, 949, 816),
+    (364, 979, 837),
+    (371, 988, 858),
+    (375, 1025, 881),
+    (432, 1063, 905),
+    (453, 1104, 934),
+    (460, 1131, 968),
+    (475, 1137, 983),
+    (496, 1178, 1013),
+    (494, 1211, 1034),
+    (498, 1256, 1064),
+    (526, 1290, 1101),
+    (519, 1314, 1102),
+    (516, 1346, 1145),
+    (531, 1385, 1173),
+    (573, 1416, 1216),
+    (551, 1436, 1229),
+    (538, 1462, 1242),
+    (532, 1493, 1267),
+    (558, 1516, 1295),
+    (524, 1557, 1317),
+    (525, 1613, 1355),
+    (519, 1642, 1371),
+    (526, 1690, 1402),
+    (510, 1759, 1452),
+    (519, 1756, 1485),
+    (538, 1780, 1516),
+    (549, 1807, 1549),
+    (570, 1831, 1567),
+    (559, 1873, 1588),
+    (584, 1897, 1631),
+    (611, 1910, 1650),
+    (597, 1943, 1685),
+    (603, 1976, 1722),
+    (619, 2018, 1752),
+    (635, 2040, 1774),
+    (658, 2070, 1807),
+    (675, 2121, 1831),
+    (700, 2132, 1842),
+]
 
 
 def published():
-    return np.diff(np.log(np.array(LUTKEPOHL.split(), float).reshape(-1, 3)), axis=0)
+    return np.diff(np.log(np.array(QUARTERS, float)), axis=0)
 
 
 def check_published(got):
@@ -187,3 +259,37 @@ def test_constraints_of_the_programme(spark):
             a[r.r, r.col] = r.coeff
     assert a[:, :6].tolist() == np.kron(np.eye(3), np.ones(2)).tolist()
     assert sum(r.kind == "bound" for r in rows) == 4 and sum(r.kind == "positive" for r in rows) == 10
+
+
+# Sizes, tolerances and the iterations within which such fits are expected to end.
+
+
+@pytest.mark.parametrize(("n", "d", "k", "epsilon", "update", "limit"), [(50, 13, 3, 0.0, "states", 100), (500, 27, 13, 4.3, "states", 100), (500, 10, 9, 0.0, "weights", 100), (500, 35, 4, 1.3, "weights", 100)])
+def test_codings_end_within_their_budgets(n, d, k, epsilon, update, limit):
+    rng = np.random.default_rng(0)
+    x = rng.dirichlet(np.ones(k), n) @ rng.uniform(size=(k, d))
+    got = core.fit_coding(x, k, epsilon, update=(update,), tolerance=1e-6, max_iterations=limit, seed=0)
+    assert got.trace.converged and len(got.trace.costs) - 1 < limit
+
+
+@pytest.mark.parametrize(("n", "d", "k", "lags", "epsilon", "update", "limit"), [
+    (50, 13, 3, [6, 7], 0.0, "states", 100), (500, 27, 13, [1, 12], 0.0, "states", 100), (500, 10, 9, [1, 2], 0.0, "weights", 100), (500, 35, 4, [1, 2], 3.4, "weights", 100), (500, 35, 4, [1, 3, 4], 1.0, "parameters", 200),
+])
+def test_joint_codings_end_within_their_budgets(n, d, k, lags, epsilon, update, limit):
+    rng = np.random.default_rng(0)
+    x = rng.dirichlet(np.ones(k), n) @ rng.uniform(size=(k, d))
+    got = core.fit_coding(x, k, 0.0, lags, epsilon, update=(update,), tolerance=1e-6, max_iterations=limit, seed=0)
+    assert got.trace.converged and len(got.trace.costs) - 1 < limit
+
+
+@pytest.mark.parametrize(("n", "d", "k", "delta", "update", "tolerance", "limit"), [
+    (600, 20, 15, 0.0, ("dictionary",), 1e-6, 500), (320, 30, 11, 3.2, ("dictionary",), 1e-4, 1000), (600, 10, 3, 0.0, ("weights",), 1e-6, 100), (320, 30, 11, 0.3, ("weights",), 1e-4, 1000),
+    (50, 2, 3, 0.0, ("dictionary", "weights"), 1e-6, 500), (123, 3, 4, 0.0, ("dictionary", "weights"), 1e-12, 500),
+])
+def test_archetypes_end_within_their_budgets(n, d, k, delta, update, tolerance, limit):
+    rng = np.random.default_rng(0)
+    corners = rng.uniform(size=(k, d))
+    x = rng.dirichlet(np.ones(k), n) @ corners
+    x[rng.choice(n, k, replace=False)] = corners
+    got = core.fit_archetypes(x, k, delta, update=update, tolerance=tolerance, max_iterations=limit, seed=0)
+    assert got.trace.converged and len(got.trace.costs) - 1 < limit
