@@ -333,7 +333,7 @@ warranty | without warranty | \bprovided (?:["']?as is["']?,? )?without warranty
 warranty | any warranty | \bwithout any warranty\b
 dual | dual-licen,dual licen | \bdual[- ]licen[cs]ed\b
 dual | under either of | \blicensed under either of\b
-permissive | permissive licen | \bpermissive (?:open source )?licen[cs]e\b
+permissive | permissive | \bpermissive (?:open source )?licen[cs]e\b
 lizenz | unter der | \bunter der (?:mit|gpl|bsd|apache)-lizenz\b
 licencia | bajo la licencia | \bbajo la licencia (?:mit|gpl|bsd|apache)\b
 licence-fr | sous licence | \bsous licence (?:mit|gpl|bsd|apache|libre)\b
