@@ -7,7 +7,7 @@ of the frame, number of ids) and the index's own offset. Frames are compressed
 separately: IdFile reads the index at the end and then seeks to one frame. ids
 are unsigned little-endian integers, of 16 bits where the vocabulary allows it.
 
-The dictionary lies beside the files and is trained on a bounded sample: the
+The dictionary lies beside the files and is trained on a bounded sample: about
 SAMPLE documents of smallest hash, each by CHUNKS chunks of CHUNK_IDS ids spread
 over all its ids. Only the training is bounded; all documents are written whole.
 
@@ -49,15 +49,19 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftlens.llm.common import arrow_schema, forget_others, map_rows, memory, parts, shared_dir, table, texts
-from driftlens.llm.pretokens import is_word, pieces
+from driftlens.llm.pretokens import is_plain, is_word
 
 END, MAGIC, NO_ID = 0, b"DLIDS2\n\0", -(1 << 63)
 SAMPLE, CHUNKS, CHUNK_IDS, DICTIONARY, LEVEL = 2000, 8, 512, 112_640, 3
-SHARD_BYTES, RANGES, MEMO = 8 << 20, 10_000, 300_000
+SHARD_BYTES, RANGES, MEMO = 8 << 20, 10_000, 250_000
 _HEAD, _TAIL = struct.Struct("<8sQB7x32s"), struct.Struct("<Q8s")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("n", "<u8")])
 
 
+#: One of these after a word is a word of its own.
+_MARKS = frozenset(".,;:!?)\"")
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in the vocabulary: printable Latin-1 stands for itself, the rest follow from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -65,42 +69,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Tokens(dict):
-    """pre-token: its ids, from the library's model."""
+class _Pieces(dict):
+    """piece of a text, without the prefix that all of these have: its ids. In two generations of about MEMO pieces: what is asked for stays, what is not goes with the older one."""
 
-    def __init__(self, model: Tokenizer):
+    def __init__(self, prefix: str, work: Callable[[str], bytes]):
         super().__init__()
-        self.model, self.letters = model, _byte_letters()
-        self.kind = "H" if model.get_vocab_size() <= 1 << 16 else "I"
-
-    def encode(self, word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(self.letters)
-        return array(self.kind, self.model.encode(spelled, add_special_tokens=False).ids).tobytes()
+        self.prefix, self.work, self.old = prefix, work, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
+    def age(self) -> None:
+        if len(self) > MEMO:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
-        return ids
-
-
-class _Pieces(dict):
-    """piece: the ids of its pre-tokens."""
-
-    def __init__(self, tokens: _Tokens):
-        super().__init__()
-        self.tokens, self.pattern = tokens, regex.compile(public_tokenizers.PATTERN)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        known = self.tokens.encode(piece) if is_word(piece) else b"".join(map(self.tokens.__getitem__, self.pattern.findall(piece)))
-        self[piece] = known
-        return known
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.work(self.prefix + piece)
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """The tokenizers library over pieces of texts, each encoded once by its model and then remembered.
+    """The tokenizers library over pieces of texts, each split into words, encoded by the library's model and then remembered.
 
     A text that spells an added token goes to the library as a whole.
     """
@@ -109,19 +99,50 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known = _Pieces(_Tokens(Tokenizer(self.library.model)))
-        self.kind = self.known.tokens.kind
+        self.kind = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.end = array(self.kind, [END]).tobytes()
+        self.model, self.letters, self.pattern = self.library.model, _byte_letters(), regex.compile(public_tokenizers.PATTERN)
+        self.starts, self.after = _Pieces("", self._piece), _Pieces(" ", self._piece)  # at the start of a line, and after a space
 
     @property
     def width(self) -> int:
         return len(self.end)
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text and the end id, as little-endian unsigned integers of width bytes."""
-        if any(t in text for t in self.added):
-            return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes() + self.end
-        return b"".join(map(self.known.__getitem__, pieces(text, self.known.pattern))) + self.end
+    def _piece(self, piece: str) -> bytes:
+        if piece[-1:] in _MARKS and is_word(piece[:-1]):
+            words = [piece[:-1], piece[-1]]
+        else:
+            words = [piece] if is_word(piece) else self.pattern.findall(piece)
+        if words == [piece]:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            return array(self.kind, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return b"".join([self.after[w[1:]] if w[0] == " " else self.starts[w] for w in words])
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text whose spaces and line feeds stand alone."""
+        out, after, lines = [], self.after.__getitem__, text.split("\n")
+        for k, line in enumerate(lines):
+            if k:
+                out.append(self.starts["\n"])
+            first, *rest = line.split(" ")
+            out.append(self.starts[first])
+            out.extend(map(after, rest))
+        return b"".join(out)
+
+    def encode(self, texts_: list[str]) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian unsigned integers of width bytes."""
+        self.starts.age()
+        self.after.age()
+        out = []
+        for text in texts_:
+            if any(t in text for t in self.added):
+                ids = array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+            elif is_plain(text):
+                ids = self._plain(text)
+            else:
+                ids = b"".join([self.after[w[1:]] if w[0] == " " else self.starts[w] for w in self.pattern.findall(text)])
+            out.append(ids + self.end)
+        return out
 
 
 _encoders: dict[str, Encoder] = memory(__name__)
@@ -212,8 +233,7 @@ def _writer(folder: str, path: str, dictionary: bytes) -> Callable[[Iterator[pa.
 
         for batch in batches:
             for rows in parts(batch):
-                for part, doc, text in zip(*(rows.column(c).to_pylist() for c in ("part", "doc_id", "text")), strict=True):  # noqa: B007
-                    ids = own.encode(text)
+                for part, doc, ids in zip(rows.column("part").to_pylist(), rows.column("doc_id").to_pylist(), own.encode(rows.column("text").to_pylist()), strict=True):  # noqa: B007
                     held.append((NO_ID if doc is None else doc, compressor.compress(ids), len(ids) // own.width))
                     size += len(held[-1][1])
                     if size >= limit:
@@ -252,7 +272,7 @@ def _chunks(path: str) -> Callable[[], Callable[[dict[str, list]], dict[str, lis
 
         def one(columns: dict[str, list]) -> dict[str, list]:
             out = []
-            for ids in map(own.encode, columns["text"]):
+            for ids in own.encode(columns["text"]):
                 n = -(-len(ids) // size)
                 out += [ids[k * n // CHUNKS * size : (k * n // CHUNKS + 1) * size] for k in range(CHUNKS)] if n > CHUNKS else [ids]
             return {"ids": out}
@@ -262,27 +282,26 @@ def _chunks(path: str) -> Callable[[], Callable[[dict[str, list]], dict[str, lis
     return make
 
 
-def _dictionary(docs: DataFrame, path: str) -> bytes:
-    """Trained on the documents of smallest hash: only hashes are ordered, then those documents are read."""
-    order = F.xxhash64("doc_id", "text")
-    least = docs.select(order.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    if least is None:
+def _dictionary(docs: DataFrame, path: str, n: int) -> bytes:
+    """Trained on about SAMPLE of n documents, those whose hash is least; twice as many at most, should many have one hash."""
+    if not n:
         return b""
-    sample = docs.where(order <= least).limit(SAMPLE)  # the limit is for rows of equal hash
+    share = min(1.0, SAMPLE / n)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * SAMPLE)
     return train_dictionary(sorted(r[0] for r in map_rows(sample, _chunks(path), "ids binary").collect()))
 
 
 def write_ids(docs: DataFrame, folder: str, path: str) -> tuple[DataFrame, bytes]:
     """Writes the files to a shared folder; returns (part, place, file, tokens) of each, in a table, and the dictionary."""
     docs = texts(docs)
-    dictionary = _dictionary(docs, path)
+    n, total = docs.agg(F.count("*"), F.sum(F.octet_length("text") + 16)).first()
+    dictionary = _dictionary(docs, path, n)
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/dictionary") as out:
         out.write(dictionary)
-    total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     key = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
-    ranges = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(min(RANGES, max(1, round(total / SHARD_BYTES))), *key)
+    ranges = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(min(RANGES, max(1, round((total or 0) / SHARD_BYTES))), *key)
     ordered = ranges.sortWithinPartitions(*key).select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text")
     ordered.mapInArrow(_writer(folder, path, dictionary), "part long, place long, file string, tokens long").write.parquet(f"{folder}/files")
     return docs.sparkSession.read.parquet(f"{folder}/files"), dictionary

@@ -23,7 +23,7 @@ def is_plain(text: str) -> bool:
 def is_word(piece: str) -> bool:
     """Whether the piece is a space, or none, and Latin letters: one pre-token, without asking the pattern."""
     body = piece[1:] if piece[:1] == " " else piece
-    return body.isalpha() and max(body) < "\u0250"
+    return body.isalpha() and (body.isascii() or max(body) < "\u0250")
 
 
 def pieces(text: str, pattern: regex.Pattern) -> list[str]:

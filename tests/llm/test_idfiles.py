@@ -32,7 +32,15 @@ def test_files_hold_what_the_library_gives(spark, monkeypatch):
 def test_added_tokens_in_texts_are_what_the_library_makes_of_them(spark):
     library, own = Tokenizer.from_file(PATH), idfiles.Encoder(PATH)
     for text in ("<|endoftext|>", "one<|endoftext|> two  <|endoftext|>", "<|endoftext", "a <|ENDOFTEXT|>"):
-        assert np.frombuffer(own.encode(text), "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(own.encode([text])[0], "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_what_is_remembered_makes_no_difference(monkeypatch):
+    texts = [" ".join(f"wörd{k * j} {j}." for k in range(200)) for j in range(1, 8)]
+    want = idfiles.Encoder(PATH).encode(texts)
+    monkeypatch.setattr(idfiles, "MEMO", 50)
+    own = idfiles.Encoder(PATH)
+    assert [x for t in texts for x in own.encode([t])] == want and len(own.after.old) + len(own.after) < 2000
 
 
 def test_one_document_is_read_by_seeks(spark, monkeypatch):
@@ -58,7 +66,7 @@ def test_one_document_is_read_by_seeks(spark, monkeypatch):
             f = idfiles.IdFile(counted, dictionary)
             for doc in f.index["doc_id"].tolist():
                 before, (k,) = counted.bytes, f.find(doc)
-                assert f.ids(k).tobytes() == own.encode(texts[doc] or "")
+                assert f.ids(k).tobytes() == own.encode([texts[doc] or ""])[0]
                 assert counted.bytes - before == f.index["size"][k]
                 seen.add(doc)
             assert list(f.find(-5)) == []
