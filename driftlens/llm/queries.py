@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import bpe, chat, decontam, idfiles, lblm, licenses, neardup, ogg, shards, toxicity
+from driftlens.llm import bpe, chat, decontam, divergence, idfiles, lblm, licenses, neardup, ogg, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate_cgk": decontam.op8_decontaminate_cgk,
     "op9_lm_log_bilinear": lblm.op9_lm_log_bilinear,
     "op10_media_ogg": ogg.op10_media_ogg,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_perspectives": chat.OP4_SQL,
     "op6_shard_sampled_splitters": shards.OP6_SQL,
     "op7_minhash_neardup": neardup.OP7_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
