@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import bpe, chat, decontam, divergence, hardneg, idfiles, lblm, licenses, neardup, ogg, shards, toxicity
+from driftlens.llm import bpe, chat, decontam, divergence, hardneg, idfiles, lblm, licenses, neardup, ngramjoin, ogg, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate_cgk": decontam.op8_decontaminate_cgk,
     "op9_lm_log_bilinear": lblm.op9_lm_log_bilinear,
     "op10_media_ogg": ogg.op10_media_ogg,
+    "op11_ngram_jaccard": ngramjoin.op11_ngram_jaccard,
     "op12_hard_negatives": hardneg.op12_hard_negatives,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
@@ -27,6 +28,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat_perspectives": chat.OP4_SQL,
     "op6_shard_sampled_splitters": shards.OP6_SQL,
     "op7_minhash_neardup": neardup.OP7_SQL,
+    "op11_ngram_jaccard": ngramjoin.OP11_SQL,
     "op12_hard_negatives": hardneg.OP12_SQL,
     "op13_source_divergence": divergence.OP13_SQL,
 }
