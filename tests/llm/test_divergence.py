@@ -65,5 +65,5 @@ def test_long_text(spark):
 
 def test_arithmetic_beyond_a_billion_counts(spark):
     count, of = 7_000_000_000_000_000, 9_000_000_000_000_001
-    row = spark.range(1).select(D._share(D.F.lit(count), D.F.lit(of)).alias("p"), D._apart(D.F.lit(10**9), D.F.lit(1)).alias("f")).first()
+    row = spark.range(1).select(D._share(D.F.lit(count), D.F.lit(of)).alias("p"), D._apart(D.F.lit(10**9).cast("long"), D.F.lit(1)).alias("f")).first()
     assert tuple(row) == (1 + 10**9 * (count + 1) // of, (10**9 - 1) ** 2)
