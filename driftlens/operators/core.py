@@ -5,7 +5,7 @@ Rows of X are samples in order of time. Nothing here needs more than numpy.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Generator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -510,60 +510,74 @@ def _cheapest_path(distance: np.ndarray, toll: np.ndarray) -> np.ndarray:
     return path
 
 
-def bounded_weights(distance: np.ndarray, bound: float | None, max_columns: int = 100_000) -> np.ndarray:
-    """Weights on the simplex of least cost whose total variation is at most bound in each component.
+def mixture_of_paths(k: int, bound: float, max_columns: int = 100_000) -> Generator[np.ndarray | None, object, list[tuple[int, float]]]:
+    """Solves the linear programme of bounded variation over mixtures of label paths, by whoever can price paths.
 
-    Without a bound (None or negative) each row goes to its nearest component.
-    With one, the linear programme is solved over mixtures of label paths:
-    revised simplex on k + 1 rows, where a dynamic programme finds the path of
-    least reduced cost. It starts from the best constant path, which is feasible.
+    Revised simplex on k + 1 rows. First it is sent the costs of the k constant
+    paths, of which the cheapest is column 0 and feasible. Then it yields tolls
+    and is sent (cost, turns) of the path of least cost with tolls paid, which is
+    the next column. It returns the columns of the solution and their shares.
     Raises if max_columns paths do not bring it to its end.
     """
-    n, k = distance.shape
-    if bound is None or bound < 0 or k == 1:
-        return np.eye(k)[distance.argmin(1)]
-    paths = [np.full(n, int(distance.sum(0).argmin()))]
+    totals = yield None
+    columns = [(float(np.min(totals)), np.zeros(k))]
     basis: list[int] = [-1 - i for i in range(k)] + [0]  # below 0: slack of component -1 - i
 
     def column(which: int) -> np.ndarray:
-        if which < 0:
-            return np.eye(k + 1)[-1 - which]
-        turns = np.abs(np.diff(np.eye(k)[paths[which]], axis=0)).sum(0)
-        return np.append(turns, 1.0)
+        return np.eye(k + 1)[-1 - which] if which < 0 else np.append(columns[which][1], 1.0)
 
     def price(which: int) -> float:
-        return 0.0 if which < 0 else float(distance[np.arange(n), paths[which]].sum())
+        return 0.0 if which < 0 else columns[which][0]
 
     right = np.append(np.full(k, float(bound)), 1.0)
     matrix = np.stack([column(b) for b in basis], 1)
     for _ in range(max_columns):
         dual = np.linalg.solve(matrix.T, np.array([price(b) for b in basis]))
-        toll = np.maximum(-dual[:k], 0)
-        enter = None
-        if (worst := int(dual[:k].argmax())) >= 0 and dual[worst] > 1e-9 and -1 - worst not in basis:
+        enter, worst = None, int(dual[:k].argmax())
+        if dual[worst] > 1e-9 and -1 - worst not in basis:
             enter = -1 - worst
         else:
-            path = _cheapest_path(distance, toll)
-            paths.append(path)
-            reduced = price(len(paths) - 1) - dual @ column(len(paths) - 1)
-            if reduced < -1e-9 * max(1.0, abs(dual[k])):
-                enter = len(paths) - 1
+            columns.append((yield np.maximum(-dual[:k], 0)))
+            if price(len(columns) - 1) - dual @ column(len(columns) - 1) < -1e-9 * max(1.0, abs(dual[k])):
+                enter = len(columns) - 1
         if enter is None:
             break
         change, value = np.linalg.solve(matrix, column(enter)), np.linalg.solve(matrix, right)
         ratio = np.where(change > 1e-12, value / np.where(change > 1e-12, change, 1), np.inf)
-        if not np.isfinite(ratio.min()):
-            break
+        if not np.isfinite(ratio.min()):  # shares sum to 1 and slacks lie within the bound, so some share must fall
+            raise RuntimeError("the programme of bounded variation is numerically singular")
         leave = min((basis[i], i) for i in np.flatnonzero(ratio <= ratio.min() + 1e-12))[1]
         basis[leave] = enter
         matrix[:, leave] = column(enter)
     else:
         raise RuntimeError(f"weights of bounded variation are not found within {max_columns} columns")
     share = np.maximum(np.linalg.solve(matrix, right), 0)
+    return [(b, float(x)) for b, x in zip(basis, share, strict=True) if b >= 0 and x > 0]
+
+
+def bounded_weights(distance: np.ndarray, bound: float | None, max_columns: int = 100_000) -> np.ndarray:
+    """Weights on the simplex of least cost whose total variation is at most bound in each component.
+
+    Without a bound (None or negative) each row goes to its nearest component.
+    With one, a dynamic programme finds the paths that mixture_of_paths asks for.
+    """
+    n, k = distance.shape
+    if bound is None or bound < 0 or k == 1:
+        return np.eye(k)[distance.argmin(1)]
+    solve, paths = mixture_of_paths(k, bound, max_columns), [np.full(n, int(distance.sum(0).argmin()))]
+    next(solve)
+    answer: object = distance.sum(0)
+    while True:
+        try:
+            toll = solve.send(answer)
+        except StopIteration as end:
+            shares = end.value
+            break
+        paths.append(_cheapest_path(distance, toll))
+        answer = float(distance[np.arange(n), paths[-1]].sum()), total_variation(np.eye(k)[paths[-1]])
     out = np.zeros((n, k))
-    for b, x in zip(basis, share, strict=True):
-        if b >= 0:
-            out[np.arange(n), paths[b]] += x
+    for which, share in shares:
+        out[np.arange(n), paths[which]] += share
     return out / out.sum(1, keepdims=True)
 
 

@@ -11,17 +11,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import vec
-from driftlens.sources.frames import check_positive
+from driftlens.sources.frames import check_positive, lagged
 from driftlens.sources.store import written
 
 
+#: The most states of a transition matrix.
+STATES = 2000
+
+
 def transitions(labels: DataFrame, label: str = "label", series: str = "series_id", order: tuple[str, ...] = ("t",)) -> DataFrame:
     """(next_state, cur_state, n, p): counts and shares of steps from each state, over all series; p is null where a state has no next."""
-    w = Window.partitionBy(series).orderBy(*order)
-    steps = labels.select(F.col(label).alias("cur_state"), F.lead(label).over(w).alias("next_state")).where("next_state IS NOT NULL AND cur_state IS NOT NULL")
-    counts = steps.groupBy("next_state", "cur_state").agg(F.count("*").alias("n"))
-    states = labels.where(F.col(label).isNotNull()).select(F.col(label).alias("s")).distinct()
-    pairs = states.select(F.col("s").alias("next_state")).crossJoin(states.select(F.col("s").alias("cur_state")))
+    steps = lagged(labels.select(series, *order, F.col(label).alias("cur_state")), "cur_state", [-1], "auto", series, order).withColumnRenamed("cur_state_lag-1", "next_state")
+    counts = steps.where("next_state IS NOT NULL AND cur_state IS NOT NULL").groupBy("next_state", "cur_state").agg(F.count("*").alias("n"))
+    states = labels.where(F.col(label).isNotNull()).select(F.col(label).alias("next_state")).distinct()
+    known = [r[0] for r in states.limit(STATES + 1).collect()]
+    if len(known) > STATES:
+        raise ValueError(f"there are more than {STATES} states; their pairs are the result")
+    pairs = states.withColumn("cur_state", F.explode(F.array(*[F.lit(s) for s in known]))) if known else states.withColumn("cur_state", F.col("next_state"))
     full = pairs.join(counts, ["next_state", "cur_state"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     left = F.sum("n").over(Window.partitionBy("cur_state"))
     return full.withColumn("p", F.when(left > 0, F.col("n") / left))

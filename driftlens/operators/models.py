@@ -255,7 +255,7 @@ def reconstruct(df: DataFrame, states: np.ndarray, name: str = "y") -> DataFrame
     return df.withColumn(name, vec.weighted_rows("gamma", states))
 
 
-def forecast(df: DataFrame, order_weights: np.ndarray, transitions: np.ndarray, lags: Sequence[int], horizon: int, by: str = "window") -> DataFrame:
+def forecast(df: DataFrame, order_weights: np.ndarray, transitions: np.ndarray, lags: Sequence[int], horizon: int, by: str = "auto") -> DataFrame:
     """df(series_id, t, gamma) with ahead: the weights horizon steps on; null for the first max(lags) - 1 rows."""
     if horizon == 0:
         return df.withColumn("ahead", F.col("gamma"))
@@ -268,7 +268,7 @@ def forecast(df: DataFrame, order_weights: np.ndarray, transitions: np.ndarray,
     return rows.withColumn("ahead", F.when(oldest.isNotNull(), total)).drop(*[f"gamma_lag{j}" for j in range(1, max(lags))])
 
 
-def fit_markov_mixture(df: DataFrame, lags: Sequence[int], seed: int = 0, by: str = "window") -> tuple[np.ndarray, np.ndarray, float]:
+def fit_markov_mixture(df: DataFrame, lags: Sequence[int], seed: int = 0, by: str = "auto") -> tuple[np.ndarray, np.ndarray, float]:
     """Order weights and transitions for given weights, of any number of rows: one pass, then the driver; by: see frames.lagged."""
     lags = core.check_lags(lags)
     moments = lagged_moments(df, "gamma", lags, by)
@@ -385,7 +385,7 @@ class PiecewiseAutoregression:
     of pyspark.ml with a prediction column. Lags are taken `by`: see frames.lagged.
     """
 
-    def __init__(self, n_components: int, p: int = 1, s: int = 0, trend: bool = True, clusterer: Estimator | None = None, classifier: Estimator | None = None, seed: int = 0, by: str = "window"):
+    def __init__(self, n_components: int, p: int = 1, s: int = 0, trend: bool = True, clusterer: Estimator | None = None, classifier: Estimator | None = None, seed: int = 0, by: str = "auto"):
         self.k, self.p, self.s, self.trend, self.by = n_components, p, s, trend, by
         self.clusterer = clusterer or KMeans(k=n_components, seed=seed, featuresCol="joint", predictionCol="cluster")
         self.classifier = classifier or LogisticRegression(maxIter=50, family="multinomial", featuresCol="predictors", labelCol="cluster", predictionCol="region")
@@ -469,7 +469,7 @@ def from_gram(gram: np.ndarray, d: int, n: int, p: int, m: int, s: int, trend: b
     return core.unpack(b, d, p, m, s, trend, contemporaneous, e / (n - q) if n > q else None)
 
 
-def autoregression(df: DataFrame, p: int, s: int = 0, weight: str | None = None, by: str = "window") -> core.Autoregression:
+def autoregression(df: DataFrame, p: int, s: int = 0, weight: str | None = None, by: str = "auto") -> core.Autoregression:
     """x on [1, lags of x, lags of u, u] over all rows of all series: one pass over the lagged design; by: see frames.lagged."""
     rows = lagged(df, "x", range(1, p + 1), by)
     names = [f"x_lag{k}" for k in range(1, p + 1)]

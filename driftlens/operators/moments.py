@@ -74,7 +74,7 @@ def simplex_columns(df: DataFrame, column: str, keys: list[str], rounds: int = 2
     return df.withColumn(column, F.zip_with(column, level, lambda v, t: F.greatest(v - t, F.lit(0.0)))), theta
 
 
-def lagged_moments(df: DataFrame, column: str, lags: list[int], by: str = "window") -> dict[tuple[int, int], np.ndarray]:
+def lagged_moments(df: DataFrame, column: str, lags: list[int], by: str = "auto") -> dict[tuple[int, int], np.ndarray]:
     """M[a, b] = sum of x(t - a) x(t - b)' over t from the largest lag on, for a, b in {0, *lags}, in one pass; by: see frames.lagged."""
     all_ = [0, *lags]
     wide = lagged(df.select("series_id", "t", column), column, lags, by).where(F.col(f"{column}_lag{max(lags)}").isNotNull())

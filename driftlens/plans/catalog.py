@@ -133,7 +133,7 @@ def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray]:
 
 def _predicted(days: DataFrame, t: np.ndarray) -> DataFrame:
     """days with z: what the mixture predicts."""
-    rows = frames.lagged(days, "gamma", LAGS, "chunk")
+    rows = frames.lagged(days, "gamma", LAGS)
     total = vec.scaled(vec.matvec(t[0], f"gamma_lag{LAGS[0]}"), ORDER[0])
     for w, m, lag in zip(ORDER[1:], t[1:], LAGS[1:], strict=True):
         total = vec.add(total, vec.scaled(vec.matvec(m, f"gamma_lag{lag}"), w))
@@ -290,7 +290,7 @@ def q_mtd_grad_weights(spark: SparkSession, d: str) -> DataFrame:
     rows = _predicted(days, t).withColumn("r", vec.add("gamma", "z", -1.0))
     zero = vec.literal(np.zeros(k))
     # a residual matters to the weights lag rows before; residuals of the first rows are 0
-    rows = frames.lagged(rows.select("series_id", "t", "r"), "r", [-lag for lag in LAGS], "chunk")
+    rows = frames.lagged(rows.select("series_id", "t", "r"), "r", [-lag for lag in LAGS])
     total = F.col("r")
     for w, matrix, lag in zip(ORDER, t, LAGS, strict=True):
         total = vec.add(total, vec.matvec(matrix.T, F.coalesce(f"r_lag{-lag}", zero)), -w)
@@ -299,14 +299,14 @@ def q_mtd_grad_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("{m} SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, i, j, round(v, 6) AS v FROM m")
 def q_mtd_lagged_moments(spark: SparkSession, d: str) -> DataFrame:
-    got = moments.lagged_moments(frames.daily_shares(spark, d), "gamma", LAGS, "chunk")
+    got = moments.lagged_moments(frames.daily_shares(spark, d), "gamma", LAGS)
     rows = [(a, b, int(i), int(j), float(m[i, j])) for (a, b), m in got.items() for i, j in np.ndindex(*m.shape)]
     return spark.createDataFrame(rows, "a long, b long, i long, j long, v double").withColumn("v", F.round("v", 6))
 
 
 def _residual_moments(spark: SparkSession, d: str) -> tuple[list[np.ndarray], np.ndarray, float]:
     days, t = _mixture(spark, d)
-    got = moments.lagged_moments(days, "gamma", LAGS, "chunk")
+    got = moments.lagged_moments(days, "gamma", LAGS)
     k = t.shape[1]
     co = {0: np.eye(k), **{lag: -w * m for w, m, lag in zip(ORDER, t, LAGS, strict=True)}}
     return [sum(co[a] @ got[a, lag] for a in co) for lag in LAGS], t, EPSILON_WEIGHTS / (k * (days.count() - max(LAGS)))
@@ -435,7 +435,7 @@ def q_fembv_notv_step(spark: SparkSession, d: str) -> DataFrame:
 
 @query("{w} SELECT i, round(sum(a), 6) AS tv FROM (SELECT i, abs(g - lag(g) OVER (PARTITION BY i ORDER BY t)) AS a FROM w) GROUP BY i")
 def q_tv_norm(spark: SparkSession, d: str) -> DataFrame:
-    rows = frames.lagged(frames.daily_shares(spark, d), "gamma", [1], "chunk")
+    rows = frames.lagged(frames.daily_shares(spark, d), "gamma", [1])
     steps = rows.select(F.posexplode(F.zip_with("gamma", "gamma_lag1", lambda a, b: F.abs(a - b))).alias("i", "a"))
     return steps.groupBy(F.col("i").cast("long").alias("i")).agg(F.round(F.sum("a"), 6).alias("tv"))
 
@@ -517,7 +517,7 @@ r AS (SELECT *, (yz * uu - yu * zu) / (zz * uu - zu * zu) AS a, (yu * zz - yz *
 SELECT round(a, 5) AS a, round(b, 2) AS b0, round(my - a * mz - b * mu, 0) AS mu FROM r""")
 def q_varx_exog(spark: SparkSession, d: str) -> DataFrame:
     """Daily order value on the day before and the day's count of orders."""
-    got = models.autoregression(_daily_orders(spark, d), 1, by="chunk")
+    got = models.autoregression(_daily_orders(spark, d), 1)
     return spark.createDataFrame([(round(float(got.a[0, 0, 0]), 5), round(float(got.b0[0, 0]), 2), float(np.round(got.mu[0])))], "a double, b0 double, mu double")
 
 
@@ -729,7 +729,7 @@ def q_crom_residual(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH q AS ({_DAILY}), l AS (SELECT row_number() OVER (ORDER BY day) AS t, y, lag(y) OVER (ORDER BY day) AS z0, lag(u) OVER (ORDER BY day) AS z1 FROM q) SELECT CAST(t AS BIGINT) AS t, round(y, 2) AS y, round(z0, 2) AS z0, z1 FROM l WHERE z0 IS NOT NULL")
 def q_pw_design(spark: SparkSession, d: str) -> DataFrame:
     """Predictors of the piecewise model: a lag of the value and one of the input."""
-    rows = models.PiecewiseAutoregression(2, 1, 1, by="chunk").design(_daily_orders(spark, d))
+    rows = models.PiecewiseAutoregression(2, 1, 1).design(_daily_orders(spark, d))
     value = {"y": F.round(F.get("x", F.lit(0)), 2), "z0": F.round(F.get("z", F.lit(0)), 2), "z1": F.get("z", F.lit(1))}
     return rows.select("t", *[c.alias(n) for n, c in value.items()])
 
@@ -778,7 +778,7 @@ def q_crom_fit(spark: SparkSession, d: str) -> DataFrame:
     """A convex coding of the days, a Markov mixture of its weights, and the forecast of the weights two days on."""
     days = frames.daily_shares(spark, d).withColumnRenamed("gamma", "x")
     coded = models.ConvexCoding(3, 0.1).fit(days).rows("gamma").withColumnRenamed("values", "gamma")
-    w, t, _ = models.fit_markov_mixture(coded, LAGS, by="chunk")
+    w, t, _ = models.fit_markov_mixture(coded, LAGS)
     return _cells(models.forecast(coded, w, t, LAGS, 2, "chunk").where("ahead IS NOT NULL"), "ahead", "v", "t", place="i")
 
 

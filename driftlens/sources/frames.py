@@ -1,7 +1,7 @@
 """Time series as DataFrames: contracts, checks, lags.
 
-A series has series_id LONG, t LONG (the order, without gaps where lags are
-taken) and x ARRAY<DOUBLE>; exogenous inputs are u ARRAY<DOUBLE>.
+A series has series_id LONG, t LONG (the order; gaps do no harm) and x
+ARRAY<DOUBLE>; exogenous inputs are u ARRAY<DOUBLE>.
 """
 
 from __future__ import annotations
@@ -40,55 +40,65 @@ def daily_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select(F.lit(0).cast("long").alias("series_id"), t.alias("t"), vec.normalised("n").alias("gamma"))
 
 
-#: Consecutive t that by="chunk" takes to one task.
-CHUNK = 1 << 16
+#: Rows of a series that are neighbours and go to one task together, and the most long series that are told apart by a list.
+CHUNK, MANY = 1 << 14, 1000
 
 
-def lagged(df: DataFrame, column: str, lags: Sequence[int], by: str = "window") -> DataFrame:
-    """df with column_lag1, ... (null before the start; negative lags lead).
+def lagged(df: DataFrame, column: str, lags: Sequence[int], by: str = "auto", series: str = "series_id", order: Sequence[str] = ("t",)) -> DataFrame:
+    """df with column_lag1, ...: values that many rows before in the series (null before its start; negative lags lead).
 
-    by="window" sorts each series in one task: for many series, and where t has
-    gaps. by="chunk" and by="join" are for few, very long series whose t has no
-    gaps: "chunk" sorts CHUNK consecutive rows with the few before and after
-    them that they look at, "join" joins the series to itself on (series_id, t).
+    by="window" sorts each series in one task. by="chunk" numbers all rows in
+    order of (series, order) and sorts CHUNK consecutive rows, of whatever
+    series, with the few rows before and after them that they look at. by="auto"
+    counts rows: series of more than CHUNK go by chunks, the others by windows.
+    by="join" joins the series to itself on (series_id, t): t has no gaps then.
     """
-    if by not in ("window", "chunk", "join"):
-        raise ValueError(f"lags are taken by window, chunk or join: {by!r}")
+    if by not in ("auto", "window", "chunk", "join"):
+        raise ValueError(f"lags are taken by auto, window, chunk or join: {by!r}")
     if not lags:
         return df
+    if by == "auto":
+        large = df.groupBy(series).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(series).limit(MANY + 1).collect()
+        if not large or len(large) > MANY:
+            return lagged(df, column, lags, "chunk" if large else "window", series, order)
+        is_large = F.coalesce(F.col(series).isin([r[0] for r in large if r[0] is not None]), F.lit(any(r[0] is None for r in large)))
+        parts = [lagged(df.where(is_large), column, lags, "chunk", series, order), lagged(df.where(~is_large), column, lags, "window", series, order)]
+        return parts[0].unionByName(parts[1])
     if by == "join":
         for k in lags:
-            past = df.select("series_id", (F.col("t") + k).alias("t"), F.col(column).alias(f"{column}_lag{k}"))
-            df = df.join(past, ["series_id", "t"], "left")
+            past = df.select(series, (F.col("t") + k).alias("t"), F.col(column).alias(f"{column}_lag{k}"))
+            df = df.join(past, [series, "t"], "left")
         return df
-    keys = ["series_id"]
-    if by == "chunk":
-        back, ahead = max(0, *lags), max(0, *(-k for k in lags))
-        size = max(CHUNK, back, ahead)
-        own = F.floor(F.col("t") / size)
-        # a row is also sent to the chunks whose rows look at it
-        to = F.array_distinct(F.array(own, F.floor((F.col("t") + back) / size), F.floor((F.col("t") - ahead) / size)))
-        df = df.withColumn("_own", own).withColumn("_chunk", F.explode(to))
-        keys.append("_chunk")
-    w = Window.partitionBy(*keys).orderBy("t")
-    out = df.withColumns({f"{column}_lag{k}": F.lag(column, k).over(w) for k in lags})
-    return out if by == "window" else out.where("_own = _chunk").drop("_own", "_chunk")
+    if by == "window":
+        w = Window.partitionBy(series).orderBy(*order)
+        return df.withColumns({f"{column}_lag{k}": F.lag(column, k).over(w) for k in lags})
+    back, ahead = max(0, *lags), max(0, *(-k for k in lags))
+    size, place = max(CHUNK, back, ahead), F.col("_place")
+    rows = numbered(df, [series, *order], "_place")
+    own = F.floor(place / size)
+    # a row is also sent to the chunks whose rows look at it
+    to = F.array_distinct(F.array(own, F.floor((place + back) / size), F.floor((place - ahead) / size)))
+    rows = rows.withColumn("_own", own).withColumn("_chunk", F.explode(to))
+    w = Window.partitionBy("_chunk").orderBy("_place")
+    same = lambda k: F.lag(series, k).over(w).eqNullSafe(F.col(series)) & F.lag(F.lit(True), k).over(w).isNotNull()
+    out = rows.withColumns({f"{column}_lag{k}": F.when(same(k), F.lag(column, k).over(w)) for k in lags})
+    return out.where("_own = _chunk").drop("_own", "_chunk", "_place")
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "t") -> DataFrame:
     """df with a number from 0 for each row in this order, which must have no ties. Rows are range-partitioned; only the sizes of partitions meet on the driver."""
     place = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = written(ranged.withColumns({"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    rows = written(ranged.withColumns({"_part": F.shiftright(place, 33), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))}))
     starts, at = [], 0
     for part, n in sorted(rows.groupBy("_part").count().collect()):
         starts.append((part, at))
         at += n
     table = df.sparkSession.createDataFrame(starts, "_part long, _before long")
-    return rows.join(F.broadcast(table), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+    return rows.join(F.broadcast(table), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
-def log_difference(df: DataFrame, by: str = "window") -> DataFrame:
+def log_difference(df: DataFrame, by: str = "auto") -> DataFrame:
     """First differences of logarithms of x; a series loses its first row."""
     logs = df.withColumn("x", F.transform("x", lambda v: F.log(v)))
     rows = lagged(logs, "x", [1], by).where("x_lag1 IS NOT NULL")

@@ -118,16 +118,30 @@ def test_a_state_that_only_ends_has_unknown_transitions(spark):
 
 def test_chunks_give_the_lags_of_windows(spark, monkeypatch):
     monkeypatch.setattr(frames, "CHUNK", 7)
-    df = frame(spark, np.arange(50.0)[:, None]).unionByName(frame(spark, np.arange(9.0)[:, None], 1))
-    for lags in ([1], [3, 1], [-2, 4], [-11], [9, 2]):
+    gaps = frame(spark, np.arange(30.0)[:, None], 2).withColumn("t", F.col("t") * F.col("t") * 1000)
+    df = frame(spark, np.arange(50.0)[:, None]).unionByName(frame(spark, np.arange(9.0)[:, None], 1)).unionByName(gaps)
+    nobody = df.where("series_id = 1").withColumn("series_id", F.lit(None).cast("long"))
+    df = df.unionByName(nobody)
+    for by, lags in [(by, lags) for by in ("chunk", "auto") for lags in ([1], [3, 1], [-2, 4], [-11], [9, 2])]:
         names = [f"x_lag{k}" for k in lags]
-        want = frames.lagged(df, "x", lags).orderBy("series_id", "t").collect()
-        got = frames.lagged(df, "x", lags, "chunk").orderBy("series_id", "t").select(df.columns + names).collect()
+        want = frames.lagged(df, "x", lags, "window").orderBy("series_id", "t").collect()
+        got = frames.lagged(df, "x", lags, by).orderBy("series_id", "t").select(df.columns + names).collect()
         assert got == want
     with pytest.raises(ValueError, match="window"):
         frames.lagged(df, "x", [1], "task")
 
 
+def test_one_series_with_half_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(frames, "CHUNK", 16)
+    events = spark.range(400).selectExpr("IF(id % 2 = 0, 7, id % 23) AS series_id", "id * id % 1009 AS t", "id", "substr('abcd', 1 + int(id * id % 4), 1) AS label")
+    want = [tuple(r) for r in markov.transitions(events, order=("t", "id")).orderBy("next_state", "cur_state").collect()]
+    monkeypatch.setattr(frames, "CHUNK", 1 << 20)
+    assert want == [tuple(r) for r in markov.transitions(events, order=("t", "id")).orderBy("next_state", "cur_state").collect()]
+    monkeypatch.setattr(markov, "STATES", 1)
+    with pytest.raises(ValueError, match="states"):
+        markov.transitions(events, order=("t", "id"))
+
+
 def test_rows_are_numbered_without_a_single_task(spark, tmp_path):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v").repartition(5)
     rows = frames.numbered(df, ["v"]).collect()
