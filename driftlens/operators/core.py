@@ -486,6 +486,20 @@ def fit_autoregression(y: np.ndarray, p: int, u: np.ndarray | None = None, s: in
     return unpack(coefficients, y.shape[1], p, m, s, trend, contemporaneous, sigma)
 
 
+def from_gram(gram: np.ndarray, d: int, n: int, p: int, m: int, s: int, trend: bool, contemporaneous: bool) -> Autoregression:
+    """Least squares of the last d columns on the others, from the sums of products of all.
+
+    Columns are scaled to unit length and small directions are dropped, which
+    is the solution of least norm where the design is rank-deficient.
+    """
+    q = len(gram) - d
+    zz, zy, yy = gram[:q, :q], gram[:q, q:], gram[q:, q:]
+    unit = np.sqrt(np.maximum(np.diag(zz), 1e-300))
+    b = np.linalg.pinv(zz / np.outer(unit, unit), rcond=1e-12, hermitian=True) @ (zy / unit[:, None]) / unit[:, None]
+    e = yy - zy.T @ b - b.T @ zy + b.T @ zz @ b
+    return unpack(b, d, p, m, s, trend, contemporaneous, e / (n - q) if n > q else None)
+
+
 # --- regimes of bounded variation --------------------------------------------
 
 

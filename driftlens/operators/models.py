@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import vec
 from driftlens.functions.stochastic import random_weights
-from driftlens.operators import core, spg
+from driftlens.operators import core, regimes_long, spg
 from driftlens.operators.moments import cross, lagged_moments
 from driftlens.operators.seeding import random_rows
-from driftlens.sources.frames import check_positive, check_vectors, lagged
+from driftlens.sources.frames import check_positive, check_vectors, lagged, numbered
 from driftlens.sources.store import written
 
 #: What every fit returns: one table, told apart by part.
@@ -358,22 +358,36 @@ class BoundedRegimes:
         best = last.withColumn("place", F.row_number().over(w)).where("place = 1").select("series_id", "whole")
         return Fitted(parts.join(best, "series_id").drop("series_id").withColumnRenamed("whole", "series_id").select(*_COLUMNS), self.weights_of)
 
-    def fit_long(self, df: DataFrame) -> tuple[DataFrame, np.ndarray, list[float]]:
-        """(df with gamma, centres, costs) for a series of any length: centres without a bound on variation, an aggregation for each iteration."""
-        if not isinstance(self.family, core.Centers) or self.bound is not None:
-            raise ValueError("only centres without a bound are fitted by aggregations")
-        n, _ = check_vectors(df)
-        centers, trace = random_rows(df, self.k, np.random.RandomState(self.seed)), core.Trace()
-        for _ in range(self.max_iterations):
-            coded = df.withColumn("gamma", vec.one_hot(vec.argmin(vec.sqdists("x", centers)), self.k))
-            rows = coded.withColumn("all", F.concat("x", F.array(F.lit(1.0), vec.dot("x", "x"))))
-            sums = cross(rows, "gamma", "all")
-            x, mass, xx = sums[:, :-2], sums[:, -2], sums[:, -1]
-            cost = float((xx - 2 * (x * centers).sum(1) + mass * (centers * centers).sum(1)).sum())
-            if trace.step(cost, self.tolerance, False):
-                break
-            centers = np.where(mass[:, None] > 0, x / np.maximum(mass, 1)[:, None], centers)
-        return coded, centers, trace.costs
+    def fit_long(self, df: DataFrame, starts: Sequence[object] | None = None) -> tuple[DataFrame, object, list[float]]:
+        """(df with gamma, parameters, costs) for one series of any length, with or without a bound; no task holds more than a chunk of its rows.
+
+        starts: parameters to begin with, one for each restart. Restarts run
+        side by side on the same passes; the one of least cost is returned.
+        """
+        n, d = check_vectors(df)
+        names, skipped = ["x"], 0
+        if isinstance(self.family, core.Centers):
+            family = regimes_long.LongCenters()
+            starts = starts or [random_rows(df, self.k, np.random.RandomState(self.seed + r)) for r in range(self.restarts)]
+        elif isinstance(self.family, core.Autoregressions):
+            skipped, m = self.family.skipped, len(df.first().u) if "u" in df.columns else 0
+            family = regimes_long.LongAutoregressions(self.family.memories, d, m)
+            starts = starts or [None] * self.restarts
+            names = [f"x_lag{p}" for p in range(1, skipped + 1)] + ["u"] * (m > 0) + ["x"]
+        else:
+            raise ValueError("long series are fitted with centres or autoregressions")
+        if n <= skipped:
+            raise ValueError(f"{n} rows are too few for a memory of {skipped}")
+        rows = numbered(df, ["series_id", "t"], "place")
+        wide = lagged(rows.select("series_id", "t", "place", *set(names) & {"x", "u"}), "x", range(1, skipped + 1), "chunk").where(F.col("place") >= skipped)
+        block = F.concat(F.array(F.lit(1.0)), *names) if skipped or len(names) > 1 else F.col("x")
+        passes = regimes_long.Passes(wide.select((F.col("place") - skipped).alias("place"), block.alias("v")), family, self.k, "v")
+        note = None if self.progress is None else lambda *a: self.progress(0, *a)
+        fits = [regimes_long.fit(family, s, self.k, self.bound, self.tolerance, self.max_iterations, self.seed + r, note) for r, s in enumerate(starts)]
+        parameters, mixture, trace = min(regimes_long.run(passes, fits), key=lambda f: f[2].costs[-1])
+        gamma = regimes_long.coded(passes, parameters, mixture).withColumnRenamed("place", "_of")
+        joined = rows.withColumn("_of", F.greatest(F.col("place") - skipped, F.lit(0))).join(gamma, "_of")
+        return joined.select(*df.columns, "gamma"), parameters, trace.costs
 
 
 class PiecewiseAutoregression:
@@ -416,7 +430,7 @@ class PiecewiseAutoregression:
             part = labelled.where(F.col("region") == region)
             part = part.withColumn("z", F.concat(F.array(F.lit(1.0)), "z") if self.trend else F.col("z")).withColumn("all", F.concat("z", "x"))
             gram = cross(part, "all", "all")
-            out[region] = from_gram(gram, d, n, self.p, m, self.s, self.trend, False)
+            out[region] = core.from_gram(gram, d, n, self.p, m, self.s, self.trend, False)
         return PiecewiseModel(self, clusters, regions, labelled, out)
 
 
@@ -455,20 +469,6 @@ def summarise_restarts(fits: Sequence[PiecewiseModel], spark: SparkSession) -> D
     return table.groupBy("component", "i").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("restarts"))
 
 
-def from_gram(gram: np.ndarray, d: int, n: int, p: int, m: int, s: int, trend: bool, contemporaneous: bool) -> core.Autoregression:
-    """Least squares of the last d columns on the others, from the sums of products of all.
-
-    Columns are scaled to unit length and small directions are dropped, which
-    is the solution of least norm where the design is rank-deficient.
-    """
-    q = len(gram) - d
-    zz, zy, yy = gram[:q, :q], gram[:q, q:], gram[q:, q:]
-    unit = np.sqrt(np.maximum(np.diag(zz), 1e-300))
-    b = np.linalg.pinv(zz / np.outer(unit, unit), rcond=1e-12, hermitian=True) @ (zy / unit[:, None]) / unit[:, None]
-    e = yy - zy.T @ b - b.T @ zy + b.T @ zz @ b
-    return core.unpack(b, d, p, m, s, trend, contemporaneous, e / (n - q) if n > q else None)
-
-
 def autoregression(df: DataFrame, p: int, s: int = 0, weight: str | None = None, by: str = "auto") -> core.Autoregression:
     """x on [1, lags of x, lags of u, u] over all rows of all series: one pass over the lagged design; by: see frames.lagged."""
     rows = lagged(df, "x", range(1, p + 1), by)
@@ -484,7 +484,7 @@ def autoregression(df: DataFrame, p: int, s: int = 0, weight: str | None = None,
     n, total = rows.agg(F.count("*"), F.sum("w")).first()
     d = len(df.first().x)
     gram = cross(rows, "all", "all")
-    out = from_gram(gram, d, n, p, m, s, True, bool(m))
+    out = core.from_gram(gram, d, n, p, m, s, True, bool(m))
     if weight and out.sigma is not None:
         free = total - 1
         out.sigma = out.sigma * (n - len(gram) + d) / free if free > 0 else None
