@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import vec
 from driftlens.functions.stochastic import random_weights
-from driftlens.operators import core, regimes_long, spg
+from driftlens.operators import coding_long, core, regimes_long
 from driftlens.operators.moments import cross, lagged_moments
-from driftlens.operators.seeding import random_rows
+from driftlens.operators.seeding import furthest_sum, random_rows
 from driftlens.sources.frames import check_positive, check_vectors, lagged, numbered
 from driftlens.sources.store import written
 
@@ -156,7 +156,7 @@ class ConvexCoding:
         start: dict | None = None, update: Sequence[str] = ("states", "weights", "parameters"), monotonic: bool = True, memory: int = 1, progress: Callable[[int, int, float, float], None] | None = None,
     ):
         check_positive(n_components=n_components, max_iterations=max_iterations, tolerance=tolerance, memory=memory)
-        core.check_init(init, {} if init != "custom" else {"states": (start or {}).get("states"), "gamma": (start or {}).get("gamma")})
+        core.check_init(init, {} if init != "custom" else {"states": (start or {}).get("states")})
         if not set(update) <= {"states", "weights", "parameters"}:
             raise ValueError(f"update may name states, weights and parameters: {list(update)}")
         self.k, self.epsilon, self.lags = n_components, epsilon_states, core.check_lags(lags) if len(lags) else []
@@ -192,44 +192,32 @@ class ConvexCoding:
 
         return fit_series(df, fit, self._weights)
 
-    def fit_long(self, df: DataFrame) -> tuple[DataFrame, np.ndarray, list[float]]:
-        """(df with gamma, states, costs) for a series of any length, without lags in the loop.
+    def fit_long(self, df: DataFrame) -> coding_long.LongCoding:
+        """The fit of one series of any length, with the mixture in the loop where epsilon_weights is above 0 and lags are given.
 
-        An iteration is three passes. The line searches cost no pass:
-        the cost is a quadratic along each direction.
+        init "custom" takes states and, with lags, mixture from start; gamma is
+        a column of df then. An iteration is one pass over the rows.
         """
         n, d = check_vectors(df)
-        states = random_rows(df, self.k, np.random.RandomState(self.seed))
-        c = 1 / (n * d)
-        rows = written(df.withColumn("gamma", random_weights(self.k, self.seed, "series_id", "t")))
-        xx = float(rows.agg(F.sum(vec.dot("x", "x"))).first()[0])
-        blocks, trace = {m: core.Block() for m in ("states", "weights")}, core.Trace()
-
-        def products(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            both = cross(rows.withColumn("all", F.concat("gamma", "x")), "gamma", "all")
-            return both[:, self.k :], both[:, : self.k]
-
-        gtx, gtg = products(rows)
-        for _ in range(self.max_iterations):
-            def cost(s: np.ndarray, gtx: np.ndarray = gtx, gtg: np.ndarray = gtg) -> float:
-                return c * float(xx - 2 * (gtx * s).sum() + (gtg * (s @ s.T)).sum()) + core.pair_penalty(s, self.epsilon)
-
-            gradient = core.pair_penalty_gradient(states, self.epsilon) + 2 * c * (gtg @ states - gtx)
-            states = blocks["states"].quadratic(states, gradient, lambda z: z, cost(states), lambda v, g=gtg: c * (g * (v @ v.T)).sum() + core.pair_penalty(v, self.epsilon))
-            slope_at = F.transform(vec.add(vec.matvec(states @ states.T, "gamma"), vec.matvec(states, "x"), -1.0), lambda v: v * (2 * c))
-            step_rows = rows.withColumn("g", slope_at)
-            step_rows = step_rows.withColumn("d", vec.add(vec.simplex_project(vec.add("gamma", "g", -blocks["weights"].alpha)), "gamma", -1.0))
-            slope, dd = step_rows.agg(F.sum(vec.dot("g", "d")), F.sum(vec.dot("d", "d"))).first()
-            bend = c * float((cross(step_rows, "d", "d") * (states @ states.T)).sum())
-            before = cost(states)
-            length, _ = spg.line_search(spg.parabola(before, slope, bend), slope, [before])
-            blocks["weights"].alpha = spg.spectral_length(length * length * dd, 2 * length * length * bend)
-            rows = written(step_rows.withColumn("gamma", vec.add("gamma", "d", length)).drop("g", "d"))
-            gtx, gtg = products(rows)
-            now = c * float(xx - 2 * (gtx * states).sum() + (gtg * (states @ states.T)).sum()) + core.pair_penalty(states, self.epsilon)
-            if trace.step(now, self.tolerance, True):
-                break
-        return rows, states, trace.costs
+        joint, rng, start = self.lags if self.epsilon_weights > 0 else [], np.random.RandomState(self.seed), self.options
+        if self.init == "custom":
+            states, mixture = np.asarray(start["states"], float), start.get("mixture")
+            core.check_start(states, (self.k, d), None)
+            check_vectors(df, "gamma", self.k)
+        elif self.init == "furthest_sum":
+            states, mixture = np.array([x for _, x in furthest_sum(df, self.k, None, extra_steps=10)]), None
+        else:
+            states, mixture = random_rows(df, self.k, rng), None
+        if joint and mixture is None:
+            mixture = core.random_mtd(self.k, joint, rng)
+        gamma = F.col("gamma") if self.init == "custom" else random_weights(self.k, self.seed, "series_id", "t")
+        rows = numbered(df, ["series_id", "t"], "place")
+        note = None if self.progress is None else lambda *a: self.progress(0, *a)
+        got = coding_long.fit_coding(
+            rows.select("place", "x", gamma.alias("gamma")), n, d, states, self.epsilon, joint, self.epsilon_weights, mixture,
+            self.tolerance, self.max_iterations, self.options["update"], self.options["monotonic"], self.options["memory"], note,
+        )
+        return got._replace(rows=rows.drop("gamma").join(got.rows, "place").drop("place"))
 
 
 def code(df: DataFrame, states: np.ndarray, rounds: int = 200) -> DataFrame:
@@ -289,7 +277,7 @@ class ArchetypalAnalysis:
         start: dict | None = None, update: Sequence[str] = ("dictionary", "weights"), monotonic: bool = True, memory: int = 1, progress: Callable[[int, int, float, float], None] | None = None,
     ):
         check_positive(n_components=n_components, max_iterations=max_iterations, tolerance=tolerance, memory=memory)
-        core.check_init(init, {} if init != "custom" else {"dictionary": (start or {}).get("dictionary"), "weights": (start or {}).get("weights")})
+        core.check_init(init, {})
         if not set(update) <= {"dictionary", "weights"}:
             raise ValueError(f"update may name dictionary and weights: {list(update)}")
         if not (kernel is None or kernel == "precomputed" or callable(kernel)):
@@ -318,6 +306,30 @@ class ArchetypalAnalysis:
         return fit_series(df, fit, self._weights if self.kernel is None else None)
 
 
+    def fit_long(self, df: DataFrame) -> coding_long.LongArchetypes:
+        """The fit of one series of any length, with linear products. init "custom": gamma and c (a row's shares in the archetypes) are columns of df."""
+        if self.kernel is not None:
+            raise ValueError("long series are fitted with linear products")
+        _, d = check_vectors(df)
+        rows = numbered(df, ["series_id", "t"], "place")
+        gamma = random_weights(self.k, self.seed, "series_id", "t")
+        if self.options["init"] == "custom":
+            gamma, c = F.col("gamma"), F.col("c")
+        elif self.options["init"] == "furthest_sum":
+            picks = [i for i, _ in furthest_sum(rows.select(F.col("place").alias("t"), "x"), self.k, None, extra_steps=10)]
+            c = F.array(*[F.when(F.col("place") == i, 1.0).otherwise(0.0) for i in picks])
+        else:
+            c = random_weights(self.k, self.seed + 1, "series_id", "t")
+            sums = rows.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+            c = F.array(*[F.get(c, F.lit(r.i)) / r.v for r in sums])
+        note = None if self.progress is None else lambda *a: self.progress(0, *a)
+        got = coding_long.fit_archetypes(
+            rows.select("place", "x", gamma.alias("gamma"), c.alias("c")), d, self.k, self.delta, self.tolerance, self.max_iterations,
+            self.options["update"], self.options["monotonic"], self.options["memory"], note,
+        )
+        return got._replace(rows=rows.drop("gamma", "c").join(got.rows, "place").drop("place"))
+
+
 class BoundedRegimes:
     """Regimes whose weights have bounded total variation in time.
 

@@ -135,6 +135,16 @@ class Passes:
         rows = made.select("job", "shape", F.posexplode("v").alias("i", "v")).groupBy("job", "shape", "i").agg(F.sum("v").alias("v")).orderBy("job", "i").collect()
         return [np.array([r.v for r in rows if r.job == j]).reshape(next(list(r.shape) for r in rows if r.job == j)) for j in range(len(jobs))]
 
+    def rows(self, of: Callable[[dict, np.ndarray], np.ndarray], name: str, packs: DataFrame | None = None) -> DataFrame:
+        """(place, name): the vectors of(row, block), one for each row of the series."""
+        size = frames.CHUNK
+
+        def run(row: dict, block: np.ndarray) -> Iterator[tuple]:
+            yield row["chunk"] * size, of(row, block).tolist()
+
+        made = self._map(run, "first long, v array<array<double>>", packs).select("first", F.posexplode("v").alias("at", name))
+        return made.select((F.col("first") + F.col("at")).alias("place"), name)
+
     def reduced(self, jobs: Sequence[tuple[object, np.ndarray]]) -> DataFrame:
         """_REDUCED: the matrix of each chunk for each (parameters, toll)."""
         family = self.family
@@ -301,10 +311,4 @@ def run(passes: Passes, fits: Sequence[Fit]) -> list[tuple[object, object, core.
 def coded(passes: Passes, parameters: object, mixture: object) -> DataFrame:
     """(place, gamma) of all rows."""
     gamma, packs = passes.weights([(parameters, mixture)])
-    size = frames.CHUNK
-
-    def rows(row: dict, block: np.ndarray) -> Iterator[tuple]:
-        yield row["chunk"] * size, gamma(0, row, block).tolist()
-
-    made = passes._map(rows, "first long, g array<array<double>>", packs)
-    return made.select("first", F.posexplode("g").alias("at", "gamma")).select((F.col("first") + F.col("at")).alias("place"), "gamma")
+    return passes.rows(lambda row, block: gamma(0, row, block), "gamma", packs)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions import vec
-from driftlens.operators import core, markov, models, moments, seeding, tvlp
+from driftlens.operators import core, markov, models, moments, regimes_long, seeding, tvlp
 from driftlens.sources import frames
 from driftlens.sources.store import shared_dir, workers_know
 
@@ -573,9 +573,8 @@ picks AS (SELECT CAST(0 AS BIGINT) AS i, t, v FROM q0 UNION ALL SELECT 1, t, v F
 def _picks(spark: SparkSession, d: str) -> list[tuple[int, list[float]]]:
     """Three picks with two extra steps; ids that end in 3 are excluded."""
     rows = frames.vectors(spark, d)
-    barred = [r.t for r in rows.where("t % 10 = 3").select("t").collect()]
     first = rows.where("t % 10 <> 3").agg(F.min("t")).first()[0]
-    return seeding.furthest_sum(rows, 3, first, barred, extra_steps=2)
+    return seeding.furthest_sum(rows, 3, first, F.col("t") % 10 == 3, extra_steps=2)
 
 
 @query(_FURTHEST + " SELECT i AS pick, t FROM picks")
@@ -711,13 +710,12 @@ SELECT CAST(t AS BIGINT) AS t, CAST(0 AS BIGINT) AS i, round(sqrt(e0 * e0), 0) A
 def q_regime_memories(spark: SparkSession, d: str) -> DataFrame:
     """Residuals of two regimes, one with a memory of a day and one with none, both with the day's count as input, aligned on t."""
 
-    def both(x: np.ndarray, u: np.ndarray | None, series: int) -> list[tuple[str, np.ndarray, bool]]:
-        family = core.Autoregressions([1, 0])
-        distance = np.sqrt(family.distances(family.start(x, u, 2, np.random.RandomState(0)), x, u))
-        return [("distance", np.vstack([np.full((1, 2), -1.0), distance]), True)]
-
-    found = models.fit_series(_daily_orders(spark, d), both).part("distance").where("value >= 0")
-    return found.select("t", F.col("j").cast("long").alias("i"), F.round("value", 0).alias("distance"))
+    rows = frames.lagged(_daily_orders(spark, d), "x", [1]).where("x_lag1 IS NOT NULL")
+    family = regimes_long.LongAutoregressions([1, 0], 1, 1)
+    passes = regimes_long.Passes(rows.select((F.col("t") - 2).alias("place"), F.concat(F.array(F.lit(1.0)), "x_lag1", "u", "x").alias("v")), family, 2, "v")
+    both = family.update(None, passes.summed([None], lambda _, row, block: family.sums(block, np.ones((len(block), 2))))[0])
+    found = _cells(passes.rows(lambda row, block: np.sqrt(family.costs(both, block)), "distance"), "distance", "distance", "place", decimals=0, place="i")
+    return found.select((F.col("place") + 2).alias("t"), "i", "distance")
 
 
 @query("{z} SELECT t, i, round(g - z, 6) AS e FROM z")
@@ -738,13 +736,8 @@ def q_pw_design(spark: SparkSession, d: str) -> DataFrame:
 d2 AS (SELECT t, i, sum((v - s) * (v - s)) AS d FROM x JOIN c1 USING (j) GROUP BY 1, 2) SELECT round(sum(d), 3) AS cost FROM (SELECT min(d) AS d FROM d2 GROUP BY t)""")
 def q_fembv_2steps(spark: SparkSession, d: str) -> DataFrame:
     """The cost of regimes without a bound after two iterations from fixed centres, by the fit itself."""
-    centers = _states(spark, d)
-
-    def fit(x: np.ndarray, u: np.ndarray | None, series: int) -> list[tuple[str, np.ndarray, bool]]:
-        got = core.fit_regimes(core.FixedStart(core.Centers(), centers), x, u, K, None, max_iterations=2)
-        return [("cost", np.array(got.trace.costs), False)]
-
-    return models.fit_series(frames.vectors(spark, d), fit).summary().where("iteration = 1").select(F.round("cost", 3).alias("cost"))
+    _, _, costs = models.BoundedRegimes(K, max_iterations=2).fit_long(frames.vectors(spark, d), [_states(spark, d)])
+    return spark.createDataFrame([(round(costs[1], 3),)], "cost double")
 
 
 # --- whole fits: no SQL, tests hold invariants --------------------------------
@@ -758,7 +751,7 @@ def q_gpnh_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_gpnh_fit_long(spark: SparkSession, d: str) -> DataFrame:
-    rows, _, _ = models.ConvexCoding(3, 0.1).fit_long(frames.vectors(spark, d))
+    rows = models.ConvexCoding(3, 0.1).fit_long(frames.vectors(spark, d)).rows
     return _cells(rows, "gamma", "g", "t", place="i")
 
 
@@ -785,7 +778,8 @@ def q_crom_fit(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_fembv_kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
     days = frames.daily_shares(spark, d).withColumnRenamed("gamma", "x")
-    return models.BoundedRegimes(3, 4.0, restarts=3).fit(days).part("gamma")
+    rows, _, _ = models.BoundedRegimes(3, 4.0, restarts=3).fit_long(days)
+    return _cells(rows, "gamma", "g", "t", place="i")
 
 
 @query()

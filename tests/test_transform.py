@@ -163,8 +163,6 @@ def test_centres_of_a_long_series(spark):
     assert costs == sorted(costs, reverse=True) and rows.count() == 150
     labels = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
     assert np.allclose(arrays(rows)[0], np.eye(3)[labels])
-    with pytest.raises(ValueError):
-        models.BoundedRegimes(3, 2.0).fit_long(frame(spark, x))
 
 
 def test_restarts_are_aligned_before_they_are_summarised(spark):
