@@ -614,25 +614,19 @@ cw AS (SELECT a.i AS i, b.i AS j, sum(a.d * b.d) AS v FROM dw a JOIN dw b ON a.t
 sw AS (SELECT (SELECT sum(v * d) FROM dw) AS slope, (SELECT sum(cw.v * gram1.v) FROM cw JOIN gram1 USING (i, j)) / (SELECT n FROM n) AS bend)"""
 
 
-def _one_iteration(spark: SparkSession, d: str) -> models.Fitted:
+def _one_iteration(spark: SparkSession, d: str) -> models.coding_long.LongCoding:
     """The coding after one step on states and one on weights, from the fixed start."""
-    rows = frames.vectors(spark, d)
-    n = rows.count()
-    t = np.array(sorted(r.t for r in rows.select("t").collect()))
-    raw = 1.0 + (t[:, None] * (np.arange(K) + 1)) % 7
-    start = {"states": _states(spark, d), "gamma": raw / raw.sum(1, keepdims=True)}
-    assert len(t) == n
-    return models.ConvexCoding(K, EPSILON_STATES, init="custom", start=start, max_iterations=1).fit(rows)
+    return models.ConvexCoding(K, EPSILON_STATES, init="custom", start={"states": _states(spark, d)}, max_iterations=1).fit_long(_rows(spark, d))
 
 
 @query(_STATES_STEP + " SELECT i, j, round(s, 6) AS v FROM s1")
 def q_gpnh_fit_1step_states(spark: SparkSession, d: str) -> DataFrame:
-    return _one_iteration(spark, d).part("states").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("value", 6).alias("v"))
+    return _table(spark, _one_iteration(spark, d).states)
 
 
 @query(_STATES_STEP.replace("{gtx", "{gtx g x") + _WEIGHTS_STEP + f" SELECT t, i, round(g + d * (SELECT {_STEP} FROM sw), 6) AS g FROM dw")
 def q_gpnh_fit_1step_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _one_iteration(spark, d).part("gamma").select("t", F.col("j").cast("long").alias("i"), F.round("value", 6).alias("g"))
+    return _cells(_one_iteration(spark, d).rows, "gamma", "g", "t", place="i")
 
 
 # --- fitted models on rows ----------------------------------------------------
