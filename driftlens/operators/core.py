@@ -500,6 +500,14 @@ def from_gram(gram: np.ndarray, d: int, n: int, p: int, m: int, s: int, trend: b
     return unpack(b, d, p, m, s, trend, contemporaneous, e / (n - q) if n > q else None)
 
 
+def from_factor(r: np.ndarray, d: int, n: int, p: int, m: int, s: int, trend: bool, contemporaneous: bool) -> Autoregression:
+    """Least squares of least norm of the last d columns on the others, from the triangle of all (moments.factor). Condition numbers are not squared, as they are in from_gram."""
+    q = r.shape[1] - d
+    b = np.linalg.lstsq(r[:, :q], r[:, q:], rcond=None)[0]
+    e = r[:, q:] - r[:, :q] @ b
+    return unpack(b, d, p, m, s, trend, contemporaneous, e.T @ e / (n - q) if n > q else None)
+
+
 # --- regimes of bounded variation --------------------------------------------
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from driftlens.functions import vec
 from driftlens.functions.stochastic import random_weights
 from driftlens.operators import coding_long, core, regimes_long
-from driftlens.operators.moments import cross, lagged_moments
+from driftlens.operators.moments import factor, lagged_moments
 from driftlens.operators.seeding import furthest_sum, random_rows
 from driftlens.sources.frames import check_positive, check_vectors, lagged, numbered
 from driftlens.sources.store import written
@@ -441,8 +441,7 @@ class PiecewiseAutoregression:
         for region, n in sorted(labelled.groupBy("region").count().collect()):
             part = labelled.where(F.col("region") == region)
             part = part.withColumn("z", F.concat(F.array(F.lit(1.0)), "z") if self.trend else F.col("z")).withColumn("all", F.concat("z", "x"))
-            gram = cross(part, "all", "all")
-            out[region] = core.from_gram(gram, d, n, self.p, m, self.s, self.trend, False)
+            out[region] = core.from_factor(factor(part, "all"), d, n, self.p, m, self.s, self.trend, False)
         return PiecewiseModel(self, clusters, regions, labelled, out)
 
 
@@ -482,7 +481,7 @@ def summarise_restarts(fits: Sequence[PiecewiseModel], spark: SparkSession) -> D
 
 
 def autoregression(df: DataFrame, p: int, s: int = 0, weight: str | None = None, by: str = "auto") -> core.Autoregression:
-    """x on [1, lags of x, lags of u, u] over all rows of all series: one pass over the lagged design; by: see frames.lagged."""
+    """x on [1, lags of x, lags of u, u] over all rows of all series: one pass over the lagged design, by orthogonal factors; by: see frames.lagged."""
     rows = lagged(df, "x", range(1, p + 1), by)
     names = [f"x_lag{k}" for k in range(1, p + 1)]
     m = 0
@@ -495,9 +494,9 @@ def autoregression(df: DataFrame, p: int, s: int = 0, weight: str | None = None,
     rows = written(rows.select(F.transform(F.concat(F.array(F.lit(1.0)), *names, "x"), lambda v: v * root).alias("all"), (F.col(weight) if weight else F.lit(1.0)).alias("w")))
     n, total = rows.agg(F.count("*"), F.sum("w")).first()
     d = len(df.first().x)
-    gram = cross(rows, "all", "all")
-    out = core.from_gram(gram, d, n, p, m, s, True, bool(m))
+    triangle = factor(rows, "all")
+    out = core.from_factor(triangle, d, n, p, m, s, True, bool(m))
     if weight and out.sigma is not None:
         free = total - 1
-        out.sigma = out.sigma * (n - len(gram) + d) / free if free > 0 else None
+        out.sigma = out.sigma * (n - len(triangle) + d) / free if free > 0 else None
     return out

@@ -45,6 +45,44 @@ def cross(df: DataFrame, left: str, right: str) -> np.ndarray:
     return out
 
 
+#: Triangular factors that one task stacks and factors again.
+FACTORS = 256
+
+
+def factor(df: DataFrame, column: str) -> np.ndarray:
+    """R of the QR decomposition of a vector column's rows: R'R is the sum of their outer products, without squaring their condition.
+
+    Each task keeps one triangle, factored again with every batch of its rows;
+    triangles are stacked and factored by FACTORS in tasks until few are left.
+    """
+
+    def triangle(rows: np.ndarray) -> np.ndarray:
+        r = np.linalg.qr(rows, mode="r")
+        return np.vstack([r, np.zeros((max(0, rows.shape[1] - len(r)), rows.shape[1]))])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = _matrix(batch.column(0))
+                total = triangle(rows if total is None else np.vstack([total, rows]))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([len(total)], pa.int32())], names=["r", "width"])
+
+    def stacked(rows: pa.Table) -> pa.Table:
+        width = rows["width"][0].as_py()
+        r = triangle(np.frombuffer(b"".join(rows["r"].to_pylist())).reshape(-1, width))
+        return pa.table({"r": pa.array([r.tobytes()], pa.binary()), "width": pa.array([width], pa.int32())})
+
+    ddl = "r binary, width int"
+    factors = written(df.select(F.col(column).alias("v")).mapInArrow(own, ddl))
+    while (n := factors.count()) > FACTORS:
+        some = factors.withColumn("k", F.pmod(F.xxhash64("r"), F.lit(-(-n // FACTORS))))
+        factors = written(some.groupBy("k").applyInArrow(stacked, ddl))
+    left = factors.orderBy("r").collect()
+    return triangle(np.vstack([np.frombuffer(r.r).reshape(-1, r.width) for r in left])) if left else np.zeros((0, 0))
+
+
 def as_rows(df: DataFrame, matrix: np.ndarray, name: str = "v") -> DataFrame:
     """A small matrix as (i, j, value)."""
     rows = [(int(i), int(j), float(matrix[i, j])) for i, j in np.ndindex(*matrix.shape)]

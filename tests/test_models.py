@@ -155,3 +155,22 @@ def test_rows_are_numbered_without_a_single_task(spark, tmp_path):
 def test_generators_of_higher_order(spark):
     for made in (generators.periodic_var(spark, 60, 2, order=3), generators.switching_var(spark, 60, 2, order=2)):
         assert made.count() == 60 and frames.check_vectors(made) == (60, 2)
+
+
+def test_least_squares_of_an_ill_conditioned_design(spark, monkeypatch):
+    """Two columns that differ by 1e-8: sums of products lose them, triangles don't."""
+    monkeypatch.setattr(moments, "FACTORS", 2)
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(400, 1)) @ np.ones((1, 2)) + 1e-8 * rng.normal(size=(400, 2))
+    y = z @ [3.0, -2.0] + 0.5
+    table = np.column_stack([np.ones(400), z, y])
+    df = frame(spark, table).repartition(11)
+    triangle = moments.factor(df, "x")
+    assert np.allclose(triangle.T @ triangle, table.T @ table)
+    assert np.linalg.cond(table[:, :3]) > 1e8
+    right = [0.5, 3.0, -2.0]
+    assert np.allclose(core.from_factor(triangle, 1, 400, 0, 2, 0, True, True).coefficients.ravel(), right, atol=1e-6)
+    assert not np.allclose(core.from_gram(table.T @ table, 1, 400, 0, 2, 0, True, True).coefficients.ravel(), right, atol=1e-2)
+    assert moments.factor(df.limit(0), "x").shape == (0, 0)
+    few = moments.factor(frame(spark, table[:2]), "x")
+    assert few.shape == (4, 4) and np.allclose(few.T @ few, table[:2].T @ table[:2])
