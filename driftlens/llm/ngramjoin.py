@@ -47,7 +47,7 @@ WORDS, PERCENT = 3, 90
 #: The least size of a set that can be similar to another one.
 LEAST = 100 // (100 - PERCENT) - 1
 #: Classes of at least twice this size are cut into parts of about this size to twice it; bits of a bitmap.
-PART, BITS = 256, 1024
+PART, BITS = 128, 512
 #: Shingles that a task counts, the least count that it reports, and the most that come last in the order (those of at least OFTEN documents).
 HELD, REPORTED, FREQUENT, OFTEN = 1 << 16, 8, 1 << 17, 32
 #: Larger groups are divided into blocks of about this size. A task builds trees over about so many rows at once.
@@ -239,9 +239,8 @@ def joined(docs: DataFrame) -> DataFrame:
     marked = written(docs.mapInArrow(_marked(frequent(docs)), marks), "marked")
     nodes = _nodes(marked)
     every = nodes.select("id", "at", F.posexplode("records").alias("k", "r")).withColumn("at", F.col("at") * (1 << 32) + F.col("k"))
-    every = written(every.select("id", "at", "r.own", "r.size", "r.least", "r.keys", "r.bits"), "records")
-    shapes = every.drop("keys")
-    rows = every.select("id", "at", F.explode("keys").alias("key"))
+    shapes = every.select("id", "at", "r.own", "r.size", "r.least", "r.bits")
+    rows = every.select("id", "at", F.explode("r.keys").alias("key"))
     counts = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     rows = written(join_to_one(rows, counts, "key", hot=hot_keys(counts, "key")), "rows")
     found = components(_confirmed(_traversed(rows, shapes, F.lit(0).cast("long"), False), docs))
