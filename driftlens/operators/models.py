@@ -20,17 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import vec
+from driftlens.functions.fourier import FourierFeatures
 from driftlens.functions.stochastic import random_weights
 from driftlens.operators import coding_long, core, regimes_long
-from driftlens.operators.moments import factor, lagged_moments
+from driftlens.operators.moments import factor, factors, lagged_moments
 from driftlens.operators.seeding import furthest_sum, random_rows
 from driftlens.sources.frames import check_positive, check_vectors, lagged, numbered
 from driftlens.sources.store import written
@@ -220,11 +222,13 @@ class ConvexCoding:
         return got._replace(rows=rows.drop("gamma").join(got.rows, "place").drop("place"))
 
 
-def code(df: DataFrame, states: np.ndarray, rounds: int = 200) -> DataFrame:
+def code(df: DataFrame, states: np.ndarray, rounds: int = 200, gap: str | None = None) -> DataFrame:
     """df with gamma: weights of each row for fixed states, by projected steps of one fixed length, row by row.
 
     The weights of rows are independent quadratic programmes, so no row waits
-    for another; the start is uniform.
+    for another; the start is uniform. rounds is a number of steps, not a test
+    of convergence: gap names a column for the duality gap that is left, an upper
+    bound of how far the row's squared error is above its least.
     """
     k, gram = len(states), states @ states.T
     length = 1 / max(np.linalg.eigvalsh(gram)[-1], 1e-12)
@@ -235,7 +239,11 @@ def code(df: DataFrame, states: np.ndarray, rounds: int = 200) -> DataFrame:
         return vec.simplex_project(vec.add(g, vec.add(vec.matvec(gram, g), F.col("_linear"), -1.0), -length))
 
     out = df.withColumn("_linear", linear)
-    return out.withColumn("gamma", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)).drop("_linear")
+    out = out.withColumn("gamma", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
+    if gap:
+        out = out.withColumn("_slope", vec.add(vec.matvec(gram, "gamma"), "_linear", -1.0))
+        out = out.withColumn(gap, 2 * (vec.dot("gamma", "_slope") - F.array_min("_slope"))).drop("_slope")
+    return out.drop("_linear")
 
 
 def reconstruct(df: DataFrame, states: np.ndarray, name: str = "y") -> DataFrame:
@@ -402,6 +410,14 @@ class BoundedRegimes:
         return joined.select(*df.columns, "gamma"), parameters, trace.costs
 
 
+def regions_by_features(seed: int = 0, features: int = 200, width: float = 1.0, regularisation: float = 1e-4) -> Pipeline:
+    """A classifier of "cluster" by "predictors": they are scaled to unit variance, taken to random Fourier features and classified by multinomial logistic regression."""
+    scaled = StandardScaler(inputCol="predictors", outputCol="_scaled", withMean=True)
+    fourier = FourierFeatures("_scaled", "_features", features, width, seed)
+    linear = LogisticRegression(maxIter=100, family="multinomial", regParam=regularisation, featuresCol="_features", labelCol="cluster", predictionCol="region")
+    return Pipeline(stages=[scaled, fourier, linear])
+
+
 class PiecewiseAutoregression:
     """Regions of phase space, each with its own autoregression.
 
@@ -414,7 +430,7 @@ class PiecewiseAutoregression:
     def __init__(self, n_components: int, p: int = 1, s: int = 0, trend: bool = True, clusterer: Estimator | None = None, classifier: Estimator | None = None, seed: int = 0, by: str = "auto"):
         self.k, self.p, self.s, self.trend, self.by = n_components, p, s, trend, by
         self.clusterer = clusterer or KMeans(k=n_components, seed=seed, featuresCol="joint", predictionCol="cluster")
-        self.classifier = classifier or LogisticRegression(maxIter=50, family="multinomial", featuresCol="predictors", labelCol="cluster", predictionCol="region")
+        self.classifier = classifier or regions_by_features(seed)
 
     def design(self, df: DataFrame) -> DataFrame:
         """(series_id, t, x, u, z); z has lags 1 to p of x, then 1 to s of u; rows before them are dropped."""
@@ -437,11 +453,9 @@ class PiecewiseAutoregression:
         labelled = written(labelled.select("series_id", "t", "x", "z", F.col("region").cast("int").alias("region")))
         d = len(labelled.first().x)
         m = len(df.first().u) if self.s else 0
-        out = {}
-        for region, n in sorted(labelled.groupBy("region").count().collect()):
-            part = labelled.where(F.col("region") == region)
-            part = part.withColumn("z", F.concat(F.array(F.lit(1.0)), "z") if self.trend else F.col("z")).withColumn("all", F.concat("z", "x"))
-            out[region] = core.from_factor(factor(part, "all"), d, n, self.p, m, self.s, self.trend, False)
+        wide = labelled.withColumn("all", F.concat(*([F.array(F.lit(1.0))] if self.trend else []), "z", "x"))
+        triangles, sizes = factors(wide, "all", "region"), dict(labelled.groupBy("region").count().collect())
+        out = {r: core.from_factor(triangles[r], d, sizes[r], self.p, m, self.s, self.trend, False) for r in sorted(sizes)}
         return PiecewiseModel(self, clusters, regions, labelled, out)
 
 

@@ -50,37 +50,49 @@ FACTORS = 256
 
 
 def factor(df: DataFrame, column: str) -> np.ndarray:
-    """R of the QR decomposition of a vector column's rows: R'R is the sum of their outer products, without squaring their condition.
+    """R of the QR decomposition of a vector column's rows: R'R is the sum of their outer products, without squaring their condition."""
+    return next(iter(factors(df.withColumn("_all", F.lit(0)), column, "_all").values()), np.zeros((0, 0)))
 
-    Each task keeps one triangle, factored again with every batch of its rows;
-    triangles are stacked and factored by FACTORS in tasks until few are left.
+
+def factors(df: DataFrame, column: str, key: str) -> dict[int, np.ndarray]:
+    """The same for the rows of each key (an int; few of them), in one pass.
+
+    Each task keeps a triangle for each key, factored again with every batch of
+    its rows; triangles are stacked and factored by FACTORS in tasks until few
+    are left.
     """
 
     def triangle(rows: np.ndarray) -> np.ndarray:
         r = np.linalg.qr(rows, mode="r")
         return np.vstack([r, np.zeros((max(0, rows.shape[1] - len(r)), rows.shape[1]))])
 
+    def table(made: dict[int, np.ndarray]) -> list[pa.Array]:
+        return [pa.array(list(made), pa.int32()), pa.array([r.tobytes() for r in made.values()], pa.binary()), pa.array([r.shape[1] for r in made.values()], pa.int32())]
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                rows = _matrix(batch.column(0))
-                total = triangle(rows if total is None else np.vstack([total, rows]))
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([len(total)], pa.int32())], names=["r", "width"])
+            keys, rows = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for k in np.unique(keys):
+                mine = rows[keys == k]
+                total[int(k)] = triangle(np.vstack([total[int(k)], mine]) if int(k) in total else mine)
+        if total:
+            yield pa.RecordBatch.from_arrays(table(total), names=["k", "r", "width"])
 
     def stacked(rows: pa.Table) -> pa.Table:
         width = rows["width"][0].as_py()
         r = triangle(np.frombuffer(b"".join(rows["r"].to_pylist())).reshape(-1, width))
-        return pa.table({"r": pa.array([r.tobytes()], pa.binary()), "width": pa.array([width], pa.int32())})
+        return pa.Table.from_arrays(table({rows["k"][0].as_py(): r}), names=["k", "r", "width"])
 
-    ddl = "r binary, width int"
-    factors = written(df.select(F.col(column).alias("v")).mapInArrow(own, ddl))
-    while (n := factors.count()) > FACTORS:
-        some = factors.withColumn("k", F.pmod(F.xxhash64("r"), F.lit(-(-n // FACTORS))))
-        factors = written(some.groupBy("k").applyInArrow(stacked, ddl))
-    left = factors.orderBy("r").collect()
-    return triangle(np.vstack([np.frombuffer(r.r).reshape(-1, r.width) for r in left])) if left else np.zeros((0, 0))
+    ddl = "k int, r binary, width int"
+    made = written(df.select(F.col(key).cast("int").alias("k"), F.col(column).alias("v")).mapInArrow(own, ddl))
+    while (n := made.groupBy("k").count().agg(F.max("count")).first()[0] or 0) > FACTORS:
+        some = made.withColumn("part", F.pmod(F.xxhash64("r"), F.lit(-(-n // FACTORS))))
+        made = written(some.groupBy("k", "part").applyInArrow(stacked, ddl))
+    left: dict[int, list[np.ndarray]] = {}
+    for r in made.orderBy("k", "r").collect():
+        left.setdefault(r.k, []).append(np.frombuffer(r.r).reshape(-1, r.width))
+    return {k: triangle(np.vstack(each)) for k, each in left.items()}
 
 
 def as_rows(df: DataFrame, matrix: np.ndarray, name: str = "v") -> DataFrame:
@@ -94,7 +106,8 @@ def simplex_columns(df: DataFrame, column: str, keys: list[str], rounds: int = 2
 
     Thresholds come by Michelot's iteration: every round is one aggregation of
     the entries still above their thresholds, and no component's entries are
-    gathered or sorted. Returns df with the projected column, and thresholds.
+    gathered or sorted. Returns df with the projected column, and thresholds;
+    raises if they are not found within the rounds.
     """
     entries = written(df.select(F.posexplode(column).alias("j", "v")))
     got = entries.groupBy("j").agg(F.sum("v").alias("s"), F.count("v").alias("n")).orderBy("j").collect()
@@ -108,6 +121,8 @@ def simplex_columns(df: DataFrame, column: str, keys: list[str], rounds: int = 2
         if np.allclose(now, theta, rtol=0, atol=1e-15):
             break
         theta = now
+    else:
+        raise RuntimeError(f"thresholds of the simplex are not found within {rounds} rounds")
     level = F.array(*[F.lit(float(x)) for x in theta])
     return df.withColumn(column, F.zip_with(column, level, lambda v, t: F.greatest(v - t, F.lit(0.0)))), theta
 

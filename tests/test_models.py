@@ -174,3 +174,55 @@ def test_least_squares_of_an_ill_conditioned_design(spark, monkeypatch):
     assert moments.factor(df.limit(0), "x").shape == (0, 0)
     few = moments.factor(frame(spark, table[:2]), "x")
     assert few.shape == (4, 4) and np.allclose(few.T @ few, table[:2].T @ table[:2])
+
+
+def test_regions_with_round_borders(spark):
+    """A ring around a disc: random Fourier features part them, a linear classifier can't."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(1)
+    z = rng.uniform(-2, 2, (600, 2)) * [1, 50]
+    rows = frame(spark, z).withColumns({"predictors": array_to_vector("x"), "cluster": F.when(F.expr("x[0] * x[0] + x[1] * x[1] / 2500 < 1.8"), 0.0).otherwise(1.0)})
+    train, new = rows.where("t % 3 > 0"), rows.where("t % 3 = 0")
+    right = lambda model: model.transform(new).agg(F.avg((F.col("region") == F.col("cluster")).cast("double"))).first()[0]
+    fourier = models.regions_by_features().fit(train)
+    linear = LogisticRegression(family="multinomial", featuresCol="predictors", labelCol="cluster", predictionCol="region").fit(train)
+    assert right(fourier) > 0.95 and right(linear) < 0.8
+    x = np.array([[0.3, -0.2], [0.1, 0.4], [1.0, 0.0]])
+    features = models.FourierFeatures("v", "f", 4000, 0.7, 3)
+    made = features.transform(frame(spark, x).withColumn("v", array_to_vector("x"))).orderBy("t").collect()
+    f = np.array([r.f.toArray()[:4000] for r in made])
+    assert np.allclose(f @ f.T, np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * 0.7**2)), atol=0.06)
+
+
+class TrueRegions:
+    """A clusterer that knows the regions: t tells them apart."""
+
+    def fit(self, rows):
+        return self
+
+    def transform(self, rows):
+        truth = generators.piecewise_affine(rows.sparkSession, 500, 1).select("t", F.col("region").alias("cluster"))
+        return rows.join(truth, "t")
+
+
+def test_regions_of_the_generator(spark):
+    df = generators.piecewise_affine(spark, 500, 1)
+    fitted = models.PiecewiseAutoregression(3, 1, 1, seed=2, clusterer=TrueRegions()).fit(df)
+    found = fitted.rows.join(df.select("t", F.col("region").alias("true")), "t")
+    assert found.agg(F.avg((F.col("region") == F.col("true")).cast("double"))).first()[0] > 0.95
+    slopes = {r: a.a[0, 0, 0] for r, a in fitted.regions.items()}
+    assert np.allclose([slopes[r] for r in range(3)], [0.6, -0.5, 0.3], atol=0.1)
+
+
+def test_the_gap_of_coded_rows(spark):
+    rng = np.random.default_rng(3)
+    states, x = rng.normal(size=(4, 3)), rng.normal(size=(30, 3))
+    best = ((x - core.fit_coding(x, 4, states=states, update=("weights",), tolerance=1e-13, max_iterations=5000).gamma @ states) ** 2).sum(1)
+    for rounds in (3, 400):
+        rows = models.code(frame(spark, x), states, rounds, "gap").orderBy("t").collect()
+        error = ((x - np.array([r.gamma for r in rows]) @ states) ** 2).sum(1)
+        gaps = np.array([r.gap for r in rows])
+        assert (error - best <= gaps + 1e-6).all() and (gaps >= -1e-9).all()
+    assert gaps.max() < 1e-3
