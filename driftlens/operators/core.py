@@ -424,6 +424,31 @@ def furthest_by_kernel(matrix: np.ndarray, k: int, start: int = 0, extra_steps:
     return _furthest(lambda i: np.sqrt(np.maximum(own + own[i] - 2 * matrix[i], 0)), len(matrix), k, start, extra_steps)
 
 
+@dataclass
+class Landmarks:
+    """Archetypes by a kernel as mixtures of a few fitted samples, by which new rows get their weights."""
+
+    rows: np.ndarray
+    mix: np.ndarray
+    products: np.ndarray
+
+
+def landmarks(x: np.ndarray, matrix: np.ndarray, dictionary: np.ndarray, scales: np.ndarray, number: int) -> Landmarks:
+    """The projections of archetypes on the span of `number` samples that are far from each other by the kernel."""
+    picks = furthest_by_kernel(matrix, min(number, len(x)), int(dictionary.max(0).argmax()), 0)
+    shares = scales[:, None] * dictionary
+    mix = shares @ matrix[:, picks] @ np.linalg.pinv(matrix[np.ix_(picks, picks)], rcond=1e-10, hermitian=True)
+    return Landmarks(x[picks], mix, shares @ matrix @ shares.T)
+
+
+def weights_by_products(with_archetypes: np.ndarray, between: np.ndarray, tolerance: float, max_iterations: int) -> np.ndarray:
+    """Weights of rows on archetypes of which only products are known: of rows with archetypes, and of archetypes."""
+    values, vectors = np.linalg.eigh(between)
+    root = vectors * np.sqrt(np.maximum(values, 0))  # archetypes as points with these products
+    x = with_archetypes @ np.linalg.pinv(root, rcond=1e-10).T
+    return fit_coding(x, len(between), tolerance=tolerance, max_iterations=max_iterations, states=root, update=("weights",)).gamma
+
+
 # --- autoregression ----------------------------------------------------------
 
 

@@ -92,6 +92,12 @@ class Fitted:
         joined = coded.join(F.broadcast(columns) if columns.limit(1001).count() <= 1000 else columns, "series_id")
         return joined.withColumn("y", F.transform("c", lambda c: vec.dot("gamma", c["s"]))).drop("c")
 
+    def mixtures(self, coded: DataFrame) -> DataFrame:
+        """(series_id, t, sample, value): coded(series_id, t, gamma) as mixtures of fitted samples, gamma times the dictionary; only what is not 0."""
+        shares = self.part("dictionary").where("value <> 0").select("series_id", F.col("t").alias("sample"), "j", "value")
+        each = coded.select("series_id", "t", F.posexplode("gamma").alias("j", "g")).where("g <> 0")
+        return each.join(shares, ["series_id", "j"]).groupBy("series_id", "t", "sample").agg(F.sum(F.col("g") * F.col("value")).alias("value"))
+
     def part(self, name: str) -> DataFrame:
         return self.parts.where(F.col("part") == name).drop("part")
 
@@ -277,14 +283,15 @@ class ArchetypalAnalysis:
 
     kernel: None for linear products; a function from the samples of a series to
     the matrix of their products; or "precomputed", where x is a sample's row of
-    that matrix (in order of t).
+    that matrix (in order of t). With a function, new rows are transformed by
+    their products with `landmarks` fitted samples alone.
     """
 
     def __init__(
         self, n_components: int, delta: float = 0.0, init: str = "furthest_sum", tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0, kernel: str | Callable[[np.ndarray], np.ndarray] | None = None,
-        start: dict | None = None, update: Sequence[str] = ("dictionary", "weights"), monotonic: bool = True, memory: int = 1, progress: Callable[[int, int, float, float], None] | None = None,
+        start: dict | None = None, update: Sequence[str] = ("dictionary", "weights"), monotonic: bool = True, memory: int = 1, progress: Callable[[int, int, float, float], None] | None = None, landmarks: int = 100,
     ):
-        check_positive(n_components=n_components, max_iterations=max_iterations, tolerance=tolerance, memory=memory)
+        check_positive(n_components=n_components, max_iterations=max_iterations, tolerance=tolerance, memory=memory, landmarks=landmarks)
         core.check_init(init, {})
         if not set(update) <= {"dictionary", "weights"}:
             raise ValueError(f"update may name dictionary and weights: {list(update)}")
@@ -294,10 +301,17 @@ class ArchetypalAnalysis:
             raise ValueError(f"delta must not be negative: {delta}")
         self.k, self.delta, self.tolerance, self.max_iterations, self.seed, self.kernel = n_components, delta, tolerance, max_iterations, seed, kernel
         self.options = {**(start or {}), "init": init, "update": tuple(update), "monotonic": monotonic, "memory": memory}
-        self.progress = progress
+        self.progress, self.landmarks = progress, landmarks
 
     def _weights(self, parameters: dict[str, np.ndarray], x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
-        """Weights of new rows on the fixed archetypes; with a kernel there is no such thing without the fitted samples."""
+        """Weights of new rows on the fixed archetypes; with a kernel, by landmarks."""
+        if callable(self.kernel):
+            marks, out = np.atleast_2d(parameters["landmarks"]), []
+            for at in range(0, len(x), len(marks)):
+                some = x[at : at + len(marks)]
+                products = self.kernel(np.vstack([some, marks]))[: len(some), len(some) :]
+                out.append(core.weights_by_products(products @ np.atleast_2d(parameters["mix"]).T, np.atleast_2d(parameters["products"]), self.tolerance, self.max_iterations))
+            return np.vstack(out)
         states = parameters["states"]
         return core.fit_coding(x, self.k, tolerance=self.tolerance, max_iterations=self.max_iterations, seed=self.seed, states=states, update=("weights",)).gamma
 
@@ -309,9 +323,13 @@ class ArchetypalAnalysis:
             note = None if own.progress is None else lambda *a: own.progress(series, *a)
             got = core.fit_archetypes(products, own.k, own.delta, tolerance=own.tolerance, max_iterations=own.max_iterations, seed=own.seed, kernel=own.kernel is not None, **own.options, progress=note)
             states = got.states if own.kernel is None else got.scales[:, None] * (got.dictionary @ x)
-            return [("gamma", got.weights, True), ("dictionary", got.dictionary.T, True), ("states", states, False), ("scales", got.scales, False), ("cost", np.array(got.trace.costs), False)]
+            out = [("gamma", got.weights, True), ("dictionary", got.dictionary.T, True), ("states", states, False), ("scales", got.scales, False), ("cost", np.array(got.trace.costs), False)]
+            if callable(own.kernel):
+                marks = core.landmarks(x, products, got.dictionary, got.scales, own.landmarks)
+                out += [("landmarks", marks.rows, False), ("mix", marks.mix, False), ("products", marks.products, False)]
+            return out
 
-        return fit_series(df, fit, self._weights if self.kernel is None else None)
+        return fit_series(df, fit, None if self.kernel == "precomputed" else self._weights)
 
 
     def fit_long(self, df: DataFrame) -> coding_long.LongArchetypes:

@@ -178,3 +178,56 @@ def test_restarts_are_aligned_before_they_are_summarised(spark):
 def test_weights_of_bounded_variation_do_not_stop_silently():
     with pytest.raises(RuntimeError, match="columns"):
         core.bounded_weights(np.random.default_rng(0).normal(size=(50, 3)), 5.0, max_columns=2)
+
+
+def gaussian(x):
+    return np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 8)
+
+
+def test_new_rows_on_archetypes_of_a_kernel(spark):
+    rng = np.random.default_rng(6)
+    x, new = rng.normal(size=(80, 2)) * 2, rng.normal(size=(30, 2)) * 2
+    got, full = [], None
+    for number in (12, 80):
+        model = models.ArchetypalAnalysis(3, kernel=gaussian, landmarks=number, tolerance=1e-9).fit(frame(spark, x))
+        got.append(arrays(model.transform(frame(spark, new)))[0])
+        if full is None:  # by the products with all fitted samples
+            c, products = np.array([r[0] for r in model.rows("dictionary").orderBy("t").select("values").collect()]).T, gaussian(np.vstack([new, x]))[:30, 30:]
+            full = core.weights_by_products(products @ c.T, c @ gaussian(x) @ c.T, 1e-9, 1000)
+    errors = [abs(g - full).max() for g in got]
+    assert errors[1] < 1e-3 and errors[0] < 0.25 and errors[1] <= errors[0]
+    with pytest.raises(ValueError, match="transform"):
+        models.ArchetypalAnalysis(3, kernel="precomputed").fit(frame(spark, gaussian(x))).transform(frame(spark, new))
+
+
+def test_rows_as_mixtures_of_samples(spark):
+    x = np.random.default_rng(7).normal(size=(25, 3))
+    model = models.ArchetypalAnalysis(3).fit(frame(spark, x))
+    coded = model.rows("gamma").withColumnRenamed("values", "gamma")
+    got = np.zeros((25, 25))
+    for r in model.mixtures(coded).collect():
+        got[r.t, r["sample"]] = r.value
+    assert np.allclose(got.sum(1), 1)
+    y = np.array([r.y for r in model.inverse_transform(coded).orderBy("t").collect()])
+    assert np.allclose(got @ x, y)
+
+
+def test_recursions_over_chunks(spark, monkeypatch):
+    from driftlens.sources import frames, generators
+
+    monkeypatch.setattr(frames, "CHUNK", 17)
+    for made, step in ((generators.periodic_var, None), (generators.switching_var, None)):
+        rows = made(spark, 100, 2, noise=0.5, seed=4, order=3).orderBy("t").collect()
+        rng = np.random.default_rng(4)
+        if made is generators.periodic_var:
+            mu, a = rng.uniform(-1, 1, 2), generators._stable(rng, 3, 2)
+            step = lambda t: (np.cos(2 * np.pi * t / 10) * mu, np.cos(2 * np.pi * t / 10) * a)
+        else:
+            mu, a = rng.uniform(-3, 3, (2, 2)), np.stack([generators._stable(rng, 3, 2) for _ in range(2)])
+            step = lambda t: (mu[min(t * 4 // 100, 3) % 2], a[min(t * 4 // 100, 3) % 2])
+        noise = np.vstack([np.random.default_rng([4, c]).standard_normal((min(17, 100 - 17 * c), 2)) for c in range(6)]) * np.sqrt(0.5)
+        x = np.zeros((100, 2))
+        for t in range(3, 100):
+            constant, each = step(t)
+            x[t] = constant + sum(each[k] @ x[t - 1 - k] for k in range(3)) + noise[t]
+        assert [r.t for r in rows] == list(range(100)) and np.allclose([r.x for r in rows], x)
