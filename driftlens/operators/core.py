@@ -200,7 +200,7 @@ def random_mtd(k: int, lags: Sequence[int], state: np.random.RandomState) -> tup
 def fit_coding(
     x: np.ndarray, k: int, epsilon_states: float = 0.0, lags: Sequence[int] = (), epsilon_weights: float = 0.0, gamma: np.ndarray | None = None, states: np.ndarray | None = None,
     mixture: tuple[np.ndarray, np.ndarray] | None = None, tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0, update: Sequence[str] = ("states", "weights", "parameters"), monotonic: bool = True,
-    memory: int = 1, init: str = "random", progress: Progress | None = None,
+    memory: int = 1, init: str = "random", progress: Progress | None = None, extra_steps: int = 10,
 ) -> Coding:
     """Alternates steps on states, weights and (with lags) parameters of the mixture.
 
@@ -218,7 +218,7 @@ def fit_coding(
         for matrix in mixture[1]:
             check_start(matrix, (k, k), 0)
     if states is None and init == "furthest_sum":
-        states = x[furthest_rows(x, k, int(rng.randint(len(x))))].astype(float)
+        states = x[furthest_rows(x, k, int(rng.randint(len(x))), extra_steps)].astype(float)
     if states is None:
         states = np.sqrt(np.abs(x).mean() / k) * rng.standard_normal((k, x.shape[1]))
     if gamma is None:
@@ -360,7 +360,7 @@ class _Kernel(_Linear):
 
 def fit_archetypes(
     x: np.ndarray, k: int, delta: float = 0.0, dictionary: np.ndarray | None = None, weights: np.ndarray | None = None, init: str = "furthest_sum", tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0,
-    update: Sequence[str] = ("dictionary", "weights"), monotonic: bool = True, memory: int = 1, kernel: bool = False, progress: Progress | None = None,
+    update: Sequence[str] = ("dictionary", "weights"), monotonic: bool = True, memory: int = 1, kernel: bool = False, progress: Progress | None = None, extra_steps: int = 10,
 ) -> Archetypes:
     """X is near S C X, with rows of S and of C on the simplex; rows of C may be scaled by 1 - delta to 1 + delta.
 
@@ -378,7 +378,7 @@ def fit_archetypes(
         else:
             dictionary = np.zeros((k, n))
             start = int(rng.randint(n))
-            dictionary[np.arange(k), furthest_by_kernel(x, k, start) if kernel else furthest_rows(x, k, start)] = 1
+            dictionary[np.arange(k), furthest_by_kernel(x, k, start, extra_steps) if kernel else furthest_rows(x, k, start, extra_steps)] = 1
     s = right_stochastic((n, k), rng) if weights is None else np.asarray(weights, float)
     scales, blocks, trace = np.ones(k), {m: Block(memory) for m in ("dictionary", "weights")}, Trace(progress=progress)
 

@@ -7,8 +7,8 @@ codings, archetypes and regimes also have fit_long, for one series that does not
 fit a task: its passes are aggregations over all rows. Failures of a series' own
 data raise.
 
-Starts: init "random", "furthest_sum" or "custom" with start, arrays by name,
-the same for every series. `update` names the blocks that a fit may change, the
+Starts: init "random", "furthest_sum" (extra_steps times a pick is replaced) or
+"custom" with start, arrays by name, the same for every series. `update` names the blocks that a fit may change, the
 others stay at their start. progress(series, iteration, cost, change) is called
 in the workers while a fit runs.
 """
@@ -161,7 +161,7 @@ class ConvexCoding:
 
     def __init__(
         self, n_components: int, epsilon_states: float = 0.0, lags: Sequence[int] = (), epsilon_weights: float = 0.0, tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0, init: str = "random",
-        start: dict | None = None, update: Sequence[str] = ("states", "weights", "parameters"), monotonic: bool = True, memory: int = 1, progress: Callable[[int, int, float, float], None] | None = None,
+        start: dict | None = None, update: Sequence[str] = ("states", "weights", "parameters"), monotonic: bool = True, memory: int = 1, progress: Callable[[int, int, float, float], None] | None = None, extra_steps: int = 10,
     ):
         check_positive(n_components=n_components, max_iterations=max_iterations, tolerance=tolerance, memory=memory)
         core.check_init(init, {} if init != "custom" else {"states": (start or {}).get("states")})
@@ -169,7 +169,7 @@ class ConvexCoding:
             raise ValueError(f"update may name states, weights and parameters: {list(update)}")
         self.k, self.epsilon, self.lags = n_components, epsilon_states, core.check_lags(lags) if len(lags) else []
         self.epsilon_weights, self.tolerance, self.max_iterations, self.seed = epsilon_weights, tolerance, max_iterations, seed
-        self.init, self.options = init, {**(start or {}), "init": init, "update": tuple(update), "monotonic": monotonic, "memory": memory}
+        self.init, self.options = init, {**(start or {}), "init": init, "update": tuple(update), "monotonic": monotonic, "memory": memory, "extra_steps": extra_steps}
         self.progress = progress
 
     def _fit(self, x: np.ndarray, series: int, **options: object) -> core.Coding:
@@ -213,7 +213,7 @@ class ConvexCoding:
             core.check_start(states, (self.k, d), None)
             check_vectors(df, "gamma", self.k)
         elif self.init == "furthest_sum":
-            states, mixture = np.array([x for _, x in furthest_sum(df, self.k, None, extra_steps=10)]), None
+            states, mixture = np.array([x for _, x in furthest_sum(df, self.k, None, extra_steps=start["extra_steps"])]), None
         else:
             states, mixture = random_rows(df, self.k, rng), None
         if joint and mixture is None:
@@ -289,7 +289,7 @@ class ArchetypalAnalysis:
 
     def __init__(
         self, n_components: int, delta: float = 0.0, init: str = "furthest_sum", tolerance: float = 1e-6, max_iterations: int = 1000, seed: int = 0, kernel: str | Callable[[np.ndarray], np.ndarray] | None = None,
-        start: dict | None = None, update: Sequence[str] = ("dictionary", "weights"), monotonic: bool = True, memory: int = 1, progress: Callable[[int, int, float, float], None] | None = None, landmarks: int = 100,
+        start: dict | None = None, update: Sequence[str] = ("dictionary", "weights"), monotonic: bool = True, memory: int = 1, progress: Callable[[int, int, float, float], None] | None = None, landmarks: int = 100, extra_steps: int = 10,
     ):
         check_positive(n_components=n_components, max_iterations=max_iterations, tolerance=tolerance, memory=memory, landmarks=landmarks)
         core.check_init(init, {})
@@ -300,7 +300,7 @@ class ArchetypalAnalysis:
         if not delta >= 0:
             raise ValueError(f"delta must not be negative: {delta}")
         self.k, self.delta, self.tolerance, self.max_iterations, self.seed, self.kernel = n_components, delta, tolerance, max_iterations, seed, kernel
-        self.options = {**(start or {}), "init": init, "update": tuple(update), "monotonic": monotonic, "memory": memory}
+        self.options = {**(start or {}), "init": init, "update": tuple(update), "monotonic": monotonic, "memory": memory, "extra_steps": extra_steps}
         self.progress, self.landmarks = progress, landmarks
 
     def _weights(self, parameters: dict[str, np.ndarray], x: np.ndarray, u: np.ndarray | None) -> np.ndarray:
@@ -342,7 +342,7 @@ class ArchetypalAnalysis:
         if self.options["init"] == "custom":
             gamma, c = F.col("gamma"), F.col("c")
         elif self.options["init"] == "furthest_sum":
-            picks = [i for i, _ in furthest_sum(rows.select(F.col("place").alias("t"), "x"), self.k, None, extra_steps=10)]
+            picks = [i for i, _ in furthest_sum(rows.select(F.col("place").alias("t"), "x"), self.k, None, extra_steps=self.options["extra_steps"])]
             c = F.array(*[F.when(F.col("place") == i, 1.0).otherwise(0.0) for i in picks])
         else:
             c = random_weights(self.k, self.seed + 1, "series_id", "t")

@@ -584,15 +584,18 @@ def q_furthest_sum_extra(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_FURTHEST + " SELECT i, CAST(j AS BIGINT) AS j, round(v[j + 1], 6) AS v FROM picks, range(64) r(j) WHERE j < len(v)")
 def q_furthest_states(spark: SparkSession, d: str) -> DataFrame:
-    """States of a coding that start at rows far from each other."""
-    return _table(spark, np.array([x for _, x in _picks(spark, d)]))
+    """States of a coding that starts at rows far from each other, by the estimator."""
+    rows = frames.vectors(spark, d).where("t % 10 <> 3")
+    return _table(spark, models.ConvexCoding(3, init="furthest_sum", update=(), max_iterations=1, extra_steps=2).fit_long(rows).states)
 
 
 @query(_FURTHEST + " SELECT i, e.t, CASE WHEN e.t = picks.t THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c FROM picks, (SELECT CAST(vec_id AS BIGINT) AS t FROM embeddings) e")
 def q_furthest_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    """The dictionary of archetypes that starts at those rows: one entry of 1 in each component."""
-    hot = F.array(*[F.when(F.col("t") == t, 1.0).otherwise(0.0) for t, _ in _picks(spark, d)])
-    return _cells(frames.vectors(spark, d).withColumn("c", hot), "c", "c", "t", place="i")
+    """The dictionary of archetypes that starts at those rows, by the estimator: one entry of 1 in each component. Rows that take no part have entries of 0."""
+    rows = frames.vectors(spark, d)
+    coded = models.ArchetypalAnalysis(3, update=(), max_iterations=1, extra_steps=2).fit_long(rows.where("t % 10 <> 3")).rows.select("t", "c")
+    none = F.array(*[F.lit(0.0)] * 3)
+    return _cells(rows.select("t").join(coded, "t", "left").withColumn("c", F.coalesce("c", none)), "c", "c", "t", place="i")
 
 
 # --- one iteration of a coding ------------------------------------------------
@@ -614,6 +617,15 @@ cw AS (SELECT a.i AS i, b.i AS j, sum(a.d * b.d) AS v FROM dw a JOIN dw b ON a.t
 sw AS (SELECT (SELECT sum(v * d) FROM dw) AS slope, (SELECT sum(cw.v * gram1.v) FROM cw JOIN gram1 USING (i, j)) / (SELECT n FROM n) AS bend)"""
 
 
+_TWO_STATES_STEPS = _STATES_STEP + f""", al AS (SELECT least(1e3, greatest(1e-3, CASE WHEN bend <= 0 THEN 1e3 ELSE -slope / (2 * bend) END)) AS alpha FROM sb),
+gd1 AS (SELECT s1.i, s1.j, s1.s, {4 * EPSILON_STATES} / (d * {K * (K - 1)}) * ({K} * s1.s - sum(s1.s) OVER (PARTITION BY s1.j)) + 2 / n * (gs - gtx.v) AS v
+ FROM s1 JOIN gtx USING (i, j) JOIN (SELECT gtg.i AS i, s1.j AS j, sum(gtg.v * s1.s) AS gs FROM gtg JOIN s1 ON gtg.j = s1.i GROUP BY 1, 2) USING (i, j), n),
+dd1 AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) * (SELECT alpha * alpha FROM al) AS v FROM gd1 a JOIN gd1 b ON a.j = b.j GROUP BY 1, 2),
+sb1 AS (SELECT -(SELECT alpha FROM al) * (SELECT sum(v * v) FROM gd1) AS slope, (SELECT sum(gtg.v * dd1.v) FROM gtg JOIN dd1 USING (i, j)) / (SELECT n FROM n)
+  + {EPSILON_STATES * 2} / ({K * (K - 1)} * (SELECT d FROM n)) * (SELECT {K} * sum(CASE WHEN i = j THEN v ELSE 0 END) - sum(v) FROM dd1) AS bend),
+s2 AS (SELECT i, j, s - (SELECT alpha FROM al) * v * (SELECT {_STEP} FROM sb1) AS s FROM gd1)"""
+
+
 def _one_iteration(spark: SparkSession, d: str) -> models.coding_long.LongCoding:
     """The coding after one step on states and one on weights, from the fixed start."""
     return models.ConvexCoding(K, EPSILON_STATES, init="custom", start={"states": _states(spark, d)}, max_iterations=1).fit_long(_rows(spark, d))
@@ -624,6 +636,13 @@ def q_gpnh_fit_1step_states(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, _one_iteration(spark, d).states)
 
 
+@query(_TWO_STATES_STEPS + " SELECT i, j, round(s, 6) AS v FROM s2")
+def q_gpnh_fit_2steps_states(spark: SparkSession, d: str) -> DataFrame:
+    """States after two iterations with frozen weights: the second step has the spectral length that the first one sets."""
+    fit = models.ConvexCoding(K, EPSILON_STATES, init="custom", start={"states": _states(spark, d)}, max_iterations=2, tolerance=0, update=("states",))
+    return _table(spark, fit.fit_long(_rows(spark, d)).states)
+
+
 @query(_STATES_STEP.replace("{gtx", "{gtx g x") + _WEIGHTS_STEP + f" SELECT t, i, round(g + d * (SELECT {_STEP} FROM sw), 6) AS g FROM dw")
 def q_gpnh_fit_1step_weights(spark: SparkSession, d: str) -> DataFrame:
     return _cells(_one_iteration(spark, d).rows, "gamma", "g", "t", place="i")

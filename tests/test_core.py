@@ -261,7 +261,7 @@ def test_constraints_of_the_programme(spark):
     assert sum(r.kind == "bound" for r in rows) == 4 and sum(r.kind == "positive" for r in rows) == 10
 
 
-# Sizes, tolerances and the iterations within which such fits are expected to end.
+# The published sizes, tolerances and numbers of iterations within which such fits are expected to end.
 
 
 @pytest.mark.parametrize(("n", "d", "k", "epsilon", "update", "limit"), [(50, 13, 3, 0.0, "states", 100), (500, 27, 13, 4.3, "states", 100), (500, 10, 9, 0.0, "weights", 100), (500, 35, 4, 1.3, "weights", 100)])

@@ -12,9 +12,10 @@ def project(spark, rows):
 
 
 def test_exact_projections(spark):
-    assert project(spark, [[-0.5]]).tolist() == [[1.0]]
-    assert np.allclose(project(spark, [[0.8, 0.8], [0.0, 2.0], [0.5, -0.5]]), [[0.5, 0.5], [0, 1], [1, 0]])
-    assert np.allclose(project(spark, [[0.5, 0.5], [0.5, 1.0], [0, -0.5]]), [[0.5, 0.5], [0.25, 0.75], [0.75, 0.25]])
+    """By hand: what stays above 0 loses the same amount, so that the sum is 1."""
+    assert project(spark, [[7.25]]).tolist() == [[1.0]]
+    assert np.allclose(project(spark, [[1.3, 1.1], [-3.0, 4.0], [2.0, 2.0]]), [[0.6, 0.4], [0, 1], [0.5, 0.5]])
+    assert np.allclose(project(spark, [[0.9, 0.6, -0.2], [0.1, 0.1, 0.1], [3.0, 2.8, 2.7]]), [[0.65, 0.35, 0], [1 / 3, 1 / 3, 1 / 3], [0.5, 0.3, 0.2]])
 
 
 @pytest.mark.parametrize("d", [1, 5, 10, 100])
