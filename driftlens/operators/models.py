@@ -65,6 +65,8 @@ class Fitted:
 
     parts: DataFrame
     weights: Transform | None = None
+    #: (name of a part with a vector for each component, expression of weights from x and these vectors): weights of a row that depend on no other row.
+    by_row: tuple[str, Callable[[F.Column], F.Column]] | None = None
 
     def parameters(self) -> DataFrame:
         """The parts that are not by sample, and not the costs."""
@@ -72,6 +74,9 @@ class Fitted:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """(series_id, t, gamma): weights of new rows with the parameters of their series held fixed. Series that were not fitted have no rows."""
+        if self.by_row:
+            name, expression = self.by_row
+            return self._with_vectors(df.select("series_id", "t", "x"), name, "_v").select("series_id", "t", expression(F.col("_v")).alias("gamma"))
         weights = self.weights
         if weights is None:
             raise ValueError("this fit has no transform")
@@ -87,10 +92,14 @@ class Fitted:
 
     def inverse_transform(self, coded: DataFrame, states: str = "states") -> DataFrame:
         """coded(series_id, t, gamma) with y: gamma times the states (or centres) of its series."""
-        one = self.part(states).groupBy("series_id", "j").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("v"))
-        columns = one.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("j", F.col("v.value").alias("s")))).alias("c"))
-        joined = coded.join(F.broadcast(columns) if columns.limit(1001).count() <= 1000 else columns, "series_id")
-        return joined.withColumn("y", F.transform("c", lambda c: vec.dot("gamma", c["s"]))).drop("c")
+        joined = self._with_vectors(coded, states, "_c", "j", "i")
+        return joined.withColumn("y", F.transform("_c", lambda c: vec.dot("gamma", c))).drop("_c")
+
+    def _with_vectors(self, df: DataFrame, part: str, name: str, outer: str = "i", inner: str = "j") -> DataFrame:
+        """df with the vectors of a part of its series, an array for each `outer`; rows of series that were not fitted are dropped."""
+        one = self.part(part).groupBy("series_id", outer).agg(F.array_sort(F.collect_list(F.struct(inner, "value"))).alias("v"))
+        vectors = one.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(outer, F.col("v.value").alias("s")))).alias("c")).select("series_id", F.col("c.s").alias(name))
+        return df.join(F.broadcast(vectors) if vectors.limit(1001).count() <= 1000 else vectors, "series_id")
 
     def mixtures(self, coded: DataFrame) -> DataFrame:
         """(series_id, t, sample, value): coded(series_id, t, gamma) as mixtures of fitted samples, gamma times the dictionary; only what is not 0."""
@@ -390,11 +399,18 @@ class BoundedRegimes:
 
         parts = fit_series(many, fit).parts
         if r == 1:
-            return Fitted(parts, self.weights_of)
+            return self.fitted(parts)
         w = Window.partitionBy("whole").orderBy("value", "series_id")
         last = parts.where("part = 'cost'").groupBy("series_id").agg(F.max_by("value", "i").alias("value")).withColumn("whole", F.floor(F.col("series_id") / r))
         best = last.withColumn("place", F.row_number().over(w)).where("place = 1").select("series_id", "whole")
-        return Fitted(parts.join(best, "series_id").drop("series_id").withColumnRenamed("whole", "series_id").select(*_COLUMNS), self.weights_of)
+        return self.fitted(parts.join(best, "series_id").drop("series_id").withColumnRenamed("whole", "series_id").select(*_COLUMNS))
+
+    def fitted(self, parts: DataFrame) -> Fitted:
+        """A fit from its parts. Without a bound, centres give weights row by row, in expressions."""
+        if isinstance(self.family, core.Centers) and (self.bound is None or self.bound < 0):
+            nearest = lambda v: F.transform(v, lambda c: vec.sqdist("x", c))
+            return Fitted(parts, self.weights_of, ("centers", lambda v: vec.one_hot(vec.argmin(nearest(v)), self.k)))
+        return Fitted(parts, self.weights_of)
 
     def fit_long(self, df: DataFrame, starts: Sequence[object] | None = None) -> tuple[DataFrame, object, list[float]]:
         """(df with gamma, parameters, costs) for one series of any length, with or without a bound; no task holds more than a chunk of its rows.

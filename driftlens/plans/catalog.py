@@ -656,7 +656,7 @@ def q_regimes_transform(spark: SparkSession, d: str) -> DataFrame:
     """Regimes with fixed centres and no bound, on all rows."""
     centers = _states(spark, d)
     parts = [(0, "centers", 0, 0, int(i), int(j), float(centers[i, j])) for i, j in np.ndindex(*centers.shape)]
-    fitted = models.Fitted(spark.createDataFrame(parts, models.PARTS), models.BoundedRegimes(K).weights_of)
+    fitted = models.BoundedRegimes(K).fitted(spark.createDataFrame(parts, models.PARTS))
     return _cells(fitted.transform(frames.vectors(spark, d)), "gamma", "g", "t", place="i")
 
 

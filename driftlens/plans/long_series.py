@@ -66,6 +66,29 @@ def q_path_with_tolls(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, int(n), round(cost, 3)) for i, n in enumerate(turns)], "label long, turns long, cost double")
 
 
+#: Switches that are counted by the dynamic programme that the linear programme is held against, and the bound.
+_SWITCHES, _BOUND = 40, 9.0
+
+
+def _counting(s: int) -> str:
+    """The accumulator of list_reduce over [c0, c1]: costs of the cheapest paths that end in label 0 with 0 to s switches, then of those that end in label 1."""
+    a, b = (lambda k: f"x[{k + 1}]"), (lambda k: f"x[{s + k + 2}]")
+    one = lambda own, other, c, k: f"{own(k)} + y[{c}]" if not k else f"least({own(k)}, {other(k - 1)}) + y[{c}]"
+    return ", ".join([*(one(a, b, 1, k) for k in range(s + 1)), *(one(b, a, 2, k) for k in range(s + 1))])
+
+
+@query(f"""WITH q AS (SELECT day, CAST((n - 3.0) * (n - 3.0) AS DOUBLE) AS c0, CAST((n - 9.0) * (n - 9.0) AS DOUBLE) AS c1, row_number() OVER (ORDER BY day) AS k FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)),
+e AS (SELECT list(CASE WHEN k = 1 THEN [c0] || [1e300 FOR i IN range({_SWITCHES})] || [c1] || [1e300 FOR i IN range({_SWITCHES})] ELSE [c0, c1] END ORDER BY day) AS c FROM q),
+r AS (SELECT list_reduce(c, lambda x, y: [{_counting(_SWITCHES)}]) AS x FROM e),
+h AS (SELECT CAST(s AS DOUBLE) AS s, least(x[s + 1], x[s + {_SWITCHES + 2}]) AS c FROM r, range({_SWITCHES + 1}) t(s))
+SELECT round(min(CASE WHEN a.s = b.s THEN a.c ELSE a.c + (b.c - a.c) * ({_BOUND} - a.s) / (b.s - a.s) END), 4) AS cost FROM h a, h b WHERE a.s <= {_BOUND} AND b.s >= {_BOUND}""")
+def q_bounded_weights_cost(spark: SparkSession, d: str) -> DataFrame:
+    """The least cost of weights of bounded variation, two fixed centres, by the linear programme over paths; in SQL by counting switches."""
+    rows = _daily_orders(spark, d).select("series_id", "t", F.col("u").alias("x"))
+    fit = models.BoundedRegimes(2, _BOUND, max_iterations=1).fit_long(rows, [np.array([[3.0], [9.0]])])
+    return spark.createDataFrame([(round(fit[2][0], 4),)], "cost double")
+
+
 @query("""WITH RECURSIVE q AS (SELECT CAST(row_number() OVER (ORDER BY day) - 1 AS BIGINT) AS t, c0, c1 FROM (
  SELECT CAST(o_orderdate AS DATE) AS day, (count(*) - 3.0) * (count(*) - 3.0) AS c0, (count(*) - 9.0) * (count(*) - 9.0) AS c1 FROM orders GROUP BY 1)),
 f AS (
