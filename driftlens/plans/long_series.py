@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import vec
 from driftlens.operators import models, regimes_long
-from driftlens.plans.catalog import EPSILON_WEIGHTS, LAGS, ORDER, K, _cells, _daily_orders, _gamma, _rows, _transitions, query
+from driftlens.plans.catalog import _FURTHEST, EPSILON_WEIGHTS, LAGS, ORDER, K, _cells, _daily_orders, _gamma, _rows, _transitions, query
 from driftlens.sources import frames
 
 #: The step of a line search along slope and bend: whole, to the minimum, or halved until the cost falls enough.
@@ -196,9 +196,8 @@ dc AS (SELECT gc.t, gc.i, gc.c, gc.v, greatest(u - theta, 0) - gc.c AS d FROM gc
 dx AS (SELECT i, j, sum(d * x.v) AS v FROM dc JOIN x USING (t) GROUP BY 1, 2),
 sl AS (SELECT (SELECT sum(v * d) FROM dc) AS slope, (SELECT sum(gtg.v * a.v * b.v) FROM gtg JOIN dx a ON a.i = gtg.i JOIN dx b ON b.i = gtg.j AND b.j = a.j) AS bend),
 c1 AS (SELECT t, i, c + d * (SELECT {_STEP} FROM sl) AS c FROM dc)"""
-_ARCHETYPE_WEIGHTS = f""", z1 AS (SELECT i, j, sum(c * v) AS z FROM c1 JOIN x USING (t) GROUP BY 1, 2),
-zz AS (SELECT a.i AS i, b.i AS j, sum(a.z * b.z) AS v FROM z1 a JOIN z1 b ON a.j = b.j GROUP BY 1, 2),
-gs AS (SELECT p.t, p.i, own.g, 2 * (p.v - q.v) AS v FROM (SELECT g.t AS t, zz.i AS i, sum(g.g * zz.v) AS v FROM g JOIN zz ON zz.j = g.i GROUP BY 1, 2) p
+_MIXED = ", z1 AS (SELECT i, j, sum(c * v) AS z FROM c1 JOIN x USING (t) GROUP BY 1, 2), zz AS (SELECT a.i AS i, b.i AS j, sum(a.z * b.z) AS v FROM z1 a JOIN z1 b ON a.j = b.j GROUP BY 1, 2)"
+_ARCHETYPE_WEIGHTS = _MIXED + f""", gs AS (SELECT p.t, p.i, own.g, 2 * (p.v - q.v) AS v FROM (SELECT g.t AS t, zz.i AS i, sum(g.g * zz.v) AS v FROM g JOIN zz ON zz.j = g.i GROUP BY 1, 2) p
  JOIN (SELECT x.t AS t, z1.i AS i, sum(x.v * z1.z) AS v FROM x JOIN z1 ON x.j = z1.j GROUP BY 1, 2) q ON q.t = p.t AND q.i = p.i JOIN g own ON own.t = p.t AND own.i = p.i),
 us AS (SELECT t, i, g - v AS u, sum(g - v) OVER o AS s, row_number() OVER o AS k FROM gs WINDOW o AS (PARTITION BY t ORDER BY g - v DESC, i ROWS UNBOUNDED PRECEDING)),
 ts AS (SELECT t, max((s - 1) / k) AS theta FROM us GROUP BY t),
@@ -207,13 +206,17 @@ cs AS (SELECT a.i AS i, b.i AS j, sum(a.d * b.d) AS v FROM ds a JOIN ds b ON a.t
 ls AS (SELECT (SELECT sum(v * d) FROM ds) AS slope, (SELECT sum(cs.v * zz.v) FROM cs JOIN zz USING (i, j)) AS bend)"""
 
 
-def _archetype_step(spark: SparkSession, d: str) -> DataFrame:
-    """Rows after one step on the dictionary and one on the weights from a fixed start."""
+def _with_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with the weights and the dictionary that archetypes start from."""
     raw = lambda i: (1 + F.col("t") * (i + 2) % 5).cast("double")
     rows = _rows(spark, d)
     sums = rows.agg(*[F.sum(raw(i)) for i in range(K)]).first()
-    rows = rows.withColumn("c", F.array(*[raw(i) / sums[i] for i in range(K)]))
-    return models.ArchetypalAnalysis(K, init="custom", max_iterations=1).fit_long(rows).rows
+    return rows.withColumn("c", F.array(*[raw(i) / sums[i] for i in range(K)]))
+
+
+def _archetype_step(spark: SparkSession, d: str) -> DataFrame:
+    """Rows after one step on the dictionary and one on the weights from a fixed start."""
+    return models.ArchetypalAnalysis(K, init="custom", max_iterations=1).fit_long(_with_dictionary(spark, d)).rows
 
 
 @query(_DICTIONARY + " SELECT t, i, round(c, 7) AS c FROM c1")
@@ -224,3 +227,47 @@ def q_aa_fit_1step_dictionary(spark: SparkSession, d: str) -> DataFrame:
 @query(_DICTIONARY + _ARCHETYPE_WEIGHTS + f" SELECT t, i, round(g + d * (SELECT {_STEP} FROM ls), 6) AS g FROM ds")
 def q_aa_fit_1step_weights(spark: SparkSession, d: str) -> DataFrame:
     return _cells(_archetype_step(spark, d), "gamma", "g", "t", place="i")
+
+
+_DELTA = 0.25
+
+
+def _scale_chain() -> str:
+    """The scales one after the other: each is the minimum along itself, given those before it, within its bounds."""
+    at = lambda table, i, j: f"(SELECT v FROM {table} WHERE i = {i} AND j = {j})"
+    out = []
+    for i in range(K):
+        others = " ".join(f"- {at('gtg', i, j)} * {at('zz', i, j)}" + (f" * (SELECT v FROM sc{j})" if j < i else "") for j in range(K) if j != i)
+        best = f"((SELECT sum(gtx.v * z1.z) FROM gtx JOIN z1 USING (i, j) WHERE i = {i}) {others}) / ({at('gtg', i, i)} * {at('zz', i, i)})"
+        out.append(f"sc{i} AS (SELECT least({1 + _DELTA}, greatest({1 - _DELTA}, {best})) AS v)")
+    return ", ".join(out)
+
+
+@query(_DICTIONARY + _MIXED + ", " + _scale_chain() + " " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS i, round(v, 6) AS scale FROM sc{i}" for i in range(K)))
+def q_aa_fit_1step_scales(spark: SparkSession, d: str) -> DataFrame:
+    """Scales of relaxed archetypes after one step on the dictionary from a fixed start."""
+    got = models.ArchetypalAnalysis(K, _DELTA, "custom", max_iterations=1, update=("dictionary",)).fit_long(_with_dictionary(spark, d))
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(got.scales)], "i long, scale double")
+
+
+@query(f"""{{x}} + o AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS k FROM (SELECT DISTINCT t FROM x)), s AS (SELECT k // {K} AS r, k % {K} AS i, j, v AS s FROM x JOIN o USING (t) WHERE k < {2 * K}),
+d1 AS (SELECT r, t, i, sum((v - s) * (v - s)) AS d FROM x JOIN s USING (j) GROUP BY ALL), l1 AS (SELECT r, t, arg_min(i, (d, i)) AS i FROM d1 GROUP BY ALL),
+c1 AS (SELECT r, i, j, avg(v) AS s FROM x JOIN l1 USING (t) GROUP BY ALL), d2 AS (SELECT r, t, i, sum((v - s) * (v - s)) AS d FROM x JOIN c1 USING (j) GROUP BY ALL)
+SELECT round(min(cost), 3) AS cost FROM (SELECT r, sum(d) AS cost FROM (SELECT r, t, min(d) AS d FROM d2 GROUP BY ALL) GROUP BY r)""")
+def q_fembv_best_restart(spark: SparkSession, d: str) -> DataFrame:
+    """The least cost of two restarts after two iterations, side by side on the same passes."""
+    rows = frames.vectors(spark, d)
+    starts = np.array([r.x for r in rows.orderBy("t").limit(2 * K).collect()]).reshape(2, K, -1)
+    _, _, costs = models.BoundedRegimes(K, restarts=2, max_iterations=2).fit_long(rows, list(starts))
+    return spark.createDataFrame([(round(costs[1], 3),)], "cost double")
+
+
+@query(_FURTHEST + """, r AS (SELECT CAST(vec_id AS BIGINT) AS t, i, CAST(1 + (vec_id * (i + 1)) % 7 AS DOUBLE) AS r FROM embeddings, range(3) k(i))
+SELECT r.t, picks.t AS sample, round(r / sum(r) OVER (PARTITION BY r.t), 6) AS value FROM r JOIN picks USING (i)""")
+def q_mixtures_of_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Coded rows as mixtures of fitted samples, where archetypes are rows far from each other."""
+    rows = frames.vectors(spark, d)
+    c = models.ArchetypalAnalysis(3, update=(), max_iterations=1, extra_steps=2).fit_long(rows.where("t % 10 <> 3")).rows
+    entries = c.select("series_id", F.lit("dictionary").alias("part"), F.lit(0).alias("a"), "t", F.lit(0).alias("i"), F.posexplode("c").alias("j", "value"))
+    coded = rows.select("series_id", "t", _gamma(k=3).alias("gamma"))
+    return models.Fitted(entries).mixtures(coded).select("t", "sample", F.round("value", 6).alias("value"))
