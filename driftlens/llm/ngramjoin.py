@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import FEW_IDS, arrow_schema, forget_others, hot_keys, join_to_one, map_rows, parts, table, texts, workers_know, written
 from driftlens.llm.components import components
+from driftlens.llm.neardup import _dealt
 from driftlens.llm.signatures import Forest
 from driftlens.llm.wordhash import grouped, hashed_words, mix, word_table
 
@@ -222,9 +223,13 @@ def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of distinct pairs(a, b) whose full sets are similar enough."""
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs.dropDuplicates(["doc_id", "text"]) if _repeated(docs) else docs)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+    dealt, many_a = _dealt(pairs, "a")
+    dealt, many_b = _dealt(dealt, "b")
+    for side, elements, many in (("a", "x", many_a), ("b", "y", many_b)):  # a set that is in very many pairs has a copy for each share of them
+        copies = sets.join(many, "id", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+        dealt = dealt.join(copies.select(F.col("id").alias(side), F.col("share").alias(f"share_{side}"), F.col("elements").alias(elements)), [side, f"share_{side}"])
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    return dealt.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
 def _repeated(docs: DataFrame) -> bool:
