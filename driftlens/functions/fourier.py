@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.functions import vec
+from driftlens.sources.store import workers_know
 
 
 class FourierFeatures(Transformer):
@@ -27,13 +28,16 @@ class FourierFeatures(Transformer):
         return rng.normal(size=(self.features, components)) / self.width, rng.uniform(0, 2 * np.pi, self.features)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        workers_know(dataset.sparkSession)
         first = dataset.select(F.size(vector_to_array(self.input_column)).alias("n")).first()
         if first is None:
             return dataset.withColumn(self.output_column, F.col(self.input_column))
         w, b = self.drawn(first.n)
-        x = vector_to_array(F.col(self.input_column))
-        # one array of [weights, phase] for each feature, so that the plan does not grow with their number
-        table = F.array(*[vec.literal(np.append(row, phase)) for row, phase in zip(w, b, strict=True)])
-        scale = float(np.sqrt(2 / self.features))
-        made = F.transform(table, lambda row: F.cos(vec.dot(F.slice(row, 1, first.n), x) + F.get(row, F.lit(first.n))) * scale)
-        return dataset.withColumn(self.output_column, array_to_vector(F.concat(made, x)))
+        scale = np.sqrt(2 / self.features)
+
+        @F.pandas_udf("array<double>")
+        def features(x: pd.Series) -> pd.Series:
+            x = np.stack(x.to_numpy())
+            return pd.Series(list(np.hstack([np.cos(x @ w.T + b) * scale, x])))
+
+        return dataset.withColumn(self.output_column, array_to_vector(features(vector_to_array(F.col(self.input_column)))))

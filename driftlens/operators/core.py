@@ -259,13 +259,13 @@ def fit_coding(
     return Coding(gamma, states, trace, w, t)
 
 
-def fit_mixture(moments: dict[tuple[int, int], np.ndarray], lags: Sequence[int], n: int, k: int, tolerance: float = 1e-9, max_iterations: int = 2000, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """The Markov mixture of fixed weights, from their lagged moments."""
+def fit_mixture(moments: dict[tuple[int, int], np.ndarray], lags: Sequence[int], n: int, k: int, tolerance: float = 1e-12, max_iterations: int = 5000, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """The Markov mixture of fixed weights, from their lagged moments. It ends when a step changes the cost by less than that share of it."""
     w, t = random_mtd(k, lags, np.random.RandomState(seed))
     block, before = Block(), np.inf
     for _ in range(max_iterations):
         w, t, now = fit_mtd_parameters(moments, lags, n, w, t, block)
-        if abs(before - now) < tolerance:
+        if abs(before - now) <= tolerance * now:
             break
         before = now
     return w, t, now

@@ -444,11 +444,11 @@ class BoundedRegimes:
         return joined.select(*df.columns, "gamma"), parameters, trace.costs
 
 
-def regions_by_features(seed: int = 0, features: int = 200, width: float = 1.0, regularisation: float = 1e-4) -> Pipeline:
+def regions_by_features(seed: int = 0, features: int = 100, width: float = 1.0, regularisation: float = 1e-3) -> Pipeline:
     """A classifier of "cluster" by "predictors": they are scaled to unit variance, taken to random Fourier features and classified by multinomial logistic regression."""
     scaled = StandardScaler(inputCol="predictors", outputCol="_scaled", withMean=True)
     fourier = FourierFeatures("_scaled", "_features", features, width, seed)
-    linear = LogisticRegression(maxIter=100, family="multinomial", regParam=regularisation, featuresCol="_features", labelCol="cluster", predictionCol="region")
+    linear = LogisticRegression(maxIter=50, family="multinomial", regParam=regularisation, featuresCol="_features", labelCol="cluster", predictionCol="region")
     return Pipeline(stages=[scaled, fourier, linear])
 
 

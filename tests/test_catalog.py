@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-from driftlens.plans import catalog, long_series  # noqa: E402, F401
+from driftlens.plans import catalog, long_series, whole_fits  # noqa: E402, F401
 
 D = "/root/testdata/sf0.001"
 
