@@ -81,9 +81,9 @@ def _counting(s: int) -> str:
 e AS (SELECT list(CASE WHEN k = 1 THEN [c0] || [1e300 FOR i IN range({_SWITCHES})] || [c1] || [1e300 FOR i IN range({_SWITCHES})] ELSE [c0, c1] END ORDER BY day) AS c FROM q),
 r AS (SELECT list_reduce(c, lambda x, y: [{_counting(_SWITCHES)}]) AS x FROM e),
 h AS (SELECT CAST(s AS DOUBLE) AS s, least(x[s + 1], x[s + {_SWITCHES + 2}]) AS c FROM r, range({_SWITCHES + 1}) t(s))
-SELECT round(min(CASE WHEN a.s = b.s THEN a.c ELSE a.c + (b.c - a.c) * ({_BOUND} - a.s) / (b.s - a.s) END), 4) AS cost FROM h a, h b WHERE a.s <= {_BOUND} AND b.s >= {_BOUND}""")
+SELECT round(least((SELECT min(c) FROM h WHERE s <= {_BOUND}), min(a.c + (b.c - a.c) * ({_BOUND} - a.s) / (b.s - a.s))), 4) AS cost FROM h a, h b WHERE a.s <= {_BOUND} AND b.s > {_BOUND}""")
 def q_bounded_weights_cost(spark: SparkSession, d: str) -> DataFrame:
-    """The least cost of weights of bounded variation, two fixed centres, by the linear programme over paths; in SQL by counting switches."""
+    """The least cost of weights of bounded variation, two fixed centres, by the linear programme over paths; in SQL by counting switches: a path within the bound, or a mixture of one within and one beyond."""
     rows = _daily_orders(spark, d).select("series_id", "t", F.col("u").alias("x"))
     fit = models.BoundedRegimes(2, _BOUND, max_iterations=1).fit_long(rows, [np.array([[3.0], [9.0]])])
     return spark.createDataFrame([(round(fit[2][0], 4),)], "cost double")
