@@ -6,13 +6,14 @@ length of beginning and each band of precision. In a generative label model the
 label is latent; voters depend on it and, along a tree, on each other. EM
 estimates how often each voter fires on toxic and on clean texts (its accuracy)
 and how it goes along with its neighbour in the tree (correlations), from how
-voters agree. Known labels say where EM starts, and mine the lexicons; they are
+voters agree, until its posterior stands still. Known labels say where EM starts, and mine the lexicons; they are
 no part of the model. Its posterior labels train a logistic classifier on the presence of
 word beginnings and words, hashed to 2^20 slots. Scores come from the text alone.
 
 Fitting takes a sample of at most SAMPLE labelled training rows, those of the
-smallest hashes of their ids; rows with crc32(id as text) mod 4 = 2 are held
-out. Every document is scored, by its whole text.
+smallest hashes of their ids, and of an id with several texts that of the
+smallest hash, so that no repeated id makes the sample larger; rows with
+crc32(id as text) mod 4 = 2 are held out. Every document is scored, by its whole text.
 
 Defined cases: a null text is empty; an empty text has the score of the
 classifier's constant; a null id is not held out; a document with several
@@ -38,6 +39,7 @@ from driftlens.llm.wordhash import grouped, prefix_hashes, word_table
 SAMPLE, FEATURES, LEAST, THRESHOLD = 20_000, 3000, 5, 0.3
 SLOTS = 1 << 20
 LENGTHS = (3, 4, 5, 6, 7, 8)
+TREE_ROUNDS = 50
 _ALNUM = word_table("alnum")
 
 #: Hand-written lexicons: whole words, lower case.
@@ -130,30 +132,37 @@ def _tree(both: np.ndarray, single: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return parents
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12) -> LabelModel:
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 1000, tolerance: float = 1e-3) -> LabelModel:
     """EM: labels are latent, and start is only where their posterior begins (known labels, or a guess).
 
+    Ends when no text's posterior moves by more than tolerance; raises if that takes
+    more rounds. The tree is that of the first TREE_ROUNDS rounds, so that no two
+    trees take turns for ever.
+
     What ties the latent label to toxicity is that start; accuracies and
     correlations then come from how voters agree on all these texts.
     """
     votes = votes.astype(float)
     p, own = start.astype(float), np.arange(votes.shape[1])
-    for _ in range(rounds):
+    for round_ in range(rounds):
         weights = np.stack([1 - p, p])
         mass, single = weights.sum(1), weights @ votes
         both = np.stack([votes.T @ (w[:, None] * votes) for w in weights])
         left = both.sum(0) - sum(np.outer(s, s) / max(m, 1e-9) for s, m in zip(single, mass, strict=True))
         scale = np.sqrt(np.maximum(np.diag(left), 1e-9))
         correlations = np.clip(left / np.outer(scale, scale), -1, 1)
-        parents = _tree(both, single, mass)
+        if round_ < TREE_ROUNDS:
+            parents = _tree(both, single, mass)
         rates = (single + 0.5) / (mass[:, None] + 1)
         with_parent = both[:, own, parents]
         of_parent = single[:, parents]
         on, off = (with_parent + rates) / (of_parent + 1), (single - with_parent + rates) / (mass[:, None] - of_parent + 1)
         tables = np.where((parents >= 0)[None, :, None], np.stack([off, on], 2), rates[:, :, None]).clip(1e-6, 1 - 1e-6)
         model = LabelModel(float(np.clip(p.mean(), 1e-3, 1 - 1e-3)), rates, parents, tables, correlations)
-        p = model.posterior(votes)
-    return model
+        before, p = p, model.posterior(votes)
+        if np.abs(p - before).max(initial=0) <= tolerance:
+            return model
+    raise RuntimeError(f"EM has not ended after {rounds} rounds")
 
 
 def fit_linear(rows: np.ndarray, columns: np.ndarray, n: int, m: int, target: np.ndarray, steps: int = 400, decay: float = 3e-4) -> tuple[np.ndarray, float]:
@@ -235,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     nothing = Classifier(np.empty(0, np.int64), np.empty(0), None)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~_held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     sample = known.agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = written(texts(docs).join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
+    one = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
+    rows = written(one.select("text", "toxic"), "labelled")
     sizes = rows.agg(F.count("*"), F.sum("toxic")).first()
     n, n_toxic = sizes[0], sizes[1] or 0
     if not 0 < n_toxic < n:

@@ -89,3 +89,24 @@ def test_odd_rows_and_missing_labels(spark, odd, none):
     assert len(rows) == 12 and all(r.score == 0 and r.predicted == 0 for r in rows)
     assert T.toxicity_scores(none, T.fit(none, empty)).count() == 0
     assert T.drop_toxic(odd, T.fit(odd, empty)).count() == 12
+
+
+def test_a_repeated_id_brings_one_row_to_the_sample(spark, monkeypatch):
+    rows = [(k, f"word{k} you {'idiot' if k % 2 else 'friend'}") for k in range(40)] + [(1, f"other text {k}") for k in range(500)] + [(3, "word3 you idiot")] * 500
+    seen = []
+    original = T.fit_label_model
+    monkeypatch.setattr(T, "fit_label_model", lambda votes, start, **k: seen.append((len(votes), int(start.sum()))) or original(votes, start, **k))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    kept = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    T.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert seen == [(len(kept), sum(k % 2 for k in kept))]
+
+
+def test_em_ends_by_its_posterior_and_not_without_a_word():
+    rng = np.random.default_rng(1)
+    y = rng.random(3000) < 0.2
+    votes = np.stack([np.where(rng.random(3000) < right, y, ~y) for right in (0.9, 0.85, 0.8, 0.75)], 1).astype(float)
+    short, longer = (T.fit_label_model(votes, y, tolerance=t).posterior(votes) for t in (1e-3, 9e-4))
+    assert np.abs(short - longer).max() < 1e-2 and ((short > 0.5) == y).mean() > 0.9
+    with pytest.raises(RuntimeError, match="EM"):
+        T.fit_label_model(votes, y, rounds=1)
